@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm import mixing, quality, sharding
+from quarrykit.llm import mixing, packing, quality, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,17 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 OP6_SQL = f"""
 WITH base AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 parts AS (SELECT doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w,
@@ -76,5 +87,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op4_byte_shards, op6_quality_rules)}
+def op8_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset", "length")
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_exact_complement_packing, op4_byte_shards, op6_quality_rules, op8_warc_normaliser)}
 ORACLE_SQL = {"op1_source_mix": OP1_SQL, "op6_quality_rules": OP6_SQL}
