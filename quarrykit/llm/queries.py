@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm import mixing, packing, quality, sharding, warc
+from quarrykit.llm import mixing, packing, quality, sharding, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ FROM (SELECT *, unnest(range(copies)) AS copy FROM drawn WHERE copies > 0)
 """
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=50)
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), n_shards=40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -92,5 +97,5 @@ def op8_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset", "length")
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_exact_complement_packing, op4_byte_shards, op6_quality_rules, op8_warc_normaliser)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_exact_complement_packing, op3_suffix_dedup, op4_byte_shards, op6_quality_rules, op8_warc_normaliser)}
 ORACLE_SQL = {"op1_source_mix": OP1_SQL, "op6_quality_rules": OP6_SQL}
