@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm import jaccard_join, mixing, packing, quality, sharding, suffix_dedup, warc
+from quarrykit.llm import embedding_dedup, jaccard_join, mixing, packing, quality, sharding, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,10 +96,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op7_embedding_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op8_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.round_trip(_table(spark, sf_dir, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset", "length")
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_exact_complement_packing, op3_suffix_dedup, op4_byte_shards, op5_ngram_jaccard_join, op6_quality_rules, op8_warc_normaliser)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_exact_complement_packing, op3_suffix_dedup, op4_byte_shards, op5_ngram_jaccard_join, op6_quality_rules, op7_embedding_multi_index, op8_warc_normaliser)}
 ORACLE_SQL = {"op1_source_mix": OP1_SQL, "op6_quality_rules": OP6_SQL}
