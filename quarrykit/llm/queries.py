@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm import embedding_dedup, jaccard_join, mixing, packing, quality, sharding, suffix_dedup, warc
+from quarrykit.llm import embedding_dedup, jaccard_join, mixing, packing, quality, sharding, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,5 +105,13 @@ def op8_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset", "length")
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_exact_complement_packing, op3_suffix_dedup, op4_byte_shards, op5_ngram_jaccard_join, op6_quality_rules, op7_embedding_multi_index, op8_warc_normaliser)}
+def op9_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), F.coalesce(fold != 1, F.lit(False)))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_exact_complement_packing, op3_suffix_dedup, op4_byte_shards, op5_ngram_jaccard_join, op6_quality_rules, op7_embedding_multi_index, op8_warc_normaliser, op9_toxicity_trees)}
 ORACLE_SQL = {"op1_source_mix": OP1_SQL, "op6_quality_rules": OP6_SQL}
