@@ -171,6 +171,25 @@ def _compare(threshold: float) -> object:
     return compare
 
 
+def compare_groups(shingled: DataFrame, threshold: float) -> DataFrame:
+    """Compares the sets (``node``, ``root``, ``weight``, ``shingles``) of each group ``root`` with each other.
+
+    Returns stored rows (``node``, ``links``, ``to``): weights linked with a node, and a forest of the links; a node may have a row
+    for each block it was in. Nodes of a large group are dealt to blocks, and each block meets each other;
+    small groups share a task's group.
+    """
+    shingled = stored(shingled, "shingles")
+    sizes = shingled.groupBy("root").agg(F.count("*").alias("size"))
+    sizes = stored(sizes.select("root", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "sizes")
+    cells = max(1, -(-shingled.count() // CELL))
+    dealt = shingled.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("node", "root", "weight", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "shingles", "blocks")
+    cell: Column = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(cells))).otherwise(F.xxhash64("root", "i", "j"))
+    found = met.withColumn("cell", cell).groupBy(F.col("blocks") == 1, "cell").applyInPandas(_compare(threshold), "node long, links long, to long")
+    return stored(found, "links")
+
+
 def jaccard_join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links documents whose sets of ``width``-word shingles have a Jaccard similarity of ``threshold`` or more.
 
@@ -196,22 +215,12 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHO
     lowest = stored(keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "low"), "bands")
     ties = keys.join(lowest, "key").where("rep > low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
     groups = stored(components(ties), "groups")
-    sizes = stored(groups.groupBy("root").agg(F.count("*").alias("size")), "sizes")
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    # nodes of a large group are dealt to blocks, and each block meets each other
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
-    nodes = groups.join(sizes, "root").withColumn("blocks", blocks).withColumn("block", block)
-    nodes = stored(nodes.join(classes.select(F.col("rep").alias("node"), "weight"), "node").select("node", "root", "weight", "blocks", "block"), "nodes")
+    total = groups.count()
+    nodes = groups.join(classes.select(F.col("rep").alias("node"), "weight"), "node")
+    nodes = stored(nodes, "nodes")
     wanted = F.broadcast(nodes) if total <= BROADCAST_ROWS else nodes
-    texts = rows.withColumnRenamed("doc_id", "node").join(wanted, "node")
-    shingled = stored(texts.mapInArrow(_fetch(width), "node long, root long, weight long, blocks int, block int, shingles binary"), "shingles")
-    met = shingled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("node", "root", "weight", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "shingles", "blocks")
-    cells = max(1, -(-total // CELL))
-    cell: Column = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(cells))).otherwise(F.xxhash64("root", "i", "j"))
-    found = met.withColumn("cell", cell).groupBy(F.col("blocks") == 1, "cell").applyInPandas(_compare(threshold), "node long, links long, to long")
-    found = stored(found, "links")
+    texts = rows.withColumnRenamed("doc_id", "node").join(wanted, "node").select("node", "root", "weight", "text")
+    found = compare_groups(texts.mapInArrow(_fetch(width), "node long, root long, weight long, shingles binary"), threshold)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("to").alias("b")))
     linked = stored(links.join(roots, "node", "left").select(F.col("node").alias("rep"), "links", "root"), "linked")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm import embedding_dedup, jaccard_join, mixing, packing, quality, sharding, suffix_dedup, toxicity, warc
+from quarrykit.llm import embedding_dedup, jaccard_join, mixing, packing, paragraph_dedup, quality, sharding, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,5 +113,10 @@ def op9_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_exact_complement_packing, op3_suffix_dedup, op4_byte_shards, op5_ngram_jaccard_join, op6_quality_rules, op7_embedding_multi_index, op8_warc_normaliser, op9_toxicity_trees)}
+def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = paragraph_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "stop", "n_words", "n_paragraphs", "kept_doc_ids")
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_exact_complement_packing, op3_suffix_dedup, op4_byte_shards, op5_ngram_jaccard_join, op6_quality_rules, op7_embedding_multi_index, op8_warc_normaliser, op9_toxicity_trees, op10_paragraph_dedup)}
 ORACLE_SQL = {"op1_source_mix": OP1_SQL, "op6_quality_rules": OP6_SQL}
