@@ -180,7 +180,7 @@ def compare_groups(shingled: DataFrame, threshold: float) -> DataFrame:
     """
     shingled = stored(shingled, "shingles")
     sizes = shingled.groupBy("root").agg(F.count("*").alias("size"))
-    sizes = stored(sizes.select("root", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "sizes")
+    sizes = stored(sizes.where("size > 1").select("root", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "sizes")
     cells = max(1, -(-shingled.count() // CELL))
     dealt = shingled.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

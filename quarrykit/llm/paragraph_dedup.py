@@ -1,12 +1,14 @@
 """Removal of passages that repeat within or across documents, found by MinHash bands of paragraphs.
 
-A paragraph here is a line or, in longer lines, whole sentences of ``UNIT`` words together or a little more. So a passage that was put
-in the middle of a line falls into paragraphs of its own after its first long sentence.
+A paragraph here is a line or, in longer lines, some whole sentences: the last word of a sentence decides by its hash whether a
+paragraph ends there. So a passage that was put in the middle of a line falls into the same paragraphs wherever it is,
+but for its ends.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -16,16 +18,18 @@ from pyspark.sql import functions as F
 
 from quarrykit.llm.common import components, find_roots, partitions, stored
 from quarrykit.llm.jaccard_join import compare_groups
-from quarrykit.llm.shingles import band_keys, mixed, multipliers, shingle_set, signature, texts_of
+from quarrykit.llm.shingles import band_keys_of, mixed, multipliers, run_hashes, shingle_set, texts_of, word_bounds, word_hashes
 
 WIDTH, THRESHOLD = 5, 0.8
-#: Words after which a sentence's end ends a paragraph, and the fewest of a paragraph that is compared.
-UNIT, LEAST = 12, 5
+#: Fewest words of a paragraph that is compared or that a sentence ends; words after which every sentence ends one.
+LEAST, UNIT = 5, 30
+#: One sentence in so many doesn't end a paragraph.
+SKIP = 3
 #: Words of neighbouring repeated paragraphs that make a passage.
-PASSAGE = 25
+PASSAGE = 22
 #: At similarity 0.8, all bands differ with probability (1 - 0.8^3)^5, below 3 %; equal paragraphs always meet.
 BANDS, ROWS = 5, 3
-HELD = 2**25
+HELD, SLICE = 2**25, 2**20
 #: Paragraphs of a document are numbered below 2^UNIT_BITS: in enormous texts they get longer.
 UNIT_BITS = 20
 BROADCAST_ROWS = 500_000
@@ -33,31 +37,77 @@ _KEY_BYTES = 6
 _PART = "to int, blob binary"
 
 
-def paragraphs(data: np.ndarray) -> np.ndarray:
-    """Paragraphs of a text's UTF-8 bytes: rows of start, stop (in bytes) and words; those of fewer than ``LEAST`` words are there too."""
-    if not len(data):
-        return np.zeros((0, 3), dtype=np.int64)
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    edges = np.diff(np.r_[True, space, True].astype(np.int8))
-    starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+@dataclass(frozen=True)
+class Paragraphs:
+    """Paragraphs of some texts, in order, and all words' hashes: each one's text, number in it, start and stop (bytes of the text), words, and first word among all."""
+
+    data: np.ndarray
+    hashes: np.ndarray
+    text: np.ndarray
+    number: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
+    n_words: np.ndarray
+    first_word: np.ndarray
+    offset: np.ndarray  # of each text in data
+
+
+def paragraphs(texts: list[np.ndarray]) -> Paragraphs:
+    """Splits texts (UTF-8 bytes) into paragraphs; those of fewer than ``LEAST`` words are there too."""
+    line_break = np.array([10], dtype=np.uint8)
+    data = np.concatenate([x for t in texts for x in (t, line_break)]) if texts else np.zeros(0, np.uint8)
+    sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+    offset = np.cumsum(sizes) - sizes
+    starts, ends = word_bounds(data)
+    none = np.zeros(0, dtype=np.int64)
     if not len(starts):
-        return np.zeros((0, 3), dtype=np.int64)
+        return Paragraphs(data, np.zeros(0, np.uint64), none, none, none, none, none, none, offset)
+    hashes = word_hashes(data, (starts, ends))
+    owner = np.searchsorted(offset, starts, side="right") - 1
+    n_words = np.bincount(owner, minlength=len(texts))
     last = data[ends - 1]
-    lines = np.cumsum(data == 10)
-    hard = np.r_[lines[starts[1:]] != lines[ends[:-1] - 1], True]
-    soft = (last == 46) | (last == 33) | (last == 63)
-    unit = max(UNIT, len(starts) >> (UNIT_BITS - 1))
-    cuts, begin = [], 0
-    at = np.flatnonzero(hard | soft)
-    for word, line_end in zip(at.tolist(), hard[at].tolist(), strict=True):
-        if line_end or word + 1 - begin >= unit:
-            cuts.append((begin, word))
+    breaks = np.flatnonzero(data == 10)
+    line = np.searchsorted(breaks, starts)
+    hard = np.r_[line[1:] != line[:-1], True]
+    at = np.flatnonzero(hard | (last == 46) | (last == 33) | (last == 63))
+    # in enormous texts paragraphs get longer, so that their numbers stay below 2^UNIT_BITS
+    large = n_words >> (UNIT_BITS - 1)
+    ending = hashes[at] % np.uint64(SKIP) != 0
+    least = np.maximum(np.where(ending, LEAST, UNIT), large[owner[at]])
+    finals, begin = [], 0
+    for word, line_end, enough in zip(at.tolist(), hard[at].tolist(), least.tolist(), strict=True):
+        if line_end or word + 1 - begin >= enough:
+            finals.append(word)
             begin = word + 1
-    if len(cuts) >> UNIT_BITS:  # more lines than numbers: lines are joined
-        step = -(-len(cuts) >> UNIT_BITS) + 1
-        cuts = [(cuts[k][0], cuts[min(k + step, len(cuts)) - 1][1]) for k in range(0, len(cuts), step)]
-    first, final = np.array(cuts).T
-    return np.stack([starts[first], ends[final], final - first + 1], axis=1)
+    final = np.array(finals)
+    first = np.r_[0, final[:-1] + 1]
+    text = owner[first]
+    number = np.arange(len(text)) - np.searchsorted(text, text)
+    if number.max() >> UNIT_BITS:  # more lines than numbers: neighbouring lines are joined
+        step = (int(number.max()) >> UNIT_BITS) + 1
+        lead = number % step == 0
+        first, text, number = first[lead], text[lead], number[lead] // step
+        final = np.r_[first[1:] - 1, final[-1]]
+    return Paragraphs(data, hashes, text, number, starts[first] - offset[text], ends[final] - offset[text], final - first + 1, first, offset)
+
+
+def _slices(column: object) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Texts of an Arrow column in parts of about ``SLICE`` bytes, each with the row of its first."""
+    held, size, begin = [], 0, 0
+    for k, data in enumerate(texts_of(column)):
+        held.append(data)
+        size += len(data)
+        if size >= SLICE:
+            yield begin, held
+            held, size, begin = [], 0, k + 1
+    if held:
+        yield begin, held
+
+
+def _over(values: np.ndarray, first: np.ndarray, count: np.ndarray, ufunc: np.ufunc) -> np.ndarray:
+    """``ufunc`` over ``count`` values from ``first`` on, for each."""
+    spans = np.stack([first, first + count], axis=1).reshape(-1)
+    return ufunc.reduceat(np.r_[values, values[-1:]], spans)[::2]
 
 
 def _document_key(column: str) -> F.Column:
@@ -70,9 +120,8 @@ def _document_key(column: str) -> F.Column:
 def _bands(n: int) -> object:
     factors = multipliers(BANDS * ROWS, seed=9)
 
-    def send(keys: list[np.ndarray], ids: list[int]) -> Iterator[pa.RecordBatch]:
-        key, who = np.array(keys), np.repeat(np.array(ids, dtype=np.int64), BANDS)
-        key = key.reshape(-1)
+    def send(keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key, who = keys.reshape(-1), np.repeat(ids, BANDS)
         order = np.lexsort((who, key))
         key, who = key[order], who[order]
         to = (key % np.uint64(n)).astype(np.int64)
@@ -93,37 +142,44 @@ def _bands(n: int) -> object:
             yield pa.RecordBatch.from_arrays([pa.array(sent, pa.int32()), pa.array(blobs, pa.binary())], names=["to", "blob"])
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, seen, size = [], [], {}, 0
-        ties: list[tuple[int, int]] = []
+        codes, keys, ids, size = [], [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            code, key, own = np.concatenate(codes), np.concatenate(keys), np.concatenate(ids)
+            order = np.lexsort((own, code))
+            new = np.r_[True, code[order][1:] != code[order][:-1]]
+            first = order[np.flatnonzero(new)]
+            # copies in the same task are tied at once, and only the first of them is sent on
+            copy = order[~new]
+            yield from send(key[first], own[first])
+            yield from _send_ties(np.stack([own[copy], own[first][np.cumsum(new)[~new] - 1]], axis=1), n)
+
         for batch in batches:
-            for key, data in zip(batch["key"].to_pylist(), texts_of(batch["text"]), strict=True):
-                size += len(data)
-                for k, (a, b, words) in enumerate(paragraphs(data).tolist()):
-                    if words < LEAST:
-                        continue
-                    own = (key << UNIT_BITS) + k
-                    shingles = shingle_set(data[a:b], WIDTH)
-                    code = int(np.add.reduce(mixed(shingles)))
-                    first = seen.setdefault(code, own)
-                    if first != own:  # a copy in the same task is tied at once
-                        ties.append((own, first))
-                        continue
-                    keys.append(band_keys(signature(shingles, factors), BANDS))
-                    ids.append(own)
-                if size >= HELD:
-                    yield from send(keys, ids)
-                    yield from _send_ties(ties, n)
-                    keys, ids, seen, size, ties = [], [], {}, 0, []
-        if keys:
-            yield from send(keys, ids)
-            yield from _send_ties(ties, n)
+            key_of = batch["key"].to_numpy()
+            for begin, texts in _slices(batch["text"]):
+                found = paragraphs(texts)
+                size += len(found.data)
+                big = np.flatnonzero(found.n_words >= LEAST)
+                if not len(big):
+                    continue
+                runs = run_hashes(found.hashes, WIDTH)
+                first, count = found.first_word[big], found.n_words[big] - WIDTH + 1
+                sigs = np.stack([_over(runs * f, first, count, np.minimum) for f in factors], axis=1) >> np.uint64(32)
+                codes.append(_over(mixed(runs), first, count, np.add))
+                keys.append(band_keys_of(sigs, BANDS))
+                ids.append((key_of[begin + found.text[big]] << UNIT_BITS) + found.number[big])
+            if size >= HELD and codes:
+                yield from flush()
+                codes, keys, ids, size = [], [], [], 0
+        if codes:
+            yield from flush()
 
     return bands
 
 
-def _send_ties(ties: list[tuple[int, int]], n: int) -> Iterator[pa.RecordBatch]:
+def _send_ties(ties: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
     for k in range(0, len(ties), 65536):
-        part = np.array(ties[k : k + 65536], dtype=np.int64)
+        part = np.ascontiguousarray(ties[k : k + 65536])
         yield pa.RecordBatch.from_arrays([pa.array([int(part[0, 0]) % n], pa.int32()), pa.array([np.int64(-1).tobytes() + part.tobytes()], pa.binary())], names=["to", "blob"])
 
 
@@ -168,23 +224,32 @@ _UNITS = "node long, root long, doc_id long, unit int, start long, stop long, wo
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in _UNITS.split(", ")]
+    mask = (1 << UNIT_BITS) - 1
     for batch in batches:
-        for lo in range(0, len(batch), 256):
-            part, rows = batch.slice(lo, 256), []
-            for key, doc_id, found, data in zip(part["key"].to_pylist(), part["doc_id"].to_pylist(), part["found"].to_pylist(), texts_of(part["text"]), strict=True):
-                units = paragraphs(data)
-                for x in found:
-                    k = x["node"] & ((1 << UNIT_BITS) - 1)
-                    if k >= len(units):  # another text with the same id
-                        continue
-                    a, b, words = units[k].tolist()
-                    shingles = shingle_set(data[a:b], WIDTH)
-                    if len(shingles):
-                        h1, h2 = int(np.add.reduce(mixed(shingles)).view(np.int64)), int(np.bitwise_xor.reduce(mixed(shingles + np.uint64(1))).view(np.int64))
-                        rows.append((x["node"], x["root"], doc_id, k, a, b, words, h1, h2, data[a:b].tobytes()))
-            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
-            kinds = [pa.binary() if x == "text" else pa.int32() if x == "unit" else pa.int64() for x in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        doc_ids, found = batch["doc_id"], batch["found"]
+        for begin, texts in _slices(batch["text"]):
+            all_ = paragraphs(texts)
+            runs = run_hashes(all_.hashes, WIDTH)
+            lists = found.slice(begin, len(texts))
+            row = np.repeat(np.arange(len(texts)), np.array([len(x) for x in lists]))
+            flat = lists.flatten()
+            node, root = flat.field("node").to_numpy(), flat.field("root").to_numpy()
+            place = np.searchsorted(all_.text, row) + (node & mask)
+            # a document with another text but the same id may have fewer paragraphs
+            ok = place < np.searchsorted(all_.text, row, side="right")
+            ok[ok] &= all_.n_words[place[ok]] >= LEAST
+            node, root, row, place = node[ok], root[ok], row[ok], place[ok]
+            if not len(node):
+                continue
+            first, count = all_.first_word[place], all_.n_words[place] - WIDTH + 1
+            h1, h2 = _over(mixed(runs), first, count, np.add), _over(mixed(runs + np.uint64(1)), first, count, np.add)
+            a, b = all_.offset[row] + all_.start[place], all_.offset[row] + all_.stop[place]
+            text = [all_.data[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+            columns = [
+                pa.array(node), pa.array(root), doc_ids.take(pa.array(begin + row)), pa.array((node & mask).astype(np.int32)), pa.array(all_.start[place]), pa.array(all_.stop[place]),
+                pa.array(all_.n_words[place].astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(text, pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def _shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,7 +281,8 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, threshold: float
     classes = units.groupBy("root", "h1", "h2").agg(F.min("node").alias("rep"), F.count("*").alias("weight"))
     classes = stored(classes, "classes")
     members = units.drop("text").join(classes, ["root", "h1", "h2"])
-    reps = units.select("node", "text").join(classes.select(F.col("rep").alias("node"), "root", "weight"), "node").dropDuplicates(["node"])
+    several = classes.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    reps = units.select("node", "text").join(classes.join(several, "root").select(F.col("rep").alias("node"), "root", "weight"), "node").dropDuplicates(["node"])
     shingled = reps.mapInPandas(_shingled, "node long, root long, weight long, shingles binary")
     found = compare_groups(shingled, threshold)
     roots = stored(components(found.select(F.col("node").alias("a"), F.col("to").alias("b"))), "roots")

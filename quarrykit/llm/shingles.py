@@ -13,39 +13,54 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 
 
+#: Bytes whose letters are hashed together.
+PIECE = 2**20
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _K[1]
     x = (x ^ (x >> np.uint64(27))) * _K[2]
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of each word (run of bytes other than ASCII white space), in order."""
-    if not len(data):
-        return np.zeros(0, dtype=np.uint64)
-    solid = ~_SPACE[data]
-    edges = np.diff(np.r_[False, solid, False].astype(np.int8))
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    lengths = ends - starts
-    letters = data[solid].astype(np.uint64) + np.uint64(1)
-    firsts = np.cumsum(lengths) - lengths
-    place = np.arange(len(letters)) - np.repeat(firsts, lengths)
-    sums = np.add.reduceat(letters * _PLACES[place % len(_PLACES)], firsts)
-    return mixed(sums + lengths.astype(np.uint64) * _K[0])
+def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of words (runs of bytes other than ASCII white space)."""
+    edges = np.diff(np.concatenate([[0], (~_SPACE[data]).view(np.int8), [0]]))
+    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+
+
+def word_hashes(data: np.ndarray, bounds: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """A hash of each word, in order. About ``PIECE`` bytes are worked on together."""
+    starts, ends = word_bounds(data) if bounds is None else bounds
+    out = np.empty(len(starts), dtype=np.uint64)
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + PIECE, side="right")))
+        begin, lengths = starts[lo], (ends[lo:hi] - starts[lo:hi])
+        own = data[begin : ends[hi - 1]]
+        letters = own[~_SPACE[own]].astype(np.uint64)
+        letters += np.uint64(1)
+        firsts = np.cumsum(lengths) - lengths
+        place = np.arange(len(letters)) - np.repeat(firsts, lengths)
+        letters *= _PLACES[place % len(_PLACES)]
+        out[lo:hi] = mixed(np.add.reduceat(letters, firsts) + lengths.astype(np.uint64) * _K[0])
+        lo = hi
+    return out
+
+
+def run_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of ``width`` words."""
+    n = max(0, len(words) - width + 1)
+    out = np.full(n, width, dtype=np.uint64)
+    for k in range(width):
+        out = mixed(out * _K[0] + words[k : k + n])
+    return out
 
 
 def shingle_set(data: np.ndarray, width: int) -> np.ndarray:
     """Sorted distinct hashes of all runs of ``width`` words; a shorter text that has words is one shingle."""
     words = word_hashes(data)
-    if not len(words):
-        return words
-    n = max(1, len(words) - width + 1)
-    out = np.full(n, min(width, len(words)), dtype=np.uint64)
-    for k in range(min(width, len(words))):
-        out = mixed(out * _K[0] + words[k : k + n])
-    return np.unique(out)
+    return np.unique(run_hashes(words, min(width, len(words)))) if len(words) else words
 
 
 def multipliers(n_hashes: int, seed: int = 5) -> np.ndarray:
@@ -69,6 +84,15 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     return out
 
 
+def band_keys_of(sigs: np.ndarray, bands: int) -> np.ndarray:
+    """``band_keys`` of each row of signatures."""
+    rows = sigs.reshape(len(sigs), bands, -1).astype(np.uint64)
+    out = np.tile(np.arange(1, bands + 1, dtype=np.uint64) * _K[0], (len(sigs), 1))
+    for k in range(rows.shape[2]):
+        out = mixed(out + rows[:, :, k])
+    return out
+
+
 def texts_of(column: object) -> Iterator[np.ndarray]:
     """The UTF-8 bytes of each text of an Arrow column; nothing for nulls."""
     import pyarrow as pa
