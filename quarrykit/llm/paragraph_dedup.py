@@ -289,7 +289,8 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, threshold: float
     ends = members.join(roots.select(F.col("node").alias("rep"), F.col("root").alias("end")), "rep", "left").withColumn("end", F.coalesce("end", "rep"))
     gone = stored(ends.where("node <> end").select("doc_id", "node", "unit", "start", "stop", "words", "end").dropDuplicates(["node"]), "gone")
     heads = units.select(F.col("node").alias("end"), F.col("doc_id").alias("kept_doc_id")).dropDuplicates(["end"])
-    gone = gone.join(heads.join(gone.select("end").distinct(), "end", "left_semi"), "end", "left")
+    heads = stored(heads.join(gone.select("end").distinct(), "end", "left_semi"), "heads")
+    gone = gone.join(heads, "end", "left")
     island = gone.selectExpr("*", "shiftright(node, 20) AS key", "unit - row_number() OVER (PARTITION BY shiftright(node, 20) ORDER BY unit) AS island")
     passages = island.groupBy("key", "island").agg(
         F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("n_words"),
