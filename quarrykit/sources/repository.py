@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import fnmatch
 import os
-import re
 import subprocess
 from collections.abc import Iterator
 from datetime import datetime, timezone
@@ -185,7 +184,3 @@ def write_tables(tables: dict[str, DataFrame], path: str) -> None:
     """Writes each table as Parquet by repository; a repository that is scanned again replaces its own rows alone."""
     for name, table in tables.items():
         table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(f"{path}/{name}")
-
-
-def clean_name(name: str) -> str:
-    return re.sub(r"[^\w.-]", "_", name)
