@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -16,7 +17,7 @@ from quarrykit.llm.common import partitions, stored
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a Python worker remembers; the memory is emptied when it is full.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Python splits at these control characters, the tokenizer doesn't; texts that hold one are tokenized whole.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
@@ -29,21 +30,68 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Letters of one code point that lower-case to letters of one code point, alike in Python and the tokenizer.
+_PLAIN = re.compile(r"[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+_MARKS = ".,!?;:"
+
+
 class _Words(dict):
     """Ids of a white-space-delimited word, as little-endian unsigned 32-bit bytes.
 
     The tokenizer never joins characters across white space (it splits there and drops it), so ids of
-    a text are those of its words in order.
+    a text are those of its words in order. It also splits letters from other characters. So words of plain letters
+    are learnt many at a time, from one text of all of them: the id that ends a word is marked in the vocabulary.
     """
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        self.letters: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[k for word, k in vocabulary.items() if word.endswith("</w>")]] = True
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
+    def learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > REMEMBERED:
             self.clear()
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        found = self[word] = np.array(ids, dtype="<u4").tobytes()
+            new = list(words)
+        split, others = [], []
+        for w in new:
+            plain = w.rstrip(_MARKS)
+            if _PLAIN.fullmatch(plain):
+                split.append((w, plain.lower(), w[len(plain) :]))
+            else:
+                others.append(w)
+        fresh = list({core for _, core, _ in split if core not in self.letters})
+        if len(self.letters) + len(fresh) > REMEMBERED:
+            self.letters.clear()
+            fresh = list({core for _, core, _ in split})
+        for lo in range(0, len(fresh), 4096):
+            self._learn_letters(fresh[lo : lo + 4096])
+        for w, core, marks in split:
+            self[w] = self.letters[core] + self._marks(marks) if marks else self.letters[core]
+        for w in others:
+            self[w] = self.ids(w)
+
+    def _learn_letters(self, words: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) == len(words):
+            raw, begin = ids.tobytes(), 0
+            for word, end in zip(words, (4 * (last + 1)).tolist(), strict=True):
+                self.letters[word] = raw[begin:end]
+                begin = end
+        else:
+            for word in words:
+                self.letters[word] = self.ids(word)
+
+    def _marks(self, marks: str) -> bytes:
+        found = self.letters.get(marks)
+        if found is None:
+            found = self.letters[marks] = self.ids(marks)
         return found
 
 
@@ -52,13 +100,13 @@ def _words(path: str) -> _Words:
     return _Words(path)
 
 
-def token_bytes(text: str | None, path: str) -> bytes:
-    """All ids of a text and the end id, as little-endian unsigned 32-bit bytes."""
-    text = text or ""
-    end = END_ID.to_bytes(4, "little")
-    if any(c in text for c in _SEPARATORS):
-        return np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() + end
-    return b"".join(map(_words(path).__getitem__, text.split())) + end
+def token_bytes(texts: list[str | None], path: str) -> Iterator[bytes]:
+    """All ids of each text and the end id, as little-endian unsigned 32-bit bytes."""
+    known, end = _words(path), END_ID.to_bytes(4, "little")
+    split = [None if t is not None and any(c in t for c in _SEPARATORS) else (t or "").split() for t in texts]
+    known.learn(set().union(*(x for x in split if x is not None)))
+    for text, words in zip(texts, split, strict=True):
+        yield (known.ids(text) if words is None else b"".join(map(known.__getitem__, words))) + end
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,8 +122,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
             for lo in range(0, len(batch), 256):
                 rows = []
                 part = batch.iloc[lo : lo + 256]
-                for doc_id, text in zip(part.doc_id.array, part.text.array, strict=True):
-                    ids = token_bytes(text, tokenizer_path)
+                for doc_id, ids in zip(part.doc_id.array, token_bytes(part.text.tolist(), tokenizer_path), strict=True):
                     for k, at in enumerate(range(0, len(ids), size)):
                         own = ids[at : at + size]
                         rows.append((doc_id, k, at // 4, len(own) // 4, zlib.crc32(own), own if keep_ids else None))
