@@ -9,8 +9,8 @@ from __future__ import annotations
 import numpy as np
 
 SHALLOW = 16
-#: Parts of this size or less are finished by a plain sort of the current character.
-SMALL = 2048
+#: Parts of this size or less are finished by a plain sort.
+SMALL = 4096
 
 
 def words(data: np.ndarray, n: int) -> np.ndarray:
@@ -48,21 +48,19 @@ def multikey_quicksort(text_words: np.ndarray, at: np.ndarray, length: int, shal
             continue
         char = _character(text_words, part, depth, length)
         if len(part) <= SMALL:
-            order = np.argsort(char, kind="stable")
-            part, char = part[order], char[order]
-            cuts = np.flatnonzero(char[1:] != char[:-1]) + 1
-            if len(cuts) + 1 == len(part):
-                out[to : to + len(part)] = part
-                begins[to : to + len(part)] = True
-                continue
-            for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(part)], strict=True):
-                if hi - lo == 1:
-                    out[to + lo] = part[lo]
-                    begins[to + lo] = True
-                else:
-                    todo.append((part[lo:hi], to + lo, depth + 8))
+            # all characters down to the shallow depth at once
+            chars = [char] + [_character(text_words, part, d, length) for d in range(depth + 8, depth_end, 8)]
+            order = np.lexsort(chars[::-1])
+            new = np.zeros(len(part), dtype=bool)
+            new[0] = True
+            for c in chars:
+                c = c[order]
+                new[1:] |= c[1:] != c[:-1]
+            out[to : to + len(part)] = part[order]
+            begins[to : to + len(part)] = new
             continue
-        pivot = np.partition(char[:: max(1, len(char) // 999)], len(char[:: max(1, len(char) // 999)]) // 2)[len(char[:: max(1, len(char) // 999)]) // 2]
+        sample = char[:: max(1, len(char) // 999)]
+        pivot = np.partition(sample, len(sample) // 2)[len(sample) // 2]
         less, same = char < pivot, char == pivot
         n_less, n_same = int(less.sum()), int(same.sum())
         todo.append((part[less], to, depth))
