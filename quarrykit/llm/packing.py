@@ -16,8 +16,8 @@ from quarrykit.llm.common import partitions, stored
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a Python worker remembers; the memory is emptied when it is full.
-REMEMBERED = 500_000
+#: Words, and words of plain letters, whose ids a Python worker remembers (about 350 MB); a memory is emptied when it is full.
+REMEMBERED, REMEMBERED_LETTERS = 600_000, 1_200_000
 #: Python splits at these control characters, the tokenizer doesn't; texts that hold one are tokenized whole.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
@@ -66,7 +66,7 @@ class _Words(dict):
             else:
                 others.append(w)
         fresh = list({core for _, core, _ in split if core not in self.letters})
-        if len(self.letters) + len(fresh) > REMEMBERED:
+        if len(self.letters) + len(fresh) > REMEMBERED_LETTERS:
             self.letters.clear()
             fresh = list({core for _, core, _ in split})
         for lo in range(0, len(fresh), 4096):
