@@ -1,14 +1,17 @@
-"""Removal of passages that repeat within or across documents, found by MinHash bands of paragraphs.
+"""Removal of passages that repeat within or across documents, found by keys of paragraphs.
 
-A paragraph here is a line or, in longer lines, some whole sentences: the last word of a sentence decides by its hash whether a
-paragraph ends there. So a passage that was put in the middle of a line falls into the same paragraphs wherever it is,
-but for its ends.
+A paragraph here is a line, short lines next to each other being one, or a piece of it: words whose hash is the smallest around
+end a piece. Where pieces end depends on the words beside that place alone, so a passage that was put in the middle of a line falls
+into the same pieces wherever it is, but for its ends; these are found by comparing words with the kept copy.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations, takewhile
 
 import numpy as np
 import pandas as pd
@@ -21,25 +24,28 @@ from quarrykit.llm.jaccard_join import compare_groups
 from quarrykit.llm.shingles import band_keys_of, mixed, multipliers, run_hashes, shingle_set, texts_of, word_bounds, word_hashes
 
 WIDTH, THRESHOLD = 5, 0.8
-#: Fewest words of a paragraph that is compared or that a sentence ends; words after which every sentence ends one.
-LEAST, UNIT = 5, 30
-#: One sentence in so many doesn't end a paragraph.
-SKIP = 3
+#: Fewest words of a paragraph that is compared; shorter lines next to each other are one.
+LEAST = 5
+#: Words to each side among which the one that ends a piece has the smallest hash.
+AROUND = 5
 #: Words of neighbouring repeated paragraphs that make a passage.
 PASSAGE = 22
-#: At similarity 0.8, all bands differ with probability (1 - 0.8^3)^5, below 3 %; equal paragraphs always meet.
-BANDS, ROWS = 5, 3
-HELD, SLICE = 2**25, 2**20
-#: Paragraphs of a document are numbered below 2^UNIT_BITS: in enormous texts they get longer.
-UNIT_BITS = 20
-BROADCAST_ROWS = 500_000
-_KEY_BYTES = 6
+#: Larger sets: at similarity 0.8, all bands differ with probability (1 - 0.8^3)^20, below 1e-6.
+BANDS, ROWS = 20, 3
+#: Sets of up to so many shingles have keys that none of their links can miss.
+SMALL = 25
+#: Neighbouring pieces among which the ends of a passage are looked for: two whole pieces beyond a repeated one would be found themselves.
+NEAR = 3
+HELD, SLICE = 2**23, 2**20
+BROADCAST_ROWS = 100_000
+_KEY_BYTES, _MARK_BYTES = 5, 3
 _PART = "to int, blob binary"
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 @dataclass(frozen=True)
 class Paragraphs:
-    """Paragraphs of some texts, in order, and all words' hashes: each one's text, number in it, start and stop (bytes of the text), words, and first word among all."""
+    """Pieces of some texts, in order, and all words' hashes: each one's text, number in it, start and stop (bytes of the text), words, first word among all, and line (short lines next to each other are one)."""
 
     data: np.ndarray
     hashes: np.ndarray
@@ -50,10 +56,26 @@ class Paragraphs:
     n_words: np.ndarray
     first_word: np.ndarray
     offset: np.ndarray  # of each text in data
+    line: np.ndarray
+    joined: np.ndarray  # whether the line is several short ones
+
+
+def _piece_ends(hashes: np.ndarray, place: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Words after which a line is cut: ``place`` words before it and ``left`` after it, both at least ``LEAST`` for a piece."""
+    pair = run_hashes(hashes, 2)
+    at = np.flatnonzero((place + 1 >= LEAST) & (left >= LEAST))
+    for k in range(1, AROUND + 1):
+        before = place[at] < k
+        before[~before] = pair[at[~before]] < pair[at[~before] - k]
+        at = at[before]
+        after = left[at] <= k
+        after[~after] = pair[at[~after]] <= pair[at[~after] + k]
+        at = at[after]
+    return at
 
 
 def paragraphs(texts: list[np.ndarray]) -> Paragraphs:
-    """Splits texts (UTF-8 bytes) into paragraphs; those of fewer than ``LEAST`` words are there too."""
+    """Splits texts (UTF-8 bytes) into pieces; those of fewer than ``LEAST`` words are there too."""
     line_break = np.array([10], dtype=np.uint8)
     data = np.concatenate([x for t in texts for x in (t, line_break)]) if texts else np.zeros(0, np.uint8)
     sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
@@ -61,34 +83,47 @@ def paragraphs(texts: list[np.ndarray]) -> Paragraphs:
     starts, ends = word_bounds(data)
     none = np.zeros(0, dtype=np.int64)
     if not len(starts):
-        return Paragraphs(data, np.zeros(0, np.uint64), none, none, none, none, none, none, offset)
+        return Paragraphs(data, np.zeros(0, np.uint64), none, none, none, none, none, none, offset, none, none.astype(bool))
     hashes = word_hashes(data, (starts, ends))
     owner = np.searchsorted(offset, starts, side="right") - 1
-    n_words = np.bincount(owner, minlength=len(texts))
-    last = data[ends - 1]
-    breaks = np.flatnonzero(data == 10)
-    line = np.searchsorted(breaks, starts)
-    hard = np.r_[line[1:] != line[:-1], True]
-    at = np.flatnonzero(hard | (last == 46) | (last == 33) | (last == 63))
-    # in enormous texts paragraphs get longer, so that their numbers stay below 2^UNIT_BITS
-    large = n_words >> (UNIT_BITS - 1)
-    ending = hashes[at] % np.uint64(SKIP) != 0
-    least = np.maximum(np.where(ending, LEAST, UNIT), large[owner[at]])
-    finals, begin = [], 0
-    for word, line_end, enough in zip(at.tolist(), hard[at].tolist(), least.tolist(), strict=True):
-        if line_end or word + 1 - begin >= enough:
-            finals.append(word)
-            begin = word + 1
-    final = np.array(finals)
-    first = np.r_[0, final[:-1] + 1]
+    lines = np.searchsorted(np.flatnonzero(data == 10), starts)
+    lead = np.flatnonzero(np.r_[True, lines[1:] != lines[:-1]])
+    long = np.diff(np.r_[lead, len(starts)]) >= LEAST
+    # a line break between two short lines isn't an end
+    ending = np.r_[True, long[1:] | long[:-1] | (owner[lead[1:]] != owner[lead[:-1]])]
+    lead, short = lead[ending], ~long[ending]
+    size = np.diff(np.r_[lead, len(starts)])
+    place = np.arange(len(starts)) - np.repeat(lead, size)
+    cut = _piece_ends(hashes, place, np.repeat(size, size) - 1 - place)
+    first = np.sort(np.r_[lead, cut + 1])
+    final = np.r_[first[1:] - 1, len(starts) - 1]
     text = owner[first]
     number = np.arange(len(text)) - np.searchsorted(text, text)
-    if number.max() >> UNIT_BITS:  # more lines than numbers: neighbouring lines are joined
-        step = (int(number.max()) >> UNIT_BITS) + 1
-        lead = number % step == 0
-        first, text, number = first[lead], text[lead], number[lead] // step
-        final = np.r_[first[1:] - 1, final[-1]]
-    return Paragraphs(data, hashes, text, number, starts[first] - offset[text], ends[final] - offset[text], final - first + 1, first, offset)
+    line = np.searchsorted(lead, first, side="right") - 1
+    return Paragraphs(data, hashes, text, number, starts[first] - offset[text], ends[final] - offset[text], final - first + 1, first, offset, line, short[line])
+
+
+@dataclass(frozen=True)
+class Units:
+    """What is compared: pieces (even numbers) and lines of several pieces (odd), but not joined ones. First and last piece, first word and words."""
+
+    text: np.ndarray
+    number: np.ndarray
+    piece: np.ndarray
+    last: np.ndarray
+    first_word: np.ndarray
+    n_words: np.ndarray
+
+
+def units(found: Paragraphs) -> Units:
+    lead = np.flatnonzero(np.r_[True, found.line[1:] != found.line[:-1]]) if len(found.line) else np.zeros(0, np.int64)
+    last = np.r_[lead[1:] - 1, len(found.line) - 1] if len(lead) else lead
+    several = (last > lead) & ~found.joined[lead]
+    lead, last = lead[several], last[several]
+    big = np.flatnonzero(found.n_words >= LEAST)
+    piece, end = np.r_[big, lead], np.r_[big, last]
+    number = np.r_[2 * found.number[big], 2 * found.number[lead] + 1]
+    return Units(found.text[piece], number, piece, end, found.first_word[piece], found.first_word[end] + found.n_words[end] - found.first_word[piece])
 
 
 def _slices(column: object) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -110,68 +145,133 @@ def _over(values: np.ndarray, first: np.ndarray, count: np.ndarray, ufunc: np.uf
     return ufunc.reduceat(np.r_[values, values[-1:]], spans)[::2]
 
 
-def _document_key(column: str) -> F.Column:
-    """Ids below 2^42 as they are, all others (null too) by a hash beyond."""
-    half = 2 ** (62 - UNIT_BITS)
-    value = F.col(column)
-    return F.when((value >= 0) & (value < half), value).otherwise(half + F.pmod(F.xxhash64(value), F.lit(half)))
+def _document_key(id_col: str, text_col: str) -> F.Column:
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+
+
+def _set_keys(sets: np.ndarray, threshold: float) -> np.ndarray:
+    """Keys of sets of one size (sorted rows): pairs among the smallest shingles. Sets at ``threshold`` and above share one.
+
+    Of n shingles ceil(threshold * n) are shared at least, so the smallest two shared ones are among the first n - ceil(threshold * n) + 2.
+    """
+    n = sets.shape[1]
+    first = min(n, n - math.ceil(threshold * n - 1e-9) + 2)
+    pairs = list(combinations(range(first), 2)) if n > 1 else [(0, 0)]
+    return np.stack([mixed(mixed(sets[:, i] + np.uint64(77)) + sets[:, j]) for i, j in pairs], axis=1)
+
+
+def unit_keys(runs: np.ndarray, first: np.ndarray, count: np.ndarray, threshold: float, factors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (and the unit of each) that units of ``count`` runs from ``first`` on share if they are linked: exactly up to ``SMALL`` shingles, by bands beyond."""
+    who, keys = [], []
+
+    def add(own: np.ndarray, found: np.ndarray) -> None:
+        who.append(np.repeat(own, found.shape[1]))
+        keys.append(found.reshape(-1))
+
+    sized: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for c in np.unique(count[count <= SMALL]).tolist():
+        own = np.flatnonzero(count == c)
+        sets = np.sort(runs[first[own, None] + np.arange(c)], axis=1)
+        again = (sets[:, 1:] == sets[:, :-1]).any(axis=1)
+        sized.setdefault(c, []).append((own[~again], sets[~again]))
+        for k in np.flatnonzero(again):
+            part = np.unique(sets[k])
+            sized.setdefault(len(part), []).append((own[k : k + 1], part[None]))
+    for k in np.flatnonzero(count > SMALL):
+        part = np.unique(runs[first[k] : first[k] + count[k]])
+        if len(part) <= SMALL:
+            sized.setdefault(len(part), []).append((np.array([k]), part[None]))
+    for parts in sized.values():
+        add(np.concatenate([x for x, _ in parts]), _set_keys(np.concatenate([x for _, x in parts]), threshold))
+    # a larger set's links have this many shingles at least, and runs
+    own = np.flatnonzero(count >= math.floor(threshold * SMALL))
+    if len(own):
+        sigs = np.stack([_over(runs * f, first[own], count[own], np.minimum) for f in factors], axis=1) >> np.uint64(32)
+        add(own, band_keys_of(sigs, BANDS))
+    return np.concatenate(who), np.concatenate(keys)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(np.diff(x, prepend=0).view(np.uint8).reshape(-1, 8).T).tobytes()
+
 
+def _from_planes(raw: bytes, n: int, at: int) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T).view(np.int64).reshape(-1))
 
-def _bands(n: int) -> object:
+
+def _short(x: np.ndarray, size: int) -> bytes:
+    return np.ascontiguousarray(x).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def _from_short(raw: bytes, n: int, at: int, size: int) -> np.ndarray:
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, :size] = np.frombuffer(raw, np.uint8, size * n, at).reshape(n, size)
+    return out.view("<u8").reshape(-1)
+
+
+def _node(key: np.ndarray, number: np.ndarray) -> np.ndarray:
+    return mixed(mixed(key.view(np.uint64)) + number.astype(np.uint64)).view(np.int64)
+
+
+def _bands(n: int, threshold: float) -> object:
     factors = multipliers(BANDS * ROWS, seed=9)
 
-    def send(keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        key, who = keys.reshape(-1), np.repeat(ids, BANDS)
-        order = np.lexsort((who, key))
-        key, who = key[order], who[order]
-        to = (key % np.uint64(n)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        key, who = key[order] >> np.uint64(8 * (8 - _KEY_BYTES)), who[order]
+    def send(key: np.ndarray, doc: np.ndarray, number: np.ndarray, mark: np.ndarray) -> Iterator[pa.RecordBatch]:
+        to = (key % np.uint64(n)).astype(np.int32)
+        order = np.argsort(to, kind="stable")  # documents stay in order, which compresses well
         cuts = np.searchsorted(to[order], np.arange(n + 1))
+        key = key // np.uint64(n)
         for lo in range(0, n, 64):
             sent, blobs = [], []
             for k in range(lo, min(n, lo + 64)):
-                a, b = cuts[k], cuts[k + 1]
-                if b > a:
-                    again = np.argsort(who[a:b], kind="stable")  # ids in order compress well
-                    short = key[a:b][again].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES]
-                    steps = np.diff(who[a:b][again], prepend=0)
-                    raw = np.int64(b - a).tobytes() + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes() + short.tobytes()
+                own = order[cuts[k] : cuts[k + 1]]
+                if len(own):
+                    raw = np.int64(len(own)).tobytes() + _planes(doc[own]) + _planes(number[own]) + _short(key[own], _KEY_BYTES) + _short(mark[own], _MARK_BYTES)
                     sent.append(k)
                     blobs.append(np.int64(len(raw)).tobytes() + pa.compress(raw, "zstd", asbytes=True))
             yield pa.RecordBatch.from_arrays([pa.array(sent, pa.int32()), pa.array(blobs, pa.binary())], names=["to", "blob"])
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, keys, ids, size = [], [], [], 0
+        held, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            code, key, own = np.concatenate(codes), np.concatenate(keys), np.concatenate(ids)
-            order = np.lexsort((own, code))
+            code, doc, number = (np.concatenate([h[k] for h in held]) for k in range(3))
+            base = np.cumsum([0, *(len(h[0]) for h in held)])
+            who = np.concatenate([h[3] + b for h, b in zip(held, base[:-1], strict=True)])
+            key = np.concatenate([h[4] for h in held])
+            order = np.lexsort((number, doc, code))
             new = np.r_[True, code[order][1:] != code[order][:-1]]
             first = order[np.flatnonzero(new)]
             # copies in the same task are tied at once, and only the first of them is sent on
-            copy = order[~new]
-            yield from send(key[first], own[first])
-            yield from _send_ties(np.stack([own[copy], own[first][np.cumsum(new)[~new] - 1]], axis=1), n)
+            copy, of = order[~new], first[np.cumsum(new)[~new] - 1]
+            sent = np.zeros(len(code), dtype=bool)
+            sent[first] = True
+            # equal units have the key of their code; no other key ties those of one mark again
+            who, key = np.r_[who[sent[who]], first], np.r_[key[sent[who]], mixed(code[first])]
+            rank = np.empty(len(code), dtype=np.int64)
+            rank[np.lexsort((number, doc))] = np.arange(len(code))
+            order = np.argsort(rank[who], kind="stable")
+            who, key = who[order], key[order]
+            exact = key == mixed(code[who])
+            mark = np.where(exact, np.uint64(0), (code[who] >> np.uint64(20)) % np.uint64(256**_MARK_BYTES - 1) + np.uint64(1))
+            yield from send(key, doc[who], number[who], mark)
+            yield from _send_ties(np.stack([doc[copy], number[copy], doc[of], number[of]], axis=1), n)
 
         for batch in batches:
             key_of = batch["key"].to_numpy()
             for begin, texts in _slices(batch["text"]):
                 found = paragraphs(texts)
+                own = units(found)
                 size += len(found.data)
-                big = np.flatnonzero(found.n_words >= LEAST)
-                if not len(big):
+                if not len(own.text):
                     continue
                 runs = run_hashes(found.hashes, WIDTH)
-                first, count = found.first_word[big], found.n_words[big] - WIDTH + 1
-                sigs = np.stack([_over(runs * f, first, count, np.minimum) for f in factors], axis=1) >> np.uint64(32)
-                codes.append(_over(mixed(runs), first, count, np.add))
-                keys.append(band_keys_of(sigs, BANDS))
-                ids.append((key_of[begin + found.text[big]] << UNIT_BITS) + found.number[big])
-            if size >= HELD and codes:
+                first, count = own.first_word, own.n_words - WIDTH + 1
+                held.append((_over(mixed(runs), first, count, np.add), key_of[begin + own.text], own.number, *unit_keys(runs, first, count, threshold, factors)))
+            if size >= HELD and held:
                 yield from flush()
-                codes, keys, ids, size = [], [], [], 0
-        if codes:
+                held, size = [], 0
+        if held:
             yield from flush()
 
     return bands
@@ -183,71 +283,82 @@ def _send_ties(ties: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([int(part[0, 0]) % n], pa.int32()), pa.array([np.int64(-1).tobytes() + part.tobytes()], pa.binary())], names=["to", "blob"])
 
 
+_TIES = "a long, b long, a_key long, a_number long, b_key long, b_number long"
+
+
 def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ties each paragraph to the smallest one in its bands, by as few pairs as join them."""
-    keys, ids, a, b = [], [], [], []
+    """Ties each unit to the first one with its key, by as few pairs as join them."""
+    parts, pairs = [], []
     for batch in batches:
         for blob in batch["blob"]:
             raw = blob.as_py()
             n = int(np.frombuffer(raw, np.int64, 1)[0])
             if n < 0:
-                pairs = np.frombuffer(raw, np.int64, -1, 8).reshape(-1, 2)
-                a.append(pairs[:, 0])
-                b.append(pairs[:, 1])
+                pairs.append(np.frombuffer(raw, np.int64, -1, 8).reshape(-1, 4))
                 continue
             raw = pa.decompress(raw[8:], n, "zstd", asbytes=True)
             n = int(np.frombuffer(raw, np.int64, 1)[0])
-            steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 8).reshape(8, n).T).view(np.int64).reshape(-1)
-            key = np.zeros((n, 8), dtype=np.uint8)
-            key[:, :_KEY_BYTES] = np.frombuffer(raw, np.uint8, _KEY_BYTES * n, 8 + 8 * n).reshape(n, _KEY_BYTES)
-            keys.append(key.view("<u8").reshape(-1))
-            ids.append(np.cumsum(steps))
-    if keys:
-        key, who = np.concatenate(keys), np.concatenate(ids)
-        order = np.lexsort((who, key))
-        key, who = key[order], who[order]
-        new = np.r_[True, key[1:] != key[:-1]]
-        low = who[np.flatnonzero(new)][np.cumsum(new) - 1]
-        other = who != low
-        a.append(who[other])
-        b.append(low[other])
-    if a:
-        a, b = np.concatenate(a), np.concatenate(b)
-        nodes, at = np.unique(np.r_[a, b], return_inverse=True)
-        root = find_roots(at[: len(a)], at[len(a) :], len(nodes))
-        moved = root != np.arange(len(nodes))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], names=["a", "b"])
-
-
-_UNITS = "node long, root long, doc_id long, unit int, start long, stop long, words long, h1 long, h2 long, text binary"
+            at = 8 + 16 * n
+            parts.append((_from_planes(raw, n, 8), _from_planes(raw, n, 8 + 8 * n).astype(np.int32), _from_short(raw, n, at, _KEY_BYTES), _from_short(raw, n, at + _KEY_BYTES * n, _MARK_BYTES).astype(np.uint32)))
+    if parts:
+        doc, number, key, mark = (np.concatenate([x[k] for x in parts]) for k in range(4))
+        parts.clear()
+        order = np.argsort(key)
+        new = np.r_[True, key[order][1:] != key[order][:-1]]
+        group = np.cumsum(new) - 1
+        several = np.bincount(group)[group] > 1
+        order, group = order[several], group[several]
+        again = np.lexsort((mark[order], group))
+        order, group = order[again], group[again]
+        if len(order):
+            new = np.r_[True, group[1:] != group[:-1]]
+            low = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+            # equal units are tied by the key of their code, whose mark is 0, and only there
+            tied = ~new & ((mark[order] == 0) | np.r_[True, mark[order][1:] != mark[order][:-1]])
+            order, low = order[tied], low[tied]
+            pairs.append(np.stack([doc[order], number[order].astype(np.int64), doc[low], number[low].astype(np.int64)], axis=1))
+    if pairs:
+        both = np.concatenate(pairs)
+        ends = np.concatenate([both[:, :2], both[:, 2:]])
+        nodes, first, at = np.unique(_node(np.ascontiguousarray(ends[:, 0]), ends[:, 1]), return_index=True, return_inverse=True)
+        root = find_roots(at[: len(both)], at[len(both) :], len(nodes))
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        to = root[moved]
+        columns = [nodes[moved], nodes[to], ends[first[moved], 0], ends[first[moved], 1], ends[first[to], 0], ends[first[to], 1]]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[x.split()[0] for x in _TIES.split(", ")])
+
+
+_UNITS = "node long, root long, key long, doc_id long, number long, start long, stop long, word long, words long, h1 long, h2 long, span_at int, span binary"
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units of the wanted numbers, each with the bytes of it and of ``NEAR`` pieces to each side."""
     names = [x.split()[0] for x in _UNITS.split(", ")]
-    mask = (1 << UNIT_BITS) - 1
     for batch in batches:
-        doc_ids, found = batch["doc_id"], batch["found"]
         for begin, texts in _slices(batch["text"]):
             all_ = paragraphs(texts)
+            if not len(all_.text):
+                continue
             runs = run_hashes(all_.hashes, WIDTH)
-            lists = found.slice(begin, len(texts))
+            lists = batch["found"].slice(begin, len(texts))
             row = np.repeat(np.arange(len(texts)), np.array([len(x) for x in lists]))
             flat = lists.flatten()
-            node, root = flat.field("node").to_numpy(), flat.field("root").to_numpy()
-            place = np.searchsorted(all_.text, row) + (node & mask)
-            # a document with another text but the same id may have fewer paragraphs
-            ok = place < np.searchsorted(all_.text, row, side="right")
-            ok[ok] &= all_.n_words[place[ok]] >= LEAST
-            node, root, row, place = node[ok], root[ok], row[ok], place[ok]
-            if not len(node):
-                continue
-            first, count = all_.first_word[place], all_.n_words[place] - WIDTH + 1
-            h1, h2 = _over(mixed(runs), first, count, np.add), _over(mixed(runs + np.uint64(1)), first, count, np.add)
-            a, b = all_.offset[row] + all_.start[place], all_.offset[row] + all_.stop[place]
-            text = [all_.data[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+            node, root, number = (flat.field(x).to_numpy() for x in ("node", "root", "number"))
+            head, tail = np.searchsorted(all_.text, row), np.searchsorted(all_.text, row, side="right") - 1
+            piece = head + number // 2
+            last = np.where(number % 2 == 1, np.searchsorted(all_.line, all_.line[piece], side="right") - 1, piece)
+            first_word = all_.first_word[piece]
+            words = all_.first_word[last] + all_.n_words[last] - first_word
+            count = words - WIDTH + 1
+            h1, h2 = _over(mixed(runs), first_word, count, np.add), _over(mixed(runs + np.uint64(1)), first_word, count, np.add)
+            start, stop = all_.start[piece], all_.stop[last]
+            low, high = all_.start[np.maximum(head, piece - NEAR)], all_.stop[np.minimum(tail, last + NEAR)]
+            base = all_.offset[row]
+            span = [all_.data[x:y].tobytes() for x, y in zip((base + low).tolist(), (base + high).tolist(), strict=True)]
+            taken = pa.array(begin + row)
             columns = [
-                pa.array(node), pa.array(root), doc_ids.take(pa.array(begin + row)), pa.array((node & mask).astype(np.int32)), pa.array(all_.start[place]), pa.array(all_.stop[place]),
-                pa.array(all_.n_words[place].astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(text, pa.binary()),
+                pa.array(node), pa.array(root), batch["key"].take(taken), batch["doc_id"].take(taken), pa.array(number), pa.array(start), pa.array(stop),
+                pa.array(first_word - all_.first_word[head]), pa.array(words), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array((start - low).astype(np.int32)), pa.array(span, pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -257,51 +368,108 @@ def _shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.drop(columns="text").assign(shingles=[shingle_set(np.frombuffer(t, dtype=np.uint8), WIDTH).tobytes() for t in batch.text])
 
 
+_GROWN = "key long, doc_id long, word long, words long, before long, after long, first_byte long, last_byte long, kept_doc_id long"
+
+
+def _grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts the words next to a unit that are the same next to its kept copy."""
+    names = [x.split()[0] for x in _GROWN.split(", ")]
+    for batch in batches:
+        grown = []
+        for span, at, size, kept, kept_at, kept_size, start in zip(batch.span, batch.span_at, batch.stop - batch.start, batch.kept_span, batch.kept_at, batch.kept_size, batch.start, strict=True):
+            before = sum(1 for _ in takewhile(lambda x: x[0] == x[1], zip(reversed(span[:at].split()), reversed(kept[:kept_at].split()), strict=False)))
+            after = sum(1 for _ in takewhile(lambda x: x[0] == x[1], zip(span[at + size :].split(), kept[kept_at + kept_size :].split(), strict=False)))
+            first, last = at, at + size
+            if before:
+                first = [m.start() for m in _WORD.finditer(span, 0, at)][-before]
+            if after:
+                last = [m.end() for m, _ in zip(_WORD.finditer(span, at + size), range(after), strict=False)][-1]
+            grown.append((before, after, start - at + first, start - at + last))
+        out = pd.DataFrame(grown, columns=["before", "after", "first_byte", "last_byte"], index=batch.index, dtype="int64")
+        yield pd.concat([batch, out], axis=1)[names]
+
+
+_ISLANDS = "key long, doc_id long, start long, stop long, n_words long, n_paragraphs long, kept_doc_ids array<long>"
+
+
+def _islands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joins the repeated units of each document that touch."""
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            spans = [(x["word"] - x["before"], x["word"] + x["words"] + x["after"], x["first_byte"], x["last_byte"], x["kept_doc_id"]) for x in row["units"]]
+            spans.sort(key=lambda x: x[:2])
+            done: list[list] = []
+            for w0, w1, start, stop, kept in spans:
+                if done and w0 <= done[-1][1]:
+                    island = done[-1]
+                    if w1 > island[1]:
+                        island[1], island[3] = w1, stop
+                else:
+                    island = [w0, w1, start, stop, 0, set()]
+                    done.append(island)
+                island[4] += 1
+                if kept is not None:
+                    island[5].add(kept)
+            out += [{"key": row["key"], "doc_id": row["doc_id"], "start": a, "stop": b, "n_words": w1 - w0, "n_paragraphs": k, "kept_doc_ids": sorted(ids)} for w0, w1, a, b, k, ids in done]
+        kinds = [("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("n_words", pa.int64()), ("n_paragraphs", pa.int64()), ("kept_doc_ids", pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_pylist(out, schema=pa.schema(kinds))
+
+
 def repeated_passages(docs: DataFrame, passage: int = PASSAGE, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Passages of documents that repeat earlier ones: one row for each that is to be removed.
 
-    Paragraphs (see ``paragraphs``) whose sets of 5-word shingles have a Jaccard similarity of ``threshold`` or more are linked;
-    in each component of links the first (smallest document, then place) stays and the others go, if they and
-    their repeated neighbours have ``passage`` words together. Returns ``doc_id``, ``start``, ``stop`` (bytes of the UTF-8 text), ``n_words``,
-    ``n_paragraphs`` and ``kept_doc_ids`` (documents that keep what goes here, in order).
+    Lines and their pieces (see ``paragraphs``) whose sets of 5-word shingles have a Jaccard similarity of ``threshold`` or more are linked;
+    in each component of links the first (smallest document, then place) stays and the others go, with the words beside them that are also
+    beside the one that stays, if what touches has ``passage`` words together. Returns ``key`` (a hash of a document's id and text), ``doc_id``, ``start``, ``stop`` (bytes of the UTF-8 text), ``n_words``,
+    ``n_paragraphs`` (lines and pieces in it) and ``kept_doc_ids`` (documents that keep what goes here, in order).
 
-    Bands of MinHash values only propose: each paragraph is tied to the smallest of its band, groups of ties are compared
-    block by block, and every link is verified on whole sets. Equal paragraphs are compared once.
+    Keys only propose: each unit is tied to the first with its key, groups of ties are compared
+    block by block, and every link is verified on whole sets. Equal units are compared once.
 
-    Null texts and texts without words have no passages. Ids beyond 2^42 and null come after all others. Rows with
+    Null texts and texts without words have no passages. Null ids come after all others. Rows with
     the same id and text are one document. An empty table gives an empty result; other columns are ignored.
     """
     n = partitions(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", _document_key("doc_id"))
-    parts = rows.select("key", "text").mapInArrow(_bands(n), _PART).repartitionById(n, "to")
-    groups = stored(components(parts.mapInArrow(_ties, "a long, b long")), "groups")
-    by_doc = groups.groupBy(F.shiftright("node", UNIT_BITS).alias("key")).agg(F.collect_list(F.struct("node", "root")).alias("found"))  # a document's paragraphs
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", _document_key("doc_id", "text"))
+    parts = rows.select("key", "text").mapInArrow(_bands(n, threshold), _PART).repartitionById(n, "to")
+    ties = stored(parts.mapInArrow(_ties, _TIES), "ties")
+    groups = components(ties.select("a", "b"))
+    named = ties.selectExpr("a AS node", "a_key AS key", "a_number AS number").unionByName(ties.selectExpr("b AS node", "b_key AS key", "b_number AS number")).distinct()
+    groups = stored(named.join(groups, "node"), "groups")
+    by_doc = groups.groupBy("key").agg(F.collect_list(F.struct("node", "root", "number")).alias("found"))  # a document's units
     wanted = F.broadcast(by_doc) if groups.count() <= BROADCAST_ROWS else by_doc
-    units = stored(rows.join(wanted, "key").select("key", "doc_id", "text", "found").mapInArrow(_fetch, _UNITS), "units")
-    classes = units.groupBy("root", "h1", "h2").agg(F.min("node").alias("rep"), F.count("*").alias("weight"))
-    classes = stored(classes, "classes")
-    members = units.drop("text").join(classes, ["root", "h1", "h2"])
+    once = rows.join(wanted, "key").select("key", "doc_id", "text", "found")
+    units_ = stored(once.mapInArrow(_fetch, _UNITS), "units")
+    plain = units_.drop("span", "span_at").dropDuplicates(["node"])
+    classes = stored(plain.groupBy("root", "h1", "h2").agg(F.min("node").alias("rep"), F.count("*").alias("weight")), "classes")
     several = classes.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
-    reps = units.select("node", "text").join(classes.join(several, "root").select(F.col("rep").alias("node"), "root", "weight"), "node").dropDuplicates(["node"])
+    texts = units_.selectExpr("node", "substring(span, span_at + 1, CAST(stop - start AS INT)) AS text")
+    reps = texts.join(classes.join(several, "root").select(F.col("rep").alias("node"), "root", "weight"), "node").dropDuplicates(["node"])
     shingled = reps.mapInPandas(_shingled, "node long, root long, weight long, shingles binary")
     found = compare_groups(shingled, threshold)
     roots = stored(components(found.select(F.col("node").alias("a"), F.col("to").alias("b"))), "roots")
-    ends = members.join(roots.select(F.col("node").alias("rep"), F.col("root").alias("end")), "rep", "left").withColumn("end", F.coalesce("end", "rep"))
-    gone = stored(ends.where("node <> end").select("doc_id", "node", "unit", "start", "stop", "words", "end").dropDuplicates(["node"]), "gone")
-    heads = units.select(F.col("node").alias("end"), F.col("doc_id").alias("kept_doc_id")).dropDuplicates(["end"])
-    heads = stored(heads.join(gone.select("end").distinct(), "end", "left_semi"), "heads")
-    gone = gone.join(heads, "end", "left")
-    island = gone.selectExpr("*", "shiftright(node, 20) AS key", "unit - row_number() OVER (PARTITION BY shiftright(node, 20) ORDER BY unit) AS island")
-    passages = island.groupBy("key", "island").agg(
-        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("n_words"),
-        F.count("*").alias("n_paragraphs"), F.sort_array(F.collect_set("kept_doc_id")).alias("kept_doc_ids"),
-    )
-    return passages.where(F.col("n_words") >= passage).select("doc_id", "start", "stop", "n_words", "n_paragraphs", "kept_doc_ids")
+    labels = classes.join(roots.select(F.col("node").alias("rep"), F.col("root").alias("end")), "rep", "left").withColumn("end", F.coalesce("end", "rep"))
+    labels = stored(labels.select("root", "h1", "h2", "end"), "labels")
+    members = stored(plain.join(labels, ["root", "h1", "h2"]).select("node", "end", "key", "doc_id", "number"), "members")
+    # nulls last: a struct with the flag before the id
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "number", "node")
+    heads = members.groupBy("end").agg(F.min(place).alias("place"), F.count("*").alias("n")).where("n > 1")
+    heads = stored(heads.select("end", F.col("place.node").alias("head_node")), "heads")
+    whole = units_.select("node", "key", "doc_id", "word", "words", "start", "stop", "span", "span_at").dropDuplicates(["node"])
+    kept = stored(heads.join(whole.withColumnRenamed("node", "head_node"), "head_node"), "kept")
+    gone = members.select("node", "end").join(whole, "node")
+    gone = stored(gone, "gone")
+    sides = kept.selectExpr("end", "head_node", "doc_id AS kept_doc_id", "span AS kept_span", "span_at AS kept_at", "stop - start AS kept_size")
+    sides = F.broadcast(sides) if kept.count() <= BROADCAST_ROWS else sides
+    grown = gone.join(sides, "end").where("node <> head_node").mapInPandas(_grow, _GROWN)
+    units_of = grown.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("word", "words", "before", "after", "first_byte", "last_byte", "kept_doc_id")).alias("units"))
+    return units_of.mapInArrow(_islands, _ISLANDS).where(F.col("n_words") >= passage)
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the passages; a document without any is unchanged."""
-    spans = passages.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
+    spans = passages.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans_: pd.Series) -> pd.Series:
@@ -315,5 +483,5 @@ def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id"
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    joined = docs.join(spans, _document_key(id_col, text_col) == F.col("_key"), "left")
     return joined.withColumn(text_col, cut(text_col, "_spans")).select(docs.columns)
