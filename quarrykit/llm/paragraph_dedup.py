@@ -328,11 +328,17 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[x.split()[0] for x in _TIES.split(", ")])
 
 
-_UNITS = "node long, root long, key long, doc_id long, number long, start long, stop long, word long, words long, h1 long, h2 long, span_at int, span binary"
+def _pieces(found: Paragraphs, head: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last piece of units by number, in texts whose first piece is ``head``."""
+    piece = head + number // 2
+    return piece, np.where(number % 2 == 1, np.searchsorted(found.line, found.line[piece], side="right") - 1, piece)
+
+
+_UNITS = "node long, root long, key long, doc_id long, number long, start long, stop long, word long, words long, h1 long, h2 long, text binary"
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Units of the wanted numbers, each with the bytes of it and of ``NEAR`` pieces to each side."""
+    """Units of the wanted numbers."""
     names = [x.split()[0] for x in _UNITS.split(", ")]
     for batch in batches:
         for begin, texts in _slices(batch["text"]):
@@ -344,21 +350,19 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = np.repeat(np.arange(len(texts)), np.array([len(x) for x in lists]))
             flat = lists.flatten()
             node, root, number = (flat.field(x).to_numpy() for x in ("node", "root", "number"))
-            head, tail = np.searchsorted(all_.text, row), np.searchsorted(all_.text, row, side="right") - 1
-            piece = head + number // 2
-            last = np.where(number % 2 == 1, np.searchsorted(all_.line, all_.line[piece], side="right") - 1, piece)
+            head = np.searchsorted(all_.text, row)
+            piece, last = _pieces(all_, head, number)
             first_word = all_.first_word[piece]
             words = all_.first_word[last] + all_.n_words[last] - first_word
             count = words - WIDTH + 1
             h1, h2 = _over(mixed(runs), first_word, count, np.add), _over(mixed(runs + np.uint64(1)), first_word, count, np.add)
             start, stop = all_.start[piece], all_.stop[last]
-            low, high = all_.start[np.maximum(head, piece - NEAR)], all_.stop[np.minimum(tail, last + NEAR)]
             base = all_.offset[row]
-            span = [all_.data[x:y].tobytes() for x, y in zip((base + low).tolist(), (base + high).tolist(), strict=True)]
+            text = [all_.data[x:y].tobytes() for x, y in zip((base + start).tolist(), (base + stop).tolist(), strict=True)]
             taken = pa.array(begin + row)
             columns = [
                 pa.array(node), pa.array(root), batch["key"].take(taken), batch["doc_id"].take(taken), pa.array(number), pa.array(start), pa.array(stop),
-                pa.array(first_word - all_.first_word[head]), pa.array(words), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array((start - low).astype(np.int32)), pa.array(span, pa.binary()),
+                pa.array(first_word - all_.first_word[head]), pa.array(words), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(text, pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -368,25 +372,45 @@ def _shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.drop(columns="text").assign(shingles=[shingle_set(np.frombuffer(t, dtype=np.uint8), WIDTH).tobytes() for t in batch.text])
 
 
-_GROWN = "key long, doc_id long, word long, words long, before long, after long, first_byte long, last_byte long, kept_doc_id long"
+_SIDES = "node long, before binary, after binary"
+
+
+def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of ``NEAR`` pieces to each side of the wanted units."""
+    for batch in batches:
+        for begin, texts in _slices(batch["text"]):
+            found = paragraphs(texts)
+            if not len(found.text):
+                continue
+            lists = batch["found"].slice(begin, len(texts))
+            row = np.repeat(np.arange(len(texts)), np.array([len(x) for x in lists]))
+            flat = lists.flatten()
+            head, tail = np.searchsorted(found.text, row), np.searchsorted(found.text, row, side="right") - 1
+            piece, last = _pieces(found, head, flat.field("number").to_numpy())
+            base = found.offset[row]
+            places = [base + x for x in (found.start[np.maximum(head, piece - NEAR)], found.start[piece], found.stop[last], found.stop[np.minimum(tail, last + NEAR)])]
+            cut = [(found.data[a:b].tobytes(), found.data[c:d].tobytes()) for a, b, c, d in zip(*(x.tolist() for x in places), strict=True)]
+            yield pa.RecordBatch.from_arrays([flat.field("node"), pa.array([x for x, _ in cut], pa.binary()), pa.array([x for _, x in cut], pa.binary())], names=["node", "before", "after"])
+
+
+_GONE = ("key", "doc_id", "word", "words", "start", "stop", "kept_doc_id")
+_GROWN = "key long, doc_id long, word long, words long, start long, stop long, kept_doc_id long, n_before long, n_after long"
 
 
 def _grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts the words next to a unit that are the same next to its kept copy."""
-    names = [x.split()[0] for x in _GROWN.split(", ")]
+    """Adds the words next to a unit that are the same next to its kept copy."""
     for batch in batches:
         grown = []
-        for span, at, size, kept, kept_at, kept_size, start in zip(batch.span, batch.span_at, batch.stop - batch.start, batch.kept_span, batch.kept_at, batch.kept_size, batch.start, strict=True):
-            before = sum(1 for _ in takewhile(lambda x: x[0] == x[1], zip(reversed(span[:at].split()), reversed(kept[:kept_at].split()), strict=False)))
-            after = sum(1 for _ in takewhile(lambda x: x[0] == x[1], zip(span[at + size :].split(), kept[kept_at + kept_size :].split(), strict=False)))
-            first, last = at, at + size
-            if before:
-                first = [m.start() for m in _WORD.finditer(span, 0, at)][-before]
-            if after:
-                last = [m.end() for m, _ in zip(_WORD.finditer(span, at + size), range(after), strict=False)][-1]
-            grown.append((before, after, start - at + first, start - at + last))
-        out = pd.DataFrame(grown, columns=["before", "after", "first_byte", "last_byte"], index=batch.index, dtype="int64")
-        yield pd.concat([batch, out], axis=1)[names]
+        for before, after, kept_before, kept_after, start, stop in zip(batch.before, batch.after, batch.kept_before, batch.kept_after, batch.start, batch.stop, strict=True):
+            n = sum(1 for _ in takewhile(lambda x: x[0] == x[1], zip(reversed(before.split()), reversed(kept_before.split()), strict=False)))
+            m = sum(1 for _ in takewhile(lambda x: x[0] == x[1], zip(after.split(), kept_after.split(), strict=False)))
+            if n:
+                start += [x.start() for x in _WORD.finditer(before)][-n] - len(before)
+            if m:
+                stop += [x.end() for x, _ in zip(_WORD.finditer(after), range(m), strict=False)][-1]
+            grown.append((start, stop, n, m))
+        out = pd.DataFrame(grown, columns=["start", "stop", "n_before", "n_after"], index=batch.index, dtype="int64")
+        yield pd.concat([batch.drop(columns=["start", "stop"]), out], axis=1)[[*_GONE, "n_before", "n_after"]]
 
 
 _ISLANDS = "key long, doc_id long, start long, stop long, n_words long, n_paragraphs long, kept_doc_ids array<long>"
@@ -397,7 +421,7 @@ def _islands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for row in batch.to_pylist():
-            spans = [(x["word"] - x["before"], x["word"] + x["words"] + x["after"], x["first_byte"], x["last_byte"], x["kept_doc_id"]) for x in row["units"]]
+            spans = [(x["word"] - x["n_before"], x["word"] + x["words"] + x["n_after"], x["start"], x["stop"], x["kept_doc_id"]) for x in row["units"]]
             spans.sort(key=lambda x: x[:2])
             done: list[list] = []
             for w0, w1, start, stop, kept in spans:
@@ -441,29 +465,41 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, threshold: float
     wanted = F.broadcast(by_doc) if groups.count() <= BROADCAST_ROWS else by_doc
     once = rows.join(wanted, "key").select("key", "doc_id", "text", "found")
     units_ = stored(once.mapInArrow(_fetch, _UNITS), "units")
-    plain = units_.drop("span", "span_at").dropDuplicates(["node"])
+    plain = units_.drop("text")
     classes = stored(plain.groupBy("root", "h1", "h2").agg(F.min("node").alias("rep"), F.count("*").alias("weight")), "classes")
     several = classes.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
-    texts = units_.selectExpr("node", "substring(span, span_at + 1, CAST(stop - start AS INT)) AS text")
-    reps = texts.join(classes.join(several, "root").select(F.col("rep").alias("node"), "root", "weight"), "node").dropDuplicates(["node"])
+    reps = units_.select("node", "text").join(classes.join(several, "root").select(F.col("rep").alias("node"), "root", "weight"), "node").dropDuplicates(["node"])
     shingled = reps.mapInPandas(_shingled, "node long, root long, weight long, shingles binary")
     found = compare_groups(shingled, threshold)
     roots = stored(components(found.select(F.col("node").alias("a"), F.col("to").alias("b"))), "roots")
     labels = classes.join(roots.select(F.col("node").alias("rep"), F.col("root").alias("end")), "rep", "left").withColumn("end", F.coalesce("end", "rep"))
     labels = stored(labels.select("root", "h1", "h2", "end"), "labels")
-    members = stored(plain.join(labels, ["root", "h1", "h2"]).select("node", "end", "key", "doc_id", "number"), "members")
+    members = plain.join(labels, ["root", "h1", "h2"]).select("node", "end", "key", "doc_id", "number", "word", "words", "start", "stop", "h1")
+    members = stored(members, "members")
     # nulls last: a struct with the flag before the id
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "number", "node")
-    heads = members.groupBy("end").agg(F.min(place).alias("place"), F.count("*").alias("n")).where("n > 1")
-    heads = stored(heads.select("end", F.col("place.node").alias("head_node")), "heads")
-    whole = units_.select("node", "key", "doc_id", "word", "words", "start", "stop", "span", "span_at").dropDuplicates(["node"])
-    kept = stored(heads.join(whole.withColumnRenamed("node", "head_node"), "head_node"), "kept")
-    gone = members.select("node", "end").join(whole, "node")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "number", "node", "h1")
+    heads = members.groupBy("end").agg(F.min(place).alias("head"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    heads = stored(heads.selectExpr("end", "head.node AS kept_node", "head.key AS kept_key", "head.number AS kept_number", "head.doc_id AS kept_doc_id", "head.h1 AS kept_h1"), "heads")
+    gone = members.join(heads, "end").where("node <> kept_node").withColumn("same", F.col("h1") == F.col("kept_h1")).drop("end", "h1", "kept_h1").dropDuplicates(["node"])
+    # a unit beside an equal one that goes for the same place of the same kept document has no end there to look for
+    left, right = "PARTITION BY key ORDER BY word, words DESC, node", "PARTITION BY key ORDER BY word + words DESC, word, node"
+    beside = "lag(kept_key) OVER ({0}) = kept_key AND abs(lag(kept_number) OVER ({0}) - kept_number) <= 3 AND lag(same) OVER ({0})"
+    rest = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    gone = gone.selectExpr(
+        "*", f"coalesce(NOT (max(word + words) OVER ({left} {rest}) >= word AND {beside.format(left)}), true) AS first",
+        f"coalesce(NOT (min(word) OVER ({right} {rest}) <= word + words AND {beside.format(right)}), true) AS last",
+    )
     gone = stored(gone, "gone")
-    sides = kept.selectExpr("end", "head_node", "doc_id AS kept_doc_id", "span AS kept_span", "span_at AS kept_at", "stop - start AS kept_size")
-    sides = F.broadcast(sides) if kept.count() <= BROADCAST_ROWS else sides
-    grown = gone.join(sides, "end").where("node <> head_node").mapInPandas(_grow, _GROWN)
-    units_of = grown.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("word", "words", "before", "after", "first_byte", "last_byte", "kept_doc_id")).alias("units"))
+    ends = gone.where("first OR last")
+    beside = ends.select("key", "node", "number").unionByName(ends.selectExpr("kept_key AS key", "kept_node AS node", "kept_number AS number")).distinct()
+    beside = stored(beside.groupBy("key").agg(F.collect_list(F.struct("node", "number")).alias("found")), "beside")
+    wanted = F.broadcast(beside) if beside.count() <= BROADCAST_ROWS // 10 else beside
+    sides = stored(rows.join(wanted, "key").select("text", "found").mapInArrow(_sides, _SIDES).dropDuplicates(["node"]), "sides")
+    kept = sides.selectExpr("node AS kept_node", "before AS kept_before", "after AS kept_after")
+    grown = ends.join(sides, "node").join(kept, "kept_node").select(*_GONE, "before", "after", "kept_before", "kept_after").mapInPandas(_grow, _GROWN)
+    none = F.lit(0).cast("long")
+    inner = gone.where("NOT first AND NOT last").select(*_GONE, none.alias("n_before"), none.alias("n_after"))
+    units_of = grown.unionByName(inner).groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("word", "words", "start", "stop", "n_before", "n_after", "kept_doc_id")).alias("units"))
     return units_of.mapInArrow(_islands, _ISLANDS).where(F.col("n_words") >= passage)
 
 
