@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,7 +18,7 @@ _written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, or a temporary one where none is set (tests)."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or on a local master a temporary one where none is set (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
@@ -24,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     set_before = context.getCheckpointDir()
     if set_before:
         return set_before
+    if not re.match(r"local(\[|$)", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="spark-quarrykit-")
     context.setCheckpointDir(own)
     return own
@@ -58,7 +62,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes tables of ``stored`` that nothing reads any more; what was made of them must be stored itself."""
+    for table in tables:
+        delete_path(table.sparkSession, table._stored_at)
+        _written.pop(table._stored_at, None)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -103,7 +116,7 @@ def components(edges: DataFrame) -> DataFrame:
     many neighbours is split by adaptive execution. Self links and nulls are ignored.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
-    edges = stored(edges.mapInPandas(_forest, "a long, b long"), "edges")
+    edges = table = stored(edges.mapInPandas(_forest, "a long, b long"), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = stored(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")), "lowest")
@@ -115,6 +128,8 @@ def components(edges: DataFrame) -> DataFrame:
         moved = large.join(least, "a").where("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"), F.lit(True).alias("moved"))
         kept = least.select("a", F.col("low").alias("b"), F.lit(False).alias("moved"))
         found = stored(kept.unionByName(moved).groupBy("a", "b").agg(F.max("moved").alias("moved")), "edges")
+        released(table, lowest, large, least)
+        table = found
         edges = found.select("a", "b")
         if found.where("moved").isEmpty():
             # one edge a node is left; done once no node is both a member and a root
@@ -128,52 +143,63 @@ def components(edges: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Nodes (``node``) that paths of ``edges`` (``source``, ``target``) reach from ``seeds`` (``node``), seeds included.
 
-    A breadth-first search: each round joins the newly reached nodes with the edges, and stores what is new.
+    A breadth-first search: a round joins the newly reached nodes with the edges and stores what is new, and that alone. There
+    are as many rounds as the longest of the shortest paths has edges.
     """
-    seen = stored(seeds.select("node").distinct(), "seen")
-    frontier = seen
-    while not frontier.isEmpty():
-        stepped = edges.join(frontier.withColumnRenamed("node", "source"), "source").select(F.col("target").alias("node")).distinct()
-        frontier = stored(stepped.join(seen, "node", "left_anti"), "frontier")
-        seen = stored(seen.unionByName(frontier), "seen")
-    return seen
+    found = [stored(seeds.select("node").distinct(), "reached")]
+    while not found[-1].isEmpty():
+        stepped = edges.join(found[-1].withColumnRenamed("node", "source"), "source").select(F.col("target").alias("node")).distinct()
+        for part in reversed(found):
+            stepped = stepped.join(part, "node", "left_anti")
+        found.append(stored(stepped, "reached"))
+        if len(found) > 8:  # merged now and then, so that a round looks at few tables
+            merged = stored(reduce(DataFrame.unionByName, found[:-1]), "reached")
+            released(*found[:-1])
+            found = [merged, found[-1]]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _trimmed(left: DataFrame) -> DataFrame:
+    """Edges without nodes that have none in or none out, again and again: those are in no cycle. ``left`` and the result are stored."""
+    n = left.count()
+    while True:
+        kept = left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
+        kept = stored(kept.join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"), "kept")
+        released(left)
+        left, before, n = kept, n, kept.count()
+        if n == before:
+            return left
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """Strongly connected components of two nodes and more: ``node``, ``component`` (its smallest node).
 
     Colouring: every node takes the smallest node that reaches it; a colour's own node and what reaches it inside the
-    colour are one component. Rounds repeat on the rest, without nodes that no cycle can hold.
+    colour are one component. Rounds repeat on the rest, without nodes that no cycle can hold. A round of colours is one
+    hop, a round of trimming one layer, so there are as many as the longest path between nodes that matter here has edges.
     """
-    left = stored(edges.where("source <> target").select("source", "target").distinct(), "edges")
-    done = None
-    while True:
-        while True:  # nodes without edges in or out are in no cycle
-            kept = left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
-            kept = stored(kept.join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"), "kept")
-            same = kept.count() == left.count()
-            left = kept
-            if same:
-                break
-        if left.isEmpty():
-            break
-        colour = stored(left.select(F.col("source").alias("node"), F.col("source").alias("colour")).distinct(), "colour")
-        while True:
-            passed = left.join(colour.withColumnRenamed("node", "source"), "source").groupBy(F.col("target").alias("node")).agg(F.min("colour").alias("passed"))
-            taken = stored(colour.join(passed, "node", "left").select("node", F.least("colour", F.coalesce("passed", "colour")).alias("taken"), "colour"), "taken")
-            changed = not taken.where("taken <> colour").isEmpty()
-            colour = taken.select("node", F.col("taken").alias("colour"))
-            if not changed:
-                break
+    left = _trimmed(stored(edges.where("source <> target").select("source", "target").distinct(), "edges"))
+    done: list[DataFrame] = []
+    while not left.isEmpty():
+        colour = stored(left.select(F.col("source").alias("node"), F.col("source").alias("colour"), F.lit(True).alias("changed")).distinct(), "colour")
+        while not colour.where("changed").isEmpty():
+            # only nodes with a new colour hand it on
+            passed = left.join(colour.where("changed").select(F.col("node").alias("source"), "colour"), "source").groupBy(F.col("target").alias("node")).agg(F.min("colour").alias("passed"))
+            taken = colour.join(passed, "node", "left").select("node", F.least("colour", F.coalesce("passed", "colour")).alias("colour"), F.coalesce(F.col("passed") < F.col("colour"), F.lit(False)).alias("changed"))
+            taken = stored(taken, "colour")
+            released(colour)
+            colour = taken
         inside = left.join(colour.select(F.col("node").alias("source"), F.col("colour").alias("a")), "source").join(colour.select(F.col("node").alias("target"), F.col("colour").alias("b")), "target").where("a = b")
         back = stored(inside.select(F.col("target").alias("source"), F.col("source").alias("target")), "back")
         found = reachable(back, colour.where("node = colour").select("node")).join(colour, "node")
-        found = stored(found.select("node", F.col("colour").alias("component")), "found")
-        done = found if done is None else stored(done.unionByName(found), "components")
-        gone = found.select("node")
-        left = left.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target")
-        left = stored(left, "edges")
-    if done is None:
+        done.append(stored(found.select("node", F.col("colour").alias("component")), "found"))
+        gone = done[-1].select("node")
+        rest = left.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target")
+        rest = stored(rest, "edges")
+        released(left, colour, back)
+        left = _trimmed(rest)
+    if not done:
         return edges.select(F.col("source").alias("node"), F.col("source").alias("component")).limit(0)
-    sizes = done.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    return done.join(sizes, "component").select("node", "component")
+    all_ = reduce(DataFrame.unionByName, done)
+    sizes = all_.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    return all_.join(sizes, "component").select("node", "component")
