@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrykit.iterate import components, delete_path, find_roots, new_path, partitions, shared_dir, stored
+from quarrykit.iterate import components, delete_path, find_roots, new_path, partitions, released, shared_dir, stored
 
-__all__ = ["components", "delete_path", "draw", "find_roots", "new_path", "partitions", "shared_dir", "stored", "utf8"]
+__all__ = ["components", "delete_path", "draw", "find_roots", "new_path", "partitions", "released", "shared_dir", "stored", "utf8"]
 
 
 def utf8(text: str | None) -> bytes:

@@ -3,105 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from fractions import Fraction
-from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrykit.llm.common import components, find_roots, stored
-from quarrykit.llm.shingles import band_keys, mixed, multipliers, shingle_set, signature, texts_of
+from quarrykit.llm.buckets import at_most, compare_groups, likely_links, set_links, shared_buckets
+from quarrykit.llm.common import components, released, stored
+from quarrykit.llm.shingles import band_keys, mixed, multipliers, shingle_set, signature, slices_of, texts_of
 
 WIDTH, THRESHOLD = 5, 0.8
 #: At similarity 0.8, all bands of a pair differ with probability (1 - 0.8^5)^40, about 1e-7.
 BANDS, ROWS = 40, 5
-#: MinHash values looked at before pairs are pruned again, and the posterior probability below which they are.
-STEP, TOLERANCE = 20, 1e-9
-#: Texts that are compared in one block; larger groups are compared block by block.
-BLOCK = 1024
-#: Nodes of small groups that are put together into one task's group.
-CELL = 2048
-BROADCAST_ROWS = 500_000
-NULL_ID = -(2**63)
-_SETS = "doc_id long, h1 long, h2 long, n long, bands array<long>"
-
-
-def least_matches(threshold: float, n_hashes: int, step: int = STEP, tolerance: float = TOLERANCE) -> dict[int, int]:
-    """After t values, the fewest matches with which a pair may still reach the threshold.
-
-    With a flat prior, m matches of t give the similarity a Beta(m + 1, t - m + 1) posterior; its mass above the
-    threshold is the chance that a binomial of t + 1 trials with that probability has at most m successes.
-    """
-    out = {}
-    for t in range(step, n_hashes + 1, step):
-        mass = 0.0
-        for m in range(t + 1):
-            mass += comb(t + 1, m) * threshold**m * (1 - threshold) ** (t + 1 - m)
-            if mass >= tolerance:
-                out[t] = m
-                break
-    return out
-
-
-def candidate_pairs(sigs: np.ndarray, others: np.ndarray | None, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (within ``sigs``, or between it and ``others``) that no comparison of values has ruled out."""
-    same = others is None
-    right = sigs if same else others
-    i = j = matches = None
-    done = 0
-    for t, fewest in sorted(least.items()):
-        if i is None:
-            count = np.zeros((len(sigs), len(right)), dtype=np.uint8)
-            for k in range(done, t):
-                count += sigs[:, k, None] == right[None, :, k]
-            open_ = count >= fewest
-            i, j = np.nonzero(np.triu(open_, 1) if same else open_)
-            matches = count[i, j].astype(np.int32)
-        else:
-            for lo in range(0, len(i), 2**18):
-                part = slice(lo, lo + 2**18)
-                matches[part] += (sigs[i[part], done:t] == right[j[part], done:t]).sum(axis=1)
-            open_ = matches >= fewest
-            i, j, matches = i[open_], j[open_], matches[open_]
-        done = t
-        if not len(i):
-            break
-    return i, j
-
-
-def intersections(sets: list[np.ndarray], others: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Exact numbers of shared shingles for pairs (i of ``sets``, j of ``others``)."""
-    if len(i) <= 4 * (len(sets) + len(others)):
-        return np.array([_shared(sets[a], others[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)], dtype=np.int64)
-    left, right = np.unique(i), np.unique(j)
-    whole = np.concatenate([sets[a] for a in left] + [others[b] for b in right])
-    vocabulary, seen = np.unique(whole, return_counts=True)
-    vocabulary = vocabulary[seen > 1]
-    totals = np.zeros((len(left), len(right)), dtype=np.float32)
-    for lo in range(0, len(vocabulary), 4096):
-        part = vocabulary[lo : lo + 4096]
-        totals += _incidence([sets[a] for a in left], part) @ _incidence([others[b] for b in right], part).T
-    return totals[np.searchsorted(left, i), np.searchsorted(right, j)].astype(np.int64)
-
-
-def _shared(a: np.ndarray, b: np.ndarray) -> int:
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum())
-
-
-def _incidence(sets: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(sets), len(vocabulary)), dtype=np.float32)
-    for k, own in enumerate(sets):
-        lo, hi = np.searchsorted(own, vocabulary[0]), np.searchsorted(own, vocabulary[-1], side="right")
-        at = np.searchsorted(vocabulary, own[lo:hi])
-        out[k, at[vocabulary[at] == own[lo:hi]]] = 1
-    return out
+#: Rows of a block where only signatures are compared.
+BLOCK = 4096
+_SETS = "doc_id long, row long, t1 long, t2 int, h1 long, h2 long, n long, sig binary, bands array<long>"
 
 
 def _describe(width: int) -> object:
@@ -109,126 +26,83 @@ def _describe(width: int) -> object:
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h1, h2, n, bands = [], [], [], []
+            h1, h2, n, sigs, bands = [], [], [], [], []
             for data in texts_of(batch["text"]):
                 own = shingle_set(data, width)
                 n.append(len(own))
                 h1.append(int(np.add.reduce(mixed(own)).view(np.int64)) if len(own) else 0)
                 h2.append(int(np.bitwise_xor.reduce(mixed(own + np.uint64(1))).view(np.int64)) if len(own) else 0)
-                bands.append(band_keys(signature(own, factors), BANDS).view(np.int64) if len(own) else None)
-            arrays = [batch["doc_id"], pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h1", "h2", "n", "bands"])
+                sig = signature(own, factors)
+                sigs.append(sig.astype(np.uint8).tobytes() if len(own) else None)
+                bands.append(band_keys(sig, BANDS).view(np.int64) if len(own) else None)
+            arrays = [batch["doc_id"], batch["row"], batch["t1"], batch["t2"], pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _SETS.split(", ")])
 
     return describe
 
 
 def _fetch(width: int) -> object:
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # rows that are equal in id and text have one node
         for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.slice(lo, 512)
-                sets = [shingle_set(data, width).tobytes() for data in texts_of(part["text"])]
-                names = [x for x in part.schema.names if x != "text"]
-                yield pa.RecordBatch.from_arrays([*(part[x] for x in names), pa.array(sets, pa.binary())], names=[*names, "shingles"])
+            for begin, texts in slices_of(batch["text"]):
+                part = batch.slice(begin, len(texts))
+                new = []
+                for k, node in enumerate(part["node"].to_pylist()):
+                    if node not in seen:
+                        seen.add(node)
+                        new.append(k)
+                part = part.take(pa.array(new, pa.int64()))
+                sets = [shingle_set(texts[k], width).tobytes() for k in new]
+                yield pa.RecordBatch.from_arrays([part["node"], part["root"], part["weight"], pa.array(sets, pa.binary())], names=["node", "root", "weight", "value"])
 
     return fetch
 
 
-def _compare(threshold: float) -> object:
-    factors = multipliers(BANDS * ROWS)
-    least = least_matches(threshold, BANDS * ROWS)
-    ratio = Fraction(str(threshold))
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, own in group.groupby(["root", "i", "j"], sort=False):
-            sets = [np.frombuffer(x, dtype=np.uint64) for x in own.shingles]
-            sigs = np.array([signature(x, factors) for x in sets])
-            lens = np.array([len(x) for x in sets], dtype=np.int64)
-            node, weight, block = own.node.to_numpy(), own.weight.to_numpy(), own.block.to_numpy()
-            left = np.flatnonzero(block == own.i.iloc[0])
-            if own.i.iloc[0] == own.j.iloc[0]:
-                a, b = candidate_pairs(sigs, None, least)
-                a, b = left[a], left[b]
-            else:
-                right = np.flatnonzero(block == own.j.iloc[0])
-                a, b = candidate_pairs(sigs[left], sigs[right], least)
-                a, b = left[a], right[b]
-            if not len(a):
-                continue
-            common = intersections(sets, sets, a, b)
-            linked = common * ratio.denominator >= ratio.numerator * (lens[a] + lens[b] - common)
-            a, b = a[linked], b[linked]
-            links = np.bincount(a, weight[b], len(node)) + np.bincount(b, weight[a], len(node))
-            order = np.argsort(node, kind="stable")
-            rank = np.empty(len(node), dtype=np.int64)
-            rank[order] = np.arange(len(node))
-            root = node[order][find_roots(rank[a], rank[b], len(node))[rank]]
-            hit = links > 0
-            out.append(pd.DataFrame({"node": node[hit], "links": links[hit].astype(np.int64), "to": root[hit]}))
-        return pd.concat(out) if out else pd.DataFrame({"node": [], "links": [], "to": []}, dtype="int64")
-
-    return compare
-
-
-def compare_groups(shingled: DataFrame, threshold: float) -> DataFrame:
-    """Compares the sets (``node``, ``root``, ``weight``, ``shingles``) of each group ``root`` with each other.
-
-    Returns stored rows (``node``, ``links``, ``to``): weights linked with a node, and a forest of the links; a node may have a row
-    for each block it was in. Nodes of a large group are dealt to blocks, and each block meets each other;
-    small groups share a task's group.
-    """
-    shingled = stored(shingled, "shingles")
-    sizes = shingled.groupBy("root").agg(F.count("*").alias("size"))
-    sizes = stored(sizes.where("size > 1").select("root", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "sizes")
-    cells = max(1, -(-shingled.count() // CELL))
-    dealt = shingled.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("node", "root", "weight", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "shingles", "blocks")
-    cell: Column = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(cells))).otherwise(F.xxhash64("root", "i", "j"))
-    found = met.withColumn("cell", cell).groupBy(F.col("blocks") == 1, "cell").applyInPandas(_compare(threshold), "node long, links long, to long")
-    return stored(found, "links")
-
-
-def jaccard_join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """Links documents whose sets of ``width``-word shingles have a Jaccard similarity of ``threshold`` or more.
 
     Returns one row per document: ``doc_id``, ``class_id`` (smallest id with the same set), ``n_links`` (other documents linked
-    with it), ``component_id`` (smallest id reachable by links, itself included) and ``kept`` (it is that document).
+    with it), ``component_id`` (smallest id reachable by links, itself included) and ``kept`` (it is the first of its component:
+    that with the smallest id, and among rows with that id the first). With ``row_col``, a column of ``docs`` that numbers
+    its rows (longs, no two equal), the result has that column too, and "first" goes by it.
 
-    1. Documents with equal sets form a class, which is compared once. 2. Classes that agree in a band of MinHash values are
-    candidates; each is tied to the smallest of its band, so no pair is listed. 3. In each component of these ties, blocks of
-    classes meet block by block. MinHash values are compared step by step, and pairs go as soon as their posterior
-    probability of reaching the threshold is below ``TOLERANCE``; the rest are verified on whole sets. A block passes on sums and
-    a forest of links only, so a large group costs comparisons, never rows.
+    1. Documents with equal sets form a class, which is compared once. 2. Classes that agree in a band of MinHash values
+    share a bucket; there, values are compared step by step, and pairs go as soon as their posterior probability of reaching the
+    threshold is below ``TOLERANCE``. A bucket hands on a forest of the pairs that are left. 3. In each component of
+    these, pairs are pruned so again, and the rest are verified on whole sets, block by block. A block passes on
+    sums and a forest of links only, so a large group costs comparisons, never rows.
 
     A word is a run of characters other than ASCII white space. A text of fewer words than ``width`` is one shingle. Null texts and texts without
-    words are linked with nothing. Rows with the same id are one document if their texts are equal; rows with a null id have
-    one null id together. An empty table gives an empty result; other columns are ignored.
+    words are linked with nothing, and kept. Rows with the same or no id are documents of their own; ids only name them. Null ids come after
+    all others, and a class or component of null ids alone has a null id. An empty table gives an empty result; other columns are ignored.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"))
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.cast("long").alias("row"), F.xxhash64(text_col).alias("t1"), F.hash(text_col).alias("t2"), F.col(text_col).alias("text"))
     sets = stored(rows.mapInArrow(_describe(width), _SETS), "sets")
     worded = sets.where("n > 0")
-    classes = stored(worded.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight")), "classes")
-    members = stored(worded.join(classes, ["h1", "h2", "n"]).select("doc_id", "rep", "weight", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "members")
-    keys = members.where("bands IS NOT NULL").select("rep", "weight", F.explode("bands").alias("key"))
-    lowest = stored(keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "low"), "bands")
-    ties = keys.join(lowest, "key").where("rep > low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
-    groups = stored(components(ties), "groups")
-    total = groups.count()
-    nodes = groups.join(classes.select(F.col("rep").alias("node"), "weight"), "node")
-    nodes = stored(nodes, "nodes")
-    wanted = F.broadcast(nodes) if total <= BROADCAST_ROWS else nodes
-    texts = rows.withColumnRenamed("doc_id", "node").join(wanted, "node").select("node", "root", "weight", "text")
-    found = compare_groups(texts.mapInArrow(_fetch(width), "node long, root long, weight long, shingles binary"), threshold)
+    same = ["h1", "h2", "n"]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")  # nulls last
+    # a class is known by its first row's number, which no other class has
+    classes = stored(worded.groupBy(*same).agg(first, F.count("*").alias("weight")).withColumn("node", F.col("first.row")), "classes")
+    reps = stored(worded.join(classes.select("node", "weight"), F.col("row") == F.col("node")).select("node", "weight", "doc_id", "t1", "t2", "sig", "bands"), "reps")
+    met = shared_buckets(reps.select("node", F.explode("bands").alias("key")))
+    signed = met.join(reps.select("node", "sig"), "node").select("node", F.col("bucket").alias("root"), F.lit(1).cast("long").alias("weight"), F.col("sig").alias("value"))
+    ties = compare_groups(signed, likely_links(threshold, BANDS * ROWS), count=False, block=BLOCK)
+    groups = components(ties.select(F.col("node").alias("a"), F.col("to").alias("b")))
+    nodes = stored(reps.drop("sig", "bands").join(groups, "node"), "nodes")
+    released(met, ties, reps)
+    wanted = at_most(nodes)
+    texts = rows.drop("row").join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["t1"] == wanted["t1"]) & (rows["t2"] == wanted["t2"])).select("node", "root", "weight", "text")
+    found = compare_groups(texts.mapInArrow(_fetch(width), "node long, root long, weight long, value binary"), set_links(threshold, multipliers(BANDS * ROWS)))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("to").alias("b")))
-    linked = stored(links.join(roots, "node", "left").select(F.col("node").alias("rep"), "links", "root"), "linked")
-    plain = members.drop("bands").join(linked, "rep", "left")
-    grown = sets.select("doc_id", "n").where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
-    done = plain.select("doc_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("component_id")).unionByName(grown)
-
-    def named(x: str) -> Column:
-        return F.when(F.col(x) != NULL_ID, F.col(x))
-
-    return done.select(named("doc_id").alias("doc_id"), named("class_id").alias("class_id"), "n_links", named("component_id").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    linked = stored(links.join(roots, "node"), "linked")
+    judged = classes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ends = judged.groupBy("root").agg(F.min("first").alias("end"))
+    judged = stored(judged.join(ends, "root").select(*same, F.col("first.doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.col("end.doc_id").alias("component_id"), (F.col("end.row")).alias("kept_row")), "judged")
+    released(nodes, found, linked)
+    plain = sets.select("doc_id", "row", *same).where("n > 0").join(judged, same)
+    alone = sets.where("n = 0").select("doc_id", "row", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"), F.col("row").alias("kept_row"))
+    done = plain.select(alone.columns).unionByName(alone).withColumn("kept", F.col("row") == F.col("kept_row")).drop("kept_row")
+    return done.withColumnRenamed("row", row_col) if row_col else done.drop("row")

@@ -1,8 +1,9 @@
 """Removal of passages that repeat within or across documents, found by keys of paragraphs.
 
-A paragraph here is a line, short lines next to each other being one, or a piece of it: words whose hash is the smallest around
-end a piece. Where pieces end depends on the words beside that place alone, so a passage that was put in the middle of a line falls
-into the same pieces wherever it is, but for its ends; these are found by comparing words with the kept copy.
+A paragraph here is a line, short lines next to each other being one. Lines meet by bands of MinHash values, so near copies of a line
+are found. Lines are also cut into pieces where a word's hash is the smallest around. Where pieces end depends on the words beside that
+place alone, so a passage that was put in the middle of a line falls into the same pieces wherever it is, but for its ends; equal pieces
+meet, and the ends are found by comparing words with the kept copy.
 """
 
 from __future__ import annotations
@@ -16,19 +17,19 @@ from itertools import combinations, takewhile
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrykit.llm.common import components, find_roots, partitions, stored
-from quarrykit.llm.jaccard_join import compare_groups
-from quarrykit.llm.shingles import band_keys_of, mixed, multipliers, run_hashes, shingle_set, texts_of, word_bounds, word_hashes
+from quarrykit.llm.buckets import at_most, compare_groups, set_links, shared_buckets
+from quarrykit.llm.common import components, released, stored
+from quarrykit.llm.shingles import band_keys_of, mixed, multipliers, run_hashes, shingle_set, slices_of, word_bounds, word_hashes
 
 WIDTH, THRESHOLD = 5, 0.8
-#: Fewest words of a paragraph that is compared; shorter lines next to each other are one.
+#: Fewest words of a paragraph that is compared, unless it is a whole text; shorter lines next to each other are one.
 LEAST = 5
 #: Words to each side among which the one that ends a piece has the smallest hash.
 AROUND = 5
-#: Words of neighbouring repeated paragraphs that make a passage.
+#: Words of neighbouring repeated paragraphs that make a passage. Documents that repeat as a whole are passages of any length.
 PASSAGE = 22
 #: Larger sets: at similarity 0.8, all bands differ with probability (1 - 0.8^3)^20, below 1e-6.
 BANDS, ROWS = 20, 3
@@ -36,10 +37,7 @@ BANDS, ROWS = 20, 3
 SMALL = 25
 #: Neighbouring pieces among which the ends of a passage are looked for: two whole pieces beyond a repeated one would be found themselves.
 NEAR = 3
-HELD, SLICE = 2**23, 2**20
 BROADCAST_ROWS = 100_000
-_KEY_BYTES, _MARK_BYTES = 5, 3
-_PART = "to int, blob binary"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -105,7 +103,7 @@ def paragraphs(texts: list[np.ndarray]) -> Paragraphs:
 
 @dataclass(frozen=True)
 class Units:
-    """What is compared: pieces (even numbers) and lines of several pieces (odd), but not joined ones. First and last piece, first word and words."""
+    """What is compared: pieces (even numbers) and lines of several pieces (odd). First and last piece, first word and words; ``lines``: whole lines."""
 
     text: np.ndarray
     number: np.ndarray
@@ -113,30 +111,25 @@ class Units:
     last: np.ndarray
     first_word: np.ndarray
     n_words: np.ndarray
+    lines: np.ndarray
 
 
 def units(found: Paragraphs) -> Units:
-    lead = np.flatnonzero(np.r_[True, found.line[1:] != found.line[:-1]]) if len(found.line) else np.zeros(0, np.int64)
-    last = np.r_[lead[1:] - 1, len(found.line) - 1] if len(lead) else lead
+    none = np.zeros(0, np.int64)
+    if not len(found.line):
+        return Units(none, none, none, none, none, none, none.astype(bool))
+    lead = np.flatnonzero(np.r_[True, found.line[1:] != found.line[:-1]])
+    last = np.r_[lead[1:] - 1, len(found.line) - 1]
+    whole = np.zeros(len(found.line), dtype=bool)
+    whole[lead[(last == lead) & ~found.joined[lead]]] = True
     several = (last > lead) & ~found.joined[lead]
     lead, last = lead[several], last[several]
-    big = np.flatnonzero(found.n_words >= LEAST)
+    alone = np.bincount(found.text)[found.text] == 1  # the only piece of its text
+    big = np.flatnonzero((found.n_words >= LEAST) | alone)
     piece, end = np.r_[big, lead], np.r_[big, last]
     number = np.r_[2 * found.number[big], 2 * found.number[lead] + 1]
-    return Units(found.text[piece], number, piece, end, found.first_word[piece], found.first_word[end] + found.n_words[end] - found.first_word[piece])
-
-
-def _slices(column: object) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Texts of an Arrow column in parts of about ``SLICE`` bytes, each with the row of its first."""
-    held, size, begin = [], 0, 0
-    for k, data in enumerate(texts_of(column)):
-        held.append(data)
-        size += len(data)
-        if size >= SLICE:
-            yield begin, held
-            held, size, begin = [], 0, k + 1
-    if held:
-        yield begin, held
+    words = found.first_word[end] + found.n_words[end] - found.first_word[piece]
+    return Units(found.text[piece], number, piece, end, found.first_word[piece], words, np.r_[whole[big], np.ones(len(lead), bool)] & (words >= LEAST))
 
 
 def _over(values: np.ndarray, first: np.ndarray, count: np.ndarray, ufunc: np.ufunc) -> np.ndarray:
@@ -145,6 +138,19 @@ def _over(values: np.ndarray, first: np.ndarray, count: np.ndarray, ufunc: np.uf
     return ufunc.reduceat(np.r_[values, values[-1:]], spans)[::2]
 
 
+def _sums(hashes: np.ndarray, runs: np.ndarray, own: Units) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each unit's shingles; a unit of fewer words than ``WIDTH`` is one shingle."""
+    sums = np.empty((2, len(own.text)), dtype=np.uint64)
+    long = np.flatnonzero(own.n_words >= WIDTH)
+    for k in (0, 1):
+        if len(long):
+            sums[k, long] = _over(mixed(runs + np.uint64(k)), own.first_word[long], own.n_words[long] - WIDTH + 1, np.add)
+        for at in np.flatnonzero(own.n_words < WIDTH).tolist():
+            words = hashes[own.first_word[at] : own.first_word[at] + own.n_words[at]]
+            sums[k, at] = mixed(run_hashes(words, len(words)) + np.uint64(k))[0]
+    return sums[0], sums[1]
+
+
 def _document_key(id_col: str, text_col: str) -> F.Column:
     return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
 
@@ -188,324 +194,198 @@ def unit_keys(runs: np.ndarray, first: np.ndarray, count: np.ndarray, threshold:
     if len(own):
         sigs = np.stack([_over(runs * f, first[own], count[own], np.minimum) for f in factors], axis=1) >> np.uint64(32)
         add(own, band_keys_of(sigs, BANDS))
-    return np.concatenate(who), np.concatenate(keys)
-
-
-def _planes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(np.diff(x, prepend=0).view(np.uint8).reshape(-1, 8).T).tobytes()
+    return (np.concatenate(who), np.concatenate(keys)) if who else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
-def _from_planes(raw: bytes, n: int, at: int) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T).view(np.int64).reshape(-1))
-
-
-def _short(x: np.ndarray, size: int) -> bytes:
-    return np.ascontiguousarray(x).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
-
-
-def _from_short(raw: bytes, n: int, at: int, size: int) -> np.ndarray:
-    out = np.zeros((n, 8), dtype=np.uint8)
-    out[:, :size] = np.frombuffer(raw, np.uint8, size * n, at).reshape(n, size)
-    return out.view("<u8").reshape(-1)
+def _pieces(found: Paragraphs, head: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last piece of units by number, in texts whose first piece is ``head``."""
+    piece = head + number // 2
+    return piece, np.where(number % 2 == 1, np.searchsorted(found.line, found.line[piece], side="right") - 1, piece)
 
 
-def _node(key: np.ndarray, number: np.ndarray) -> np.ndarray:
-    return mixed(mixed(key.view(np.uint64)) + number.astype(np.uint64)).view(np.int64)
+_UNITS = "doc_id long, key long, number long, start long, stop long, word long, words long, total long, h1 long, h2 long, keys array<long>"
 
 
-def _bands(n: int, threshold: float) -> object:
+def _units(threshold: float) -> object:
+    names = [x.split()[0] for x in _UNITS.split(", ")]
     factors = multipliers(BANDS * ROWS, seed=9)
 
-    def send(key: np.ndarray, doc: np.ndarray, number: np.ndarray, mark: np.ndarray) -> Iterator[pa.RecordBatch]:
-        to = (key % np.uint64(n)).astype(np.int32)
-        order = np.argsort(to, kind="stable")  # documents stay in order, which compresses well
-        cuts = np.searchsorted(to[order], np.arange(n + 1))
-        key = key // np.uint64(n)
-        for lo in range(0, n, 64):
-            sent, blobs = [], []
-            for k in range(lo, min(n, lo + 64)):
-                own = order[cuts[k] : cuts[k + 1]]
-                if len(own):
-                    raw = np.int64(len(own)).tobytes() + _planes(doc[own]) + _planes(number[own]) + _short(key[own], _KEY_BYTES) + _short(mark[own], _MARK_BYTES)
-                    sent.append(k)
-                    blobs.append(np.int64(len(raw)).tobytes() + pa.compress(raw, "zstd", asbytes=True))
-            yield pa.RecordBatch.from_arrays([pa.array(sent, pa.int32()), pa.array(blobs, pa.binary())], names=["to", "blob"])
-
-    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            code, doc, number = (np.concatenate([h[k] for h in held]) for k in range(3))
-            base = np.cumsum([0, *(len(h[0]) for h in held)])
-            who = np.concatenate([h[3] + b for h, b in zip(held, base[:-1], strict=True)])
-            key = np.concatenate([h[4] for h in held])
-            order = np.lexsort((number, doc, code))
-            new = np.r_[True, code[order][1:] != code[order][:-1]]
-            first = order[np.flatnonzero(new)]
-            # copies in the same task are tied at once, and only the first of them is sent on
-            copy, of = order[~new], first[np.cumsum(new)[~new] - 1]
-            sent = np.zeros(len(code), dtype=bool)
-            sent[first] = True
-            # equal units have the key of their code; no other key ties those of one mark again
-            who, key = np.r_[who[sent[who]], first], np.r_[key[sent[who]], mixed(code[first])]
-            rank = np.empty(len(code), dtype=np.int64)
-            rank[np.lexsort((number, doc))] = np.arange(len(code))
-            order = np.argsort(rank[who], kind="stable")
-            who, key = who[order], key[order]
-            exact = key == mixed(code[who])
-            mark = np.where(exact, np.uint64(0), (code[who] >> np.uint64(20)) % np.uint64(256**_MARK_BYTES - 1) + np.uint64(1))
-            yield from send(key, doc[who], number[who], mark)
-            yield from _send_ties(np.stack([doc[copy], number[copy], doc[of], number[of]], axis=1), n)
-
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key_of = batch["key"].to_numpy()
-            for begin, texts in _slices(batch["text"]):
+            for begin, texts in slices_of(batch["text"]):
                 found = paragraphs(texts)
                 own = units(found)
-                size += len(found.data)
                 if not len(own.text):
                     continue
                 runs = run_hashes(found.hashes, WIDTH)
-                first, count = own.first_word, own.n_words - WIDTH + 1
-                held.append((_over(mixed(runs), first, count, np.add), key_of[begin + own.text], own.number, *unit_keys(runs, first, count, threshold, factors)))
-            if size >= HELD and held:
-                yield from flush()
-                held, size = [], 0
-        if held:
-            yield from flush()
-
-    return bands
-
-
-def _send_ties(ties: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
-    for k in range(0, len(ties), 65536):
-        part = np.ascontiguousarray(ties[k : k + 65536])
-        yield pa.RecordBatch.from_arrays([pa.array([int(part[0, 0]) % n], pa.int32()), pa.array([np.int64(-1).tobytes() + part.tobytes()], pa.binary())], names=["to", "blob"])
-
-
-_TIES = "a long, b long, a_key long, a_number long, b_key long, b_number long"
-
-
-def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ties each unit to the first one with its key, by as few pairs as join them."""
-    parts, pairs = [], []
-    for batch in batches:
-        for blob in batch["blob"]:
-            raw = blob.as_py()
-            n = int(np.frombuffer(raw, np.int64, 1)[0])
-            if n < 0:
-                pairs.append(np.frombuffer(raw, np.int64, -1, 8).reshape(-1, 4))
-                continue
-            raw = pa.decompress(raw[8:], n, "zstd", asbytes=True)
-            n = int(np.frombuffer(raw, np.int64, 1)[0])
-            at = 8 + 16 * n
-            parts.append((_from_planes(raw, n, 8), _from_planes(raw, n, 8 + 8 * n).astype(np.int32), _from_short(raw, n, at, _KEY_BYTES), _from_short(raw, n, at + _KEY_BYTES * n, _MARK_BYTES).astype(np.uint32)))
-    if parts:
-        doc, number, key, mark = (np.concatenate([x[k] for x in parts]) for k in range(4))
-        parts.clear()
-        order = np.argsort(key)
-        new = np.r_[True, key[order][1:] != key[order][:-1]]
-        group = np.cumsum(new) - 1
-        several = np.bincount(group)[group] > 1
-        order, group = order[several], group[several]
-        again = np.lexsort((mark[order], group))
-        order, group = order[again], group[again]
-        if len(order):
-            new = np.r_[True, group[1:] != group[:-1]]
-            low = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-            # equal units are tied by the key of their code, whose mark is 0, and only there
-            tied = ~new & ((mark[order] == 0) | np.r_[True, mark[order][1:] != mark[order][:-1]])
-            order, low = order[tied], low[tied]
-            pairs.append(np.stack([doc[order], number[order].astype(np.int64), doc[low], number[low].astype(np.int64)], axis=1))
-    if pairs:
-        both = np.concatenate(pairs)
-        ends = np.concatenate([both[:, :2], both[:, 2:]])
-        nodes, first, at = np.unique(_node(np.ascontiguousarray(ends[:, 0]), ends[:, 1]), return_index=True, return_inverse=True)
-        root = find_roots(at[: len(both)], at[len(both) :], len(nodes))
-        moved = np.flatnonzero(root != np.arange(len(nodes)))
-        to = root[moved]
-        columns = [nodes[moved], nodes[to], ends[first[moved], 0], ends[first[moved], 1], ends[first[to], 0], ends[first[to], 1]]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[x.split()[0] for x in _TIES.split(", ")])
-
-
-def _pieces(found: Paragraphs, head: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last piece of units by number, in texts whose first piece is ``head``."""
-    piece = head + number // 2
-    return piece, np.where(number % 2 == 1, np.searchsorted(found.line, found.line[piece], side="right") - 1, piece)
-
-
-_UNITS = "node long, root long, key long, doc_id long, number long, start long, stop long, word long, words long, h1 long, h2 long, text binary"
-
-
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Units of the wanted numbers."""
-    names = [x.split()[0] for x in _UNITS.split(", ")]
-    for batch in batches:
-        for begin, texts in _slices(batch["text"]):
-            all_ = paragraphs(texts)
-            if not len(all_.text):
-                continue
-            runs = run_hashes(all_.hashes, WIDTH)
-            lists = batch["found"].slice(begin, len(texts))
-            row = np.repeat(np.arange(len(texts)), np.array([len(x) for x in lists]))
-            flat = lists.flatten()
-            node, root, number = (flat.field(x).to_numpy() for x in ("node", "root", "number"))
-            head = np.searchsorted(all_.text, row)
-            piece, last = _pieces(all_, head, number)
-            first_word = all_.first_word[piece]
-            words = all_.first_word[last] + all_.n_words[last] - first_word
-            count = words - WIDTH + 1
-            h1, h2 = _over(mixed(runs), first_word, count, np.add), _over(mixed(runs + np.uint64(1)), first_word, count, np.add)
-            start, stop = all_.start[piece], all_.stop[last]
-            base = all_.offset[row]
-            text = [all_.data[x:y].tobytes() for x, y in zip((base + start).tolist(), (base + stop).tolist(), strict=True)]
-            taken = pa.array(begin + row)
-            columns = [
-                pa.array(node), pa.array(root), batch["key"].take(taken), batch["doc_id"].take(taken), pa.array(number), pa.array(start), pa.array(stop),
-                pa.array(first_word - all_.first_word[head]), pa.array(words), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(text, pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-
-def _shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                h1, h2 = _sums(found.hashes, runs, own)
+                lined = np.flatnonzero(own.lines)
+                who, key = unit_keys(runs, own.first_word[lined], own.n_words[lined] - WIDTH + 1, threshold, factors)
+                order = np.lexsort((key, who))
+                who, key = lined[who[order]], key[order]
+                new = np.r_[True, (who[1:] != who[:-1]) | (key[1:] != key[:-1])] if len(who) else np.zeros(0, bool)
+                who, key = who[new], key[new]
+                order = np.argsort(who, kind="stable")
+                offsets = np.r_[0, np.cumsum(np.bincount(who, minlength=len(own.text)))]
+                text_words = np.bincount(found.text, found.n_words, len(texts)).astype(np.int64)
+                first = found.first_word[np.searchsorted(found.text, own.text)]
+                taken = pa.array(begin + own.text)
+                columns = [
+                    batch["doc_id"].take(taken), batch["key"].take(taken), pa.array(own.number), pa.array(found.start[own.piece]), pa.array(found.stop[own.last]), pa.array(own.first_word - first),
+                    pa.array(own.n_words), pa.array(text_words[own.text]), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(key[order].view(np.int64))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return find
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of the wanted lines (``found``: node, start, stop) of each text; once in a task for rows that are equal in id and text."""
+    seen: set[int] = set()
     for batch in batches:
-        yield batch.drop(columns="text").assign(shingles=[shingle_set(np.frombuffer(t, dtype=np.uint8), WIDTH).tobytes() for t in batch.text])
+        for begin, texts in slices_of(batch["text"]):
+            node, sets = [], []
+            for text, lines in zip(texts, batch["found"].slice(begin, len(texts)).to_pylist(), strict=True):
+                if lines[0]["node"] not in seen:
+                    seen.add(lines[0]["node"])
+                    node += [x["node"] for x in lines]
+                    sets += [shingle_set(text[x["start"] : x["stop"]], WIDTH).tobytes() for x in lines]
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], names=["node", "value"])
 
 
-_SIDES = "node long, before binary, after binary"
+_SIDES = "doc_id long, key long, number long, before binary, after binary"
 
 
 def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of ``NEAR`` pieces to each side of the wanted units."""
+    """The bytes of ``NEAR`` pieces to each side of the wanted units (``found``: numbers)."""
     for batch in batches:
-        for begin, texts in _slices(batch["text"]):
+        for begin, texts in slices_of(batch["text"]):
             found = paragraphs(texts)
-            if not len(found.text):
-                continue
             lists = batch["found"].slice(begin, len(texts))
-            row = np.repeat(np.arange(len(texts)), np.array([len(x) for x in lists]))
-            flat = lists.flatten()
+            row = np.repeat(np.arange(len(texts)), [len(x) for x in lists])
+            number = lists.flatten()
             head, tail = np.searchsorted(found.text, row), np.searchsorted(found.text, row, side="right") - 1
-            piece, last = _pieces(found, head, flat.field("number").to_numpy())
+            piece, last = _pieces(found, head, number.to_numpy())
             base = found.offset[row]
             places = [base + x for x in (found.start[np.maximum(head, piece - NEAR)], found.start[piece], found.stop[last], found.stop[np.minimum(tail, last + NEAR)])]
             cut = [(found.data[a:b].tobytes(), found.data[c:d].tobytes()) for a, b, c, d in zip(*(x.tolist() for x in places), strict=True)]
-            yield pa.RecordBatch.from_arrays([flat.field("node"), pa.array([x for x, _ in cut], pa.binary()), pa.array([x for _, x in cut], pa.binary())], names=["node", "before", "after"])
+            taken = pa.array(begin + row)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(taken), batch["key"].take(taken), number, pa.array([x for x, _ in cut], pa.binary()), pa.array([x for _, x in cut], pa.binary())], names=[x.split()[0] for x in _SIDES.split(", ")])
 
 
-_GONE = ("key", "doc_id", "word", "words", "start", "stop", "kept_doc_id")
-_GROWN = "key long, doc_id long, word long, words long, start long, stop long, kept_doc_id long, n_before long, n_after long"
+_GROWN = "doc_id long, key long, total long, word long, until long, start long, stop long, n_paragraphs long, kept_doc_id long"
 
 
 def _grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Adds the words next to a unit that are the same next to its kept copy."""
+    """Adds the words next to an end that are the same next to its kept copy. ``left`` and ``right`` say which ends to look at."""
     for batch in batches:
         grown = []
-        for before, after, kept_before, kept_after, start, stop in zip(batch.before, batch.after, batch.kept_before, batch.kept_after, batch.start, batch.stop, strict=True):
-            n = sum(1 for _ in takewhile(lambda x: x[0] == x[1], zip(reversed(before.split()), reversed(kept_before.split()), strict=False)))
-            m = sum(1 for _ in takewhile(lambda x: x[0] == x[1], zip(after.split(), kept_after.split(), strict=False)))
+        for left, right, before, after, kept_before, kept_after, word, until, start, stop in zip(*(batch[x] for x in ("left", "right", "before", "after", "kept_before", "kept_after", "word", "until", "start", "stop")), strict=True):
+            n = sum(1 for _ in takewhile(lambda x: x[0] == x[1], zip(reversed(before.split()), reversed(kept_before.split()), strict=False))) if left else 0
+            m = sum(1 for _ in takewhile(lambda x: x[0] == x[1], zip(after.split(), kept_after.split(), strict=False))) if right else 0
             if n:
                 start += [x.start() for x in _WORD.finditer(before)][-n] - len(before)
             if m:
                 stop += [x.end() for x, _ in zip(_WORD.finditer(after), range(m), strict=False)][-1]
-            grown.append((start, stop, n, m))
-        out = pd.DataFrame(grown, columns=["start", "stop", "n_before", "n_after"], index=batch.index, dtype="int64")
-        yield pd.concat([batch.drop(columns=["start", "stop"]), out], axis=1)[[*_GONE, "n_before", "n_after"]]
+            grown.append((word - n, until + m, start, stop))
+        out = pd.DataFrame(grown, columns=["word", "until", "start", "stop"], index=batch.index, dtype="int64")
+        yield pd.concat([batch[["doc_id", "key", "total", "n_paragraphs", "kept_doc_id"]], out], axis=1)[[x.split()[0] for x in _GROWN.split(", ")]]
 
 
-_ISLANDS = "key long, doc_id long, start long, stop long, n_words long, n_paragraphs long, kept_doc_ids array<long>"
+_DOC = ("doc_id", "key")
 
 
-def _islands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Joins the repeated units of each document that touch."""
-    for batch in batches:
-        out = []
-        for row in batch.to_pylist():
-            spans = [(x["word"] - x["n_before"], x["word"] + x["words"] + x["n_after"], x["start"], x["stop"], x["kept_doc_id"]) for x in row["units"]]
-            spans.sort(key=lambda x: x[:2])
-            done: list[list] = []
-            for w0, w1, start, stop, kept in spans:
-                if done and w0 <= done[-1][1]:
-                    island = done[-1]
-                    if w1 > island[1]:
-                        island[1], island[3] = w1, stop
-                else:
-                    island = [w0, w1, start, stop, 0, set()]
-                    done.append(island)
-                island[4] += 1
-                if kept is not None:
-                    island[5].add(kept)
-            out += [{"key": row["key"], "doc_id": row["doc_id"], "start": a, "stop": b, "n_words": w1 - w0, "n_paragraphs": k, "kept_doc_ids": sorted(ids)} for w0, w1, a, b, k, ids in done]
-        kinds = [("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("n_words", pa.int64()), ("n_paragraphs", pa.int64()), ("kept_doc_ids", pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_pylist(out, schema=pa.schema(kinds))
+def _same_doc(a: DataFrame, b: DataFrame) -> F.Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["key"] == b["key"])
+
+
+def _islands(spans: DataFrame) -> DataFrame:
+    """Numbers the runs of spans (``word`` up to ``until``) of each document that touch: ``island``."""
+    own = Window.partitionBy(*_DOC).orderBy("word", F.desc("until"), "start")
+    before = F.max("until").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    new = spans.withColumn("new", F.when(before >= F.col("word"), 0).otherwise(1))
+    return new.withColumn("island", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+
+
+def _line_roots(rows: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """``h1``, ``h2`` and ``root`` of the lines with near copies: components of links of ``threshold`` and above."""
+    lines = found.where(F.size("keys") > 0)
+    # equal lines are compared once
+    lines = lines.select("h1", "h2", *_DOC, "start", "stop", "keys").dropDuplicates(["h1", "h2"])
+    lines = stored(lines.withColumn("node", F.monotonically_increasing_id()), "lines")
+    met = shared_buckets(lines.select("node", F.explode("keys").alias("key")))
+    nodes = stored(met.select("node").distinct(), "nodes")
+    by_doc = lines.join(at_most(nodes), "node").groupBy(*_DOC).agg(F.collect_list(F.struct("node", "start", "stop")).alias("found"))
+    by_doc = stored(by_doc, "wanted")
+    wanted = at_most(by_doc, BROADCAST_ROWS)
+    sets = stored(rows.join(wanted, _same_doc(rows, wanted)).select("found", rows["text"]).mapInArrow(_sets, "node long, value binary"), "sets")
+    factors = multipliers(BANDS * ROWS, seed=9)
+    links = compare_groups(met.join(sets, "node").select("node", F.col("bucket").alias("root"), F.lit(1).cast("long").alias("weight"), "value"), set_links(threshold, factors), count=False)
+    roots = components(links.select(F.col("node").alias("a"), F.col("to").alias("b")))
+    named = stored(lines.join(roots, "node").select("h1", "h2", "root"), "roots")
+    released(lines, met, nodes, by_doc, sets, links)
+    return named
 
 
 def repeated_passages(docs: DataFrame, passage: int = PASSAGE, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Passages of documents that repeat earlier ones: one row for each that is to be removed.
 
-    Lines and their pieces (see ``paragraphs``) whose sets of 5-word shingles have a Jaccard similarity of ``threshold`` or more are linked;
-    in each component of links the first (smallest document, then place) stays and the others go, with the words beside them that are also
-    beside the one that stays, if what touches has ``passage`` words together. Returns ``key`` (a hash of a document's id and text), ``doc_id``, ``start``, ``stop`` (bytes of the UTF-8 text), ``n_words``,
+    Lines whose sets of 5-word shingles have a Jaccard similarity of ``threshold`` or more are linked, and so are equal lines and equal
+    pieces of lines (see ``paragraphs``). In each component of links the first (smallest document, then place) stays and the others go,
+    with the words beside them that are also beside the one that stays, if what touches has ``passage`` words together or is a whole document.
+    Returns ``key`` (a hash of a document's id and text), ``doc_id``, ``start``, ``stop`` (bytes of the UTF-8 text), ``n_words``,
     ``n_paragraphs`` (lines and pieces in it) and ``kept_doc_ids`` (documents that keep what goes here, in order).
 
-    Keys only propose: each unit is tied to the first with its key, groups of ties are compared
-    block by block, and every link is verified on whole sets. Equal units are compared once.
+    Keys only propose: lines that share one are compared as whole sets inside tasks, and a bucket hands on a forest of its links.
+    A passage that changes a fifth of the shingles of each line it is in is found by the pieces that are left.
 
     Null texts and texts without words have no passages. Null ids come after all others. Rows with
-    the same id and text are one document. An empty table gives an empty result; other columns are ignored.
+    the same id and text are one document; rows with the same or no id and other texts are documents of their own.
+    An empty table gives an empty result; other columns are ignored.
     """
-    n = partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", _document_key("doc_id", "text"))
-    parts = rows.select("key", "text").mapInArrow(_bands(n, threshold), _PART).repartitionById(n, "to")
-    ties = stored(parts.mapInArrow(_ties, _TIES), "ties")
-    groups = components(ties.select("a", "b"))
-    named = ties.selectExpr("a AS node", "a_key AS key", "a_number AS number").unionByName(ties.selectExpr("b AS node", "b_key AS key", "b_number AS number")).distinct()
-    groups = stored(named.join(groups, "node"), "groups")
-    by_doc = groups.groupBy("key").agg(F.collect_list(F.struct("node", "root", "number")).alias("found"))  # a document's units
-    wanted = F.broadcast(by_doc) if groups.count() <= BROADCAST_ROWS else by_doc
-    once = rows.join(wanted, "key").select("key", "doc_id", "text", "found")
-    units_ = stored(once.mapInArrow(_fetch, _UNITS), "units")
-    plain = units_.drop("text")
-    classes = stored(plain.groupBy("root", "h1", "h2").agg(F.min("node").alias("rep"), F.count("*").alias("weight")), "classes")
-    several = classes.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
-    reps = units_.select("node", "text").join(classes.join(several, "root").select(F.col("rep").alias("node"), "root", "weight"), "node").dropDuplicates(["node"])
-    shingled = reps.mapInPandas(_shingled, "node long, root long, weight long, shingles binary")
-    found = compare_groups(shingled, threshold)
-    roots = stored(components(found.select(F.col("node").alias("a"), F.col("to").alias("b"))), "roots")
-    labels = classes.join(roots.select(F.col("node").alias("rep"), F.col("root").alias("end")), "rep", "left").withColumn("end", F.coalesce("end", "rep"))
-    labels = stored(labels.select("root", "h1", "h2", "end"), "labels")
-    members = plain.join(labels, ["root", "h1", "h2"]).select("node", "end", "key", "doc_id", "number", "word", "words", "start", "stop", "h1")
-    members = stored(members, "members")
+    found = stored(rows.select("doc_id", "key", "text").mapInArrow(_units(threshold), _UNITS), "units")
+    roots = _line_roots(rows, found, threshold)
+    plain = found.drop("keys")
+    copies = plain.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    # a group is a component of lines (its root), or a class of equal units (their hashes)
+    classes = copies.join(roots, ["h1", "h2"], "full").select("h1", "h2", F.col("root").isNotNull().alias("near"), F.coalesce("root", "h1").alias("g1"), F.when(F.col("root").isNull(), F.col("h2")).otherwise(0).alias("g2"))
+    classes = stored(classes, "classes")
+    members = stored(plain.join(at_most(classes), ["h1", "h2"]).drop("h1", "h2").distinct(), "members")
+    released(found)
     # nulls last: a struct with the flag before the id
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "number", "node", "h1")
-    heads = members.groupBy("end").agg(F.min(place).alias("head"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    heads = stored(heads.selectExpr("end", "head.node AS kept_node", "head.key AS kept_key", "head.number AS kept_number", "head.doc_id AS kept_doc_id", "head.h1 AS kept_h1"), "heads")
-    gone = members.join(heads, "end").where("node <> kept_node").withColumn("same", F.col("h1") == F.col("kept_h1")).drop("end", "h1", "kept_h1").dropDuplicates(["node"])
-    # a unit beside an equal one that goes for the same place of the same kept document has no end there to look for
-    left, right = "PARTITION BY key ORDER BY word, words DESC, node", "PARTITION BY key ORDER BY word + words DESC, word, node"
-    beside = "lag(kept_key) OVER ({0}) = kept_key AND abs(lag(kept_number) OVER ({0}) - kept_number) <= 3 AND lag(same) OVER ({0})"
-    rest = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-    gone = gone.selectExpr(
-        "*", f"coalesce(NOT (max(word + words) OVER ({left} {rest}) >= word AND {beside.format(left)}), true) AS first",
-        f"coalesce(NOT (min(word) OVER ({right} {rest}) <= word + words AND {beside.format(right)}), true) AS last",
+    place = F.struct(F.col("doc_id").isNull().alias("none"), *_DOC, "number")
+    group = ("near", "g1", "g2")
+    heads = members.groupBy(*group).agg(F.min(place).alias("head"), F.count("*").alias("n")).where("n > 1")
+    heads = stored(heads.select(*group, F.col("head.doc_id").alias("kept_doc_id"), F.col("head.key").alias("kept_key"), F.col("head.number").alias("kept_number")), "heads")
+    itself = F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("key") == F.col("kept_key")) & (F.col("number") == F.col("kept_number"))
+    gone = members.join(at_most(heads), list(group)).where(~itself).withColumn("until", F.col("word") + F.col("words")).drop(*group, "words")
+    # the ends of islands, and what is beside them and beside the kept copies
+    own = Window.partitionBy(*_DOC, "island")
+    ends = _islands(gone).withColumn("left", F.row_number().over(own.orderBy("word", F.desc("until"), "number")) == 1).withColumn("right", F.row_number().over(own.orderBy(F.desc("until"), "word", "number")) == 1)
+    ends = stored(ends.withColumn("n_paragraphs", F.lit(1).cast("long")), "gone")
+    released(classes, members, heads)
+    outer = ends.where("left OR right")
+    beside = outer.select(*_DOC, "number").unionByName(outer.select(F.col("kept_doc_id").alias("doc_id"), F.col("kept_key").alias("key"), F.col("kept_number").alias("number"))).distinct()
+    beside = stored(beside.groupBy(*_DOC).agg(F.collect_list("number").alias("found")), "beside")
+    wanted = at_most(beside, BROADCAST_ROWS)
+    sides = stored(rows.join(wanted, _same_doc(rows, wanted)).select(rows["doc_id"], rows["key"], rows["text"], "found").mapInArrow(_sides, _SIDES).dropDuplicates([*_DOC, "number"]), "sides")
+    kept = sides.select(*(F.col(x).alias(f"kept_{x}") for x in sides.columns))
+    near = outer.alias("e").join(sides.alias("s"), F.expr("e.doc_id <=> s.doc_id AND e.key = s.key AND e.number = s.number")).select("e.*", "s.before", "s.after")
+    near = near.alias("e").join(kept.alias("k"), F.expr("e.kept_doc_id <=> k.kept_doc_id AND e.kept_key = k.kept_key AND e.kept_number = k.kept_number")).select("e.*", "k.kept_before", "k.kept_after")
+    names = [x.split()[0] for x in _GROWN.split(", ")]
+    grown = near.mapInPandas(_grow, _GROWN).unionByName(ends.where("NOT left AND NOT right").select(*names))
+    found = _islands(grown).groupBy(*_DOC, "island").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("until") - F.min("word")).alias("n_words"), F.sum("n_paragraphs").alias("n_paragraphs"),
+        F.array_sort(F.collect_set("kept_doc_id")).alias("kept_doc_ids"), F.max("total").alias("total"),
     )
-    gone = stored(gone, "gone")
-    ends = gone.where("first OR last")
-    beside = ends.select("key", "node", "number").unionByName(ends.selectExpr("kept_key AS key", "kept_node AS node", "kept_number AS number")).distinct()
-    beside = stored(beside.groupBy("key").agg(F.collect_list(F.struct("node", "number")).alias("found")), "beside")
-    wanted = F.broadcast(beside) if beside.count() <= BROADCAST_ROWS // 10 else beside
-    sides = stored(rows.join(wanted, "key").select("text", "found").mapInArrow(_sides, _SIDES).dropDuplicates(["node"]), "sides")
-    kept = sides.selectExpr("node AS kept_node", "before AS kept_before", "after AS kept_after")
-    grown = ends.join(sides, "node").join(kept, "kept_node").select(*_GONE, "before", "after", "kept_before", "kept_after").mapInPandas(_grow, _GROWN)
-    none = F.lit(0).cast("long")
-    inner = gone.where("NOT first AND NOT last").select(*_GONE, none.alias("n_before"), none.alias("n_after"))
-    units_of = grown.unionByName(inner).groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("word", "words", "start", "stop", "n_before", "n_after", "kept_doc_id")).alias("units"))
-    return units_of.mapInArrow(_islands, _ISLANDS).where(F.col("n_words") >= passage)
+    return found.where((F.col("n_words") >= passage) | (F.col("n_words") == F.col("total"))).drop("island", "total")
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the passages; a document without any is unchanged."""
-    spans = passages.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
+    spans = passages.groupBy(F.col("doc_id").alias("_doc_id"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans_: pd.Series) -> pd.Series:
@@ -519,5 +399,6 @@ def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id"
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(spans, _document_key(id_col, text_col) == F.col("_key"), "left")
+    same = (_document_key(id_col, text_col) == F.col("_key")) & F.col(id_col).cast("long").eqNullSafe(F.col("_doc_id"))
+    joined = docs.join(spans, same, "left")
     return joined.withColumn(text_col, cut(text_col, "_spans")).select(docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-#: Multipliers of bytes by their place in a word; places beyond repeat.
+#: Multipliers of bytes by their place in a part of a word of so many bytes.
 _PLACES = np.random.default_rng(20240101).integers(1, 2**63, 4096, dtype=np.uint64) | np.uint64(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -43,7 +43,14 @@ def word_hashes(data: np.ndarray, bounds: tuple[np.ndarray, np.ndarray] | None =
         firsts = np.cumsum(lengths) - lengths
         place = np.arange(len(letters)) - np.repeat(firsts, lengths)
         letters *= _PLACES[place % len(_PLACES)]
-        out[lo:hi] = mixed(np.add.reduceat(letters, firsts) + lengths.astype(np.uint64) * _K[0])
+        if lengths.max() <= len(_PLACES):
+            sums = np.add.reduceat(letters, firsts)
+        else:  # parts of long words are hashed, and the hashes in turn
+            part = np.unique(np.r_[firsts, np.flatnonzero(place % len(_PLACES) == 0)])
+            inside, own = place[part] // len(_PLACES), np.add.reduceat(letters, part)
+            own = np.where(inside > 0, mixed(own + mixed(inside.astype(np.uint64))), own)
+            sums = np.add.reduceat(own, np.searchsorted(part, firsts))
+        out[lo:hi] = mixed(sums + lengths.astype(np.uint64) * _K[0])
         lo = hi
     return out
 
@@ -105,3 +112,20 @@ def texts_of(column: object) -> Iterator[np.ndarray]:
     data = np.frombuffer(text.buffers()[2], dtype=np.uint8) if text.buffers()[2] else np.zeros(0, np.uint8)
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         yield data[lo:hi]
+
+
+#: Bytes of texts that are worked on together.
+SLICE = 2**20
+
+
+def slices_of(column: object) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Texts of an Arrow column in parts of about ``SLICE`` bytes, each with the row of its first."""
+    held, size, begin = [], 0, 0
+    for k, data in enumerate(texts_of(column)):
+        held.append(data)
+        size += len(data)
+        if size >= SLICE:
+            yield begin, held
+            held, size, begin = [], 0, k + 1
+    if held:
+        yield begin, held

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrykit.llm import embedding_dedup, jaccard_join, mixing, packing, paragraph_dedup, quality, sharding, suffix_dedup, toxicity, warc
+from quarrykit.llm import buckets, embedding_dedup, jaccard_join, mixing, packing, paragraph_dedup, quality, sharding, shingles, suffix_dedup, toxicity, warc
 from quarrykit.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 from tests.helpers import SMALL, same_rows
 
@@ -193,6 +193,7 @@ def test_jaccard_links_equal_brute_force(make):
 
 
 def test_large_groups_meet_block_by_block(make, monkeypatch):
+    monkeypatch.setattr(buckets, "BLOCK", 8)
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
     base = prose(51, 200).split()
     rows = [(k, " ".join(base[:k] + ["zz"] + base[k + 1 :])) for k in range(40)]
@@ -202,8 +203,43 @@ def test_large_groups_meet_block_by_block(make, monkeypatch):
     assert {r.doc_id: r.n_links for r in got} == want
 
 
+def test_rows_with_one_or_no_id_are_documents_of_their_own(spark):
+    a, b = prose(52, 100), prose(53, 100)
+    near_a, near_b = a + " w1", b + " w2"
+    rows = [(None, a, 0), (None, b, 1), (3, near_a, 2), (4, near_b, 3), (1, a, 4), (1, b, 5), (1, b, 6), (None, prose(54), 7), (None, "", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, at long")
+    got = {r.at: (r.n_links, r.component_id, r.kept) for r in jaccard_join.jaccard_join(docs, row_col="at").collect()}
+    assert got == {0: (2, 1, False), 2: (2, 1, False), 4: (2, 1, True), 1: (3, 1, False), 3: (3, 1, False), 5: (3, 1, True), 6: (3, 1, False), 7: (0, None, True), 8: (0, None, True)}
+    plain = jaccard_join.jaccard_join(docs.drop("at")).collect()
+    assert sorted((r.n_links, r.kept) for r in plain) == sorted((n, k) for n, _, k in got.values())
+
+
+def test_words_of_any_length_hash_by_all_their_letters():
+    one, two = b"a" * 4096, b"b" * 4096
+    long = [one + two + b"c", two + one + b"c", one + one + b"c", one + two + b"d", b"ab", b"ab c " + one + two + b"c"]
+    hashed = [shingles.word_hashes(np.frombuffer(x, np.uint8)).tolist() for x in long]
+    assert len({x[0] for x in hashed[:4]}) == 4 and hashed[5][0] == hashed[4][0] and hashed[5][2] == hashed[0][0]
+
+
+def test_forests_join_what_links_join():
+    rng = np.random.default_rng(4)
+    for m in (2, 5, 12, 30):
+        for sides in (None, (np.arange(0, m, 2), np.arange(1, m, 2))):
+            hit = np.triu(rng.random((m, m)) < 0.15, 1)
+            hit |= hit.T
+
+            def linked(left, right, hit=hit):
+                pairs = [(a, b) for k, a in enumerate(left) for b in (left[k + 1 :] if right is None else right) if hit[a, b]]
+                return np.array([a for a, _ in pairs], dtype=np.int64), np.array([b for _, b in pairs], dtype=np.int64)
+
+            a, b = buckets._forest_pairs(m, linked, sides)
+            i, j = np.nonzero(hit) if sides is None else np.nonzero(hit & ((np.arange(m)[:, None] + np.arange(m)) % 2 == 1))
+            got, want = buckets.find_roots(a, b, m), buckets.find_roots(i, j, m)
+            assert all(len(set(got[want == r])) == 1 for r in set(want)) and hit[a, b].all()
+
+
 def test_pruning_keeps_what_may_reach_the_threshold():
-    least = jaccard_join.least_matches(0.8, 200)
+    least = buckets.least_matches(0.8, 200)
     assert list(least) == list(range(20, 201, 20))
     assert all(m < 0.8 * t for t, m in least.items()) and least[200] > 100
 

@@ -103,3 +103,41 @@ def test_a_long_document_and_null_ids_change_nothing(spark, make):
     assert sorted((r.doc_id or 0, r.n_words, r.kept_doc_ids) for r in found.collect()) == [(0, 54, [4]), (2, 54, [1]), (3, 54, [1])]
     left = [r.text for r in paragraph_dedup.remove_passages(docs.where("doc_id IS NULL"), found).collect()]
     assert sorted(left) == sorted([lines(10, [9]) + "\n", lines(11, [9, 9])])
+
+
+def test_documents_that_repeat_whole_go_at_any_length(spark, make):
+    four = "\n".join(" ".join(words(k, 4)) for k in range(40))
+    rows = [(1, four), (2, four), (3, " ".join(words(60, 20))), (4, " ".join(words(60, 20))), (5, "one two"), (6, "one  two"), (7, "one two three"), (8, ""), (9, None), (10, " ".join(words(60, 20)) + "\n" + lines(61, [30]))]
+    found = paragraph_dedup.repeated_passages(make(rows))
+    assert sorted((r.doc_id, r.n_words, r.kept_doc_ids) for r in found.collect()) == [(2, 160, [1]), (4, 20, [3]), (6, 2, [5])]
+
+
+def test_one_id_with_two_texts_and_ids_of_any_size(spark, make):
+    a, b = lines(70, [30, 9]), lines(71, [30, 9])
+    rows = [(1, a), (1, b), (2**50, a), (-1, b), (None, a), (None, b), (None, b + "\n" + lines(72, [12]))]
+    found = sorted((r.doc_id is None, r.doc_id, r.n_words, r.kept_doc_ids) for r in paragraph_dedup.repeated_passages(make(rows)).collect())
+    assert found == sorted([(False, 2**50, 39, [1]), (False, 1, 39, [-1]), (True, None, 39, [1]), (True, None, 39, [-1]), (True, None, 39, [-1])], key=lambda x: (x[0], x[1] or 0, x[2:]))
+
+
+def test_near_lines_equal_brute_force(spark, make):
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(60):
+        own = words(400 + k, int(rng.integers(24, 90)))
+        for j in range(4):
+            t = list(own)
+            for _ in range(int(rng.integers(0, 4)) if j else 0):
+                t[int(rng.integers(len(t)))] = f"x{k}-{j}"
+            rows.append((4 * k + j, " ".join(t)))
+    sets = {i: {tuple(t.split()[m : m + 5]) for m in range(len(t.split()) - 4)} for i, t in rows}
+    root = {}
+    for i, _ in rows:
+        near = {root[j] for j in root if i // 4 == j // 4 and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+        root[i] = min([i, *near])
+        for j in root:
+            if root[j] in near:
+                root[j] = root[i]
+    gone = {i for i in root if root[i] != i}
+    # whole lines go by their links alone; others may lose pieces
+    found = {r.doc_id: r for r in paragraph_dedup.repeated_passages(make(rows)).where("n_paragraphs > 0").collect() if r.n_words == len(dict(rows)[r.doc_id].split())}
+    assert gone <= set(found) and len(gone) > 60
