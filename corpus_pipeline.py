@@ -10,23 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrykit.llm import jaccard_join, mixing, packing, quality, suffix_dedup
+from quarrykit.llm.buckets import at_most
 from quarrykit.llm.common import stored
 from quarrykit.llm.queries import tokenizer_path
 
-#: Ids of removed documents are broadcast if there are at most so many.
-BROADCAST_ROWS = 500_000
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base checks and every rule."""
     return quality.quality(docs).where("kept").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of Jaccard similarity 0.8 join: the one with the smallest id."""
-    judged = jaccard_join.jaccard_join(docs, width=5, threshold=0.8)
-    removed = stored(judged.where("NOT kept").select("doc_id").distinct(), "removed")
-    return docs.join(F.broadcast(removed) if removed.count() <= BROADCAST_ROWS else removed, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group that links of Jaccard similarity 0.8 join: the one with the smallest id (nulls last), one row of it.
+
+    Rows are numbered in a written table, so that those with the same or no id are judged one by one.
+    """
+    row = "_row"
+    while row in docs.columns:
+        row = f"_{row}"
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    judged = jaccard_join.jaccard_join(numbered, width=5, threshold=0.8, row_col=row)
+    removed = stored(judged.where("NOT kept").select(row), "removed")
+    return numbered.join(at_most(removed), row, "left_anti").select(docs.columns)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +59,7 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: Stages 2, 3 and 5 can't be said in SQL; tests/llm/test_pipeline.py holds all of it against a brute-force version.
+#: Stages 2, 3 and 5 can't be said in SQL. tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
