@@ -23,7 +23,8 @@ FEW = 8
 BLOCK, BLOCK_BYTES = 1024, 2**24
 #: Rows, and bytes, of small groups that are put together into one task's group.
 CELL, CELL_BYTES = 2048, 2**24
-BROADCAST_ROWS = 500_000
+#: Rows, and small elements of arrays, up to which a stored table is broadcast.
+BROADCAST_ROWS, BROADCAST_ELEMENTS = 500_000, 2_000_000
 
 #: Linked pairs (a of ``left``, b of ``right`` or, if that is None, b of ``left`` too) of rows by place.
 Linked = Callable[[np.ndarray, "np.ndarray | None"], tuple[np.ndarray, np.ndarray]]
@@ -104,21 +105,22 @@ def _incidence(sets: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
     return out
 
 
-def at_most(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (stored), marked for a broadcast if it has ``rows`` rows at most."""
-    return F.broadcast(df) if df.count() <= rows else df
+def at_most(df: DataFrame, rows: int = BROADCAST_ROWS, of: Column | None = None) -> DataFrame:
+    """``df`` (stored), marked for a broadcast if it has ``rows`` rows at most and, if ``of`` says how many a row has, ``BROADCAST_ELEMENTS`` elements."""
+    total = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.lit(0) if of is None else of), F.lit(0)).alias("of")).first()
+    return F.broadcast(df) if total["n"] <= rows and total["of"] <= BROADCAST_ELEMENTS else df
 
 
 def shared_buckets(keys: DataFrame) -> DataFrame:
-    """Of rows (``key``, ``node``; each once), those whose key two nodes and more have: stored rows (``bucket``, ``node``).
+    """Of rows (``key``, ``node``; repeats do no harm), those whose key two nodes and more have: stored rows (``bucket``, ``node``).
 
     Keys that the very same nodes have are one bucket.
     """
     several = stored(keys.groupBy("key").count().where("count > 1").select("key"), "shared")
-    members = stored(keys.join(at_most(several), "key").select("key", "node"), "members")
+    members = stored(keys.join(several, "key").select("key", "node").distinct(), "members")
     nodes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("all_"))
-    alike = stored(nodes.groupBy("n", "low", "high", "all_").agg(F.min("key").alias("key")).select("key"), "alike")
-    found = stored(members.join(at_most(alike), "key").select(F.col("key").alias("bucket"), "node"), "buckets")
+    alike = stored(nodes.where("n > 1").groupBy("n", "low", "high", "all_").agg(F.min("key").alias("key")).select("key"), "alike")
+    found = stored(members.join(alike, "key").select(F.col("key").alias("bucket"), "node"), "buckets")
     released(several, members, alike)
     return found
 

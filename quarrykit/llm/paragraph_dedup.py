@@ -31,13 +31,14 @@ LEAST = 5
 AROUND = 5
 #: Words of neighbouring repeated paragraphs that make a passage. Documents that repeat as a whole are passages of any length.
 PASSAGE = 22
-#: Larger sets: at similarity 0.8, all bands differ with probability (1 - 0.8^3)^20, below 1e-6.
-BANDS, ROWS = 20, 3
+#: Larger sets: at similarity 0.8, all bands differ with probability (1 - 0.8^2)^14, below 1e-6.
+BANDS, ROWS = 14, 2
 #: Sets of up to so many shingles have keys that none of their links can miss.
-SMALL = 25
+SMALL = 14
+#: Lines that a task remembers; an equal one has no keys of its own.
+REMEMBERED = 2**20
 #: Neighbouring pieces among which the ends of a passage are looked for: two whole pieces beyond a repeated one would be found themselves.
 NEAR = 3
-BROADCAST_ROWS = 100_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -203,7 +204,7 @@ def _pieces(found: Paragraphs, head: np.ndarray, number: np.ndarray) -> tuple[np
     return piece, np.where(number % 2 == 1, np.searchsorted(found.line, found.line[piece], side="right") - 1, piece)
 
 
-_UNITS = "doc_id long, key long, number long, start long, stop long, word long, words long, total long, h1 long, h2 long, keys array<long>"
+_UNITS = "doc_id long, key long, number int, word int, words int, h1 long, h2 long, start int, stop int, keys array<long>"
 
 
 def _units(threshold: float) -> object:
@@ -211,6 +212,7 @@ def _units(threshold: float) -> object:
     factors = multipliers(BANDS * ROWS, seed=9)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for begin, texts in slices_of(batch["text"]):
                 found = paragraphs(texts)
@@ -219,7 +221,14 @@ def _units(threshold: float) -> object:
                     continue
                 runs = run_hashes(found.hashes, WIDTH)
                 h1, h2 = _sums(found.hashes, runs, own)
-                lined = np.flatnonzero(own.lines)
+                lined = []
+                for k, h in zip(np.flatnonzero(own.lines).tolist(), h1[own.lines].tolist(), strict=True):
+                    if h not in seen:
+                        seen.add(h)
+                        lined.append(k)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                lined = np.array(lined, dtype=np.int64)
                 who, key = unit_keys(runs, own.first_word[lined], own.n_words[lined] - WIDTH + 1, threshold, factors)
                 order = np.lexsort((key, who))
                 who, key = lined[who[order]], key[order]
@@ -227,12 +236,11 @@ def _units(threshold: float) -> object:
                 who, key = who[new], key[new]
                 order = np.argsort(who, kind="stable")
                 offsets = np.r_[0, np.cumsum(np.bincount(who, minlength=len(own.text)))]
-                text_words = np.bincount(found.text, found.n_words, len(texts)).astype(np.int64)
                 first = found.first_word[np.searchsorted(found.text, own.text)]
                 taken = pa.array(begin + own.text)
                 columns = [
-                    batch["doc_id"].take(taken), batch["key"].take(taken), pa.array(own.number), pa.array(found.start[own.piece]), pa.array(found.stop[own.last]), pa.array(own.first_word - first),
-                    pa.array(own.n_words), pa.array(text_words[own.text]), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
+                    batch["doc_id"].take(taken), batch["key"].take(taken), pa.array(own.number, pa.int32()), pa.array(own.first_word - first, pa.int32()), pa.array(own.n_words, pa.int32()),
+                    pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(found.start[own.piece], pa.int32(), mask=~own.lines), pa.array(found.stop[own.last], pa.int32(), mask=~own.lines),
                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(key[order].view(np.int64))),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -254,11 +262,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], names=["node", "value"])
 
 
-_SIDES = "doc_id long, key long, number long, before binary, after binary"
+_SIDES = "doc_id long, key long, number int, total long, start long, stop long, before binary, after binary"
 
 
 def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of ``NEAR`` pieces to each side of the wanted units (``found``: numbers)."""
+    """Place, and the bytes of ``NEAR`` pieces to each side, of the wanted units (``found``: numbers); and their texts' words."""
     for batch in batches:
         for begin, texts in slices_of(batch["text"]):
             found = paragraphs(texts)
@@ -267,14 +275,17 @@ def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number = lists.flatten()
             head, tail = np.searchsorted(found.text, row), np.searchsorted(found.text, row, side="right") - 1
             piece, last = _pieces(found, head, number.to_numpy())
+            start, stop = found.start[piece], found.stop[last]
             base = found.offset[row]
-            places = [base + x for x in (found.start[np.maximum(head, piece - NEAR)], found.start[piece], found.stop[last], found.stop[np.minimum(tail, last + NEAR)])]
+            places = [base + x for x in (found.start[np.maximum(head, piece - NEAR)], start, stop, found.stop[np.minimum(tail, last + NEAR)])]
             cut = [(found.data[a:b].tobytes(), found.data[c:d].tobytes()) for a, b, c, d in zip(*(x.tolist() for x in places), strict=True)]
+            total = np.bincount(found.text, found.n_words, len(texts)).astype(np.int64)
             taken = pa.array(begin + row)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(taken), batch["key"].take(taken), number, pa.array([x for x, _ in cut], pa.binary()), pa.array([x for _, x in cut], pa.binary())], names=[x.split()[0] for x in _SIDES.split(", ")])
+            columns = [batch["doc_id"].take(taken), batch["key"].take(taken), number, pa.array(total[row]), pa.array(start), pa.array(stop), pa.array([x for x, _ in cut], pa.binary()), pa.array([x for _, x in cut], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _SIDES.split(", ")])
 
 
-_GROWN = "doc_id long, key long, total long, word long, until long, start long, stop long, n_paragraphs long, kept_doc_id long"
+_GROWN = "doc_id long, key long, total long, word long, until long, start long, stop long, kept_doc_id long"
 
 
 def _grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -290,7 +301,7 @@ def _grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 stop += [x.end() for x, _ in zip(_WORD.finditer(after), range(m), strict=False)][-1]
             grown.append((word - n, until + m, start, stop))
         out = pd.DataFrame(grown, columns=["word", "until", "start", "stop"], index=batch.index, dtype="int64")
-        yield pd.concat([batch[["doc_id", "key", "total", "n_paragraphs", "kept_doc_id"]], out], axis=1)[[x.split()[0] for x in _GROWN.split(", ")]]
+        yield pd.concat([batch[["doc_id", "key", "total", "kept_doc_id"]], out], axis=1)[[x.split()[0] for x in _GROWN.split(", ")]]
 
 
 _DOC = ("doc_id", "key")
@@ -302,29 +313,32 @@ def _same_doc(a: DataFrame, b: DataFrame) -> F.Column:
 
 def _islands(spans: DataFrame) -> DataFrame:
     """Numbers the runs of spans (``word`` up to ``until``) of each document that touch: ``island``."""
-    own = Window.partitionBy(*_DOC).orderBy("word", F.desc("until"), "start")
+    own = Window.partitionBy(*_DOC).orderBy("word", F.desc("until"))
     before = F.max("until").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    new = spans.withColumn("new", F.when(before >= F.col("word"), 0).otherwise(1))
+    new = spans.withColumn("new", F.when(before >= F.col("word"), 0).otherwise(1).cast("long"))
     return new.withColumn("island", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
 
 
 def _line_roots(rows: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """``h1``, ``h2`` and ``root`` of the lines with near copies: components of links of ``threshold`` and above."""
-    lines = found.where(F.size("keys") > 0)
-    # equal lines are compared once
-    lines = lines.select("h1", "h2", *_DOC, "start", "stop", "keys").dropDuplicates(["h1", "h2"])
-    lines = stored(lines.withColumn("node", F.monotonically_increasing_id()), "lines")
-    met = shared_buckets(lines.select("node", F.explode("keys").alias("key")))
+    """``h1``, ``h2`` and ``root`` of the lines with near copies: components of links of ``threshold`` and above.
+
+    A node is ``h1``, so equal lines are one and are compared once. Should two lines have one ``h1``, only that with the ``h2`` of
+    the line that was compared is in a component.
+    """
+    lines = found.where("start IS NOT NULL")
+    met = shared_buckets(lines.select(F.col("h1").alias("node"), F.explode("keys").alias("key")))
     nodes = stored(met.select("node").distinct(), "nodes")
-    by_doc = lines.join(at_most(nodes), "node").groupBy(*_DOC).agg(F.collect_list(F.struct("node", "start", "stop")).alias("found"))
-    by_doc = stored(by_doc, "wanted")
-    wanted = at_most(by_doc, BROADCAST_ROWS)
+    place = F.struct("h2", *_DOC, "start", "stop")
+    reps = lines.join(at_most(nodes), lines["h1"] == nodes["node"]).groupBy("node").agg(F.min(place).alias("at"))
+    reps = stored(reps.select("node", "at.*"), "reps")
+    by_doc = stored(reps.groupBy(*_DOC).agg(F.collect_list(F.struct("node", "start", "stop")).alias("found")), "wanted")
+    wanted = at_most(by_doc, of=F.size("found"))
     sets = stored(rows.join(wanted, _same_doc(rows, wanted)).select("found", rows["text"]).mapInArrow(_sets, "node long, value binary"), "sets")
     factors = multipliers(BANDS * ROWS, seed=9)
     links = compare_groups(met.join(sets, "node").select("node", F.col("bucket").alias("root"), F.lit(1).cast("long").alias("weight"), "value"), set_links(threshold, factors), count=False)
     roots = components(links.select(F.col("node").alias("a"), F.col("to").alias("b")))
-    named = stored(lines.join(roots, "node").select("h1", "h2", "root"), "roots")
-    released(lines, met, nodes, by_doc, sets, links)
+    named = stored(reps.join(roots, "node").select(F.col("node").alias("h1"), "h2", "root"), "roots")
+    released(met, nodes, reps, by_doc, sets, links)
     return named
 
 
@@ -347,37 +361,39 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, threshold: float
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", _document_key("doc_id", "text"))
     found = stored(rows.select("doc_id", "key", "text").mapInArrow(_units(threshold), _UNITS), "units")
     roots = _line_roots(rows, found, threshold)
-    plain = found.drop("keys")
-    copies = plain.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    plain = found.select(*_DOC, "number", "word", "words", "h1", "h2")
+    copies = plain.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1")
+    wanted = stored(copies.unionByName(roots.select("h1")).distinct(), "wanted")
+    members = stored(plain.join(wanted, "h1"), "members")
+    released(found, wanted)
     # a group is a component of lines (its root), or a class of equal units (their hashes)
-    classes = copies.join(roots, ["h1", "h2"], "full").select("h1", "h2", F.col("root").isNotNull().alias("near"), F.coalesce("root", "h1").alias("g1"), F.when(F.col("root").isNull(), F.col("h2")).otherwise(0).alias("g2"))
-    classes = stored(classes, "classes")
-    members = stored(plain.join(at_most(classes), ["h1", "h2"]).drop("h1", "h2").distinct(), "members")
-    released(found)
+    members = members.join(at_most(roots), ["h1", "h2"], "left").select(*_DOC, "number", "word", "words", F.col("root").isNotNull().alias("near"), F.coalesce("root", "h1").alias("g1"), F.when(F.col("root").isNull(), F.col("h2")).otherwise(0).alias("g2"))
     # nulls last: a struct with the flag before the id
     place = F.struct(F.col("doc_id").isNull().alias("none"), *_DOC, "number")
-    group = ("near", "g1", "g2")
+    group = ["near", "g1", "g2"]
     heads = members.groupBy(*group).agg(F.min(place).alias("head"), F.count("*").alias("n")).where("n > 1")
     heads = stored(heads.select(*group, F.col("head.doc_id").alias("kept_doc_id"), F.col("head.key").alias("kept_key"), F.col("head.number").alias("kept_number")), "heads")
     itself = F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("key") == F.col("kept_key")) & (F.col("number") == F.col("kept_number"))
-    gone = members.join(at_most(heads), list(group)).where(~itself).withColumn("until", F.col("word") + F.col("words")).drop(*group, "words")
+    gone = members.join(heads, group).where(~itself).withColumn("until", F.col("word") + F.col("words")).drop(*group, "words")
     # the ends of islands, and what is beside them and beside the kept copies
     own = Window.partitionBy(*_DOC, "island")
-    ends = _islands(gone).withColumn("left", F.row_number().over(own.orderBy("word", F.desc("until"), "number")) == 1).withColumn("right", F.row_number().over(own.orderBy(F.desc("until"), "word", "number")) == 1)
-    ends = stored(ends.withColumn("n_paragraphs", F.lit(1).cast("long")), "gone")
-    released(classes, members, heads)
+    ends = _islands(gone.dropDuplicates([*_DOC, "number"]))
+    ends = ends.withColumn("left", F.row_number().over(own.orderBy("word", F.desc("until"), "number")) == 1).withColumn("right", F.row_number().over(own.orderBy(F.desc("until"), "word", "number")) == 1)
+    ends = stored(ends, "gone")
+    released(heads)
     outer = ends.where("left OR right")
-    beside = outer.select(*_DOC, "number").unionByName(outer.select(F.col("kept_doc_id").alias("doc_id"), F.col("kept_key").alias("key"), F.col("kept_number").alias("number"))).distinct()
-    beside = stored(beside.groupBy(*_DOC).agg(F.collect_list("number").alias("found")), "beside")
-    wanted = at_most(beside, BROADCAST_ROWS)
-    sides = stored(rows.join(wanted, _same_doc(rows, wanted)).select(rows["doc_id"], rows["key"], rows["text"], "found").mapInArrow(_sides, _SIDES).dropDuplicates([*_DOC, "number"]), "sides")
-    kept = sides.select(*(F.col(x).alias(f"kept_{x}") for x in sides.columns))
-    near = outer.alias("e").join(sides.alias("s"), F.expr("e.doc_id <=> s.doc_id AND e.key = s.key AND e.number = s.number")).select("e.*", "s.before", "s.after")
+    beside = outer.select(*_DOC, "number").unionByName(outer.select(F.col("kept_doc_id").alias("doc_id"), F.col("kept_key").alias("key"), F.col("kept_number").alias("number")))
+    beside = stored(beside.groupBy(*_DOC).agg(F.collect_set("number").alias("found")), "beside")
+    wanted = at_most(beside, of=F.size("found"))
+    sides = rows.join(wanted, _same_doc(rows, wanted)).select(rows["doc_id"], rows["key"], rows["text"], "found").mapInArrow(_sides, _SIDES)
+    sides = stored(sides, "sides")  # rows that are equal in id and text give equal rows here, and again below
+    kept = sides.select(*(F.col(x).alias(f"kept_{x}") for x in (*_DOC, "number", "before", "after"))).dropDuplicates(["kept_doc_id", "kept_key", "kept_number"])
+    near = outer.alias("e").join(sides.dropDuplicates([*_DOC, "number"]).alias("s"), F.expr("e.doc_id <=> s.doc_id AND e.key = s.key AND e.number = s.number")).select("e.*", "s.total", "s.start", "s.stop", "s.before", "s.after")
     near = near.alias("e").join(kept.alias("k"), F.expr("e.kept_doc_id <=> k.kept_doc_id AND e.kept_key = k.kept_key AND e.kept_number = k.kept_number")).select("e.*", "k.kept_before", "k.kept_after")
-    names = [x.split()[0] for x in _GROWN.split(", ")]
-    grown = near.mapInPandas(_grow, _GROWN).unionByName(ends.where("NOT left AND NOT right").select(*names))
-    found = _islands(grown).groupBy(*_DOC, "island").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("until") - F.min("word")).alias("n_words"), F.sum("n_paragraphs").alias("n_paragraphs"),
+    none = F.lit(None).cast("long")
+    inner = ends.where("NOT left AND NOT right").select(*_DOC, none.alias("total"), "word", "until", none.alias("start"), none.alias("stop"), "kept_doc_id")
+    found = _islands(near.mapInPandas(_grow, _GROWN).unionByName(inner)).groupBy(*_DOC, "island").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("until") - F.min("word")).alias("n_words"), F.count("*").alias("n_paragraphs"),
         F.array_sort(F.collect_set("kept_doc_id")).alias("kept_doc_ids"), F.max("total").alias("total"),
     )
     return found.where((F.col("n_words") >= passage) | (F.col("n_words") == F.col("total"))).drop("island", "total")
