@@ -30,6 +30,8 @@ from quarrykit.llm.suffix_sort import sort_windows, words
 ANCHOR = 20
 #: Bytes of text that a task looks at together, and holds before it passes on what it has found.
 SLICE, HELD = 2**20, 2**25
+#: Bits of a place in a slice, which has less than 2 * SLICE + 2 * length bytes. The same for all slices, so that equal windows choose equal anchors.
+PLACE_BITS = 22
 #: Windows that are sorted together.
 SORTED = 2**20
 NULL_ID = -(2**63)
@@ -106,7 +108,8 @@ def runs(data: np.ndarray, bounds: np.ndarray, length: int) -> Iterator[tuple[np
         raw[:n] = data[start:stop]
         text_words = words(raw, n + 2 * length)
         hashes = _hash(text_words, slice(None), ANCHOR)[:n]
-        bits = np.uint64(max(1, n.bit_length()))
+        assert n < 2**PLACE_BITS
+        bits = np.uint64(PLACE_BITS)
         key = (hashes >> bits << bits) | np.arange(n, dtype=np.uint64)
         span = 1
         while span * 2 <= wide:
@@ -315,21 +318,19 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         class_of = np.empty(len(order), dtype=np.int64)
         class_of[order] = np.cumsum(new) - 1
         rep = order[new]  # of each class the entry with the smallest document
-        class_doc, class_hash = least[rep], hashes[rep]
-        alone = np.r_[True, class_hash[1:] != class_hash[:-1]] & np.r_[class_hash[1:] != class_hash[:-1], True]
+        class_hash = hashes[rep]
         # stretches of windows with one smallest document: class, first, last, document
-        found = [(np.flatnonzero(alone), np.zeros(int(alone.sum()), np.uint8), count[rep][alone] - 1, class_doc[alone])]
-        rest = np.flatnonzero(~alone)
-        rest_count = count[rep][rest].astype(np.int64)
+        found = []
+        rep_count = count[rep].astype(np.int64)
         # whole anchors at a time, as many as are to be sorted together
-        anchor_new = np.r_[True, class_hash[rest][1:] != class_hash[rest][:-1]] if len(rest) else np.zeros(0, bool)
-        share = np.cumsum(rest_count) // SORTED
+        anchor_new = np.r_[True, class_hash[1:] != class_hash[:-1]]
+        share = np.cumsum(rep_count) // SORTED
         lo = 0
-        while lo < len(rest):
+        while lo < len(rep):
             hi = int(np.searchsorted(share, share[lo], side="right"))
-            while hi < len(rest) and not anchor_new[hi]:
+            while hi < len(rep) and not anchor_new[hi]:
                 hi += 1
-            part, part_count = rest[lo:hi], rest_count[lo:hi]
+            part, part_count = np.arange(lo, hi), rep_count[lo:hi]
             owner = np.repeat(np.arange(len(part)), part_count)
             within = np.arange(len(owner)) - np.repeat(np.cumsum(part_count) - part_count, part_count)
             at = starts[rep[part]][owner] + within
