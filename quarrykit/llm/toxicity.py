@@ -126,7 +126,7 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, toxic in zip(batch.text, batch.toxic, strict=True):
             words = {w.lower().strip(EDGES) for w in (text or "").split()}
             words |= {w[:PREFIX] + "*" for w in words if len(w) > PREFIX}
-            rows += [(w, int(toxic)) for w in words if 0 < len(w) <= 64]
+            rows += [(w, int(toxic)) for w in words if w]
         yield pd.DataFrame(rows, columns=["word", "toxic"])
 
 
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE
     chosen = stored(chosen.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample), "labelled")
     # the sample's size bounds the broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(6)))
-    rows = stored(rows.coalesce(8), "training")
+    rows = stored(rows, "training")
     lexicon = _lexicon(rows.where("part < 3"))
     measured = stored(_measured(rows.where("part >= 3"), lexicon).select("part", "toxic", array_to_vector("features").alias("features")).coalesce(4), "features")
     n, toxic = chosen.agg(F.count("*"), F.sum("toxic")).first()
