@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from quarrykit.llm.common import new_path, stored, utf8
 
 #: Inflated bytes after which a task begins another archive.
-ARCHIVE_BYTES = 16 * 2**20
+ARCHIVE_BYTES = 128 * 2**20
 LEVEL = 6
 #: Deflated bytes that an archive's reader takes in at a time.
 STEP = 2**18
 BROADCAST_ROWS = 100_000
 DATE = "2024-01-01T00:00:00Z"
-MEMBERS = "archive string, ordinal long, offset long, length long, member binary, record_type string, record_id string"
-RECORDS = "archive string, offset long, length long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+MEMBERS = "archive string, ordinal long, member binary"
+RECORDS = "archive string, ordinal long, offset long, length long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 def page_urn(page_id: int | None) -> str:
@@ -121,13 +121,14 @@ def gzip_empty() -> bytes:
 
 
 def write_binary(rows: DataFrame, path: str) -> None:
-    """Writes rows (``archive``, ``ordinal``, ``member``) as files of concatenated members, a folder for each archive.
+    """Writes rows (``archive``, ``ordinal``, ``member``) as files of concatenated members, a folder for each archive. Rows of one archive
+    must be in one partition, so that it becomes one file.
 
     Spark's text sink puts raw bytes on any store that Spark reaches and commits them task by task. It ends each
     row with a separator, here the zero byte that each member ends in.
     """
     bare = rows.select("archive", "ordinal", F.expr("CAST(substring(member, 1, length(member) - 1) AS STRING)").alias("value"))
-    bare.sortWithinPartitions("archive", "ordinal").select("archive", "value").write.partitionBy("archive").option("lineSep", "\x00").option("compression", "none").text(path)
+    bare.sortWithinPartitions("archive", "ordinal").select("archive", "value").write.partitionBy("archive").option("lineSep", "\x00").option("compression", "none").option("maxRecordsPerFile", 0).text(path)
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
@@ -185,22 +186,21 @@ def _int(value: object) -> int | None:
 
 
 def normalise(archives: DataFrame) -> DataFrame:
-    """Every record of the archives (``archive``, ``content``) as its own gzip member (``MEMBERS``).
+    """Every record of the archives (``archive``, ``content``) as its own gzip member (``MEMBERS``), in one partition for each archive.
 
-    A whole file is inflated once, front to back; ``offset`` and ``length`` say where the member is in the archive's
-    new file. Files of many members, empty members among them, are taken as well; an empty file has no records.
-    A file that ends inside a record raises.
+    A whole file is inflated once, front to back. Files of many members, empty members among them, are taken as well; an empty file
+    has no records. A file that ends inside a record raises. One file must be below 2 GB, as rows of Spark's
+    ``binaryFile`` are.
     """
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for archive, content in zip(batch.archive, batch.content, strict=True):
-                rows, held, offset = [], 0, 0
+                rows, held = [], 0
                 for k, record in enumerate(split_records(inflate(content))):
-                    headers, _ = parse_record(record)
                     member = member_of(record)
-                    rows.append((archive, k, offset, len(member), member, headers["warc-type"], headers["warc-record-id"]))
-                    offset, held = offset + len(member), held + len(member)
+                    rows.append((archive, k, member))
+                    held += len(member)
                     if held >= 2**22:
                         yield pd.DataFrame(rows, columns=_names(MEMBERS))
                         rows, held = [], 0
@@ -237,9 +237,9 @@ def read_records(archives: DataFrame) -> DataFrame:
                         digest = headers["warc-payload-digest"].removeprefix("sha1:")
                         if not revisit and (len(payload) != n or digest_of(payload) != digest):
                             raise ValueError(f"{archive} at {at}: the payload differs from its digest")
-                        rows.append((archive, at, end - at, page_of(headers["warc-record-id"]), n, digest, headers["warc-type"], page_of(headers.get("warc-refers-to"))))
+                        rows.append((archive, len(rows), at, end - at, page_of(headers["warc-record-id"]), n, digest, headers["warc-type"], page_of(headers.get("warc-refers-to"))))
                     elif rows:  # an empty member belongs to the one before it
-                        rows[-1] = (*rows[-1][:2], rows[-1][2] + end - at, *rows[-1][3:])
+                        rows[-1] = (*rows[-1][:3], rows[-1][3] + end - at, *rows[-1][4:])
                     at = end
                 out = pd.DataFrame(rows, columns=_names(RECORDS))
                 yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
@@ -256,30 +256,19 @@ def archive_pages(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTE
     """Writes pages as archives with a member a record under ``path``; returns the paths of the archives and of their index.
 
     Monolithic archives are written first (what a crawler that compresses whole files leaves), then normalised.
-    The index is a Parquet table of (``archive``, ``ordinal``, ``offset``, ``length``, ``record_type``, ``record_id``).
-    Null html has an empty payload; an empty table gives no archives.
+    The index is a Parquet table (``RECORDS``) of what the written files hold, record by record: ``archive``, ``ordinal``, ``offset``, ``length`` and
+    what the record says of its page. Null html has an empty payload; an empty table gives no archives.
     """
     spark = pages.sparkSession
     write_monolithic(decide(pages), f"{path}/monolithic", archive_bytes)
-    if not _has_files(spark, f"{path}/monolithic"):
-        members = spark.createDataFrame([], MEMBERS)
-    else:
-        members = stored(normalise(read_binary(spark, f"{path}/monolithic")), "members")
-    write_binary(members, f"{path}/archives")
-    members.drop("member").write.parquet(f"{path}/index")
+    # a file is read, normalised and written in one task; nothing between them deals its members anew
+    write_binary(normalise(read_binary(spark, f"{path}/monolithic")), f"{path}/archives")
+    read_records(read_binary(spark, f"{path}/archives")).write.parquet(f"{path}/index")
     return f"{path}/archives", f"{path}/index"
 
 
-def _has_files(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/archive=*"))
-    return len(found) > 0
-
-
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes pages to archives in the shared folder and reads them back (``RECORDS``)."""
+    """Writes pages to archives in the shared folder and reads them back: the index of their records (``RECORDS``)."""
     spark = pages.sparkSession
-    archives, _ = archive_pages(pages, new_path(spark, "warc"))
-    if not _has_files(spark, archives):
-        return spark.createDataFrame([], RECORDS)
-    return read_records(read_binary(spark, archives))
+    _, index = archive_pages(pages, new_path(spark, "warc"))
+    return spark.read.schema(RECORDS).parquet(index)
