@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from quarrykit.llm.common import components, find_roots, stored
 
 THRESHOLD = 0.98
-#: Rows that the codebooks are fitted on at most, and the most codes of one book.
-SAMPLE, MAX_CODES = 20_000, 64
+#: Rows that the codebooks are fitted on at most, and the fewest of them for each code. Cells grow with the table up to (20,000 / 8)^2, or
+#: 400 million vectors of each label at ``FILL``; a larger sample carries that on.
+SAMPLE, LEAST_ROWS = 20_000, 8
 #: Vectors of one label that a cell should hold.
 FILL = 64
 #: Share of pairs at the threshold whose cell a traversal must reach, from either side.
@@ -22,7 +23,6 @@ RECALL = 0.995
 #: Residents and guests of a cell that meet in one task's group.
 RESIDENTS, GUESTS = 1024, 4096
 BROADCAST_ROWS = 200_000
-NULL_ID = -(2**63)
 
 
 @dataclass(frozen=True)
@@ -53,7 +53,7 @@ class MultiIndex:
         """
         a, b = self.distances(x)
         order_a, order_b = a.argsort(axis=1, kind="stable"), b.argsort(axis=1, kind="stable")
-        ranks = [(i, j) for i in range(self.codes) for j in range(self.codes) if (i + 1) * (j + 1) <= visits]
+        ranks = [(i, j) for i in range(min(self.codes, visits)) for j in range(min(self.codes, visits // (i + 1)))]
         i, j = np.array(ranks).T
         code_a, code_b = order_a[:, i], order_b[:, j]
         total = np.take_along_axis(a, code_a, 1) + np.take_along_axis(b, code_b, 1)
@@ -65,11 +65,16 @@ def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1)
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    step = max(1, 2**22 // len(centres))
+    return np.concatenate([_squares(x[lo : lo + step], centres).argmin(axis=1) for lo in range(0, len(x), step)])
+
+
 def _codebook(x: np.ndarray, codes: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
     """Lloyd's k-means."""
     centres = x[rng.choice(len(x), codes, replace=False)].copy()
     for _ in range(rounds):
-        near = _squares(x, centres).argmin(axis=1)
+        near = _nearest(x, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, near, x)
         n = np.bincount(near, minlength=codes)
@@ -95,8 +100,10 @@ def fit_index(sample: np.ndarray, codes: int, threshold: float = THRESHOLD, reca
     noise /= np.maximum(np.linalg.norm(noise, axis=1), 1e-12)[:, None]
     moved = index.cells(threshold * x + np.sqrt(1 - threshold**2) * noise)
     a, b = index.distances(x)
-    grid = (a[:, :, None] + b[:, None, :]).reshape(len(x), -1)
-    behind = (grid < np.take_along_axis(grid, moved[:, None], 1)).sum(axis=1)
+    # cells nearer than the one that the moved vector is in: for each code of the first book, those codes of the second that are near enough
+    at = np.arange(len(x))
+    far = a[at, moved // codes] + b[at, moved % codes]
+    behind = [int(np.searchsorted(np.sort(b[k]), far[k] - a[k]).sum()) for k in at]
     visits = int(np.quantile(behind, recall, method="higher")) + 1
     return MultiIndex(index.first, index.second, visits)
 
@@ -117,7 +124,7 @@ def _valid(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ok = x is not None and len(x) > 0 and np.isfinite(x).all() and x.any()
             vectors.append(x.tobytes() if ok else None)
             dims.append(len(x) if ok else 0)
-        yield pd.DataFrame({"vec_id": batch.vec_id, "label": batch.label, "dim": dims, "vector": vectors})
+        yield batch.drop(columns="embedding").assign(dim=dims, vector=vectors)
 
 
 def _deal(index: MultiIndex, dim: int) -> object:
@@ -126,20 +133,16 @@ def _deal(index: MultiIndex, dim: int) -> object:
         for batch in batches:
             for lo in range(0, len(batch), 1024):
                 part = batch.iloc[lo : lo + 1024].reset_index(drop=True)
-                visited = np.zeros((len(part), 1), dtype=np.int64)
                 cell = np.zeros(len(part), dtype=np.int64)
-                seen = np.zeros((len(part), size), dtype=bool)
                 known = np.flatnonzero(part.dim.to_numpy() == dim)
                 lists = [[0]] * len(part)
                 if len(known):
                     x = _unit(part.vector.iloc[known])
                     cell[known] = index.cells(x)
-                    visited = index.traverse(x, min(index.visits, size))
-                    seen[known[:, None], visited] = True
-                    for k, row in zip(known, visited.tolist(), strict=True):
+                    for k, row in zip(known, index.traverse(x, min(index.visits, size)).tolist(), strict=True):
                         lists[k] = row
-                seen[np.arange(len(part)), cell] = True
-                part = part.assign(home=cell, visits=[sorted({*v, int(c)}) for v, c in zip(lists, cell, strict=True)], seen=[x.tobytes() for x in np.packbits(seen, axis=1)])
+                visits = [sorted({*v, int(c)}) for v, c in zip(lists, cell, strict=True)]
+                part = part.assign(home=cell, visits=visits, seen=[np.array(v, dtype=np.int64).tobytes() for v in visits])
                 yield part[["node", "label", "dim", "weight", "home", "visits", "seen", "vector"]]
 
     return deal
@@ -162,8 +165,9 @@ def _compare(threshold: float) -> object:
                 linked = x @ _unit(guests.vector).T >= threshold
                 # a guest from another cell may meet a resident at home too: the cell with the smaller number counts them
                 home = guests.home.to_numpy()
-                seen = np.unpackbits(np.array([np.frombuffer(s, dtype=np.uint8) for s in own.seen]), axis=1).astype(bool)
-                elsewhere = seen[:, home] & (home < first.cell)[None, :]
+                homes, of = np.unique(home, return_inverse=True)
+                seen = np.stack([np.isin(homes, np.frombuffer(s, dtype=np.int64)) for s in own.seen])
+                elsewhere = seen[:, of] & (home < first.cell)[None, :]
                 a, b = np.nonzero(linked & ~elsewhere)
                 found.append((a, b + len(own)))
         a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int))
@@ -191,25 +195,28 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     and a forest of links only.
 
     Null labels and vectors that are null, empty, zero or hold null or non-finite components link with nothing. Vectors of
-    different lengths don't link; codebooks are of the most common length, others share a cell for each length. A null id is its own
-    component. Repeated rows are linked vectors. An empty table gives an empty result; other columns are ignored.
+    different lengths don't link; codebooks are of the most common length, others share a cell for each length. Repeated rows, and
+    rows with the same or no id, are vectors of their own. Null ids come after all others; a component of null ids alone has a null id, and its
+    first row is kept. An empty table gives an empty result; other columns are ignored.
     """
-    base = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("embedding"))
-    rows = stored(base.mapInPandas(_valid, "vec_id long, label string, dim long, vector binary"), "vectors")
+    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.monotonically_increasing_id().alias("row"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("embedding"))
+    base = base.withColumn("none", F.col("vec_id").isNull()).withColumn("vec_id", F.coalesce("vec_id", F.lit(0)))
+    rows = stored(base.mapInPandas(_valid, "vec_id long, row long, label string, none boolean, dim long, vector binary"), "vectors")
     able = rows.where("vector IS NOT NULL AND label IS NOT NULL").withColumn("code", F.md5("vector"))
-    classes = stored(able.groupBy("label", "dim", "code").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight")), "classes")
-    members = able.join(classes, ["label", "dim", "code"])
-    members = stored(members.select("vec_id", "node", "label", "dim", "weight", F.when(F.col("vec_id") == F.col("node"), F.col("vector")).alias("vector")), "members")
-    reps = members.where("vector IS NOT NULL").dropDuplicates(["node", "label", "dim", "vector"])
-    reps = stored(reps, "reps")
+    same = ["label", "dim", "code"]
+    # a class is known by its first row's number, which no other class has
+    classes = able.groupBy(*same).agg(F.min(F.struct("none", "vec_id", "row")).alias("first"), F.count("*").alias("weight"))
+    classes = stored(classes.withColumn("node", F.col("first.row")), "classes")
+    reps = stored(able.join(classes.select("node", "weight"), F.col("row") == F.col("node")).select("node", "label", "dim", "weight", "vector"), "reps")
     common = reps.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    plain = rows.where("vector IS NULL OR label IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    ids = ["vec_id", "none", "row"]
+    plain = rows.where("vector IS NULL OR label IS NULL").select(*ids, F.lit(0).cast("long").alias("n_links"), F.struct("none", "vec_id", "row").alias("end"))
     if common is None:
         return _named(plain)
     dim = common.dim
     sample = reps.where(F.col("dim") == dim).orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("vector").toPandas()
     labels = reps.select(F.approx_count_distinct("label")).first()[0]
-    size = codes or max(2, min(MAX_CODES, round((common.n / max(1, labels) / FILL) ** 0.5)))
+    size = codes or max(2, min(len(sample) // LEAST_ROWS, round((common.n / max(1, labels) / FILL) ** 0.5)))
     index = fit_index(_unit(sample.vector), size if dim > 1 else 1, threshold, recall) if dim > 1 else MultiIndex(np.zeros((1, 0)), np.zeros((1, dim)), 1)
     dealt = reps.select("node", "label", "dim", "weight", "vector").mapInPandas(_deal(index, dim), "node long, label string, dim long, weight long, home long, visits array<long>, seen binary, vector binary")
     dealt = stored(dealt, "dealt")
@@ -232,14 +239,15 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     found = stored(met.groupBy(*keys, "i", "j").applyInPandas(_compare(threshold), "node long, links long, to long"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("to").alias("b")))
-    linked = stored(links.join(roots, "node", "left"), "linked")
-    done = members.select("vec_id", "node", "weight").join(linked, "node", "left")
-    done = done.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
-    return _named(done.unionByName(plain))
+    judged = classes.join(stored(links.join(roots, "node"), "linked"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ends = judged.groupBy("root").agg(F.min("first").alias("end"))
+    judged = stored(judged.join(ends, "root").select(*same, (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "end"), "judged")
+    return _named(able.join(judged, same).select(*ids, "n_links", "end").unionByName(plain))
 
 
 def _named(done: DataFrame) -> DataFrame:
-    def name(x: str) -> Column:
-        return F.when(F.col(x) != NULL_ID, F.col(x))
+    def name(x: str, none: str) -> Column:
+        return F.when(~F.col(none), F.col(x))
 
-    return done.select(name("vec_id").alias("vec_id"), "n_links", name("component_id").alias("component_id"), (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    kept = F.when(F.col("none"), F.col("row") == F.col("end.row")).otherwise(F.col("vec_id") == F.col("end.vec_id"))
+    return done.select(name("vec_id", "none").alias("vec_id"), "n_links", name("end.vec_id", "end.none").alias("component_id"), kept.alias("kept"))
