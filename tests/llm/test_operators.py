@@ -133,6 +133,26 @@ def test_repeats_go_as_by_brute_force(spark, make):
     assert suffix_dedup.remove_repeats(make(DOCS).limit(0)).count() == 0
 
 
+def test_equal_windows_have_equal_anchors_whatever_the_slice(monkeypatch):
+    rng = np.random.default_rng(6)
+    passage = rng.integers(97, 101, 400, dtype=np.uint8)
+    texts = [np.concatenate([rng.integers(97, 101, int(rng.integers(0, 300)), dtype=np.uint8), passage, rng.integers(97, 101, int(rng.integers(0, 3000)), dtype=np.uint8)]) for _ in range(12)]
+    texts += [np.full(300, 97, np.uint8), np.full(500, 97, np.uint8), np.tile(passage[:30], 40)]
+    data = np.concatenate(texts)
+    bounds = np.r_[0, np.cumsum([len(t) for t in texts])]
+    anchor: dict[bytes, set] = {}
+    for size in (2**7, 2**9, 2**12, 2**20):
+        monkeypatch.setattr(suffix_dedup, "SLICE", size)
+        seen = []
+        for hashes, at, count, off, _, _ in suffix_dedup.runs(data, bounds, 50):
+            for h, a, c, o in zip(hashes.tolist(), at.tolist(), count.tolist(), off.tolist(), strict=True):
+                for k in range(c):
+                    anchor.setdefault(data[a + k : a + k + 50].tobytes(), set()).add((h, o - k))
+                    seen.append(a + k)
+        assert sorted(seen) == [p for lo, hi in zip(bounds[:-1], bounds[1:], strict=True) for p in range(lo, hi - 49)]
+    assert all(len(x) == 1 for x in anchor.values())
+
+
 def test_rows_with_one_id_do_not_remove_each_other(make):
     cleaned = suffix_dedup.remove_repeats(make([(1, prose(0)), (1, prose(0)), (2, prose(0))]))
     assert sorted((r.doc_id, r.n_removed > 0) for r in cleaned.collect()) == [(1, False), (1, False), (2, True)]
@@ -311,6 +331,30 @@ def test_blocks_of_vectors_count_each_pair_once(spark, monkeypatch):
     assert [r.n_links for r in got] == want.tolist()
 
 
+def test_vectors_with_one_or_no_id_are_their_own(spark):
+    rng = np.random.default_rng(8)
+    a, b, c = ([float(v) for v in y] for y in _unit(rng, 3))
+    rows = [(None, a), (None, b), (3, a), (4, b), (3, a), (None, c), (None, c), (None, None)]
+    vectors = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = sorted(((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in embedding_dedup.near_vectors(vectors).collect()))
+    assert got == sorted([(0, 2, 3, False), (3, 2, 3, True), (3, 2, 3, True), (0, 1, 4, False), (4, 1, 4, True), (0, 1, 0, True), (0, 1, 0, False), (0, 0, 0, True)])
+
+
+@pytest.mark.parametrize(("n", "codes"), [(1500, 8), (6000, 40)])
+def test_recall_of_links_at_the_threshold(spark, n, codes):
+    rng = np.random.default_rng(n)
+    base = _unit(rng, n, 32)
+    side = rng.standard_normal((n // 3, 32))
+    side -= (side * base[: n // 3]).sum(1)[:, None] * base[: n // 3]
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    cosine = rng.uniform(0.9805, 0.999, (n // 3, 1))
+    x = np.concatenate([base, cosine * base[: n // 3] + np.sqrt(1 - cosine**2) * side])
+    vectors = spark.createDataFrame([(k, v, 0) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    want = (x @ x.T >= 0.98).sum(axis=1) - 1
+    got = np.array([r.n_links for r in embedding_dedup.near_vectors(vectors, codes=codes).orderBy("vec_id").collect()])
+    assert (got <= want).all() and got.sum() >= 0.98 * want.sum() >= n // 2
+
+
 def test_traversal_is_nearest_first():
     rng = np.random.default_rng(4)
     index = embedding_dedup.fit_index(_unit(rng, 500), 8)
@@ -324,6 +368,26 @@ def test_traversal_is_nearest_first():
 # archives
 
 
+def test_index_holds_however_files_are_split(spark, tmp_path):
+    table = spark.range(600).selectExpr("id AS page_id", "concat('u', id) AS url", "concat('<p>', sha2(cast(id AS string), 512), repeat(md5(cast(id AS string)), cast(id % 40 AS int))) AS html")
+    settings = {"spark.sql.files.maxPartitionBytes": "2k", "spark.sql.files.openCostInBytes": "1", "spark.sql.files.maxRecordsPerFile": "7"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        archives, index = warc.archive_pages(table.repartition(3), str(tmp_path / "w"), archive_bytes=40_000)
+        files = [(r.archive, bytes(r.content)) for r in warc.read_binary(spark, archives).collect()]
+        listed = spark.read.parquet(index).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(dict(files)) == len(files) > 3 and len(listed) == 600 and len({r.page_id for r in listed}) == 600
+    for r in listed:
+        headers, block = warc.read_at(dict(files)[r.archive], r.offset, r.length)
+        assert headers["warc-record-id"] == warc.page_urn(r.page_id) and block.endswith(hashlib.md5(str(r.page_id).encode()).hexdigest().encode() * (r.page_id % 40))
+    assert warc.round_trip(table.limit(0)).count() == 0
+
+
 def test_archives_round_trip(spark, tmp_path):
     pages = [(1, "http://x/a b\r\nEvil: 1", "<p>é</p>"), (2, "u", "<p>é</p>"), (3, None, None), (4, "u", ""), (5, "v", "long " * 5000), (6, "w", "\r\n\r\nWARC/1.1\r\n"), (None, "n", "<p>é</p>"), (5, "v", "long " * 5000)]
     table = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("revisit", F.lit("x"))
@@ -342,7 +406,7 @@ def test_archives_round_trip(spark, tmp_path):
     content = {r.archive: bytes(r.content) for r in warc.read_binary(spark, archives).collect()}
     for r in listed:
         headers, _ = warc.read_at(content[r.archive], r.offset, r.length)
-        assert headers["warc-record-id"] == r.record_id and "evil" not in headers
+        assert headers["warc-record-id"] == warc.page_urn(r.page_id) and "evil" not in headers
     assert warc.round_trip(table.limit(0)).count() == 0
 
 
