@@ -103,7 +103,22 @@ def tree_children(files: DataFrame, prefix: str = "") -> DataFrame:
     return below.select(F.split_part(F.substr("folder", F.lit(len(inside) + 1)), F.lit("/"), F.lit(1)).alias("child")).where("child <> ''").distinct()
 
 
+def manager_counts(dependencies: DataFrame) -> DataFrame:
+    return dependencies.groupBy("manager").agg(F.count("*").alias("dependencies"))
+
+
 def grouped_dependencies(dependencies: DataFrame) -> DataFrame:
-    """Dependencies of each manager: how many, and a sorted list of (name, version, scope)."""
-    entry = F.struct("name", "version", "scope")
-    return dependencies.groupBy("manager").agg(F.count("*").alias("total"), F.sort_array(F.collect_list(entry)).alias("entries"))
+    """Dependencies by manager, then name: ``manager``, ``total`` (how many it has), ``name``, ``version``, ``scope``. No group is gathered in a row."""
+    totals = manager_counts(dependencies).select(F.col("manager").alias("of"), F.col("dependencies").alias("total"))
+    known = dependencies.join(totals, F.col("manager").eqNullSafe(F.col("of")))
+    return known.select("manager", "total", "name", "version", "scope").orderBy("manager", "name", "version", "scope")
+
+
+def of_repository(tables: dict[str, DataFrame], repo_id: int) -> dict[str, DataFrame]:
+    """One repository's rows of each table: questions are put to one repository, whose folder alone is read from tables that ``write_tables`` wrote."""
+    return {name: table.where(F.col("repo_id") == repo_id) for name, table in tables.items()}
+
+
+def repositories(table: DataFrame) -> DataFrame:
+    """All repositories, last scanned first."""
+    return table.orderBy(F.desc("scanned_at"), "repo_id")

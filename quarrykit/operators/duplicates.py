@@ -1,11 +1,12 @@
 """Duplicate blocks across files: shared runs of lines, similar files, and the blocks they share.
 
-``lines``: ``file_id`` (long), ``index`` (from 0, without gaps), ``number`` (in the file, from 1), ``text`` (normalised, not empty).
+``lines``: ``file_id`` (long) and ``lines``, an array of ``number`` (in the file, from 1) and ``text`` (normalised, not empty). Lines are numbered and
+put together inside their row, so a text isn't shuffled before its runs are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrykit.iterate import components, stored
@@ -19,17 +20,20 @@ TRIM = r"^[\s\x85\xA0]+|[\s\x85\xA0]+$"
 
 def plain_lines(files: DataFrame) -> DataFrame:
     """Lines of plain texts (``file_id``, ``content``): trimmed, in lower case, without empty ones."""
-    each = files.select("file_id", F.posexplode(F.split("content", "\n")).alias("k", "line"))
-    kept = each.select("file_id", (F.col("k") + 1).alias("number"), F.lower(F.regexp_replace("line", TRIM, "")).alias("text")).where("text <> ''")
-    return kept.withColumn("index", F.row_number().over(Window.partitionBy("file_id").orderBy("number")) - 1)
+    each = F.transform(F.split("content", "\n"), lambda t, k: F.struct((k + 1).alias("number"), F.lower(F.regexp_replace(t, TRIM, "")).alias("text")))
+    return files.select("file_id", F.filter(each, lambda x: x["text"] != "").alias("lines"))
 
 
 def code_lines(files: DataFrame) -> DataFrame:
     """Lines of source files (``file_id``, ``content``, ``language``) without comments."""
     from quarrykit.functions.code import normalized_lines
 
-    each = files.select("file_id", F.posexplode(normalized_lines("content", "language")).alias("index", "x"))
-    return each.select("file_id", "index", "x.number", "x.text")
+    return files.select("file_id", normalized_lines("content", "language").alias("lines"))
+
+
+def each_line(lines: DataFrame) -> DataFrame:
+    """A row a line: ``file_id``, ``index`` (from 0, without gaps), ``number``, ``text``."""
+    return lines.select("file_id", F.posexplode("lines").alias("index", "x")).select("file_id", "index", "x.number", "x.text")
 
 
 def shingles(lines: DataFrame, width: int = MIN_LINES) -> DataFrame:
@@ -38,9 +42,13 @@ def shingles(lines: DataFrame, width: int = MIN_LINES) -> DataFrame:
     A width below 2 counts as 2.
     """
     width = max(2, width)
-    frame = Window.partitionBy("file_id").orderBy("index").rowsBetween(0, width - 1)
-    runs = lines.select("file_id", F.col("index").alias("start"), F.col("number").alias("first"), F.collect_list("text").over(frame).alias("texts"), F.last("number").over(frame).alias("last"))
-    return runs.where(F.size("texts") == width).select("file_id", "start", "first", "last", F.array_join("texts", "\n").alias("fragment"))
+
+    def run(k: Column) -> Column:
+        own = F.slice("lines", k + 1, width)
+        return F.struct(k.alias("start"), own[0]["number"].alias("first"), own[width - 1]["number"].alias("last"), F.array_join(F.transform(own, lambda x: x["text"]), "\n").alias("fragment"))
+
+    starts = F.when(F.size("lines") >= width, F.sequence(F.lit(0), F.size("lines") - width))
+    return lines.select("file_id", F.inline(F.transform(starts, run)))
 
 
 def similar_pairs(runs: DataFrame, similarity: float = MIN_SIMILARITY, most: int = MAX_OCCURRENCES) -> DataFrame:
@@ -60,6 +68,11 @@ def similar_pairs(runs: DataFrame, similarity: float = MIN_SIMILARITY, most: int
     return sized.select("a", "b", "shared", dice.alias("similarity")).where(F.col("similarity") >= similarity)
 
 
+def in_percent(pairs: DataFrame) -> DataFrame:
+    """Pairs or groups with their similarity as whole ``percent``, 100 at most."""
+    return pairs.withColumn("percent", F.floor(F.least(F.col("similarity"), F.lit(1.0)) * 100 + 0.5).cast("long"))
+
+
 def _members(pairs: DataFrame) -> DataFrame:
     return components(pairs.select("a", "b")).select(F.col("node").alias("file_id"), F.col("root").alias("group_id"))
 

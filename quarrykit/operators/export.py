@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrykit.functions.paths import utc_text, xml_escape
@@ -56,33 +58,38 @@ def write_export(kind: str, table: DataFrame, path: str, form: str = "csv", sing
     rows.orderBy("k").select(value.alias("value")).coalesce(1).write.text(path)
 
 
-def svg(edges: DataFrame, most: int = 2000) -> str:
-    """A picture of resolved import edges: files in columns by their distance from files that nothing imports.
+def _columns(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """Distance (``depth``) of each file from files that nothing imports, or from the first if there are none; 0 for files out of their reach."""
+    tops = names.join(pairs.select(F.col("to_file").alias("node")).distinct(), "node", "left_anti")
+    tops = names.agg(F.min("node").alias("node")).where("node IS NOT NULL") if tops.isEmpty() else tops
+    found, depth = [stored(tops.withColumn("depth", F.lit(0)), "column")], 0
+    while not found[-1].isEmpty():
+        depth += 1
+        step = pairs.join(found[-1].select(F.col("node").alias("from_file")), "from_file").select(F.col("to_file").alias("node")).distinct()
+        for part in found:
+            step = step.join(part.select("node"), "node", "left_anti")
+        found.append(stored(step.withColumn("depth", F.lit(depth)), "column"))
+    reached = reduce(DataFrame.unionByName, found)
+    return reached.unionByName(names.join(reached.select("node"), "node", "left_anti").withColumn("depth", F.lit(0)))
 
-    A picture of more than ``most`` edges can't be read, so it shows the first ``most`` in order; their text is made on the driver.
-    """
-    shown = edges.where("resolved").select("from_file", "to_file").distinct().orderBy("from_file", "to_file").limit(most)
-    pairs = [tuple(r) for r in shown.collect()]
-    names = sorted({x for p in pairs for x in p})
-    labels = dict(edges.sparkSession.createDataFrame([(n,) for n in names], "n string").select("n", xml_escape(F.col("n"))).collect()) if names else {}
-    targets = {b for _, b in pairs}
-    depth = {n: 0 for n in names if n not in targets} or dict.fromkeys(names[:1], 0)
-    todo = sorted(depth)
-    following: dict[str, list[str]] = {}
-    for a, b in pairs:
-        following.setdefault(a, []).append(b)
-    while todo:
-        todo = [b for a in todo for b in following.get(a, ()) if b not in depth and depth.setdefault(b, depth[a] + 1)]
-    place, used = {}, {}
-    for n in names:
-        column = depth.get(n, 0)
-        place[n] = (20 + 240 * column, 30 + 40 * used.get(column, 0))
-        used[column] = used.get(column, 0) + 1
-    width, height = 260 * (max(used, default=0) + 1), 60 + 40 * max(used.values(), default=0)
-    parts = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">']
-    for a, b in pairs:
-        (x1, y1), (x2, y2) = place[a], place[b]
-        parts.append(f'<line x1="{x1 + 200}" y1="{y1}" x2="{x2}" y2="{y2}" stroke="#888"/>')
-    for n, (x, y) in place.items():
-        parts.append(f'<rect x="{x}" y="{y - 15}" width="200" height="30" fill="#eee"/><text x="{x + 8}" y="{y + 5}">{labels[n]}</text>')
-    return "".join([*parts, "</svg>"])
+
+def svg(edges: DataFrame) -> DataFrame:
+    """The lines (``line``, in order of ``part``, ``k``) of a picture of all resolved import edges: files in columns by their distance from files that nothing imports."""
+    pairs = stored(edges.where("resolved").select("from_file", "to_file").distinct(), "pairs")
+    names = pairs.select(F.col("from_file").alias("node")).union(pairs.select("to_file")).distinct()
+    row = F.row_number().over(Window.partitionBy("depth").orderBy("node"))
+    placed = _columns(pairs, names).select("node", (20 + 240 * F.col("depth")).alias("x"), (40 * row - 10).alias("y"))
+    placed = stored(placed, "placed")
+    ends = pairs.join(placed.selectExpr("node AS from_file", "x + 200 AS x1", "y AS y1"), "from_file").join(placed.selectExpr("node AS to_file", "x AS x2", "y AS y2"), "to_file")
+    lines = ends.select(F.lit(1).alias("part"), F.concat_ws("\n", "from_file", "to_file").alias("k"), F.format_string('<line x1="%d" y1="%d" x2="%d" y2="%d" stroke="#888"/>', "x1", "y1", "x2", "y2").alias("line"))
+    box = F.format_string('<rect x="%d" y="%d" width="200" height="30" fill="#eee"/><text x="%d" y="%d">', "x", F.col("y") - 15, F.col("x") + 8, F.col("y") + 5)
+    boxes = placed.select(F.lit(2).alias("part"), F.col("node").alias("k"), F.concat(box, xml_escape(F.col("node")), F.lit("</text>")).alias("line"))
+    size = placed.agg(F.coalesce(F.max("x") + 240, F.lit(260)).alias("w"), F.coalesce(F.max("y") + 70, F.lit(60)).alias("h"))
+    head = size.select(F.lit(0).alias("part"), F.lit("").alias("k"), F.format_string('<svg xmlns="http://www.w3.org/2000/svg" width="%d" height="%d">', "w", "h").alias("line"))
+    tail = size.select(F.lit(3).alias("part"), F.lit("").alias("k"), F.lit("</svg>").alias("line"))
+    return reduce(DataFrame.unionByName, [head, lines, boxes, tail])
+
+
+def write_svg(edges: DataFrame, path: str) -> None:
+    """The picture as one text file, a person's download."""
+    svg(edges).orderBy("part", "k").select("line").coalesce(1).write.text(path)

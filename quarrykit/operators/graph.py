@@ -79,9 +79,14 @@ def unused_folders(folders: DataFrame, graph: DataFrame, entries: DataFrame) ->
 
 
 def cycles(graph: DataFrame) -> DataFrame:
-    """Folders that import each other in a circle: ``component``, its sorted ``members`` and ``size``, smallest first."""
-    found = strong_components(graph.select("source", "target"))
-    return found.groupBy("component").agg(F.sort_array(F.collect_list("node")).alias("members"), F.count("*").alias("size")).orderBy("size", "component")
+    """Folders that import each other in a circle: ``component``, ``node`` (each of its folders) and ``size``."""
+    found = stored(strong_components(graph.select("source", "target")), "cycles")
+    return found.join(found.groupBy("component").agg(F.count("*").alias("size")), "component")
+
+
+def cycle_lists(found: DataFrame) -> DataFrame:
+    """``cycles`` as one row each, with sorted ``members``, smallest first; for reports of circles that a person reads."""
+    return found.groupBy("component").agg(F.sort_array(F.collect_list("node")).alias("members"), F.first("size").alias("size")).orderBy("size", "component")
 
 
 def unresolved(edges: DataFrame) -> DataFrame:
@@ -93,7 +98,7 @@ def report(files: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
     folders = files.select(folder_of(F.col("path")).alias("folder")).where("folder <> ''").distinct()
     graph, entries = folder_graph(edges, folders), entry_points(files)
     return {
-        "edges": edges, "folders": folders.orderBy("folder"), "entry_points": entries.orderBy("path"), "cycles": cycles(graph),
+        "edges": edges, "folders": folders.orderBy("folder"), "entry_points": entries.orderBy("path"), "cycles": cycle_lists(cycles(graph)),
         "dead_files": dead_files(files, edges, entries).orderBy("path"), "unused_folders": unused_folders(folders, graph, entries).orderBy("folder"), "unresolved": unresolved(edges),
     }
 

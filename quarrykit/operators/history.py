@@ -56,6 +56,11 @@ def streak_summary(commits: DataFrame) -> DataFrame:
     )
 
 
+def streak_leaders(commits: DataFrame) -> DataFrame:
+    """The summary of streaks, longest first; equals by e-mail."""
+    return streak_summary(commits).orderBy(F.desc("longest_days"), "email")
+
+
 def contributors(commits: DataFrame) -> DataFrame:
     """Commits, lines, first and last time of each contributor, known by e-mail or else by name; the newest commit names them."""
     key = F.coalesce(F.nullif(F.col("email"), F.lit("")), F.col("author"))

@@ -26,9 +26,15 @@ def tokens(text_column: str, folded: bool = True) -> F.Column:
     return F.filter(F.split(text, _TOKEN), lambda t: t != "")
 
 
-def build_index(files: DataFrame, folded: bool = True) -> DataFrame:
-    """``token``, ``file_id`` and the token's ``positions`` in it, of ``files`` (``file_id``, ``content``)."""
-    each = files.select("file_id", F.posexplode(tokens("content", folded)).alias("position", "token"))
+def build_index(files: DataFrame, folded: bool = True, only: str | None = None) -> DataFrame:
+    """``token``, ``file_id`` and the token's ``positions`` in it, of ``files`` (``file_id``, ``content``).
+
+    For a single query without a written index, ``only`` is its text: other tokens then don't leave their rows.
+    """
+    found = F.transform(tokens("content", folded), lambda t, k: F.struct(k.alias("position"), t.alias("token")))
+    if only is not None:
+        found = F.filter(found, lambda x: x["token"].isin(_tokens_of(only)))
+    each = files.select("file_id", F.inline(found))
     return each.groupBy("token", "file_id").agg(F.sort_array(F.collect_list("position")).alias("positions"))
 
 

@@ -56,24 +56,33 @@ def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumns({"folder": folder_of(F.col("path")), "name": base_name(F.col("path")), "depth": depth_of(F.col("path"))})
 
 
+#: Domains of the driver's pages, in the order in which a link is looked up beyond its own.
+DOMAINS = ("example.com", "example.net", "example.org")
+
+
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of pages, with the paths that each may mean: of its own host, then as written."""
+    """Links of pages, and the files that each may mean: ``domain/letter/word``, of its own domain first."""
     pages = page_paths(spark, sf_dir)
-    links = pages.select("page_id", F.substring_index("path", "/", 1).alias("host"), F.posexplode(F.regexp_extract_all("html", F.lit(LINKS), F.lit(1))).alias("ordinal", "spec"))
-    bare = F.regexp_replace("spec", r"[?#].*$", "")
-    plain = F.regexp_replace(bare, r"^[a-z]+://", "")
-    return links.withColumn("candidates", F.array(F.concat("host", F.when(bare.startswith("/"), bare).otherwise(F.concat(F.lit("/"), bare))), plain))
-
-
-def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each nation of customers the two nations of suppliers with most lines: a sparse graph (``source``, ``target``)."""
-    from pyspark.sql import Window
-
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-    counts = joined.groupBy(F.col("c_nationkey").alias("source"), F.col("s_nationkey").alias("target")).agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "target"))
-    return counts.withColumn("rank", rank).where("rank <= 2 AND source <> target").select("source", "target")
+    host = F.substring_index("path", "/", 1)
+    links = pages.select("page_id", F.regexp_extract(host, r"[^.]+\.[^.]+$", 0).alias("domain"), F.posexplode(F.regexp_extract_all("html", F.lit(LINKS), F.lit(1))).alias("ordinal", "spec"))
+    word = F.regexp_replace(F.regexp_replace("spec", "^/+", ""), r"[/?#].*$", "")
+    links = links.withColumn("tail", F.when(word != "", F.concat(F.lit("/"), F.lower(F.substring(word, 1, 1)), F.lit("/"), word)))
+    tries = F.array(F.concat("domain", "tail"), *[F.concat(F.lit(x), "tail") for x in DOMAINS])
+    return links.select("page_id", "ordinal", "spec", F.concat("domain", "tail").alias("own"), F.when(F.col("tail").isNotNull(), tries).alias("candidates"))
+
+
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page as the file of its first link's word; pages may share one. ``path`` and ``folder``, each path once."""
+    paths = page_links(spark, sf_dir).where("ordinal = 0 AND own IS NOT NULL").select(F.col("own").alias("path")).distinct()
+    return paths.withColumn("folder", folder_of(F.col("path")))
+
+
+def page_edges(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    """Import edges between files of pages, from resolved links (``page_id``, ``ordinal``, ``to_file``)."""
+    first = page_links(spark, sf_dir).where("ordinal = 0 AND own IS NOT NULL").select("page_id", F.col("own").alias("from_file"))
+    return found.where("to_file IS NOT NULL").join(first, "page_id").select("from_file", "to_file", F.lit("link").alias("kind"), F.lit(True).alias("resolved"))
+
+
+def first_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file of the first page, as an entry point (``path``)."""
+    return page_links(spark, sf_dir).where("page_id = 0 AND ordinal = 0 AND own IS NOT NULL").select(F.col("own").alias("path"))

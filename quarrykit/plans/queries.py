@@ -30,12 +30,19 @@ PAGES = r"""paths AS (SELECT page_id, html, regexp_replace(regexp_replace(url, '
 tree AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, regexp_extract(path, '[^/]*$') AS name, length(path) - length(replace(path, '/', '')) AS depth FROM paths),
 links AS (SELECT page_id, host, (generate_subscripts(specs, 1) - 1)::INTEGER AS ordinal, unnest(specs) AS spec FROM
   (SELECT page_id, split_part(path, '/', 1) AS host, regexp_extract_all(html, 'href="([^"]+)"', 1) AS specs FROM paths)),
-tries AS (SELECT page_id, ordinal, spec, 0 AS rank, host || CASE WHEN bare LIKE '/%' THEN bare ELSE '/' || bare END AS path FROM (SELECT *, regexp_replace(spec, '[?#].*$', '') AS bare FROM links)
-  UNION ALL SELECT page_id, ordinal, spec, 1, regexp_replace(regexp_replace(spec, '[?#].*$', ''), '^[a-z]+://', '') FROM links),
-resolved AS (SELECT page_id, ordinal, arg_min(path, rank) AS to_file FROM tries SEMI JOIN paths USING (path) GROUP BY ALL)"""
-TRADE = """pairs AS (SELECT c_nationkey AS source, s_nationkey AS target, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
-edges AS (SELECT source, target FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, target) AS rank FROM pairs) WHERE rank <= 2 AND source <> target),
+named AS (SELECT *, '/' || lower(substr(word, 1, 1)) || '/' || word AS tail FROM
+  (SELECT page_id, ordinal, spec, regexp_extract(host, '[^.]+\.[^.]+$') AS domain, regexp_replace(regexp_replace(spec, '^/+', ''), '[/?#].*$', '') AS word FROM links) WHERE word <> ''),
+owned AS (SELECT page_id, domain || tail AS path FROM named WHERE ordinal = 0),
+site AS (SELECT DISTINCT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder FROM owned),
+tries AS (SELECT page_id, ordinal, 0 AS rank, domain || tail AS path FROM named
+  UNION ALL SELECT page_id, ordinal, k, first || tail FROM named, (VALUES (1, 'example.com'), (2, 'example.net'), (3, 'example.org')) t(k, first)),
+resolved AS (SELECT page_id, ordinal, arg_min(path, rank) AS to_file FROM tries SEMI JOIN site USING (path) GROUP BY ALL),
+imports AS (SELECT owned.path AS from_file, to_file FROM resolved JOIN owned USING (page_id)),
+entries AS (SELECT path FROM owned WHERE page_id = 0)"""
+GRAPH = PAGES + r""",
+reached AS (SELECT path FROM entries UNION SELECT to_file FROM reached JOIN imports ON path = from_file),
+crossing AS (SELECT x.folder AS source, y.folder AS target FROM imports JOIN site x ON x.path = from_file JOIN site y ON y.path = to_file WHERE x.folder <> y.folder),
+edges AS (SELECT DISTINCT source, target FROM crossing),
 closure AS (SELECT source, target FROM edges UNION SELECT c.source, e.target FROM closure c JOIN edges e ON c.target = e.source)"""
 RUNS = r"""split AS (SELECT doc_id AS file_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS number FROM documents),
 lines AS (SELECT file_id, number, lower(regexp_replace(line, '^[\s\x{85}\x{A0}]+|[\s\x{85}\x{A0}]+$', '', 'g')) AS text FROM split),
@@ -270,7 +277,7 @@ hits AS (SELECT * FROM each_line WHERE regexp_matches(text, '{pattern}') QUALIFY
 @query(_hits("(?i)disgusting", "list_contains(string_split_regex(lower(content), '[^\\p{L}\\p{N}]+'), 'disgusting')"))
 def search_content(spark, d):
     files = A.document_files(spark, d)
-    return search.search_content(files, "Disgusting", index=search.build_index(files))
+    return search.search_content(files, "Disgusting", index=search.build_index(files, only="Disgusting"))
 
 
 @query(_hits("(?i)lic[a-z]+ under the [A-Z]"))
@@ -301,7 +308,7 @@ def _runs(spark, d):
 
 @query(f"WITH RECURSIVE {RUNS} SELECT file_id, number::BIGINT AS number, index::BIGINT AS index, text FROM solid")
 def normalized_lines(spark, d):
-    return _lines(spark, d).select("file_id", F.col("number").cast("long").alias("number"), F.col("index").cast("long").alias("index"), "text")
+    return duplicates.each_line(_lines(spark, d)).select("file_id", F.col("number").cast("long").alias("number"), F.col("index").cast("long").alias("index"), "text")
 
 
 @query(f"WITH RECURSIVE {RUNS} SELECT file_id, start::BIGINT AS start, first::BIGINT AS first, last::BIGINT AS last, fragment FROM runs")
@@ -315,6 +322,11 @@ def duplicate_pairs(spark, d):
     return duplicates.similar_pairs(_runs(spark, d)).withColumn("similarity", F.round("similarity", 9))
 
 
+@query(f"WITH RECURSIVE {RUNS} SELECT a, b, floor(least(similarity, 1) * 100 + 0.5)::BIGINT AS percent FROM pairs")
+def similarity_percent(spark, d):
+    return duplicates.in_percent(duplicates.similar_pairs(_runs(spark, d))).select("a", "b", "percent")
+
+
 @query(f"""WITH RECURSIVE {RUNS}, top AS (SELECT group_id, fragment FROM inside GROUP BY group_id, fragment QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY count(*) DESC, fragment) = 1),
 best AS (SELECT group_id, max(similarity) AS similarity FROM pairs JOIN members ON a = file_id GROUP BY group_id)
 SELECT group_id, fragment, 3::BIGINT AS lines, round(similarity, 9) AS similarity, file_count FROM counted JOIN top USING (group_id) JOIN best USING (group_id)""")
@@ -338,58 +350,70 @@ def link_specs(spark, d):
     return A.page_links(spark, d).select("page_id", "ordinal", "spec")
 
 
+def _resolved(spark, d):
+    return graph.resolve_first(A.page_links(spark, d), A.page_files(spark, d), ["page_id", "ordinal"])
+
+
+def _edges(spark, d):
+    return stored(A.page_edges(spark, d, _resolved(spark, d)), "edges")
+
+
+def _folder_graph(spark, d):
+    return graph.folder_graph(_edges(spark, d), A.page_files(spark, d).select("folder"))
+
+
 @query(f"WITH {PAGES} SELECT page_id, ordinal, spec, to_file FROM links LEFT JOIN resolved USING (page_id, ordinal)")
 def link_resolution(spark, d):
-    found = graph.resolve_first(A.page_links(spark, d), A.page_paths(spark, d), ["page_id", "ordinal"])
-    return found.select("page_id", "ordinal", "spec", "to_file")
+    return _resolved(spark, d).select("page_id", "ordinal", "spec", "to_file")
 
 
 @query(f"WITH {PAGES} SELECT page_id, ordinal, spec FROM links ANTI JOIN resolved USING (page_id, ordinal)")
 def unresolved_links(spark, d):
-    found = graph.resolve_first(A.page_links(spark, d), A.page_paths(spark, d), ["page_id", "ordinal"])
-    return graph.unresolved(found.withColumn("resolved", F.col("to_file").isNotNull())).select("page_id", "ordinal", "spec")
+    found = _resolved(spark, d).withColumn("resolved", F.col("to_file").isNotNull())
+    return graph.unresolved(found).select("page_id", "ordinal", "spec")
 
 
-@query(f"WITH RECURSIVE {TRADE} SELECT source, target FROM edges")
+@query(f"WITH RECURSIVE {GRAPH} SELECT source, target FROM crossing")
 def folder_graph(spark, d):
-    return A.trade_edges(spark, d)
+    return _folder_graph(spark, d)
 
 
-@query(f"WITH RECURSIVE {TRADE} SELECT 0 AS node UNION SELECT target FROM closure WHERE source = 0")
+@query(f"WITH RECURSIVE {GRAPH} SELECT path AS node FROM reached")
 def reachable_nodes(spark, d):
-    seeds = A.table(spark, d, "nation").where("n_nationkey = 0").select(F.col("n_nationkey").alias("node"))
-    return reachable(stored(A.trade_edges(spark, d), "edges"), seeds)
+    edges = _edges(spark, d).select(F.col("from_file").alias("source"), F.col("to_file").alias("target"))
+    return reachable(stored(edges.distinct(), "steps"), A.first_entry(spark, d).select(F.col("path").alias("node")))
 
 
-@query(f"WITH RECURSIVE {TRADE} SELECT n_nationkey AS node FROM nation WHERE n_nationkey <> 0 AND n_nationkey NOT IN (SELECT target FROM closure WHERE source = 0)")
+@query(f"WITH RECURSIVE {GRAPH} SELECT path FROM site ANTI JOIN reached USING (path)")
 def dead_nodes(spark, d):
-    nations = A.table(spark, d, "nation").select(F.col("n_nationkey").alias("node"))
-    return nations.join(reachable(stored(A.trade_edges(spark, d), "edges"), nations.where("node = 0")), "node", "left_anti")
+    return graph.dead_files(A.page_files(spark, d), _edges(spark, d), A.first_entry(spark, d))
 
 
-@query(f"WITH RECURSIVE {TRADE} SELECT n_nationkey AS node FROM nation WHERE n_nationkey <> 0 AND n_nationkey NOT IN (SELECT target FROM edges)")
+@query(f"WITH RECURSIVE {GRAPH} SELECT DISTINCT folder FROM site WHERE folder NOT IN (SELECT target FROM edges) AND folder NOT IN (SELECT folder FROM site SEMI JOIN entries USING (path))")
 def unused_nodes(spark, d):
-    nations = A.table(spark, d, "nation").select(F.col("n_nationkey").alias("node"))
-    used = A.trade_edges(spark, d).select(F.col("target").alias("node")).unionByName(nations.where("node = 0")).distinct()
-    return nations.join(used, "node", "left_anti")
+    return graph.unused_folders(A.page_files(spark, d), _folder_graph(spark, d), A.first_entry(spark, d))
+
+
+@query(f"WITH {PAGES} SELECT DISTINCT from_file AS node FROM imports UNION SELECT to_file FROM imports")
+def graph_nodes(spark, d):
+    return graph.nodes(_edges(spark, d))
 
 
-@query(f"""WITH RECURSIVE {TRADE}, mutual AS (SELECT a.source AS node, a.target AS other FROM closure a JOIN closure b ON a.source = b.target AND a.target = b.source),
-named AS (SELECT node, min(other) AS component, count(DISTINCT other) AS n FROM mutual GROUP BY node) SELECT node, component, n AS size FROM named WHERE n > 1""")
+@query(f"""WITH RECURSIVE {GRAPH}, mutual AS (SELECT a.source AS node, a.target AS other FROM closure a JOIN closure b ON a.source = b.target AND a.target = b.source),
+named_ AS (SELECT node, min(other) AS component, count(DISTINCT other) AS n FROM mutual GROUP BY node) SELECT node, component, n AS size FROM named_ WHERE n > 1""")
 def cycles(spark, d):
-    found = graph.cycles(stored(A.trade_edges(spark, d), "edges"))
-    return found.select(F.explode("members").alias("node"), "component", "size")
+    return graph.cycles(_folder_graph(spark, d)).select("node", "component", "size")
 
 
 @query("SELECT p_brand AS manager, count(*) OVER (PARTITION BY p_brand) AS total, p_name AS name, p_type AS scope FROM part")
 def dependencies_grouped(spark, d):
     parts = A.table(spark, d, "part").select(F.col("p_brand").alias("manager"), F.col("p_name").alias("name"), F.lit("").alias("version"), F.col("p_type").alias("scope"))
-    return catalog.grouped_dependencies(parts).select("manager", "total", F.explode("entries").alias("e")).select("manager", "total", "e.name", "e.scope")
+    return catalog.grouped_dependencies(parts).select("manager", "total", "name", "scope")
 
 
 @query("SELECT p_brand AS manager, count(*) AS dependencies FROM part GROUP BY p_brand")
 def manager_counts(spark, d):
-    return A.table(spark, d, "part").groupBy(F.col("p_brand").alias("manager")).agg(F.count("*").alias("dependencies"))
+    return catalog.manager_counts(A.table(spark, d, "part").select(F.col("p_brand").alias("manager")))
 
 
 @query(f"WITH {FILES}, sums AS (SELECT sum(lines_code)::BIGINT AS code, sum(lines_comment)::BIGINT AS comment, sum(lines_blank)::BIGINT AS blank FROM code) UNPIVOT sums ON code, comment, blank INTO NAME kind VALUE lines")

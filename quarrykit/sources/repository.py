@@ -19,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from quarrykit.functions.code import code_metrics, line_counts
 from quarrykit.functions.languages import language_of
 from quarrykit.functions.paths import base_name, extension_of, folder_of
+from quarrykit.iterate import delete_path
 from quarrykit.schemas import COMMITS, FILE_CHANGES, RAW_FILES
 from quarrykit.settings import Settings
 
@@ -180,7 +181,15 @@ def browse(path: str) -> tuple[str, str, list[str]]:
     return path, os.path.dirname(path), sorted(inside, key=str.lower)
 
 
-def write_tables(tables: dict[str, DataFrame], path: str) -> None:
-    """Writes each table as Parquet by repository; a repository that is scanned again replaces its own rows alone."""
+def write_tables(tables: dict[str, DataFrame], path: str, repo_ids: list[int] | None = None) -> None:
+    """Writes each table as Parquet by repository; a repository that is scanned again replaces its own rows alone.
+
+    ``repo_ids`` are the repositories that were scanned, or else all that have a row in any table. A table that has no rows of one of
+    them any more loses the old ones too.
+    """
+    seen = {name: {r.repo_id for r in table.select("repo_id").distinct().collect()} for name, table in tables.items()}  # a few ids
+    scanned = set().union(*seen.values()) if repo_ids is None else set(repo_ids)
     for name, table in tables.items():
         table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(f"{path}/{name}")
+        for repo_id in sorted(scanned - seen[name]):
+            delete_path(table.sparkSession, f"{path}/{name}/repo_id={repo_id}")

@@ -1,5 +1,6 @@
 import json
 import os
+import random
 import subprocess
 
 import pytest
@@ -108,8 +109,11 @@ def test_import_graph(spark):
     assert [r.path for r in report["dead_files"].collect()] == ["go.mod", "old/dead.py"]
     assert [r.members for r in report["cycles"].collect()] == [["src", "src/lib"]]
     assert [r.folder for r in report["unused_folders"].collect()] == ["old"]
-    picture = export.svg(edges)
-    assert picture.startswith("<svg") and "main.go" in picture
+    drawn = [r.line for r in export.svg(edges).orderBy("part", "k").collect()]
+    assert drawn[0].startswith("<svg") and drawn[-1] == "</svg>" and len(drawn) == 2 + 3 + 4
+    # main.go is at the top of the first column, its folder beside it; a circle without a top is drawn in the first column too
+    assert '<line x1="220" y1="30" x2="260" y2="30" stroke="#888"/>' in drawn and sum('<rect x="20"' in x for x in drawn) == 3
+    assert [r.line for r in export.svg(edges.limit(0)).orderBy("part", "k").collect()] == ['<svg xmlns="http://www.w3.org/2000/svg" width="260" height="60">', "</svg>"]
 
 
 def test_exports(spark, tmp_path):
@@ -186,6 +190,40 @@ def test_scan_of_a_repository(spark, tmp_path):
     repository.write_tables({"files": tables["files"]}, str(tmp_path / "out"))
     repository.write_tables({"files": tables["files"].limit(1)}, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/files")).count() == 1
+    repository.write_tables({"files": tables["files"], "tags": tables["tags"]}, str(tmp_path / "out"))
+    other = tables["files"].limit(2).withColumn("repo_id", F.lit(2).cast("long"))
+    repository.write_tables({"files": other}, str(tmp_path / "out"))
+    repository.write_tables({"files": tables["files"], "tags": tables["tags"].limit(0)}, str(tmp_path / "out"))
+    stored_ = {x: spark.read.schema(tables[x].schema).parquet(str(tmp_path / "out" / x)) for x in ("files", "tags")}
+    assert stored_["tags"].count() == 0 and catalog.of_repository(stored_, 2)["files"].count() == 2 and catalog.of_repository(stored_, 1)["files"].count() == tables["files"].count()
+
+
+def test_orders_and_percent(spark):
+    repos = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-03-01"), (3, "2024-03-01")], "repo_id long, scanned_at string")
+    assert [r.repo_id for r in catalog.repositories(repos).collect()] == [2, 3, 1]
+    days = [("a", 1), ("b", 1), ("b", 2), ("c", 5), ("c", 6), ("d", 1), ("d", 2), ("d", 3)]
+    commits = spark.createDataFrame([(e, f"2024-01-0{d} 10:00:00") for e, d in days], "email string, date string").withColumn("date", F.to_timestamp("date"))
+    assert [r.email for r in history.streak_leaders(commits).collect()] == ["d", "b", "c", "a"]
+    deps = spark.createDataFrame([("pip", "b"), ("npm", "z"), (None, "n"), ("pip", "a")], "manager string, name string").withColumns({"version": F.lit(""), "scope": F.lit("")})
+    assert [(r.manager, r.total, r.name) for r in catalog.grouped_dependencies(deps).collect()] == [(None, 1, "n"), ("npm", 1, "z"), ("pip", 2, "a"), ("pip", 2, "b")]
+    pairs = spark.createDataFrame([(0.6,), (0.555,), (1.5,)], "similarity double")
+    assert sorted(r.percent for r in duplicates.in_percent(pairs).collect()) == [56, 60, 100]
+
+
+def test_graph_loops_equal_brute_force(spark):
+    rng = random.Random(5)
+    pairs = {(rng.randrange(40), rng.randrange(40)) for _ in range(60)} | {(k, k + 1) for k in range(50, 75)}
+    edges = spark.createDataFrame(sorted(pairs), "source long, target long")
+    reach = {}
+    for n in {x for p in pairs for x in p}:
+        seen, todo = {n}, [n]
+        while todo:
+            todo = [b for a, b in pairs if a in todo and b not in seen and not seen.add(b)]
+        reach[n] = seen
+    got = {r.node for r in reachable(edges, spark.createDataFrame([(50,), (0,)], "node long")).collect()}
+    assert got == reach[50] | reach.get(0, {0})
+    want = {n: min(m for m in reach[n] if n in reach[m]) for n in reach if any(m != n and n in reach[m] for m in reach[n])}
+    assert {r.node: r.component for r in strong_components(edges).collect()} == want and want
 
 
 def test_streams_equal_batches(spark, tmp_path):
