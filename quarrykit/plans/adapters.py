@@ -56,17 +56,19 @@ def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumns({"folder": folder_of(F.col("path")), "name": base_name(F.col("path")), "depth": depth_of(F.col("path"))})
 
 
+#: Letters of a word that name a file.
+STEM = 6
 #: Domains of the driver's pages, in the order in which a link is looked up beyond its own.
 DOMAINS = ("example.com", "example.net", "example.org")
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of pages, and the files that each may mean: ``domain/letter/word``, of its own domain first."""
+    """Links of pages, and the files that each may mean: ``domain/letter/stem`` of the word it names, of its own domain first."""
     pages = page_paths(spark, sf_dir)
     host = F.substring_index("path", "/", 1)
     links = pages.select("page_id", F.regexp_extract(host, r"[^.]+\.[^.]+$", 0).alias("domain"), F.posexplode(F.regexp_extract_all("html", F.lit(LINKS), F.lit(1))).alias("ordinal", "spec"))
     word = F.regexp_replace(F.regexp_replace("spec", "^/+", ""), r"[/?#].*$", "")
-    links = links.withColumn("tail", F.when(word != "", F.concat(F.lit("/"), F.lower(F.substring(word, 1, 1)), F.lit("/"), word)))
+    links = links.withColumn("tail", F.when(word != "", F.concat(F.lit("/"), F.lower(F.substring(word, 1, 1)), F.lit("/"), F.lower(F.substring(word, 1, STEM)))))
     tries = F.array(F.concat("domain", "tail"), *[F.concat(F.lit(x), "tail") for x in DOMAINS])
     return links.select("page_id", "ordinal", "spec", F.concat("domain", "tail").alias("own"), F.when(F.col("tail").isNotNull(), tries).alias("candidates"))
 
@@ -83,6 +85,7 @@ def page_edges(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
     return found.where("to_file IS NOT NULL").join(first, "page_id").select("from_file", "to_file", F.lit("link").alias("kind"), F.lit(True).alias("resolved"))
 
 
-def first_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The file of the first page, as an entry point (``path``)."""
-    return page_links(spark, sf_dir).where("page_id = 0 AND ordinal = 0 AND own IS NOT NULL").select(F.col("own").alias("path"))
+def page_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of pages whose own path ends in ``.html``, as entry points (``path``)."""
+    entries = page_paths(spark, sf_dir).where("endswith(path, '.html')").select("page_id")
+    return page_links(spark, sf_dir).where("ordinal = 0 AND own IS NOT NULL").join(entries, "page_id", "left_semi").select(F.col("own").alias("path")).distinct()

@@ -30,7 +30,7 @@ PAGES = r"""paths AS (SELECT page_id, html, regexp_replace(regexp_replace(url, '
 tree AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, regexp_extract(path, '[^/]*$') AS name, length(path) - length(replace(path, '/', '')) AS depth FROM paths),
 links AS (SELECT page_id, host, (generate_subscripts(specs, 1) - 1)::INTEGER AS ordinal, unnest(specs) AS spec FROM
   (SELECT page_id, split_part(path, '/', 1) AS host, regexp_extract_all(html, 'href="([^"]+)"', 1) AS specs FROM paths)),
-named AS (SELECT *, '/' || lower(substr(word, 1, 1)) || '/' || word AS tail FROM
+named AS (SELECT *, '/' || lower(substr(word, 1, 1)) || '/' || lower(substr(word, 1, 6)) AS tail FROM
   (SELECT page_id, ordinal, spec, regexp_extract(host, '[^.]+\.[^.]+$') AS domain, regexp_replace(regexp_replace(spec, '^/+', ''), '[/?#].*$', '') AS word FROM links) WHERE word <> ''),
 owned AS (SELECT page_id, domain || tail AS path FROM named WHERE ordinal = 0),
 site AS (SELECT DISTINCT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder FROM owned),
@@ -38,7 +38,7 @@ tries AS (SELECT page_id, ordinal, 0 AS rank, domain || tail AS path FROM named
   UNION ALL SELECT page_id, ordinal, k, first || tail FROM named, (VALUES (1, 'example.com'), (2, 'example.net'), (3, 'example.org')) t(k, first)),
 resolved AS (SELECT page_id, ordinal, arg_min(path, rank) AS to_file FROM tries SEMI JOIN site USING (path) GROUP BY ALL),
 imports AS (SELECT owned.path AS from_file, to_file FROM resolved JOIN owned USING (page_id)),
-entries AS (SELECT path FROM owned WHERE page_id = 0)"""
+entries AS (SELECT DISTINCT path FROM owned WHERE page_id IN (SELECT page_id FROM paths WHERE path LIKE '%.html'))"""
 GRAPH = PAGES + r""",
 reached AS (SELECT path FROM entries UNION SELECT to_file FROM reached JOIN imports ON path = from_file),
 crossing AS (SELECT x.folder AS source, y.folder AS target FROM imports JOIN site x ON x.path = from_file JOIN site y ON y.path = to_file WHERE x.folder <> y.folder),
@@ -381,17 +381,17 @@ def folder_graph(spark, d):
 @query(f"WITH RECURSIVE {GRAPH} SELECT path AS node FROM reached")
 def reachable_nodes(spark, d):
     edges = _edges(spark, d).select(F.col("from_file").alias("source"), F.col("to_file").alias("target"))
-    return reachable(stored(edges.distinct(), "steps"), A.first_entry(spark, d).select(F.col("path").alias("node")))
+    return reachable(stored(edges.distinct(), "steps"), A.page_entries(spark, d).select(F.col("path").alias("node")))
 
 
 @query(f"WITH RECURSIVE {GRAPH} SELECT path FROM site ANTI JOIN reached USING (path)")
 def dead_nodes(spark, d):
-    return graph.dead_files(A.page_files(spark, d), _edges(spark, d), A.first_entry(spark, d))
+    return graph.dead_files(A.page_files(spark, d), _edges(spark, d), A.page_entries(spark, d))
 
 
 @query(f"WITH RECURSIVE {GRAPH} SELECT DISTINCT folder FROM site WHERE folder NOT IN (SELECT target FROM edges) AND folder NOT IN (SELECT folder FROM site SEMI JOIN entries USING (path))")
 def unused_nodes(spark, d):
-    return graph.unused_folders(A.page_files(spark, d), _folder_graph(spark, d), A.first_entry(spark, d))
+    return graph.unused_folders(A.page_files(spark, d), _folder_graph(spark, d), A.page_entries(spark, d))
 
 
 @query(f"WITH {PAGES} SELECT DISTINCT from_file AS node FROM imports UNION SELECT to_file FROM imports")
