@@ -239,8 +239,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     found = stored(met.groupBy(*keys, "i", "j").applyInPandas(_compare(threshold), "node long, links long, to long"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("to").alias("b")))
-    judged = classes.join(stored(links.join(roots, "node"), "linked"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ends = judged.groupBy("root").agg(F.min("first").alias("end"))
+    # written before they meet, so that a large component's join can be split
+    judged = stored(classes.join(stored(links.join(roots, "node"), "linked"), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    ends = stored(judged.groupBy("root").agg(F.min("first").alias("end")), "ends")
     judged = stored(judged.join(ends, "root").select(*same, (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "end"), "judged")
     return _named(able.join(judged, same).select(*ids, "n_links", "end").unionByName(plain))
 

@@ -98,8 +98,9 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHO
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("to").alias("b")))
     linked = stored(links.join(roots, "node"), "linked")
-    judged = classes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ends = judged.groupBy("root").agg(F.min("first").alias("end"))
+    # written before they meet, so that a large component's join can be split
+    judged = stored(classes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    ends = stored(judged.groupBy("root").agg(F.min("first").alias("end")), "ends")
     judged = stored(judged.join(ends, "root").select(*same, F.col("first.doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.col("end.doc_id").alias("component_id"), (F.col("end.row")).alias("kept_row")), "judged")
     released(nodes, found, linked)
     plain = sets.select("doc_id", "row", *same).where("n > 0").join(judged, same)
