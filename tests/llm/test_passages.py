@@ -3,7 +3,6 @@
 import collections
 
 import numpy as np
-import pytest
 
 from quarrykit.llm import paragraph_dedup
 from quarrykit.llm.shingles import mixed, multipliers
@@ -47,11 +46,12 @@ def repeats(rows, least):
     return out
 
 
-@pytest.mark.parametrize("sizes", [[4] * 15, [10, 3] * 8, [1, 2, 3, 4] * 10, [4, 30, 2, 2, 6, 3] * 2])
-def test_passages_of_short_lines_equal_brute_force(spark, make, sizes):
-    passage = lines(5, sizes)
-    rows = [(i, lines(100 + i, [12, 3, 9]) + "\n" + passage + "\n" + lines(200 + i, [3, 20, 7])) for i in range(6)]
-    assert removed(spark, make, rows) == repeats(rows, 22) and len(repeats(rows, 22)) == 5
+def test_passages_of_short_lines_equal_brute_force(spark, make):
+    rows = []
+    for n, sizes in enumerate([[4] * 15, [10, 3] * 8, [1, 2, 3, 4] * 10, [4, 30, 2, 2, 6, 3] * 2]):
+        passage = lines(5 + n, sizes)
+        rows += [(10 * n + i, lines(1000 * n + 100 + i, [12, 3, 9]) + "\n" + passage + "\n" + lines(1000 * n + 200 + i, [3, 20, 7])) for i in range(6)]
+    assert removed(spark, make, rows) == repeats(rows, 22) and len(repeats(rows, 22)) == 20
 
 
 def test_passages_inside_lines_are_found_whole(spark, make):
