@@ -64,6 +64,14 @@ def _under(folder: str, rest: str) -> str:
     return f"{folder}/{rest}"
 
 
+# fixed values: what is put behind and before a spec to make paths, best first
+SCRIPT_ENDS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
+TYPED_ENDS = (".ts", ".tsx")
+PYTHON_ROOTS, PYTHON_ENDS = ("", "src/"), (".py", "/__init__.py")
+RUST_ROOTS, RUST_ENDS = ("src/", ""), (".rs", "/mod.rs")
+JAVA_ROOTS = ("", "src/main/java/", "src/main/kotlin/", "src/")
+
+
 def candidates(from_file: str, language: str, spec: str) -> list[str]:
     """Paths that a spec may mean, best first; none if it lies outside the repository. Go has its own rule (see ``operators.graph``)."""
     folder = posixpath.dirname(from_file)
@@ -71,29 +79,28 @@ def candidates(from_file: str, language: str, spec: str) -> list[str]:
         if not spec.startswith(("./", "../")):
             return []
         base = posixpath.normpath(posixpath.join(folder, spec))
-        ends = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
-        more = [base[:-3] + e for e in (".ts", ".tsx")] if base.endswith(".js") else []
-        return [base + e for e in ends] + more
+        more = [base[:-3] + e for e in TYPED_ENDS] if base.endswith(".js") else []
+        return [base + e for e in SCRIPT_ENDS] + more
     if language == "Python":
         spec = spec.removeprefix(".")
         parts = [p for p in spec.split(".") if p]
         if not parts or spec.startswith("."):
             return []
         base = posixpath.normpath("/".join(parts))
-        return [f"{root}{base}{end}" for root in ("", "src/") for end in (".py", "/__init__.py")]
+        return [f"{root}{base}{end}" for root in PYTHON_ROOTS for end in PYTHON_ENDS]
     if language == "Rust":
         head, colons, rest = spec.strip().partition("::")
         name = rest.split("::", 1)[0]
         if not colons or head not in ("crate", "super", "self"):
             return []
-        roots = ("src/", "") if head == "crate" else (_under(folder, ""),)
-        return [f"{root}{name}{end}" for root in roots for end in (".rs", "/mod.rs")]
+        roots = RUST_ROOTS if head == "crate" else (_under(folder, ""),)
+        return [f"{root}{name}{end}" for root in roots for end in RUST_ENDS]
     if language in ("Java", "Kotlin", "C#"):
         parts = spec.split(".")
         if len(parts) < 2:
             return []
         inner = posixpath.normpath("/".join(p for p in parts[:-1] if p) or ".")
-        return [f"{root}{inner}/{parts[-1]}.java" for root in ("", "src/main/java/", "src/main/kotlin/", "src/")]
+        return [f"{root}{inner}/{parts[-1]}.java" for root in JAVA_ROOTS]
     if language in ("C", "C++"):
         return [] if spec.startswith("/") else [_under(folder, spec), spec]
     if language == "PHP":

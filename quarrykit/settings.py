@@ -12,6 +12,7 @@ IGNORED_FOLDERS = (
 )
 
 
+# fixed values: names and defaults of settings; ``workerCount``, ``maxSearchFiles`` and ``theme`` are kept in the text and used by nothing here
 @dataclass(frozen=True)
 class Settings:
     ignoreFolders: list[str] = field(default_factory=lambda: list(IGNORED_FOLDERS))
