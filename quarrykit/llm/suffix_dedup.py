@@ -6,11 +6,13 @@ with the smallest hash; equal windows have equal anchors at equal places. Four s
 1. documents -> buckets: hashes of anchors, each document chunk saying only which it has;
 2. buckets -> chunks: the anchors that another document has too, to meet the chunk's documents;
 3. chunks -> buckets: texts around shared anchors, once a chunk for all copies; there all windows of texts that share an
-   anchor are sorted (``suffix_sort``), and the smallest document with each window is found;
+   anchor and the bytes beside it are sorted (``suffix_sort``), and the smallest document with each window is found;
 4. buckets -> chunks: that document for each such text; chunks mark and remove what they hold again.
 
 A chunk is a hash share of the documents, a bucket a hash share of anchors; both are as many as shuffle partitions. A string
-that very many documents hold costs one entry a chunk.
+that very many documents hold costs one entry a chunk. A phrase that very many documents hold in differing surroundings is an
+anchor of many texts: its windows go to buckets by the bytes around it that windows with the anchor in about the same place
+share (all but 7 of a window's), each window to one bucket and equal windows to the same.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from quarrykit.llm.common import partitions
 from quarrykit.llm.suffix_sort import sort_windows, words
 
 ANCHOR = 20
+#: Places of a window around its anchor that go to one bucket together.
+STEP = 8
 #: Bytes of text that a task looks at together, and holds before it passes on what it has found.
 SLICE, HELD = 2**20, 2**25
 #: Bits of a place in a slice, which has less than 2 * SLICE + 2 * length bytes. The same for all slices, so that equal windows choose equal anchors.
@@ -134,6 +138,26 @@ def runs(data: np.ndarray, bounds: np.ndarray, length: int) -> Iterator[tuple[np
         yield hashes[place[at]], at + start, ends - at + 1, place[at] - at, text_words, start
 
 
+def _parts(at: np.ndarray, count: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs parted where the bytes before the anchor pass a multiple of ``STEP``: first window, windows, and the anchor's place in the first.
+
+    A window's place around its anchor decides, so equal windows are in like parts.
+    """
+    last = (off - count + 1) // STEP  # the anchor's place falls from window to window
+    n = off // STEP - last + 1
+    run = np.repeat(np.arange(len(at)), n)
+    step = off[run] // STEP - (np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n))
+    high = np.minimum(off[run], (step + 1) * STEP - 1)
+    low = np.maximum((off - count + 1)[run], step * STEP)
+    return at[run] + off[run] - high, high - low + 1, high
+
+
+def _beside(text_words: np.ndarray, at: np.ndarray, off: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the bytes around the anchor that all windows of a like part hold (``length - STEP + 1`` of them)."""
+    most = length - ANCHOR - (STEP - 1)
+    return _hash(text_words, at + off - np.minimum(off // STEP * STEP, most), length - STEP + 1)
+
+
 def _class_hash(text_words: np.ndarray, at: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
     """Of the texts that runs cover, by their first and last window, which overlap; the run's length goes in."""
     h = _hash(text_words, at, length, seed=0x5851F42D)
@@ -270,7 +294,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             return
         known = np.unique(np.concatenate([_unpack(b, "<u8")[0] for b in others]))
         spans: dict[str, list[np.ndarray]] = {x: [] for x in ("hash", "class", "doc", "off", "count", "text")}
-        size = length + length - ANCHOR  # the longest text of a run
+        size = length + STEP - 1  # the longest text of a part
         for blob in docs_:
             for batch in pa.ipc.open_stream(blob):
                 ids, data, bounds = _columns(batch, id_col, text_col)
@@ -278,8 +302,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                     hit = _member(hashes >> np.uint64(low), known)
                     if not hit.any():
                         continue
-                    hashes, at, count, off = hashes[hit], at[hit], count[hit], off[hit]
+                    at, count, off = _parts(at[hit], count[hit], off[hit])
                     local = at - start
+                    hashes = _beside(text_words, local, off, length)
                     cls = _class_hash(text_words, local, count, length)
                     owner = ids[np.searchsorted(bounds, at, side="right") - 1]
                     chars = text_words[local[:, None] + np.arange(0, size, 8)].astype(">u8").view(np.uint8)[:, :size]
@@ -303,7 +328,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         got = []
         for batch in batches:
             for blob in batch["blob"]:
-                got.append(_unpack_texts(blob.as_py(), 2 * length - ANCHOR))
+                got.append(_unpack_texts(blob.as_py(), length + STEP - 1))
         if not got:
             return
         me, least, most, off, count, text = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -311,7 +336,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         flat[: text.size] = text.reshape(-1)
         text_words = words(flat, text.size + 32)
         starts = np.arange(len(text), dtype=np.int64) * text.shape[1]
-        hashes = _hash(text_words, starts + off, ANCHOR)
+        hashes = _beside(text_words, starts, off.astype(np.int64), length)
         cls = _class_hash(text_words, starts, count.astype(np.int64), length)
         order = np.lexsort((least, cls, hashes))
         new = np.r_[True, (hashes[order][1:] != hashes[order][:-1]) | (cls[order][1:] != cls[order][:-1])]
@@ -322,7 +347,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         # stretches of windows with one smallest document: class, first, last, document
         found = []
         rep_count = count[rep].astype(np.int64)
-        # whole anchors at a time, as many as are to be sorted together
+        # all parts with the same bytes at a time, as many as are to be sorted together
         anchor_new = np.r_[True, class_hash[1:] != class_hash[:-1]]
         share = np.cumsum(rep_count) // SORTED
         lo = 0
@@ -370,7 +395,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             for batch in pa.ipc.open_stream(blob):
                 ids, data, bounds = _columns(batch, id_col, text_col)
                 marks = np.zeros(int(bounds[-1] - bounds[0]) + 1, dtype=np.int32)
-                for found, at, count, _, text_words, start in runs(data, bounds, length) if others else ():
+                for _, at, count, off, text_words, start in runs(data, bounds, length) if others else ():
+                    at, count, off = _parts(at, count, off)
+                    found = _beside(text_words, at - start, off, length)
                     mine = found * _K[0] ^ _class_hash(text_words, at - start, count, length)
                     lo, hi = np.searchsorted(key, mine, side="left"), np.searchsorted(key, mine, side="right")
                     hit = np.flatnonzero(hi > lo)

@@ -153,6 +153,32 @@ def test_equal_windows_have_equal_anchors_whatever_the_slice(monkeypatch):
     assert all(len(x) == 1 for x in anchor.values())
 
 
+def test_windows_of_a_frequent_phrase_part_by_the_bytes_beside_it(make):
+    rng = np.random.default_rng(8)
+    phrase = "in nearly all documents"
+    beside = ["".join(chr(97 + k) for k in rng.integers(0, 26, 40)) for _ in range(150)]
+    rows = [(k, beside[rng.integers(0, 150)][: rng.integers(0, 41)] + phrase + beside[rng.integers(0, 150)]) for k in range(300)]
+    cleaned = suffix_dedup.remove_repeats(make(rows).repartition(7))
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in cleaned.collect()} == _without_repeats(rows)
+    data = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    bounds = np.r_[0, np.cumsum([len(t) for _, t in rows])]
+    group: dict[bytes, set] = {}
+    size: dict[int, set] = {}
+    whole: dict[int, set] = {}
+    for hashes, at, count, off, text_words, start in suffix_dedup.runs(data, bounds, 50):
+        for h, a, c in zip(hashes.tolist(), at.tolist(), count.tolist(), strict=True):
+            whole.setdefault(h, set()).update(data[a + k : a + k + 50].tobytes() for k in range(c))
+        part_at, part_count, part_off = suffix_dedup._parts(at, count, off)
+        assert part_count.sum() == count.sum() and (part_count > 0).all()
+        for h, a, c in zip(suffix_dedup._beside(text_words, part_at - start, part_off, 50).tolist(), part_at.tolist(), part_count.tolist(), strict=True):
+            for k in range(c):
+                window = data[a + k : a + k + 50].tobytes()
+                group.setdefault(window, set()).add(h)
+                size.setdefault(h, set()).add(window)
+    assert all(len(x) == 1 for x in group.values())
+    assert max(map(len, size.values())) < max(map(len, whole.values())) / 4
+
+
 def test_rows_with_one_id_do_not_remove_each_other(make):
     cleaned = suffix_dedup.remove_repeats(make([(1, prose(0)), (1, prose(0)), (2, prose(0))]))
     assert sorted((r.doc_id, r.n_removed > 0) for r in cleaned.collect()) == [(1, False), (1, False), (2, True)]

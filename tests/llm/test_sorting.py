@@ -19,6 +19,19 @@ def test_windows_come_in_order(data, length, repeat):
     assert begins.tolist() == [True] + [a != b for a, b in zip(got, got[1:])]
 
 
+def test_many_windows_are_parted_by_pivots():
+    rng = np.random.default_rng(4)
+    raw = np.r_[np.tile(rng.integers(97, 99, 700, dtype=np.uint8), 20), rng.integers(97, 99, 16_000, dtype=np.uint8), np.full(6_000, 97, np.uint8)]
+    text_words = words(np.r_[raw, np.zeros(80, np.uint8)], len(raw) + 60)
+    at = rng.permutation(len(raw) - 49)
+    order, begins = sort_windows(text_words, at, 50)
+    text = raw.tobytes()
+    got = [text[i : i + 50] for i in order]
+    assert len(at) > 8 * 4096 and sorted(order) == sorted(at)
+    assert got == sorted(got)
+    assert begins.tolist() == [True] + [a != b for a, b in zip(got, got[1:])]
+
+
 def test_quicksort_leaves_long_common_prefixes_to_tries():
     raw = np.frombuffer(b"x" * 20 + b"a" * 30 + b"x" * 20 + b"b" * 30 + b"\0" * 80, dtype=np.uint8)
     text_words = words(raw, 140)
