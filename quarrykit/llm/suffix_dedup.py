@@ -6,13 +6,14 @@ with the smallest hash; equal windows have equal anchors at equal places. Four s
 1. documents -> buckets: hashes of anchors, each document chunk saying only which it has;
 2. buckets -> chunks: the anchors that another document has too, to meet the chunk's documents;
 3. chunks -> buckets: texts around shared anchors, once a chunk for all copies; there all windows of texts that share an
-   anchor and the bytes beside it are sorted (``suffix_sort``), and the smallest document with each window is found;
+   anchor are sorted (``suffix_sort``), and the smallest document with each window is found;
 4. buckets -> chunks: that document for each such text; chunks mark and remove what they hold again.
 
 A chunk is a hash share of the documents, a bucket a hash share of anchors; both are as many as shuffle partitions. A string
-that very many documents hold costs one entry a chunk. A phrase that very many documents hold in differing surroundings is an
-anchor of many texts: its windows go to buckets by the bytes around it that windows with the anchor in about the same place
-share (all but 7 of a window's), each window to one bucket and equal windows to the same.
+that very many documents hold costs one entry a chunk. A phrase that very many documents hold in differing surroundings would
+be an anchor of more texts than a task should sort. Buckets name such crowded anchors in step 2, and their windows go to buckets
+by the bytes around the anchor that windows with it in about the same place share (all but 7 of a window's): each window to one
+bucket, equal windows to the same.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ from quarrykit.llm.common import partitions
 from quarrykit.llm.suffix_sort import sort_windows, words
 
 ANCHOR = 20
-#: Places of a window around its anchor that go to one bucket together.
+#: Places of a window around a crowded anchor that go to one bucket together.
 STEP = 8
+#: Marks in numbers that have the bit free: of an anchor in a reply, and of a text's place of the anchor.
+_CROWDED, _PART_MARK = np.uint64(1 << 63), np.uint16(1 << 15)
 #: Bytes of text that a task looks at together, and holds before it passes on what it has found.
 SLICE, HELD = 2**20, 2**25
 #: Bits of a place in a slice, which has less than 2 * SLICE + 2 * length bytes. The same for all slices, so that equal windows choose equal anchors.
@@ -216,7 +219,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", crowded: int = 4096) -> DataFrame:
     """Removes each byte covered by a string of ``length`` bytes that also starts in a document with a smaller id.
 
     Texts are UTF-8 bytes; strings are judged on the input, and overlaps count. Returns the rows of ``docs`` with
@@ -224,11 +227,14 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     bytes) and ``spans`` (array of structs ``start``, ``stop``, in bytes). Where a span cuts a character of several bytes, the
     rest of it is left out of the text, not of the hash.
 
+    Texts around anchors that ``crowded`` entries of step 1 or more name (an entry is a document's; at most two a chunk from ``HELD`` bytes)
+    are sorted in parts. The result is the same at any value.
+
     Null and empty texts have nothing to remove. A null id is smaller than all others. Rows with the same id don't remove
     each other's strings. An empty table gives an empty result. Columns of ``docs`` with the names of the added ones are replaced.
     """
-    if length < ANCHOR + 8:
-        raise ValueError(f"strings must have {ANCHOR + 8} bytes at least")
+    if not ANCHOR + 8 <= length <= ANCHOR + 254:
+        raise ValueError(f"strings must have {ANCHOR + 8} to {ANCHOR + 254} bytes")
     added = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "_chunk")
     docs = docs.drop(*added)
     n = partitions(docs.sparkSession)
@@ -266,8 +272,15 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             same = anchor[1:] == anchor[:-1]
             many[1:] |= same
             many[:-1] |= same
-            entry = np.unique(entry[many])
-            yield from _dealt(entry & np.uint64((1 << low) - 1), _ANCHORS, n, entry >> np.uint64(low))
+            entry, anchor = entry[many], anchor[many]
+            if not len(entry):
+                return
+            begins = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+            held = np.diff(np.r_[begins, len(anchor)])
+            anchor = np.where(np.repeat(held >= crowded, held), anchor | _CROWDED, anchor)
+            once = np.r_[True, entry[1:] != entry[:-1]]
+            entry, anchor = entry[once], anchor[once]
+            yield from _dealt(entry & np.uint64((1 << low) - 1), _ANCHORS, n, anchor)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _batches(batches):
@@ -292,9 +305,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         docs_, others, chunk_ = opened(batches)
         if not others:
             return
-        known = np.unique(np.concatenate([_unpack(b, "<u8")[0] for b in others]))
+        known = np.concatenate([_unpack(b, "<u8")[0] for b in others])
+        many, known = np.sort(known[known >= _CROWDED] ^ _CROWDED), np.sort(known & ~_CROWDED)
         spans: dict[str, list[np.ndarray]] = {x: [] for x in ("hash", "class", "doc", "off", "count", "text")}
-        size = length + STEP - 1  # the longest text of a part
+        size = length + length - ANCHOR  # the longest text of a run
         for blob in docs_:
             for batch in pa.ipc.open_stream(blob):
                 ids, data, bounds = _columns(batch, id_col, text_col)
@@ -302,14 +316,19 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                     hit = _member(hashes >> np.uint64(low), known)
                     if not hit.any():
                         continue
-                    at, count, off = _parts(at[hit], count[hit], off[hit])
-                    local = at - start
-                    hashes = _beside(text_words, local, off, length)
-                    cls = _class_hash(text_words, local, count, length)
-                    owner = ids[np.searchsorted(bounds, at, side="right") - 1]
-                    chars = text_words[local[:, None] + np.arange(0, size, 8)].astype(">u8").view(np.uint8)[:, :size]
-                    for name, value in (("hash", hashes), ("class", cls), ("doc", owner), ("off", off.astype(np.uint8)), ("count", count.astype(np.uint8)), ("text", np.ascontiguousarray(chars))):
-                        spans[name].append(value)
+                    hashes, at, count, off = hashes[hit], at[hit], count[hit], off[hit]
+                    full = _member(hashes >> np.uint64(low), many) if len(many) else np.zeros(len(at), dtype=bool)
+                    forms = [(hashes[~full], at[~full], count[~full], off[~full], np.uint16(0))]
+                    if full.any():
+                        at, count, off = _parts(at[full], count[full], off[full])
+                        forms.append((_beside(text_words, at - start, off, length), at, count, off, _PART_MARK))
+                    for hashes, at, count, off, mark in forms:
+                        local = at - start
+                        cls = _class_hash(text_words, local, count, length)
+                        owner = ids[np.searchsorted(bounds, at, side="right") - 1]
+                        chars = text_words[local[:, None] + np.arange(0, size, 8)].astype(">u8").view(np.uint8)[:, :size]
+                        for name, value in (("hash", hashes), ("class", cls), ("doc", owner), ("off", off.astype(np.uint16) | mark), ("count", count.astype(np.uint8)), ("text", np.ascontiguousarray(chars))):
+                            spans[name].append(value)
         if not spans["hash"]:
             return
         hashes, cls, doc, off, count, text = (np.concatenate(spans[x]) for x in spans)
@@ -328,7 +347,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         got = []
         for batch in batches:
             for blob in batch["blob"]:
-                got.append(_unpack_texts(blob.as_py(), length + STEP - 1))
+                got.append(_unpack_texts(blob.as_py(), 2 * length - ANCHOR))
         if not got:
             return
         me, least, most, off, count, text = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -336,7 +355,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         flat[: text.size] = text.reshape(-1)
         text_words = words(flat, text.size + 32)
         starts = np.arange(len(text), dtype=np.int64) * text.shape[1]
-        hashes = _beside(text_words, starts, off.astype(np.int64), length)
+        part_of = off >= _PART_MARK
+        place = (off & ~_PART_MARK).astype(np.int64)
+        hashes = _hash(text_words, starts + place, ANCHOR)
+        hashes[part_of] = _beside(text_words, starts[part_of], place[part_of], length)
         cls = _class_hash(text_words, starts, count.astype(np.int64), length)
         order = np.lexsort((least, cls, hashes))
         new = np.r_[True, (hashes[order][1:] != hashes[order][:-1]) | (cls[order][1:] != cls[order][:-1])]
@@ -347,7 +369,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         # stretches of windows with one smallest document: class, first, last, document
         found = []
         rep_count = count[rep].astype(np.int64)
-        # all parts with the same bytes at a time, as many as are to be sorted together
+        # whole anchors, or all like parts of one, at a time, as many as are to be sorted together
         anchor_new = np.r_[True, class_hash[1:] != class_hash[:-1]]
         share = np.cumsum(rep_count) // SORTED
         lo = 0
@@ -371,7 +393,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             edge = np.r_[True, (owner[1:] != owner[:-1]) | (doc_of[1:] != doc_of[:-1])]
             a = np.flatnonzero(edge)
             b = np.r_[a[1:] - 1, len(owner) - 1]
-            found.append((part[owner[a]], within[a].astype(np.uint8), within[b].astype(np.uint8), doc_of[a]))
+            found.append((part[owner[a]], within[a].astype(np.uint16), within[b].astype(np.uint8), doc_of[a]))
             lo = hi
         c, j0, j1, d = (np.concatenate(x) for x in zip(*found, strict=True))
         by_class = np.argsort(c, kind="stable")
@@ -382,12 +404,14 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         which = first[class_of][entry] + np.arange(len(entry)) - np.repeat(np.cumsum(n_stretches) - n_stretches, n_stretches)
         useful = d[which] < most[entry]
         entry, which = entry[useful], which[useful]
-        yield from _dealt(me[entry].astype(np.int64), _FOUND, n, hashes[entry], cls[entry], d[which], j0[which], j1[which])
+        yield from _dealt(me[entry].astype(np.int64), _FOUND, n, hashes[entry], cls[entry], d[which], j0[which] | np.where(part_of[entry], _PART_MARK, np.uint16(0)), j1[which])
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs_, others, _ = opened(batches)
         if others:
-            hashes, cls, d, j0, j1 = (np.concatenate(x) for x in zip(*(_unpack(b, "<u8", "<u8", "<i8", "u1", "u1") for b in others), strict=True))
+            hashes, cls, d, j0, j1 = (np.concatenate(x) for x in zip(*(_unpack(b, "<u8", "<u8", "<i8", "<u2", "u1") for b in others), strict=True))
+            crowds = bool((j0 >= _PART_MARK).any())
+            j0 = j0 & ~_PART_MARK
             key = hashes * _K[0] ^ cls
             order = np.argsort(key, kind="stable")
             key, hashes, d, j0, j1 = key[order], hashes[order], d[order], j0[order].astype(np.int64), j1[order].astype(np.int64)
@@ -395,20 +419,23 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             for batch in pa.ipc.open_stream(blob):
                 ids, data, bounds = _columns(batch, id_col, text_col)
                 marks = np.zeros(int(bounds[-1] - bounds[0]) + 1, dtype=np.int32)
-                for _, at, count, off, text_words, start in runs(data, bounds, length) if others else ():
-                    at, count, off = _parts(at, count, off)
-                    found = _beside(text_words, at - start, off, length)
-                    mine = found * _K[0] ^ _class_hash(text_words, at - start, count, length)
-                    lo, hi = np.searchsorted(key, mine, side="left"), np.searchsorted(key, mine, side="right")
-                    hit = np.flatnonzero(hi > lo)
-                    times = (hi - lo)[hit]
-                    run = np.repeat(hit, times)
-                    seg = np.repeat(lo[hit], times) + np.arange(len(run)) - np.repeat(np.cumsum(times) - times, times)
-                    owner = ids[np.searchsorted(bounds, at[run], side="right") - 1]
-                    ok = (d[seg] < owner) & (hashes[seg] == found[run])
-                    run, seg = run[ok], seg[ok]
-                    np.add.at(marks, at[run] + j0[seg] - bounds[0], 1)
-                    np.add.at(marks, at[run] + j1[seg] + length - bounds[0], -1)
+                for whole, at, count, off, text_words, start in runs(data, bounds, length) if others else ():
+                    forms = [(whole, at, count)]
+                    if crowds:
+                        at, count, off = _parts(at, count, off)
+                        forms.append((_beside(text_words, at - start, off, length), at, count))
+                    for found, at, count in forms:
+                        mine = found * _K[0] ^ _class_hash(text_words, at - start, count, length)
+                        lo, hi = np.searchsorted(key, mine, side="left"), np.searchsorted(key, mine, side="right")
+                        hit = np.flatnonzero(hi > lo)
+                        times = (hi - lo)[hit]
+                        run = np.repeat(hit, times)
+                        seg = np.repeat(lo[hit], times) + np.arange(len(run)) - np.repeat(np.cumsum(times) - times, times)
+                        owner = ids[np.searchsorted(bounds, at[run], side="right") - 1]
+                        ok = (d[seg] < owner) & (hashes[seg] == found[run])
+                        run, seg = run[ok], seg[ok]
+                        np.add.at(marks, at[run] + j0[seg] - bounds[0], 1)
+                        np.add.at(marks, at[run] + j1[seg] + length - bounds[0], -1)
                 gone = np.cumsum(marks[:-1]) > 0
                 yield _result(batch, data, bounds, gone, columns, text_col)
 
@@ -436,7 +463,7 @@ def _unpack_texts(blob: bytes, size: int) -> list[np.ndarray]:
     raw = _inflate(blob)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     out, at = [], 8
-    for kind in ("<i4", "<i8", "<i8", "u1", "u1"):
+    for kind in ("<i4", "<i8", "<i8", "<u2", "u1"):
         out.append(np.frombuffer(raw, kind, n, at))
         at += n * np.dtype(kind).itemsize
     return [*out, np.frombuffer(raw, np.uint8, n * size, at).reshape(n, size)]

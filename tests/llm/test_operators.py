@@ -158,8 +158,10 @@ def test_windows_of_a_frequent_phrase_part_by_the_bytes_beside_it(make):
     phrase = "in nearly all documents"
     beside = ["".join(chr(97 + k) for k in rng.integers(0, 26, 40)) for _ in range(150)]
     rows = [(k, beside[rng.integers(0, 150)][: rng.integers(0, 41)] + phrase + beside[rng.integers(0, 150)]) for k in range(300)]
-    cleaned = suffix_dedup.remove_repeats(make(rows).repartition(7))
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in cleaned.collect()} == _without_repeats(rows)
+    want = _without_repeats(rows)
+    for crowded in (2, 20, 4096):
+        cleaned = suffix_dedup.remove_repeats(make(rows).repartition(7), crowded=crowded)
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in cleaned.collect()} == want
     data = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
     bounds = np.r_[0, np.cumsum([len(t) for _, t in rows])]
     group: dict[bytes, set] = {}
@@ -179,6 +181,17 @@ def test_windows_of_a_frequent_phrase_part_by_the_bytes_beside_it(make):
     assert max(map(len, size.values())) < max(map(len, whole.values())) / 4
 
 
+def test_repeats_of_other_lengths(make):
+    rows = [r for r in DOCS if r[0] != 9] + [(20, prose(20, 150)), (21, "x" + prose(20, 150)[3:700]), (22, prose(20, 150)[100:420] + prose(21)), (23, "y" + prose(20, 150)[90:430])]
+    for length in (28, 180, 274):
+        for crowded in (2, 4096):
+            cleaned = suffix_dedup.remove_repeats(make(rows).repartition(3), length, crowded=crowded)
+            assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in cleaned.collect()} == _without_repeats(rows, length)
+    for length in (27, 275):
+        with pytest.raises(ValueError):
+            suffix_dedup.remove_repeats(make(rows), length)
+
+
 def test_rows_with_one_id_do_not_remove_each_other(make):
     cleaned = suffix_dedup.remove_repeats(make([(1, prose(0)), (1, prose(0)), (2, prose(0))]))
     assert sorted((r.doc_id, r.n_removed > 0) for r in cleaned.collect()) == [(1, False), (1, False), (2, True)]
