@@ -58,7 +58,7 @@ def count_lines(content: str, language: Language) -> tuple[int, int, int, int]:
         elif not line.strip(_TRIM):
             blank += 1
             continue
-        elif before is not line:
+        elif before != line:  # a block comment was opened
             is_code = before.strip(_TRIM) != ""
         else:
             is_code = not any(mark in line for mark in language.line_comments)

@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field, fields
 
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
 # fixed values: folders that a scan skips unless told otherwise
 IGNORED_FOLDERS = (
     ".git", "node_modules", "vendor", ".venv", "venv", "__pycache__", "dist", "build", ".next",
@@ -45,3 +48,14 @@ class Settings:
         given = json.loads(text) if text else {}
         known = {f.name for f in fields(cls)}
         return cls(**{k: v for k, v in given.items() if k in known and (v or k in ("maxFileDepth", "ignoreExtensions"))}).validate()
+
+    def save(self, spark: SparkSession, path: str, key: str = "settings") -> None:
+        """Writes the settings under a key of a table (``key``, ``value``); other keys stay."""
+        row = spark.createDataFrame([(key, self.validate().to_json())], "key string, value string")
+        row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, key: str = "settings") -> Settings:
+        """The settings under a key of a table that ``save`` wrote; the defaults if it has none."""
+        found = spark.read.schema("value string, key string").parquet(path).where(F.col("key") == key).select("value").head(1)
+        return cls.from_json(found[0].value if found else "")

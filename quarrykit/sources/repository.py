@@ -9,6 +9,7 @@ from __future__ import annotations
 import fnmatch
 import os
 import subprocess
+import tempfile
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
@@ -96,23 +97,41 @@ def git(root: str, *args: str) -> str:
     return done.stdout if done.returncode == 0 else ""
 
 
+class _Commits(InputPartition):
+    """Commits with the ordinals from ``first`` on."""
+
+    def __init__(self, first: int, hashes: list[str]):
+        self.first, self.hashes = first, hashes
+
+
 class _LogReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.root = options["path"]
+        self.root, self.size = options["path"], max(1, int(options.get("commits", "2000")))
 
-    def read(self, partition: InputPartition | None) -> Iterator[tuple]:
-        log = subprocess.Popen(["git", "-C", self.root, "log", "--all", "--date-order", "--numstat", f"--pretty=format:{_FORMAT}"], stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
-        ordinal = 0
-        for raw in log.stdout or ():
-            line = raw.decode("utf-8", "replace").rstrip("\n")
-            if line:
-                ordinal += line.startswith(RECORD)
-                yield ordinal, line
-        log.wait()
+    def partitions(self) -> list[InputPartition]:
+        hashes = git(self.root, "rev-list", "--all", "--date-order").split()
+        return [_Commits(k + 1, hashes[k : k + self.size]) for k in range(0, len(hashes), self.size)] or [_Commits(1, [])]
+
+    def read(self, partition: _Commits) -> Iterator[tuple]:
+        if not partition.hashes:
+            return
+        command = ["git", "-C", self.root, "log", "--no-walk=unsorted", "--stdin", "--numstat", f"--pretty=format:{_FORMAT}"]
+        with tempfile.TemporaryFile() as wanted:
+            wanted.write("\n".join(partition.hashes).encode())
+            wanted.seek(0)
+            log = subprocess.Popen(command, stdin=wanted, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
+            ordinal = partition.first - 1
+            for raw in log.stdout or ():
+                line = raw.decode("utf-8", "replace").rstrip("\n")
+                if line:
+                    ordinal += line.startswith(RECORD)
+                    yield ordinal, line
+            if log.wait():
+                raise RuntimeError(f"git log failed in {self.root}")
 
 
 class GitLog(DataSource):
-    """Lines of a repository's log on all refs (``commit``: ordinal, ``line``). Git writes one stream, so it is one partition; parsing is left to Spark."""
+    """Lines of a repository's log on all refs (``commit``: ordinal, newest first, ``line``). The driver lists hashes alone; tasks compare the files of ``commits`` commits each. Parsing is left to Spark."""
 
     @classmethod
     def name(cls) -> str:

@@ -164,6 +164,41 @@ def _git(root, *args, when="2024-02-01T10:00:00"):
     subprocess.run(["git", "-C", str(root), "-c", "init.defaultBranch=main", *args], check=True, env=env, capture_output=True)
 
 
+def test_settings_are_kept_by_key(spark, tmp_path):
+    path = str(tmp_path / "settings")
+    Settings(theme="light").save(spark, path)
+    Settings(dupMinLines=9).save(spark, path, "1")
+    Settings(theme="blue", maxFileDepth=3).save(spark, path)
+    assert Settings.load(spark, path) == Settings(theme="blue", maxFileDepth=3)
+    assert Settings.load(spark, path, "1").dupMinLines == 9
+    assert Settings.load(spark, path, "none") == Settings()
+
+
+def test_slices_of_a_log_make_the_whole_log(spark, tmp_path):
+    _git(tmp_path, "init")
+    for k in range(7):
+        if k == 4:
+            _git(tmp_path, "checkout", "-b", "side")
+        (tmp_path / f"f{k % 3}.py").write_text("x = 1\n" * (k + 1))
+        _git(tmp_path, "add", ".")
+        _git(tmp_path, "commit", "-m", f"change {k}", when=f"2024-02-0{k + 1}T10:00:00")
+    _git(tmp_path, "checkout", "main")
+    (tmp_path / "own.py").write_text("y = 2\n")
+    _git(tmp_path, "add", ".")
+    _git(tmp_path, "commit", "-m", "own", when="2024-02-08T10:00:00")
+    _git(tmp_path, "merge", "--no-ff", "-m", "joined", "side", when="2024-02-09T10:00:00")
+    log = subprocess.run(["git", "-C", str(tmp_path), "log", "--all", "--date-order", "--numstat", f"--pretty=format:{repository._FORMAT}"], capture_output=True, text=True, check=True).stdout
+    want, ordinal = [], 0
+    for line in filter(None, log.split("\n")):
+        ordinal += line.startswith(repository.RECORD)
+        want.append((ordinal, line))
+    spark.dataSource.register(repository.GitLog)
+    for size in (1, 4, 2000):
+        read = spark.read.format("git_log").option("path", str(tmp_path)).option("commits", str(size)).load()
+        assert sorted(map(tuple, read.collect())) == sorted(want)
+        assert read.rdd.getNumPartitions() == -(-9 // size)
+
+
 def test_scan_of_a_repository(spark, tmp_path):
     body = "package dup\n\nfunc A() {\n" + "".join(f"\tcall{k}()\n" for k in range(9)) + "}\n"
     tree = {"go.mod": "module example.com/m\n", "main.go": 'package main\n\nimport "example.com/m/pkg/util"\n\nfunc main() {}\n', "pkg/util/util.go": "package util\n", "pkg/dup/one.go": body, "pkg/dup/two.go": body, ".hidden": "x\n", "node_modules/x.js": "x", "data.bin": "a\x00b", "requirements.txt": "numpy==1\n"}
