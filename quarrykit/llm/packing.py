@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -27,7 +28,10 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids b
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
 
 
 #: Letters of one code point that lower-case to letters of one code point, alike in Python and the tokenizer.
@@ -35,8 +39,27 @@ _PLAIN = re.compile(r"[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017
 _MARKS = ".,!?;:"
 
 
+# fixed values: what a tokenizer's file says if it takes texts apart into words as below
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZERS = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
+_WORD_END = "</w>"
+
+
+def by_words(tokenizer) -> bool:
+    """Whether a tokenizer splits at white space, drops it and marks the ends of words, as its own settings say."""
+    said = json.loads(tokenizer.to_str())
+    normalizers = [(x["type"], (x.get("pattern") or {}).get("Regex")) for x in (said["normalizer"] or {}).get("normalizers", ())]
+    splits = (said["pre_tokenizer"] or {}).get("pretokenizers", ({},))
+    first = {k: splits[0].get(k) for k in ("type", "pattern", "behavior", "invert")}
+    return (
+        normalizers == _NORMALIZERS and first == {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}
+        and [x["type"] for x in splits[1:]] == ["ByteLevel"] and not splits[1]["add_prefix_space"] and not splits[1]["use_regex"]
+        and said["model"].get("end_of_word_suffix") == _WORD_END
+    )
+
+
 class _Words(dict):
-    """Ids of a white-space-delimited word, as little-endian unsigned 32-bit bytes.
+    """Ids of a white-space-delimited word, as little-endian unsigned 32-bit bytes, for tokenizers that go ``by_words``; others get whole texts.
 
     The tokenizer never joins characters across white space (it splits there and drops it), so ids of
     a text are those of its words in order. It also splits letters from other characters. So words of plain letters
@@ -45,10 +68,11 @@ class _Words(dict):
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        self.apart = by_words(self.tokenizer)
         self.letters: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[k for word, k in vocabulary.items() if word.endswith("</w>")]] = True
+        self.ends[[k for word, k in vocabulary.items() if word.endswith(_WORD_END)]] = True
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -103,6 +127,9 @@ def _words(path: str) -> _Words:
 def token_bytes(texts: list[str | None], path: str) -> Iterator[bytes]:
     """All ids of each text and the end id, as little-endian unsigned 32-bit bytes."""
     known, end = _words(path), END_ID.to_bytes(4, "little")
+    if not known.apart:
+        yield from (known.ids(text or "") + end for text in texts)
+        return
     split = [None if t is not None and any(c in t for c in _SEPARATORS) else (t or "").split() for t in texts]
     known.learn(set().union(*(x for x in split if x is not None)))
     for text, words in zip(texts, split, strict=True):
@@ -110,7 +137,7 @@ def token_bytes(texts: list[str | None], path: str) -> Iterator[bytes]:
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of at most ``capacity`` ids of every text (``PIECES``); ``ids`` is null unless ``keep_ids``.
+    """Pieces of at most ``capacity`` ids of every text (``PIECES``); ``ids`` is null unless ``keep_ids``. A file's own truncation and padding don't apply.
 
     ``tokenizer_path`` must name the same file on every executor. Null texts count as empty: one piece
     that holds the end id. Repeated rows give repeated pieces.

@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import itertools
+import os
 import re
 import zlib
 
@@ -64,6 +65,24 @@ def test_mix_of_large_means_nulls_and_nothing(spark, make):
 # packing
 
 
+def test_other_tokenizers_get_whole_texts(make, tmp_path):
+    from tokenizers import Tokenizer
+
+    assert packing.by_words(Tokenizer.from_file(tokenizer_path()))
+    other = os.path.join(os.path.dirname(tokenizer_path()), "byte_bpe_50k.json")
+    cut = Tokenizer.from_file(other)
+    cut.enable_truncation(8)
+    cut.save(str(tmp_path / "cut.json"))
+    tokenizer = Tokenizer.from_file(other)
+    rows = [(k, t) for k, t in enumerate(["two  words", " led\tby space\n\n and\u00a0more", "I'll, we've", "", None, "x " * 3000, "\x1cé ß 東京 \U0001f600"])]
+    for path in (other, str(tmp_path / "cut.json")):
+        got: dict[int, list[int]] = {k: [] for k, _ in rows}
+        for r in sorted(packing.tokenize_pieces(make(rows), path, keep_ids=True).collect(), key=lambda r: (r.doc_id, r.piece)):
+            got[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
+        assert got == {k: tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for k, t in rows}
+    assert not packing.by_words(tokenizer)
+
+
 def test_pieces_are_what_the_tokenizer_says(make):
     from tokenizers import Tokenizer
 
