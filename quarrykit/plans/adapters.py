@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from string import Formatter
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrykit.functions.languages import language_of
 from quarrykit.functions.paths import base_name, depth_of, extension_of, folder_of
 
 LINKS = r'href="([^"]+)"'
@@ -89,3 +92,34 @@ def page_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files of pages whose own path ends in ``.html``, as entry points (``path``)."""
     entries = page_paths(spark, sf_dir).where("endswith(path, '.html')").select("page_id")
     return page_links(spark, sf_dir).where("ordinal = 0 AND own IS NOT NULL").join(entries, "page_id", "left_semi").select(F.col("own").alias("path")).distinct()
+
+
+#: Sources of parts by ``p_partkey % 6``: path and content. Each imports parts 6 and 12 further, which have its language; ``{body}`` is one to three lines.
+PART_SOURCES = (
+    ("web/s{z}/p{k}.ts", "// if this were code\n/* one\n two */\nimport {{ a }} from './p{k6}'\nconst b = require('../s0/p{k12}.js')\nimport 'react'\nexport function run() {{\n    if (a && b) {{\n{body}    }}\n}}\n", "        x()\n"),
+    ("src/s{z}/p{k}.py", "import os\nfrom s{z}.p{k6} import x\n\nclass Run:\n    def go(self):\n        if a and b:\n{body}", "            x()\n"),
+    ("src/p{k}.rs", "use crate::p{k6}::Thing;\nuse std::fmt;\npub fn run() {{\n\tif a || b {{\n{body}\t}}\n}}\n", "\t\tx();\n"),
+    ("src/main/java/org/s{z}/P{k}.java", "import org.s{z}.P{k6};\nimport static java.util.List;\npublic class P{k} {{\n\tpublic int run(int a) {{\n\t\twhile (a > 0 && b) {{\n{body}\t\t}}\n\t}}\n}}\n", "\t\t\tx();\n"),
+    ("c/s{z}/p{k}.c", "#include <stdio.h>\n#include \"p{k6}.c\"\n#include \"c/s0/p{k12}.c\"\nint run(int a) {{\n\tif (a || b) {{\n{body}\t}}\n}}\n", "\t\tx();\n"),
+    ("go/s{z}/p{k}.go", "package s{z}\nimport \"fmt\"\nimport (\n\t\"example.org/m/go/s{z1}\"\n\tx \"example.org/m/none\"\n)\nfunc Run() {{\n\tif a && b {{\n{body}\t}}\n}}\nfunc helper() {{\n}}\n", "\t\tx()\n"),
+)
+
+
+def _filled(pattern: str, values: dict[str, Column]) -> Column:
+    """The pattern with its names replaced by columns."""
+    parts = [x for text, name, _, _ in Formatter().parse(pattern) for x in ([F.lit(text)] if text else []) + ([values[name]] if name else [])]
+    return F.concat(*parts)
+
+
+def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part as a source file, and a ``go.mod``: ``repo_id``, ``path``, ``language``, ``content``."""
+    k, z = F.col("p_partkey"), F.col("p_size") % 3
+    values = {"k": k, "k6": k + 6, "k12": k + 12, "z": z, "z1": (z + 1) % 3}
+    path, content = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for m, (place, source, line) in enumerate(PART_SOURCES):
+        own = k % len(PART_SOURCES) == m
+        path = F.when(own, _filled(place, values)).otherwise(path)
+        content = F.when(own, _filled(source, values | {"body": F.repeat(F.lit(line), (z + 1).cast("int"))})).otherwise(content)
+    files = table(spark, sf_dir, "part").select(path.alias("path"), content.alias("content"))
+    files = files.unionByName(spark.range(1).select(F.lit("go.mod").alias("path"), F.lit("module example.org/m\n").alias("content")))
+    return files.select(F.lit(1).alias("repo_id"), "path", language_of(F.col("path")).alias("language"), "content")

@@ -44,6 +44,14 @@ reached AS (SELECT path FROM entries UNION SELECT to_file FROM reached JOIN impo
 crossing AS (SELECT x.folder AS source, y.folder AS target FROM imports JOIN site x ON x.path = from_file JOIN site y ON y.path = to_file WHERE x.folder <> y.folder),
 edges AS (SELECT DISTINCT source, target FROM crossing),
 closure AS (SELECT source, target FROM edges UNION SELECT c.source, e.target FROM closure c JOIN edges e ON c.target = e.source)"""
+SOURCES = r"""parts AS (SELECT p_partkey AS k, (p_size % 3)::BIGINT AS z, p_partkey % 6 AS m FROM part),
+sources AS (SELECT *, CASE m WHEN 0 THEN 'web/s' || z || '/p' || k || '.ts' WHEN 1 THEN 'src/s' || z || '/p' || k || '.py' WHEN 2 THEN 'src/p' || k || '.rs'
+  WHEN 3 THEN 'src/main/java/org/s' || z || '/P' || k || '.java' WHEN 4 THEN 'c/s' || z || '/p' || k || '.c' ELSE 'go/s' || z || '/p' || k || '.go' END AS path FROM parts),
+-- what each source has: lines beyond z, comments, blanks, imports, exports, functions; lines of a second function; levels of indentation a body line has, all others', lines that have one, beyond z; block comments of several lines stay in measures
+shapes(m, language, more, lines_comment, lines_blank, imports, exports, func_count, second, steep, levels, solid) AS (VALUES
+  (0, 'TypeScript', 11, 3, 0, 2, 1, 2, 3, 2, 2, 9), (1, 'Python', 7, 0, 1, 2, 1, 1, 0, 3, 3, 5), (2, 'Rust', 7, 0, 0, 2, 1, 1, 0, 2, 2, 6),
+  (3, 'Java', 9, 0, 0, 2, 2, 1, 0, 3, 6, 8), (4, 'C', 8, 0, 0, 3, 0, 1, 0, 2, 2, 7), (5, 'Go', 13, 0, 0, 3, 1, 2, 2, 2, 4, 12))"""
+BLANK = r"[\t\x0b\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*"
 RUNS = r"""split AS (SELECT doc_id AS file_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS number FROM documents),
 lines AS (SELECT file_id, number, lower(regexp_replace(line, '^[\s\x{85}\x{A0}]+|[\s\x{85}\x{A0}]+$', '', 'g')) AS text FROM split),
 solid AS (SELECT *, (row_number() OVER (PARTITION BY file_id ORDER BY number) - 1)::INTEGER AS index FROM lines WHERE text <> ''),
@@ -441,11 +449,48 @@ def complexity_text(spark, d):
     return A.document_files(spark, d).select("file_id", (1 + F.regexp_count("content", F.lit(r"(?:^|[^0-9A-Za-z_])(?:die|der|the)"))).cast("long").alias("complexity"))
 
 
-@query()
+@query(rf"""WITH texts AS (SELECT doc_id AS file_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT file_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM texts),
+counts AS (SELECT file_id, len(l)::BIGINT AS lines_total, len(list_filter(l, lambda x: regexp_full_match(x, '{BLANK}')))::BIGINT AS lines_blank, len(list_filter(l, lambda x: contains(x, '#')))::BIGINT AS lines_comment FROM lines)
+SELECT *, lines_total - lines_blank - lines_comment AS lines_code FROM counts""")
 def loc_counts(spark, d):
     return A.document_files(spark, d).select("file_id", line_counts("content", F.lit("Python")).alias("l")).select("file_id", "l.*")
 
 
+@query(rf"""WITH texts AS (SELECT doc_id AS file_id, regexp_replace(coalesce(text, ''), '#[^\n]*', chr(10), 'g') AS t FROM documents),
+depths AS (SELECT file_id, t, list_transform(list_transform(list_filter(string_split(t, chr(10)), lambda x: NOT regexp_full_match(x, '{BLANK}')), lambda x: regexp_extract(x, '^[\t ]*')),
+  lambda x: length(x) - length(replace(x, chr(9), '')) + len(regexp_extract_all(x, ' {{4}}'))) AS d FROM texts)
+SELECT file_id, (1 + len(regexp_extract_all(t, '\b(?:if|elif|for|while|except|with|match|case)\b')) + len(regexp_extract_all(t, '\b(?:and|or)\b')))::BIGINT AS complexity,
+  len(regexp_extract_all(t, '(?m)^\s*(?:import|from\s+\S+\s+import)\s'))::BIGINT AS imports, len(regexp_extract_all(t, '(?m)^(?:def|class)\s'))::BIGINT AS exports,
+  round(coalesce(list_avg(d), 0), 9) AS avg_nesting, coalesce(list_max(d), 0)::BIGINT AS max_nesting FROM depths""")
+def text_metrics(spark, d):
+    measured = A.document_files(spark, d).select("file_id", code_metrics("content", F.lit("Python")).alias("m"))
+    return measured.select("file_id", "m.complexity", "m.imports", "m.exports", F.round("m.avg_nesting", 9).alias("avg_nesting"), "m.max_nesting")
+
+
+@query(f"""WITH {SOURCES} SELECT path, language, z + more AS lines_total, z + more - lines_comment - lines_blank AS lines_code, lines_comment::BIGINT AS lines_comment, lines_blank::BIGINT AS lines_blank
+FROM sources JOIN shapes USING (m) UNION ALL SELECT 'go.mod', '', 0, 0, 0, 0""")
+def source_lines(spark, d):
+    return A.part_files(spark, d).select("path", "language", line_counts("content", "language").alias("l")).select("path", "language", "l.*")
+
+
+@query(f"""WITH {SOURCES} SELECT path, 3::BIGINT AS complexity, imports::BIGINT AS imports, exports::BIGINT AS exports, func_count::BIGINT AS func_count,
+round((z + 5 + CASE m WHEN 0 THEN z ELSE 0 END + second) / func_count, 9) AS avg_func_len, z + 5 AS max_func_len, round((steep * (z + 1) + levels) / (z + 1 + solid), 9) AS avg_nesting, steep::BIGINT AS max_nesting
+FROM sources JOIN shapes USING (m)""")
+def source_metrics(spark, d):
+    measured = A.part_files(spark, d).where("language <> ''").select("path", code_metrics("content", "language").alias("m")).select("path", "m.*")
+    return measured.withColumns({x: F.round(x, 9) for x in ("avg_func_len", "avg_nesting")})
+
+
+@query(f"""WITH {SOURCES}, named AS (SELECT k, z, m, path, lower(language) AS kind FROM sources JOIN shapes USING (m))
+SELECT f.path AS from_file, t.path AS to_file, f.kind, true AS resolved FROM named f JOIN named t ON t.k = f.k + 6 WHERE f.m < 5 AND (f.m = 2 OR t.z = f.z)
+UNION ALL SELECT f.path, t.path, f.kind, true FROM named f JOIN named t ON t.k = f.k + 12 WHERE f.m IN (0, 4) AND t.z = 0
+UNION ALL SELECT path, 'go/s' || (z + 1) % 3, kind, (z + 1) % 3 IN (SELECT z FROM named WHERE m = 5) FROM named WHERE m = 5
+UNION ALL SELECT path, 'none', kind, false FROM named WHERE m = 5""")
+def source_imports(spark, d):
+    return graph.import_edges(A.part_files(spark, d)).drop("repo_id")
+
+
 @query()
 def indent_metrics(spark, d):
     measured = A.document_files(spark, d).select("file_id", code_metrics("content", F.lit("JavaScript")).alias("m"))
