@@ -52,7 +52,7 @@ def write_export(kind: str, table: DataFrame, path: str, form: str = "csv", sing
     rows = stored(rows.select(F.monotonically_increasing_id().alias("k"), line.alias("line")), "export")
     last = rows.agg(F.max("k")).first()[0]
     if last is None:
-        table.sparkSession.createDataFrame([("[]",)], "value string").write.text(path)
+        table.sparkSession.range(1).select(F.lit("[]").alias("value")).coalesce(1).write.text(path)
         return
     value = F.concat(F.when(F.col("k") == 0, "[").otherwise(""), "line", F.when(F.col("k") == last, "]").otherwise(","))
     rows.orderBy("k").select(value.alias("value")).coalesce(1).write.text(path)
