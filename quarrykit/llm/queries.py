@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm import embedding_dedup, jaccard_join, mixing, packing, paragraph_dedup, quality, sharding, suffix_dedup, toxicity, warc
+from quarrykit.llm import embedding_dedup, fill_middle, jaccard_join, main_text, mixing, packing, paragraph_dedup, quality, ranked_search, sharding, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,5 +118,48 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "stop", "n_words", "n_paragraphs", "kept_doc_ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_exact_complement_packing, op3_suffix_dedup, op4_byte_shards, op5_ngram_jaccard_join, op6_quality_rules, op7_embedding_multi_index, op8_warc_normaliser, op9_toxicity_trees, op10_paragraph_dedup)}
-ORACLE_SQL = {"op1_source_mix": OP1_SQL, "op6_quality_rules": OP6_SQL}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
+OP11_SQL = r"""
+WITH terms AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+sizes AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id),
+corpus AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM sizes),
+held AS (SELECT doc_id, term, count(*) AS tf, n, 25 + (75 * n * docs) // total AS m, docs FROM terms JOIN sizes USING (doc_id), corpus GROUP BY doc_id, term, n, docs, total),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM held GROUP BY term, docs),
+wanted AS (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+scored AS (SELECT item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM wanted JOIN weights USING (term) JOIN held USING (term) GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+def op12_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = main_text.extract_main_text(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.fill_in_middle(_table(spark, sf_dir, "documents"), percent=50, spm_percent=80, seed=42)
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+OP13_SQL = r"""
+WITH drawn AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, 'null')) AS x FROM documents),
+ranks AS (SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM drawn),
+cut AS (SELECT doc_id, t, u, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM ranks),
+parts AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM cut),
+made AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS output FROM parts)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars, sha256(output) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN regexp_extract(output, '(?s)^<P>(.*)<S>', 1) || regexp_extract(output, '(?s)<M>(.*)$', 1) || regexp_extract(output, '(?s)<S>(.*)<M>', 1)
+    ELSE regexp_extract(output, '(?s)<P>(.*)<M>', 1) || regexp_extract(output, '(?s)<M>(.*)$', 1) || regexp_extract(output, '(?s)^<S>(.*)<P>', 1) END) AS restored_sha256 FROM made
+"""
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_source_mix, op2_exact_complement_packing, op3_suffix_dedup, op4_byte_shards, op5_ngram_jaccard_join, op6_quality_rules, op7_embedding_multi_index,
+    op8_warc_normaliser, op9_toxicity_trees, op10_paragraph_dedup, op11_ranked_search, op12_text_density, op13_fill_in_middle,
+)}
+ORACLE_SQL = {"op1_source_mix": OP1_SQL, "op6_quality_rules": OP6_SQL, "op11_ranked_search": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
