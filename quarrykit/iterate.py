@@ -1,4 +1,4 @@
-"""Stored intermediate tables, and graph loops on them."""
+"""Stored intermediate tables, and connected components on them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -138,68 +137,3 @@ def components(edges: DataFrame) -> DataFrame:
                 break
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-
-
-def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Nodes (``node``) that paths of ``edges`` (``source``, ``target``) reach from ``seeds`` (``node``), seeds included.
-
-    A breadth-first search: a round joins the newly reached nodes with the edges and stores what is new, and that alone. There
-    are as many rounds as the longest of the shortest paths has edges.
-    """
-    found = [stored(seeds.select("node").distinct(), "reached")]
-    while not found[-1].isEmpty():
-        stepped = edges.join(found[-1].withColumnRenamed("node", "source"), "source").select(F.col("target").alias("node")).distinct()
-        for part in reversed(found):
-            stepped = stepped.join(part, "node", "left_anti")
-        found.append(stored(stepped, "reached"))
-        if len(found) > 8:  # merged now and then, so that a round looks at few tables
-            merged = stored(reduce(DataFrame.unionByName, found[:-1]), "reached")
-            released(*found[:-1])
-            found = [merged, found[-1]]
-    return reduce(DataFrame.unionByName, found)
-
-
-def _trimmed(left: DataFrame) -> DataFrame:
-    """Edges without nodes that have none in or none out, again and again: those are in no cycle. ``left`` and the result are stored."""
-    n = left.count()
-    while True:
-        kept = left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
-        kept = stored(kept.join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"), "kept")
-        released(left)
-        left, before, n = kept, n, kept.count()
-        if n == before:
-            return left
-
-
-def strong_components(edges: DataFrame) -> DataFrame:
-    """Strongly connected components of two nodes and more: ``node``, ``component`` (its smallest node).
-
-    Colouring: every node takes the smallest node that reaches it; a colour's own node and what reaches it inside the
-    colour are one component. Rounds repeat on the rest, without nodes that no cycle can hold. A round of colours is one
-    hop, a round of trimming one layer, so there are as many as the longest path between nodes that matter here has edges.
-    """
-    left = _trimmed(stored(edges.where("source <> target").select("source", "target").distinct(), "edges"))
-    done: list[DataFrame] = []
-    while not left.isEmpty():
-        colour = stored(left.select(F.col("source").alias("node"), F.col("source").alias("colour"), F.lit(True).alias("changed")).distinct(), "colour")
-        while not colour.where("changed").isEmpty():
-            # only nodes with a new colour hand it on
-            passed = left.join(colour.where("changed").select(F.col("node").alias("source"), "colour"), "source").groupBy(F.col("target").alias("node")).agg(F.min("colour").alias("passed"))
-            taken = colour.join(passed, "node", "left").select("node", F.least("colour", F.coalesce("passed", "colour")).alias("colour"), F.coalesce(F.col("passed") < F.col("colour"), F.lit(False)).alias("changed"))
-            taken = stored(taken, "colour")
-            released(colour)
-            colour = taken
-        inside = left.join(colour.select(F.col("node").alias("source"), F.col("colour").alias("a")), "source").join(colour.select(F.col("node").alias("target"), F.col("colour").alias("b")), "target").where("a = b")
-        back = stored(inside.select(F.col("target").alias("source"), F.col("source").alias("target")), "back")
-        found = reachable(back, colour.where("node = colour").select("node")).join(colour, "node")
-        done.append(stored(found.select("node", F.col("colour").alias("component")), "found"))
-        gone = done[-1].select("node")
-        rest = left.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target")
-        rest = stored(rest, "edges")
-        released(left, colour, back)
-        left = _trimmed(rest)
-    if not done:
-        return edges.select(F.col("source").alias("node"), F.col("source").alias("component")).limit(0)
-    all_ = reduce(DataFrame.unionByName, done)
-    sizes = all_.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    return all_.join(sizes, "component").select("node", "component")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrykit.functions.paths import utc_text, xml_escape
 from quarrykit.iterate import stored
+from quarrykit.operators.graph import import_layers
+from quarrykit.ordering import ordered
 
 # fixed values: columns of each export, in order
 COLUMNS = {
@@ -58,28 +60,15 @@ def write_export(kind: str, table: DataFrame, path: str, form: str = "csv", sing
     rows.orderBy("k").select(value.alias("value")).coalesce(1).write.text(path)
 
 
-def _columns(pairs: DataFrame, names: DataFrame) -> DataFrame:
-    """Distance (``depth``) of each file from files that nothing imports, or from the first if there are none; 0 for files out of their reach."""
-    tops = names.join(pairs.select(F.col("to_file").alias("node")).distinct(), "node", "left_anti")
-    tops = names.agg(F.min("node").alias("node")).where("node IS NOT NULL") if tops.isEmpty() else tops
-    found, depth = [stored(tops.withColumn("depth", F.lit(0)), "column")], 0
-    while not found[-1].isEmpty():
-        depth += 1
-        step = pairs.join(found[-1].select(F.col("node").alias("from_file")), "from_file").select(F.col("to_file").alias("node")).distinct()
-        for part in found:
-            step = step.join(part.select("node"), "node", "left_anti")
-        found.append(stored(step.withColumn("depth", F.lit(depth)), "column"))
-    reached = reduce(DataFrame.unionByName, found)
-    return reached.unionByName(names.join(reached.select("node"), "node", "left_anti").withColumn("depth", F.lit(0)))
-
-
 def svg(edges: DataFrame) -> DataFrame:
-    """The lines (``line``, in order of ``part``, ``k``) of a picture of all resolved import edges: files in columns by their distance from files that nothing imports."""
+    """The lines (``line``, in order of ``part``, ``k``) of a picture of all resolved import edges: files in columns by the longest chain of imports from them."""
     pairs = stored(edges.where("resolved").select("from_file", "to_file").distinct(), "pairs")
-    names = pairs.select(F.col("from_file").alias("node")).union(pairs.select("to_file")).distinct()
-    row = F.row_number().over(Window.partitionBy("depth").orderBy("node"))
-    placed = _columns(pairs, names).select("node", (20 + 240 * F.col("depth")).alias("x"), (40 * row - 10).alias("y"))
-    placed = stored(placed, "placed")
+    # a column may hold a large part of all files: places are counted over ranges of (layer, name), not in a window a column
+    layers = stored(import_layers(pairs.withColumn("resolved", F.lit(True))), "layers")
+    numbered = ordered(layers, "layer", "node").numbered()
+    tops = numbered.groupBy("layer").agg(F.min("row_number").alias("top"))  # a row a column
+    row = F.col("row_number") - F.col("top") + 1
+    placed = stored(numbered.join(tops, "layer").select("node", (20 + 240 * F.col("layer")).alias("x"), (40 * row - 10).alias("y")), "placed")
     ends = pairs.join(placed.selectExpr("node AS from_file", "x + 200 AS x1", "y AS y1"), "from_file").join(placed.selectExpr("node AS to_file", "x AS x2", "y AS y2"), "to_file")
     lines = ends.select(F.lit(1).alias("part"), F.concat_ws("\n", "from_file", "to_file").alias("k"), F.format_string('<line x1="%d" y1="%d" x2="%d" y2="%d" stroke="#888"/>', "x1", "y1", "x2", "y2").alias("line"))
     box = F.format_string('<rect x="%d" y="%d" width="200" height="30" fill="#eee"/><text x="%d" y="%d">', "x", F.col("y") - 15, F.col("x") + 8, F.col("y") + 5)

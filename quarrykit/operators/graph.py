@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrykit.digraph import layers, reachable, strong_components
 from quarrykit.functions.imports import ENTRY_POINTS, extract_imports
 from quarrykit.functions.paths import base_name, folder_of
-from quarrykit.iterate import reachable, stored, strong_components
+from quarrykit.iterate import stored
 
 
 def resolve_first(specs: DataFrame, paths: DataFrame, keys: list[str]) -> DataFrame:
@@ -84,6 +85,11 @@ def cycles(graph: DataFrame) -> DataFrame:
     return found.join(found.groupBy("component").agg(F.count("*").alias("size")), "component")
 
 
+def import_layers(edges: DataFrame) -> DataFrame:
+    """The longest chain of resolved imports from each file (``node``, ``layer``); files that import each other in a circle lie in one layer."""
+    return layers(edges.where("resolved").select(F.col("from_file").alias("source"), F.col("to_file").alias("target")))
+
+
 def cycle_lists(found: DataFrame) -> DataFrame:
     """``cycles`` as one row each, with sorted ``members``, smallest first; for reports of circles that a person reads."""
     return found.groupBy("component").agg(F.sort_array(F.collect_list("node")).alias("members"), F.first("size").alias("size")).orderBy("size", "component")
