@@ -36,10 +36,6 @@ def is_binary(content: Column) -> Column:
     return F.locate("00", F.regexp_replace(F.hex(F.substring(content, 1, 512)), "(..)", "$1 ")) > 0
 
 
-def contains_any_case(value: Column, text: str) -> Column:
-    return F.lower(value).contains(text.lower())
-
-
 def extension_filter(wanted: str) -> str:
     """Lower case, one leading dot dropped."""
     return wanted.lower().removeprefix(".")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrykit.functions.paths import depth_of
+from quarrykit.ordering import Ordered, ordered
 
 _SORTS = {"loc": ("lines_code", False), "complexity": ("complexity", False), "name": ("name", True), "": ("path", True), "path": ("path", True)}
 
+#: Rows up to a page's end that Spark may keep in one place to find it.
+SHALLOW = 10_000
+
 
 def filter_files(files: DataFrame, folder: str = "", extension: str = "", language: str = "") -> DataFrame:
     for column, value in (("folder", folder), ("extension", extension), ("language", language)):
@@ -17,22 +21,39 @@ def filter_files(files: DataFrame, folder: str = "", extension: str = "", langua
     return files
 
 
-def list_files(files: DataFrame, sort: str = "") -> DataFrame:
-    """Ordered by ``loc`` or ``complexity`` (largest first), ``name`` or path; equals by path."""
+def _order(sort: str) -> list[Column]:
     if sort not in _SORTS:
         raise ValueError(f"unknown sort: {sort}")
     column, ascending = _SORTS[sort]
-    return files.orderBy(F.col(column).asc() if ascending else F.col(column).desc(), "path")
+    return [F.col(column).asc() if ascending else F.col(column).desc(), F.col("path")]
+
+
+def list_files(files: DataFrame, sort: str = "") -> DataFrame:
+    """Ordered by ``loc`` or ``complexity`` (largest first), ``name`` or path; equals by path."""
+    return files.orderBy(*_order(sort))
+
+
+def page_size(limit: int, most: int = 1000) -> int:
+    return min(limit, most) if limit > 0 else 100
+
+
+def page(listed: DataFrame, limit: int = 100, offset: int = 0, most: int = 1000) -> DataFrame:
+    """A page near the front of an ordered table: Spark keeps the best ``offset`` + ``limit`` rows, so a deep page is better read from ``ordered_files``."""
+    return listed.offset(max(0, offset)).limit(page_size(limit, most))
 
 
-def page(ordered: DataFrame, limit: int = 100, offset: int = 0, most: int = 1000) -> DataFrame:
-    return ordered.offset(max(0, offset)).limit(min(limit, most) if limit > 0 else 100)
+def ordered_files(files: DataFrame, sort: str = "") -> Ordered:
+    """Files written in an order once, for pages at any depth."""
+    return ordered(files, *_order(sort))
 
 
-def page_with_total(files: DataFrame, limit: int, offset: int, sort: str = "") -> DataFrame:
-    """A page with the number of all rows that match beside it."""
-    total = files.agg(F.count("*").alias("total"))
-    return page(list_files(files, sort), limit, offset).crossJoin(F.broadcast(total))  # one row
+def page_with_total(files: DataFrame, limit: int, offset: int, sort: str = "", shallow: int = SHALLOW) -> DataFrame:
+    """A page with the number of all rows that match beside it. Beyond ``shallow`` rows, only the ranges of the order that the page lies in are read for it."""
+    if max(0, offset) + page_size(limit) <= shallow:
+        total = files.agg(F.count("*").alias("total"))
+        return page(list_files(files, sort), limit, offset).crossJoin(F.broadcast(total))  # one row
+    listed = ordered_files(files, sort)
+    return listed.rows(offset, page_size(limit)).withColumn("total", F.lit(listed.total).cast("long"))
 
 
 def search_names(files: DataFrame, text: str, column: str = "name", case_sensitive: bool = False, limit: int = 50) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrykit.functions.paths import day_of
+from quarrykit.ordering import Ordered, ordered
 
 
 def _long(value: Column) -> Column:
@@ -85,6 +86,11 @@ def commit_feed(commits: DataFrame, limit: int = 50, offset: int = 0) -> DataFra
     return commits.orderBy(F.desc("date"), F.desc("hash")).offset(max(0, offset)).limit(min(500, limit) if limit > 0 else 50)
 
 
+def deep_feed(commits: DataFrame) -> Ordered:
+    """The feed written in its order once, for pages at any depth."""
+    return ordered(commits, F.desc("date"), F.desc("hash"))
+
+
 def largest_commits(commits: DataFrame, limit: int = 20) -> DataFrame:
     changed = (F.col("insertions") + F.col("deletions")).alias("changed")
     return commits.select("*", changed).orderBy(F.desc("changed"), "hash").limit(min(200, limit) if limit > 0 else 20)

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrykit.functions.paths import matcher
+from quarrykit.functions.paths import extension_filter, matcher
 
 LINES_PER_FILE, SNIPPET = 50, 240
 _TOKEN = r"[^\p{L}\p{N}]+"
@@ -26,34 +32,42 @@ def tokens(text_column: str, folded: bool = True) -> F.Column:
     return F.filter(F.split(text, _TOKEN), lambda t: t != "")
 
 
-def build_index(files: DataFrame, folded: bool = True, only: str | None = None) -> DataFrame:
-    """``token``, ``file_id`` and the token's ``positions`` in it, of ``files`` (``file_id``, ``content``).
-
-    For a single query without a written index, ``only`` is its text: other tokens then don't leave their rows.
-    """
-    found = F.transform(tokens("content", folded), lambda t, k: F.struct(k.alias("position"), t.alias("token")))
-    if only is not None:
-        found = F.filter(found, lambda x: x["token"].isin(_tokens_of(only)))
-    each = files.select("file_id", F.inline(found))
-    return each.groupBy("token", "file_id").agg(F.sort_array(F.collect_list("position")).alias("positions"))
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's distinct tokens with their positions: a stable sort by row and token of all tokens of a batch."""
+    for batch in batches:
+        words = batch["tokens"]
+        sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        position = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        coded = words.flatten().dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.lexsort((position, code, row))
+        row, code, position = row[order], code[order], position[order]
+        first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])))) if len(row) else np.zeros(0, dtype=np.int64)
+        places = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(position.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[first])), batch["file_id"].take(pa.array(row[first])), places], names=["token", "file_id", "positions"])
 
 
-def write_index(index: DataFrame, path: str, buckets: int = 64) -> None:
-    """Tokens of one hash share are one folder, sorted, so that a search reads few files and few row groups."""
-    index.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")).repartition("bucket").sortWithinPartitions("token").write.partitionBy("bucket").parquet(path)
+def build_index(files: DataFrame, folded: bool = True, only: str | None = None) -> DataFrame:
+    """``token``, ``file_id`` and the token's ``positions`` in it, of ``files`` (``file_id``, ``content``), a row a file.
 
+    A file's tokens are put together where its row is, so nothing is shuffled. For a single query without a written index, ``only`` is its text: rows
+    of other tokens aren't made.
+    """
+    found = files.select("file_id", tokens("content", folded).alias("tokens"))
+    index = found.mapInArrow(_grouped, f"token string, file_id {found.schema['file_id'].dataType.simpleString()}, positions array<int>")
+    return index if only is None else index.where(F.col("token").isin(tokens_of(only)))
 
-def _tokens_of(text: str) -> list[str]:
-    import re
-    import unicodedata
 
+def tokens_of(text: str) -> list[str]:
+    """Tokens of a query: lower case, without diacritics."""
     plain = "".join(c for c in unicodedata.normalize("NFD", text) if not "̀" <= c <= "ͯ").lower()
     return [t for t in re.split(r"[\W_]+", plain) if t]
 
 
 def matching_files(index: DataFrame, text: str) -> DataFrame:
     """Files that hold every phrase of a query (``file_id``). A white-space-delimited part is a phrase of its tokens in a row."""
-    phrases = [p for p in (_tokens_of(part) for part in text.split()) if p]
+    phrases = [p for p in (tokens_of(part) for part in text.split()) if p]
     if not phrases:
         return index.select("file_id").limit(0)
     found = []
@@ -79,7 +93,7 @@ def search_content(files: DataFrame, text: str, index: DataFrame | None = None,
     if not text:
         return matching_lines(files.limit(0), "$.")
     if extension:
-        files = files.where(F.col("extension") == extension.lower().removeprefix("."))
+        files = files.where(F.col("extension") == extension_filter(extension))
     if not regex and index is not None:
         files = files.join(matching_files(index, text), "file_id", "left_semi")
     return matching_lines(files, matcher(text, regex, whole_word, case_sensitive))

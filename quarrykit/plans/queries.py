@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrykit.digraph import reachable
 from quarrykit.functions.code import code_metrics, line_counts
 from quarrykit.functions.paths import size_label
-from quarrykit.iterate import reachable, stored
-from quarrykit.operators import catalog, duplicates, export, graph, history, search
+from quarrykit.iterate import new_path, stored
+from quarrykit.operators import catalog, content_index, duplicates, export, graph, history, search
 from quarrykit.plans import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -282,10 +283,43 @@ def _hits(pattern: str, where: str = "TRUE") -> str:
 hits AS (SELECT * FROM each_line WHERE regexp_matches(text, '{pattern}') QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY number) <= 50) SELECT file_id, path, number, substr(text, 1, 240) AS text FROM hits"""
 
 
-@query(_hits("(?i)disgusting", "list_contains(string_split_regex(lower(content), '[^\\p{L}\\p{N}]+'), 'disgusting')"))
+_served: dict[tuple, str] = {}
+
+
+def _index(spark, d):
+    """The written index of all documents, made by the first query that needs it and served from then on, as long as the table stays as it is."""
+    changed = A.table(spark, d, "documents").agg(F.max("_metadata.file_modification_time"), F.count("*")).first()
+    key = (spark.sparkContext.applicationId, d, *changed)
+    if key not in _served:
+        path = new_path(spark, "index")
+        content_index.write_index(A.document_files(spark, d).select("file_id", "content"), path)
+        _served[key] = path
+    return _served[key]
+
+
+TOKENS = "string_split_regex(lower(content), '[^\\p{L}\\p{N}]+')"
+
+
+@query(_hits("(?i)disgusting", f"list_contains({TOKENS}, 'disgusting')"))
 def search_content(spark, d):
-    files = A.document_files(spark, d)
-    return search.search_content(files, "Disgusting", index=search.build_index(files, only="Disgusting"))
+    return search.search_content(A.document_files(spark, d), "Disgusting", index=content_index.open_index(spark, _index(spark, d), "Disgusting"))
+
+
+@query(_hits(r"(?i)under the", f"list_has_all({TOKENS}, ['under', 'the'])"))
+def search_words(spark, d):
+    return search.search_content(A.document_files(spark, d), "under the", index=content_index.open_index(spark, _index(spark, d), "under the"))
+
+
+@query(_hits(r"(?i)example\.com", f"contains(' ' || array_to_string({TOKENS}, ' ') || ' ', ' example com ')"))
+def search_phrase(spark, d):
+    return search.search_content(A.document_files(spark, d), "example.com", index=content_index.open_index(spark, _index(spark, d), "example.com"))
+
+
+@query(f"""WITH {FILES}, words AS (SELECT file_id, array_to_string(list_transform({TOKENS}, lambda x: strip_accents(x)), ' ') AS w FROM files)
+SELECT file_id FROM words WHERE contains(' ' || w || ' ', ' fur ') AND contains(' ' || w || ' ', ' in der ')""")
+def index_files(spark, d):
+    """Files by a phrase and a word without its diacritics, from the written index alone."""
+    return search.matching_files(content_index.open_index(spark, _index(spark, d), "FÜR in-der"), "FÜR in-der")
 
 
 @query(_hits("(?i)lic[a-z]+ under the [A-Z]"))
@@ -413,6 +447,25 @@ def cycles(spark, d):
     return graph.cycles(_folder_graph(spark, d)).select("node", "component", "size")
 
 
+@query(f"""WITH RECURSIVE {GRAPH}, pairs AS (SELECT DISTINCT from_file AS source, to_file AS target FROM imports),
+reach AS (SELECT source, target FROM pairs UNION SELECT r.source, p.target FROM reach r JOIN pairs p ON r.target = p.source),
+same AS (SELECT a.source AS node, min(a.target) AS other FROM reach a JOIN reach b ON a.source = b.target AND a.target = b.source GROUP BY a.source),
+names AS (SELECT source AS node FROM pairs UNION SELECT target FROM pairs), groups AS (SELECT node, coalesce(least(other, node), node) AS part FROM names LEFT JOIN same USING (node)),
+links_ AS (SELECT DISTINCT x.part AS source, y.part AS target FROM pairs JOIN groups x ON source = x.node JOIN groups y ON target = y.node WHERE x.part <> y.part),
+longest AS (SELECT part, 0::BIGINT AS layer FROM groups UNION SELECT l.source, d.layer + 1 FROM longest d JOIN links_ l ON l.target = d.part)
+SELECT node, max(layer) AS layer FROM groups JOIN longest USING (part) GROUP BY node""")
+def import_layers(spark, d):
+    return graph.import_layers(_edges(spark, d))
+
+
+@query("""SELECT o_orderkey::VARCHAR AS path, o_totalprice AS lines_code, (SELECT count(*) FROM orders) AS total FROM orders
+ORDER BY o_totalprice DESC, o_orderkey::VARCHAR LIMIT 40 OFFSET (SELECT 3 * count(*) // 4 FROM orders)""")
+def deep_page(spark, d):
+    """A page three quarters into all orders, read from the ranges of the order that it lies in."""
+    files = A.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_totalprice").alias("lines_code"))
+    return catalog.page_with_total(files, 40, 3 * files.count() // 4, "loc", shallow=0)
+
+
 @query("SELECT p_brand AS manager, count(*) OVER (PARTITION BY p_brand) AS total, p_name AS name, p_type AS scope FROM part")
 def dependencies_grouped(spark, d):
     parts = A.table(spark, d, "part").select(F.col("p_brand").alias("manager"), F.col("p_name").alias("name"), F.lit("").alias("version"), F.col("p_type").alias("scope"))
