@@ -10,12 +10,12 @@ import fnmatch
 import os
 import subprocess
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from quarrykit.functions.code import code_metrics, line_counts
 from quarrykit.functions.languages import language_of
@@ -97,6 +97,17 @@ def git(root: str, *args: str) -> str:
     return done.stdout if done.returncode == 0 else ""
 
 
+def _rev_list(root: str, of: Iterable[str], without: Iterable[str]) -> list[str]:
+    """Commits that ``of`` lead to and ``without`` don't, newest first. Hashes that Git doesn't know are ignored."""
+    asked = [*of, *(f"^{x}" for x in without)]
+    if not asked:
+        return []
+    done = subprocess.run(["git", "-C", root, "rev-list", "--date-order", "--ignore-missing", "--stdin"], input="\n".join(asked) + "\n", capture_output=True, text=True)
+    if done.returncode:
+        raise RuntimeError(f"git rev-list failed in {root}: {done.stderr.strip()}")
+    return done.stdout.split()
+
+
 class _Commits(InputPartition):
     """Commits with the ordinals from ``first`` on."""
 
@@ -104,12 +115,13 @@ class _Commits(InputPartition):
         self.first, self.hashes = first, hashes
 
 
-class _LogReader(DataSourceReader):
+class _LogLines:
+    """Lines of slices of a log; what the batch and the stream share."""
+
     def __init__(self, options: dict[str, str]):
         self.root, self.size = options["path"], max(1, int(options.get("commits", "2000")))
 
-    def partitions(self) -> list[InputPartition]:
-        hashes = git(self.root, "rev-list", "--all", "--date-order").split()
+    def slices(self, hashes: list[str]) -> list[InputPartition]:
         return [_Commits(k + 1, hashes[k : k + self.size]) for k in range(0, len(hashes), self.size)] or [_Commits(1, [])]
 
     def read(self, partition: _Commits) -> Iterator[tuple]:
@@ -130,8 +142,55 @@ class _LogReader(DataSourceReader):
                 raise RuntimeError(f"git log failed in {self.root}")
 
 
+class _LogReader(_LogLines, DataSourceReader):
+    def partitions(self) -> list[InputPartition]:
+        return self.slices(git(self.root, "rev-list", "--all", "--date-order").split())
+
+
+class _LogStreamReader(_LogLines, DataSourceStreamReader):
+    """An offset is every tip that was ever seen, without those that others lead to. A batch is what is reachable from its end and wasn't from its
+    start, so a commit comes once, also if refs are moved back and forth."""
+
+    def __init__(self, options: dict[str, str]):
+        super().__init__(options)
+        self.kept = options.get("tips")
+        self.tips: set[str] = set()
+
+    def initialOffset(self) -> dict:  # noqa: N802 - the interface's name
+        return {"tips": []}
+
+    def _known(self) -> set[str]:
+        if self.kept and os.path.exists(self.kept):
+            with open(self.kept) as f:
+                return self.tips | set(f.read().split())
+        return self.tips
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        heads = set(git(self.root, "for-each-ref", "--format=%(objectname)").split()) | set(git(self.root, "rev-parse", "--verify", "-q", "HEAD").split())
+        old = self._known() - heads
+        # of earlier tips, only those that today's don't lead to are kept; those that Git has deleted are, too
+        beyond = set(_rev_list(self.root, old, heads))
+        gone = {x for x in old if not git(self.root, "cat-file", "-t", x)}
+        return {"tips": sorted(heads | (old & beyond) | gone)}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.tips |= set(end["tips"])
+        if self.kept:
+            fresh = f"{self.kept}.new"
+            with open(fresh, "w") as f:
+                f.write("\n".join(end["tips"]))
+            os.replace(fresh, self.kept)
+            self.tips = set(end["tips"])
+        return self.slices(_rev_list(self.root, end["tips"], start["tips"]))
+
+
 class GitLog(DataSource):
-    """Lines of a repository's log on all refs (``commit``: ordinal, newest first, ``line``). The driver lists hashes alone; tasks compare the files of ``commits`` commits each. Parsing is left to Spark."""
+    """Lines of a repository's log on all refs (``commit``: ordinal, newest first, ``line``). The driver lists hashes alone; tasks compare the files of ``commits`` commits each. Parsing is left to Spark.
+
+    As a stream, each batch has the commits that came since the last one, with ordinals of its own. Option ``tips`` names a file
+    that keeps the tips of the batches; without it, a restarted stream knows only those of its last batch, and would read commits again that a
+    forced push took away before it and another one brought back.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -143,6 +202,9 @@ class GitLog(DataSource):
     def reader(self, schema: object) -> DataSourceReader:
         return _LogReader(self.options)
 
+    def streamReader(self, schema: object) -> DataSourceStreamReader:  # noqa: N802
+        return _LogStreamReader(self.options)
+
 
 def parse_log(log: DataFrame, repo_id: int = 1) -> tuple[DataFrame, DataFrame]:
     """Commits and file changes of log lines. Headers need all six fields; changes of binary files have no line counts and are left out."""
