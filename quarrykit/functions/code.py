@@ -1,13 +1,12 @@
 """Measures of source files: lines, normalised lines, complexity, functions and nesting.
 
-Line by line state (open comments, braces, indentation) isn't a relational notion, so these are Arrow UDFs of small per-file helpers;
-everything around them stays in expressions.
+Lines are counted in expressions. Braces, indentation and functions are measured by small per-file helpers in Arrow UDFs; everything around them stays in expressions.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -45,28 +44,6 @@ def _code_and_state(line: str, language: Language, closing: str | None) -> tuple
     return line[:at], None, None if close in line[at + len(mark) :] else close
 
 
-def count_lines(content: str, language: Language) -> tuple[int, int, int, int]:
-    """Lines, code, comments and blanks. A line that holds a line comment's mark anywhere counts as a comment."""
-    code = comments = blank = 0
-    closing = None
-    lines = _lines(content)
-    for line in lines:
-        was_open = closing is not None
-        before, after, closing = _code_and_state(line, language, closing)
-        if was_open:
-            is_code = after is not None and after.strip(_TRIM) != ""
-        elif not line.strip(_TRIM):
-            blank += 1
-            continue
-        elif before != line:  # a block comment was opened
-            is_code = before.strip(_TRIM) != ""
-        else:
-            is_code = not any(mark in line for mark in language.line_comments)
-        code += is_code
-        comments += not is_code
-    return len(lines), code, comments, blank
-
-
 def normal_lines(content: str, language: Language) -> list[tuple[str, int]]:
     """Code of each line without comments, trimmed and in lower case, with its number from 1; empty ones are left out."""
     out = []
@@ -256,14 +233,45 @@ def measure(content: str, language: str) -> tuple[int, int, int, int, float, int
 # UDFs are made when they are used: reading their types needs a session, which workers that import this don't have
 
 
-def line_counts(content: ColumnOrName, language: ColumnOrName) -> Column:
-    """Line counts of each text, as a struct; zeros for null texts and unknown languages."""
+def _of_language(language: ColumnOrName, value: Callable[[Language], Column]) -> Column:
+    """A value of each row's language; null for unknown ones."""
+    return F.try_element_at(F.create_map(*[x for name, own in BY_NAME.items() for x in (F.lit(name), value(own))]), F.col(language) if isinstance(language, str) else language)
 
-    def count(content: pd.Series, language: pd.Series) -> pd.DataFrame:
-        rows = [count_lines(c, BY_NAME[x]) if c is not None and x in BY_NAME else (0, 0, 0, 0) for c, x in zip(content, language, strict=True)]
-        return pd.DataFrame(rows, columns=["lines_total", "lines_code", "lines_comment", "lines_blank"])
 
-    return F.pandas_udf(count, "lines_total long, lines_code long, lines_comment long, lines_blank long")(content, language)
+def line_counts(content: ColumnOrName, language: ColumnOrName) -> Column:
+    """Line counts of each text, as a struct; zeros for null texts and unknown languages.
+
+    A walk over a file's lines in expressions: what is carried from line to line is whether a block comment is open, and the counts. A line that holds a line
+    comment's mark anywhere counts as a comment, as does one inside a block comment, unless there is code before or after the comment.
+    """
+    text = F.col(content) if isinstance(content, str) else content
+    marks = F.struct(
+        _of_language(language, lambda x: F.lit(x.block_comments[0][0] if x.block_comments else None).cast("string")).alias("open"),
+        _of_language(language, lambda x: F.lit(x.block_comments[0][1] if x.block_comments else None).cast("string")).alias("close"),
+        _of_language(language, lambda x: F.array(*[F.lit(m) for m in x.line_comments]).cast("array<string>")).alias("line"),
+    )
+    lines = F.split(text, "\n")
+    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+
+    def solid(x: Column) -> Column:
+        return F.btrim(x, F.lit(_TRIM)) != ""
+
+    def step(own: Column, s: Column, x: Column) -> Column:
+        opened, closed = F.coalesce(F.position(own["open"], x), F.lit(0)), F.coalesce(F.position(own["close"], x), F.lit(0))
+        after_open = F.substr(x, opened + F.length(own["open"]))
+        blank = ~s["open"] & ~solid(x)
+        code = F.when(s["open"], (closed > 0) & solid(F.substr(x, closed + F.length(own["close"])))).when(opened > 0, solid(F.substr(x, F.lit(1), opened - 1)))
+        code = ~blank & code.otherwise(~F.exists(own["line"], lambda m: F.contains(x, m)))
+        stays = F.when(s["open"], closed == 0).when(opened > 0, F.position(own["close"], after_open) == 0).otherwise(False)
+        return F.struct(stays.alias("open"), (s["code"] + code.cast("long")).alias("code"), (s["blank"] + blank.cast("long")).alias("blank"))
+
+    zero = F.struct(F.lit(False).alias("open"), F.lit(0).cast("long").alias("code"), F.lit(0).cast("long").alias("blank"))
+    # the marks are an array of one, so that they are worked out once a file
+    walked = F.transform(F.array(marks), lambda own: F.aggregate(lines, zero, lambda s, x: step(own, s, x)))[0]
+    known = text.isNotNull() & _of_language(language, lambda x: F.lit(True)).isNotNull()
+    total = F.when(known, F.size(lines)).otherwise(0).cast("long")
+    code, blank = (F.coalesce(F.when(known, walked[x]), F.lit(0)).cast("long") for x in ("code", "blank"))
+    return F.struct(total.alias("lines_total"), code.alias("lines_code"), (total - code - blank).alias("lines_comment"), blank.alias("lines_blank"))
 
 
 def normalized_lines(content: ColumnOrName, language: ColumnOrName) -> Column:

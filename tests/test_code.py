@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,13 +57,57 @@ def test_small_functions(spark):
         matcher("(", regex=True)
 
 
-def test_line_counts():
-    assert code.count_lines("# a\nx = 1\n\ny = 2 # b\n", BY_NAME["Python"]) == (4, 1, 2, 1)
-    assert code.count_lines("/*\n a\n*/\nint x;\n", BY_NAME["Java"]) == (4, 1, 3, 0)
-    assert code.count_lines("/* a\n\n*/ x();\n", BY_NAME["Go"]) == (3, 1, 2, 0)  # blanks in a block are comments
-    assert code.count_lines("// see /*\nx\n", BY_NAME["Go"]) == (2, 1, 1, 0)  # opens a block all the same; what is before it is code
-    assert code.count_lines("u = 'http://x'\n", BY_NAME["Go"]) == (1, 0, 1, 0)
-    assert code.count_lines("", BY_NAME["Go"]) == (0, 0, 0, 0)
+def _plain_counts(text, language):
+    """Lines, code, comments and blanks by a loop over lines."""
+    lines = text.split("\n")
+    lines = lines[:-1] if lines[-1] == "" else lines
+    begin, end = (*language.block_comments, (None, None))[0]
+    n_code, n_comments, n_blanks, inside = 0, 0, 0, False
+    for line in lines:
+        if inside:
+            at = line.find(end)
+            is_code, inside = at >= 0 and line[at + len(end) :].strip(code._TRIM) != "", at < 0
+        elif not line.strip(code._TRIM):
+            n_blanks += 1
+            continue
+        elif begin and begin in line:
+            at = line.find(begin)
+            is_code, inside = line[:at].strip(code._TRIM) != "", end not in line[at + len(begin) :]
+        else:
+            is_code = not any(mark in line for mark in language.line_comments)
+        n_code, n_comments = n_code + is_code, n_comments + (not is_code)
+    return len(lines), n_code, n_comments, n_blanks
+
+
+def _counted(spark, rows):
+    """Counts of (text, language) rows, and whether the plan has Python in it."""
+    counted = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, text string, language string").select("k", code.line_counts("text", "language").alias("l")).select("k", "l.*")
+    return [tuple(r)[1:] for r in counted.orderBy("k").collect()], "EvalPython" in counted._jdf.queryExecution().executedPlan().toString()
+
+
+def test_line_counts(spark):
+    rows = {
+        ("# a\nx = 1\n\ny = 2 # b\n", "Python"): (4, 1, 2, 1),
+        ("/*\n a\n*/\nint x;\n", "Java"): (4, 1, 3, 0),
+        ("/* a\n\n*/ x();\n", "Go"): (3, 1, 2, 0),  # blanks in a block are comments
+        ("// see /*\nx\n", "Go"): (2, 1, 1, 0),  # opens a block all the same; what is before it is code
+        ("u = 'http://x'\n", "Go"): (1, 0, 1, 0),
+        ("", "Go"): (0, 0, 0, 0),
+        (None, "Go"): (0, 0, 0, 0),
+        ("x", "unknown"): (0, 0, 0, 0),
+        ("x", None): (0, 0, 0, 0),
+        ("<!-- a\n-->b\n\u2003\nc", "HTML"): (4, 2, 1, 1),
+    }
+    got, python = _counted(spark, list(rows))
+    assert got == list(rows.values()) and not python
+
+
+def test_line_counts_equal_plain_loop(spark):
+    draw = random.Random(7)
+    parts = ["/*", "*/", "//", "#", "<!--", "-->", "--", "x", " ", "\t", "\u00a0", "\n", "\n", "\n\n", "\r\n", "\x1c", "é", "*", "/"]
+    rows = [("".join(draw.choice(parts) for _ in range(draw.randrange(60))), draw.choice(sorted(BY_NAME))) for _ in range(1500)]
+    got, _ = _counted(spark, rows)
+    assert got == [_plain_counts(t, BY_NAME[x]) for t, x in rows]
 
 
 def test_normal_lines():
