@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from quarrykit.llm.common import components, find_roots, stored
 
 THRESHOLD = 0.98
-#: Rows that the codebooks are fitted on at most, and the fewest of them for each code. Cells grow with the table up to (20,000 / 8)^2, or
-#: 400 million vectors of each label at ``FILL``; a larger sample carries that on.
+#: Rows that the codebooks of a vector length are fitted on at most, and the fewest of them for each code. Cells grow with the table up to (20,000 / 8)^2, or
+#: 400 million vectors of each label at ``FILL``; a larger ``sample`` carries that on.
 SAMPLE, LEAST_ROWS = 20_000, 8
 #: Vectors of one label that a cell should hold.
 FILL = 64
@@ -23,6 +24,8 @@ RECALL = 0.995
 #: Residents and guests of a cell that meet in one task's group.
 RESIDENTS, GUESTS = 1024, 4096
 BROADCAST_ROWS = 200_000
+#: Vector lengths whose codebooks tasks hold at once.
+LENGTHS = 8
 
 
 @dataclass(frozen=True)
@@ -127,20 +130,22 @@ def _valid(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.drop(columns="embedding").assign(dim=dims, vector=vectors)
 
 
-def _deal(index: MultiIndex, dim: int) -> object:
+def _deal(grids: dict[int, MultiIndex]) -> object:
+    """Homes and visited cells of vectors, by the grid of their length; without a grid, a length has one cell."""
+
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = index.codes**2
         for batch in batches:
             for lo in range(0, len(batch), 1024):
                 part = batch.iloc[lo : lo + 1024].reset_index(drop=True)
                 cell = np.zeros(len(part), dtype=np.int64)
-                known = np.flatnonzero(part.dim.to_numpy() == dim)
                 lists = [[0]] * len(part)
-                if len(known):
-                    x = _unit(part.vector.iloc[known])
-                    cell[known] = index.cells(x)
-                    for k, row in zip(known, index.traverse(x, min(index.visits, size)).tolist(), strict=True):
-                        lists[k] = row
+                for dim, index in grids.items():
+                    known = np.flatnonzero(part.dim.to_numpy() == dim)
+                    if len(known):
+                        x = _unit(part.vector.iloc[known])
+                        cell[known] = index.cells(x)
+                        for k, row in zip(known, index.traverse(x, min(index.visits, index.codes**2)).tolist(), strict=True):
+                            lists[k] = row
                 visits = [sorted({*v, int(c)}) for v, c in zip(lists, cell, strict=True)]
                 part = part.assign(home=cell, visits=visits, seen=[np.array(v, dtype=np.int64).tobytes() for v in visits])
                 yield part[["node", "label", "dim", "weight", "home", "visits", "seen", "vector"]]
@@ -182,20 +187,21 @@ def _compare(threshold: float) -> object:
     return compare
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, codes: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, codes: int | None = None, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Links vectors of equal labels whose cosine is ``threshold`` or more.
 
     Returns one row per vector: ``vec_id``, ``n_links`` (other vectors linked with it), ``component_id`` (smallest id reachable by links, itself
     included) and ``kept`` (it is that vector).
 
-    Codebooks are fitted on at most ``SAMPLE`` vectors, chosen by a hash of the id; every vector is indexed. Each vector is
+    Each vector length has a grid of its own, whose codebooks are fitted on at most ``sample`` vectors of it, chosen by a hash of the row; lengths of up to ``FILL``
+    vectors have one cell. Every vector is indexed. Each vector is
     a resident of its cell and a guest in the cells that its traversal visits, as many as reach ``recall`` of
     pairs at the threshold; all found pairs are verified in double precision. Equal vectors of a label are compared
     once. Large cells are split into blocks of residents and guests that meet block by block; a block passes on sums
     and a forest of links only.
 
     Null labels and vectors that are null, empty, zero or hold null or non-finite components link with nothing. Vectors of
-    different lengths don't link; codebooks are of the most common length, others share a cell for each length. Repeated rows, and
+    different lengths don't link. Repeated rows, and
     rows with the same or no id, are vectors of their own. Null ids come after all others; a component of null ids alone has a null id, and its
     first row is kept. An empty table gives an empty result; other columns are ignored.
     """
@@ -208,18 +214,26 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     classes = able.groupBy(*same).agg(F.min(F.struct("none", "vec_id", "row")).alias("first"), F.count("*").alias("weight"))
     classes = stored(classes.withColumn("node", F.col("first.row")), "classes")
     reps = stored(able.join(classes.select("node", "weight"), F.col("row") == F.col("node")).select("node", "label", "dim", "weight", "vector"), "reps")
-    common = reps.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+    lengths = reps.groupBy("dim").agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels")).orderBy(F.desc("n"), "dim").collect()  # a row a length
     ids = ["vec_id", "none", "row"]
     plain = rows.where("vector IS NULL OR label IS NULL").select(*ids, F.lit(0).cast("long").alias("n_links"), F.struct("none", "vec_id", "row").alias("end"))
-    if common is None:
+    if not lengths:
         return _named(plain)
-    dim = common.dim
-    sample = reps.where(F.col("dim") == dim).orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("vector").toPandas()
-    labels = reps.select(F.approx_count_distinct("label")).first()[0]
-    size = codes or max(2, min(len(sample) // LEAST_ROWS, round((common.n / max(1, labels) / FILL) ** 0.5)))
-    index = fit_index(_unit(sample.vector), size if dim > 1 else 1, threshold, recall) if dim > 1 else MultiIndex(np.zeros((1, 0)), np.zeros((1, dim)), 1)
-    dealt = reps.select("node", "label", "dim", "weight", "vector").mapInPandas(_deal(index, dim), "node long, label string, dim long, weight long, home long, visits array<long>, seen binary, vector binary")
-    dealt = stored(dealt, "dealt")
+    wide = [r for r in lengths if r.dim > 1 and r.n > FILL]
+    columns = reps.select("node", "label", "dim", "weight", "vector")
+    schema = "node long, label string, dim long, weight long, home long, visits array<long>, seen binary, vector binary"
+    dealt = []
+    for lo in range(0, max(1, len(wide)), LENGTHS):
+        grids = {}
+        for r in wide[lo : lo + LENGTHS]:
+            drawn = reps.where(F.col("dim") == r.dim).orderBy(F.xxhash64("node"), "node").limit(sample).select("vector").toPandas()
+            size = codes or max(2, min(len(drawn) // LEAST_ROWS, round((r.n / max(1, r.labels) / FILL) ** 0.5)))
+            grids[r.dim] = fit_index(_unit(drawn.vector), size, threshold, recall)
+        here = [r.dim for r in (lengths if len(wide) <= LENGTHS else wide[lo : lo + LENGTHS])]
+        dealt.append(stored(columns.where(F.col("dim").isin(here)).mapInPandas(_deal(grids), schema), "dealt"))
+    if len(wide) > LENGTHS:
+        dealt.append(stored(columns.where(~F.col("dim").isin([r.dim for r in wide])).mapInPandas(_deal({}), schema), "dealt"))
+    dealt = reduce(DataFrame.unionByName, dealt)
     keys = ["label", "dim", "cell"]
     calls = dealt.select("label", "dim", F.explode("visits").alias("cell"), "home")
     counts = calls.groupBy(*keys).agg(F.count_if(F.col("cell") == F.col("home")).alias("residents"), F.count("*").alias("all"))

@@ -46,8 +46,13 @@ _WORD_END = "</w>"
 
 
 def by_words(tokenizer) -> bool:
-    """Whether a tokenizer splits at white space, drops it and marks the ends of words, as its own settings say."""
+    """Whether a tokenizer splits at white space, drops it and marks the ends of words, as its own settings say.
+
+    An added token is looked for before that, in the text as it is: it must lie inside a word, and not in one of plain letters and marks, which are learnt in lower case.
+    """
     said = json.loads(tokenizer.to_str())
+    if any(x["content"].split() != [x["content"]] or _PLAIN.fullmatch(x["content"].strip(_MARKS) or "a") for x in said["added_tokens"]):
+        return False
     normalizers = [(x["type"], (x.get("pattern") or {}).get("Regex")) for x in (said["normalizer"] or {}).get("normalizers", ())]
     splits = (said["pre_tokenizer"] or {}).get("pretokenizers", ({},))
     first = {k: splits[0].get(k) for k in ("type", "pattern", "behavior", "invert")}

@@ -81,6 +81,18 @@ def test_other_tokenizers_get_whole_texts(make, tmp_path):
             got[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
         assert got == {k: tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for k, t in rows}
     assert not packing.by_words(tokenizer)
+    # added tokens that go over white space, or are plain words
+    for added, whole in (("new york", True), ("w1 w2", True), ("York", True), ("end.", True), ("<|mark|>", False)):
+        extended = Tokenizer.from_file(tokenizer_path())
+        extended.add_tokens([added])
+        assert packing.by_words(extended) is not whole
+        extended.save(str(tmp_path / "added.json"))
+        plain = Tokenizer.from_file(str(tmp_path / "added.json"))
+        text = f"in new york w1 w2 York, york end. the<|mark|>end {added} x{added}y"
+        packing._words.cache_clear()
+        packing._tokenizer.cache_clear()
+        (got,) = packing.token_bytes([text], str(tmp_path / "added.json"))
+        assert np.frombuffer(got, "<u4").tolist() == [*plain.encode(text, add_special_tokens=False).ids, packing.END_ID]
 
 
 def test_pieces_are_what_the_tokenizer_says(make):
@@ -349,6 +361,29 @@ def test_quality_filter_is_not_repeated_in_the_plan(make):
 # embeddings
 
 
+def test_every_length_has_a_grid(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "LENGTHS", 1)  # grids in turns, as with very many lengths
+    grids, deal = [], embedding_dedup._deal
+    monkeypatch.setattr(embedding_dedup, "_deal", lambda own: grids.append({d: g.codes for d, g in own.items()}) or deal(own))
+    rng, rows = np.random.default_rng(4), []
+    for dim, n in ((8, 601), (12, 600), (5, 20), (1, 3)):
+        centres = rng.standard_normal((40, dim))
+        x = centres[rng.integers(0, 40, n)] + 0.02 * rng.standard_normal((n, dim))
+        rows += [(len(rows) + k, v) for k, v in enumerate(x.tolist())]
+    got = embedding_dedup.near_vectors(spark.createDataFrame([(k, v, 0) for k, v in rows], "vec_id long, embedding array<double>, label int"), sample=400)
+    links = {r.vec_id: r.n_links for r in got.collect()}
+    assert grids == [{8: 3}, {12: 3}, {}]
+    want = {}
+    for dim in (8, 12, 5, 1):
+        own = [(k, v) for k, v in rows if len(v) == dim]
+        x = np.array([v for _, v in own])
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        want |= dict(zip([k for k, _ in own], ((x @ x.T >= 0.98).sum(1) - 1).tolist(), strict=True))
+    assert set(links) == set(want) and all(links[k] <= want[k] for k in want)
+    assert sum(links.values()) >= 0.99 * sum(want.values())
+
+
+
 def _unit(rng, n, d=16):
     x = rng.standard_normal((n, d))
     return x / np.linalg.norm(x, axis=1)[:, None]
