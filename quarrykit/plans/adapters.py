@@ -105,21 +105,55 @@ PART_SOURCES = (
 )
 
 
+#: Sources in the other languages, by ``p_partkey % 6``, as above.
+MORE_SOURCES = (
+    ("k/p{k}.kt", "import a.b\nclass P{k}\nfun run(a: Int) {{\n\tif (a > 0 && b) {{\n{body}\t}}\n}}\n", "\t\tx()\n"),
+    ("php/p{k}.php", "<?php\nuse A\\B;\nclass P{k} {{\n\tpublic function run($a) {{\n\t\tif ($a || $b) {{\n{body}\t\t}}\n\t}}\n}}\n", "\t\t\tx();\n"),
+    ("cs/p{k}.cs", "using System;\npublic class P{k} {{\n\tpublic int Run(int a) {{\n\t\twhile (a > 0 && b) {{\n{body}\t\t}}\n\t}}\n}}\n", "\t\t\tx();\n"),
+    ("cpp/p{k}.cpp", "#include <a>\n/* one\ntwo */\nint run(int a) {{\n\tif (a || b) {{\n{body}\t}}\n}}\n", "\t\tx();\n"),
+    ("sw/p{k}.swift", "import Foundation\n\npublic func run() {{\n\tif a && b {{\n{body}\t}}\n}}\n", "\t\tx()\n"),
+    ("js/p{k}.js", "import x from './y' // why\nexport function run() {{\n\tif (a && b) {{\n{body}\t}}\n}}\n", "\t\tx()\n"),
+)
+#: Manifests by ``p_partkey % 7``.
+PART_MANIFESTS = (
+    ("m{k}/package.json", '{{"name": "x", "dependencies": {{"p{k}": "^{z}.1"}}, "devDependencies": {{"test-it": "2"}}}}'),
+    ("m{k}/composer.json", '{{"require": {{"v/p{k}": "{z}.0"}}, "require-dev": {{}}}}'),
+    ("m{k}/go.mod", "module x\n\nrequire (\n\texample.org/p{k} v1.{z}.0\n\texample.org/q v0.1.0 // indirect\n)\n\nrequire example.org/r v2.0.0\n"),
+    ("m{k}/Cargo.toml", '[package]\nname = "x"\n\n[dependencies]\np{k} = "1.{z}"\n\n[dev-dependencies]\nq = {{ version = "2" }}\n'),
+    ("m{k}/pom.xml", '<project xmlns="http://maven.apache.org/POM/4.0.0"><dependencies><dependency><groupId>g</groupId><artifactId>p{k}</artifactId><version>{z}.2</version></dependency></dependencies></project>'),
+    ("m{k}/requirements.txt", "# pinned\np{k}=={z}\nq[extra] >=2 ; python_version > '3'\n-r other.txt\n\n"),
+    ("m{k}/pyproject.toml", '[project]\nname = "x"\ndependencies = ["p{k}>={z}"]\n'),
+)
+
+
 def _filled(pattern: str, values: dict[str, Column]) -> Column:
     """The pattern with its names replaced by columns."""
     parts = [x for text, name, _, _ in Formatter().parse(pattern) for x in ([F.lit(text)] if text else []) + ([values[name]] if name else [])]
     return F.concat(*parts)
 
 
-def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def part_files(spark: SparkSession, sf_dir: str, sources: tuple[tuple[str, str, str], ...] = PART_SOURCES) -> DataFrame:
     """Each part as a source file, and a ``go.mod``: ``repo_id``, ``path``, ``language``, ``content``."""
     k, z = F.col("p_partkey"), F.col("p_size") % 3
     values = {"k": k, "k6": k + 6, "k12": k + 12, "z": z, "z1": (z + 1) % 3}
     path, content = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for m, (place, source, line) in enumerate(PART_SOURCES):
-        own = k % len(PART_SOURCES) == m
+    for m, (place, source, line) in enumerate(sources):
+        own = k % len(sources) == m
         path = F.when(own, _filled(place, values)).otherwise(path)
         content = F.when(own, _filled(source, values | {"body": F.repeat(F.lit(line), (z + 1).cast("int"))})).otherwise(content)
     files = table(spark, sf_dir, "part").select(path.alias("path"), content.alias("content"))
     files = files.unionByName(spark.range(1).select(F.lit("go.mod").alias("path"), F.lit("module example.org/m\n").alias("content")))
     return files.select(F.lit(1).alias("repo_id"), "path", language_of(F.col("path")).alias("language"), "content")
+
+
+def part_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part as a manifest that names it: ``repo_id``, ``path``, ``content``."""
+    files = part_files(spark, sf_dir, tuple((path, content, "") for path, content in PART_MANIFESTS))
+    return files.where("path <> 'go.mod'").select("repo_id", "path", "content")
+
+
+def part_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part as a file of its brand, named by its size."""
+    names = ("main.go", "helper.go", "index.ts", "main.py", "Main.java", "domain.py", "notes.main.go")
+    name = F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("p_size") % len(names) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", "p_partkey", name).alias("path"))

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from quarrykit.digraph import reachable
 from quarrykit.functions.code import code_metrics, line_counts
-from quarrykit.functions.paths import size_label
+from quarrykit.functions.paths import base_name, size_label
 from quarrykit.iterate import new_path, stored
 from quarrykit.operators import catalog, content_index, duplicates, export, graph, history, search
 from quarrykit.plans import adapters as A
+from quarrykit.sources import manifests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -544,6 +545,105 @@ def source_imports(spark, d):
     return graph.import_edges(A.part_files(spark, d)).drop("repo_id")
 
 
+@query("""WITH parts AS (SELECT p_partkey AS k, (p_size % 3)::BIGINT AS z, p_partkey % 6 AS m FROM part),
+-- lines beyond z, comments, blanks; complexity, imports, exports, functions, lines of the first one (with a blank line before it) and a second one beyond z; indentation of a body line and of all others, lines that have one beyond z, block comments of several lines among them
+shapes(m, language, place, ending, more, comments, blanks, complexity, imports, exports, func_count, longest, second, steep, levels, solid) AS (VALUES
+  (0, 'Kotlin', 'k', 'kt', 7, 0, 0, 3, 1, 2, 1, 5, NULL, 2, 2, 6), (1, 'PHP', 'php', 'php', 9, 0, 0, 4, 1, 2, 1, 5, NULL, 3, 6, 8), (2, 'C#', 'cs', 'cs', 8, 0, 0, 3, 1, 2, 1, 5, NULL, 3, 6, 7),
+  (3, 'C++', 'cpp', 'cpp', 8, 2, 0, 3, 1, 0, 1, 5, NULL, 2, 2, 7), (4, 'Swift', 'sw', 'swift', 7, 0, 1, 3, 1, 1, 1, 6, NULL, 2, 2, 5), (5, 'JavaScript', 'js', 'js', 6, 1, 0, 3, 1, 1, 2, 6, 3, 2, 2, 5))
+SELECT place || '/p' || k || '.' || ending AS path, language, z + more AS lines_total, z + more - comments - blanks AS lines_code, comments::BIGINT AS lines_comment, blanks::BIGINT AS lines_blank,
+  complexity::BIGINT AS complexity, imports::BIGINT AS imports, exports::BIGINT AS exports, func_count::BIGINT AS func_count,
+  round((z + longest + CASE WHEN second IS NULL THEN 0 ELSE z + second END) / func_count, 9) AS avg_func_len, z + longest AS max_func_len, round((steep * (z + 1) + levels) / (z + 1 + solid), 9) AS avg_nesting, steep::BIGINT AS max_nesting
+FROM parts JOIN shapes USING (m)""")
+def source_metrics_more(spark, d):
+    files = A.part_files(spark, d, A.MORE_SOURCES).where("language <> ''")
+    measured = files.select("path", "language", line_counts("content", "language").alias("l"), code_metrics("content", "language").alias("m")).select("path", "language", "l.*", "m.*")
+    return measured.withColumns({x: F.round(x, 9) for x in ("avg_func_len", "avg_nesting")})
+
+
+@query(f"WITH {SOURCES} SELECT path, z + more - lines_comment - lines_blank AS n, z + more AS last FROM sources JOIN shapes USING (m)")
+def source_normal_lines(spark, d):
+    """Lines of code without comments, as duplicate detection compares them."""
+    files = A.part_files(spark, d).where("language <> ''").withColumn("file_id", F.xxhash64("path"))
+    counted = duplicates.each_line(duplicates.code_lines(files)).groupBy("file_id").agg(F.count("*").alias("n"), F.max("number").cast("long").alias("last"))
+    return files.select("file_id", "path").join(counted, "file_id").select("path", "n", "last")
+
+
+@query(f"""WITH RECURSIVE {SOURCES}, named AS (SELECT k, z, m, path FROM sources),
+steps AS (SELECT f.path AS source, t.path AS target FROM named f JOIN named t ON t.k = f.k + 6 WHERE f.m < 5 AND (f.m = 2 OR t.z = f.z)
+  UNION SELECT f.path, t.path FROM named f JOIN named t ON t.k = f.k + 12 WHERE f.m IN (0, 4) AND t.z = 0
+  UNION SELECT path, 'go/s' || (z + 1) % 3 FROM named WHERE m = 5 UNION SELECT regexp_extract(path, '^(.*)/[^/]*$', 1), path FROM named),
+reached AS (SELECT sources.path FROM sources JOIN part ON k = p_partkey WHERE p_retailprice < 1000 UNION SELECT target FROM reached JOIN steps ON path = source)
+SELECT path FROM named ANTI JOIN reached USING (path) UNION ALL SELECT 'go.mod'""")
+def source_dead_files(spark, d):
+    """Files of parts that imports don't reach from those of cheap parts; Go's lead to folders, and these to their files."""
+    files = A.part_files(spark, d)
+    cheap = A.table(spark, d, "part").where("p_retailprice < 1000").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("stem"))
+    entries = files.withColumn("stem", F.lower(F.substring_index(base_name(F.col("path")), ".", 1))).join(cheap, "stem", "left_semi").select("path")
+    return graph.dead_files(files, stored(graph.import_edges(files), "edges"), entries)
+
+
+@query("""WITH names AS (SELECT p_brand || '/' || p_partkey || '/' || ['main.go', 'helper.go', 'index.ts', 'main.py', 'Main.java', 'domain.py', 'notes.main.go'][p_size % 7 + 1] AS path, p_size % 7 AS m FROM part)
+SELECT path FROM names WHERE m IN (0, 2, 3)""")
+def entry_points(spark, d):
+    return graph.entry_points(A.part_entries(spark, d))
+
+
+@query("""WITH parts AS (SELECT p_partkey AS k, p_size % 3 AS z, p_partkey % 7 AS m FROM part), made(m, file, manager, name, version, scope) AS (VALUES
+  (0, 'package.json', 'npm', 'p#', '^%.1', 'runtime'), (0, 'package.json', 'npm', 'test-it', '2', 'dev'), (1, 'composer.json', 'composer', 'v/p#', '%.0', 'runtime'),
+  (2, 'go.mod', 'go', 'example.org/p#', 'v1.%.0', 'direct'), (2, 'go.mod', 'go', 'example.org/q', 'v0.1.0', 'indirect'), (2, 'go.mod', 'go', 'example.org/r', 'v2.0.0', 'direct'),
+  (3, 'Cargo.toml', 'cargo', 'p#', '1.%', 'runtime'), (3, 'Cargo.toml', 'cargo', 'q', '2', 'dev'), (4, 'pom.xml', 'maven', 'g:p#', '%.2', 'compile'),
+  (5, 'requirements.txt', 'pip', 'p#', '==%', 'runtime'), (5, 'requirements.txt', 'pip', 'q', '>=2', 'runtime'), (6, 'pyproject.toml', 'pip', 'p#', '>=%', 'runtime'))
+SELECT 'm' || k || '/' || file AS file_path, manager, replace(name, '#', k::VARCHAR) AS name, replace(version, '%', z::VARCHAR) AS version, scope FROM parts JOIN made USING (m)""")
+def manifest_dependencies(spark, d):
+    return manifests.dependencies(A.part_manifests(spark, d)).drop("repo_id")
+
+
+@query(f"""WITH {FILES}, named AS (SELECT *, CASE lang WHEN 'es' THEN NULL WHEN 'fr' THEN '' ELSE lang END AS known FROM code JOIN (SELECT doc_id AS file_id, lang FROM documents) USING (file_id))
+SELECT coalesce(known, '') AS language, count(*) AS files, sum(lines_total)::BIGINT AS loc, sum(lines_code)::BIGINT AS code, sum(lines_comment)::BIGINT AS comments, sum(lines_blank)::BIGINT AS blank, sum(size)::BIGINT AS size
+FROM named GROUP BY ALL""")
+def language_rollup_unknown(spark, d):
+    known = F.when(F.col("language") == "fr", "").when(F.col("language") != "es", F.col("language"))
+    return catalog.language_rollup(A.document_files(spark, d).withColumn("language", known), unknown=True)
+
+
+@query(f"""WITH {EVENTS}, {STREAKS}, longest AS (SELECT email, days AS longest_days, start_day AS longest_start FROM streaks QUALIFY row_number() OVER (PARTITION BY email ORDER BY days DESC, start_day) = 1)
+SELECT email, longest_days, longest_start FROM longest ORDER BY longest_days DESC, email LIMIT 20""")
+def streak_leaders(spark, d):
+    return history.streak_leaders(A.event_commits(spark, d)).limit(20).select("email", "longest_days", "longest_start")
+
+
+@query(f"""WITH {EVENTS}, {CONTRIBUTORS} SELECT name, email, commits, insertions, deletions, strftime(first_commit_at, '%Y-%m-%dT%H:%M:%SZ') AS first_commit_at, strftime(last_commit_at, '%Y-%m-%dT%H:%M:%SZ') AS last_commit_at FROM board""")
+def export_contributors(spark, d):
+    return export.export_rows("contributors", history.contributors(A.event_commits(spark, d)))
+
+
+@query(f"""WITH RECURSIVE {RUNS}, top AS (SELECT group_id, fragment FROM inside GROUP BY group_id, fragment QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY count(*) DESC, fragment) = 1),
+starts AS (SELECT DISTINCT group_id, file_id, start, first, last FROM inside SEMI JOIN counted USING (group_id)),
+apart AS (SELECT *, coalesce(start - lag(start) OVER w >= 3, true) AS new FROM starts WINDOW w AS (PARTITION BY group_id, file_id ORDER BY start)),
+islands AS (SELECT *, count_if(new) OVER (PARTITION BY group_id, file_id ORDER BY start) AS island FROM apart),
+blocks AS (SELECT group_id, file_id, min(first) AS a, max(last) AS b FROM islands GROUP BY group_id, file_id, island)
+SELECT group_id, file_count, string_agg(file_id || ':' || a || '-' || b, ' ' ORDER BY file_id, a) AS blocks FROM counted JOIN top USING (group_id) JOIN blocks USING (group_id) GROUP BY ALL""")
+def duplicate_report(spark, d):
+    """Groups with their blocks in order of file and line."""
+    runs = _runs(spark, d)
+    pairs = stored(duplicates.similar_pairs(runs), "pairs")
+    nested = duplicates.nested_groups(duplicates.duplicate_groups(runs, pairs, 3), duplicates.duplicate_blocks(runs, pairs, 3))
+    shown = F.transform("blocks", lambda x: F.concat(x["file_id"], F.lit(":"), x["start_line"], F.lit("-"), x["end_line"]))
+    return nested.select("group_id", "file_count", F.array_join(shown, " ").alias("blocks"))
+
+
+@query(_hits("(?i)license", "extension = 'txt'"))
+def search_extension(spark, d):
+    return search.search_content(A.document_files(spark, d), "license", extension=".TXT")
+
+
+@query("SELECT c_custkey AS repo_id, c_name AS name, max(o_orderdate) AS scanned_at FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL ORDER BY scanned_at DESC, repo_id LIMIT 50")
+def recent_repositories(spark, d):
+    """Customers as repositories, whose last order is their last scan."""
+    scans = A.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("repo_id")).agg(F.max("o_orderdate").alias("scanned_at"))
+    return catalog.repositories(A.table(spark, d, "customer").select(F.col("c_custkey").alias("repo_id"), F.col("c_name").alias("name")).join(scans, "repo_id")).limit(50)
+
+
 @query()
 def indent_metrics(spark, d):
     measured = A.document_files(spark, d).select("file_id", code_metrics("content", F.lit("JavaScript")).alias("m"))
