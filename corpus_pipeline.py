@@ -6,6 +6,8 @@ is written as Parquet and read again as the documents of the next.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +16,22 @@ from quarrykit.llm.buckets import at_most
 from quarrykit.llm.common import stored
 from quarrykit.llm.queries import tokenizer_path
 
+
+#: Columns of documents. Others are carried along, under names that no operator uses.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _apart(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A stage's rows with the columns of ``docs``, also where an operator has results of the same names."""
+    names = {c: f"_carried{k}" for k, c in enumerate(c for c in docs.columns if c not in COLUMNS)}
+    if not names:
+        return stage(docs).select(docs.columns)
+    return stage(docs.withColumnsRenamed(names)).select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base checks and every rule."""
-    return quality.quality(docs).where("kept").select(docs.columns)
+    return _apart(docs, lambda own: quality.quality(own).where("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,14 +50,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without strings of 50 bytes that an earlier one has; those with nothing left go."""
-    cleaned = suffix_dedup.remove_repeats(docs, length=50)
-    cleaned = cleaned.where("n_removed = 0 OR n_removed < n_bytes")
-    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+    def clean(own: DataFrame) -> DataFrame:
+        cleaned = suffix_dedup.remove_repeats(own, length=50)
+        cleaned = cleaned.where("n_removed = 0 OR n_removed < n_bytes")
+        return cleaned.withColumn("n_chars", F.length("text").cast("long"))
+
+    return _apart(docs, clean)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of documents, by Poisson draws that bring sources to the weights of their square-rooted sizes."""
-    return mixing.mix_sources(docs, seed=17, temperature=0.5, total=1.0).select(docs.columns)
+    return _apart(docs, lambda own: mixing.mix_sources(own, seed=17, temperature=0.5, total=1.0))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
