@@ -201,12 +201,20 @@ def repo_summary(spark, d):
     return catalog.repository_summary(A.document_files(spark, d), commits=A.table(spark, d, "events"), dependencies=A.table(spark, d, "part"))
 
 
-@query(f"""WITH {FILES} SELECT sum(lines_total)::BIGINT AS lines_total, sum(lines_code)::BIGINT AS lines_code, sum(lines_blank)::BIGINT AS lines_blank, sum(size)::BIGINT AS size,
-max(lines_total) AS max_loc, sum(len(regexp_extract_all(content, '\\?')) + 1)::BIGINT AS complexity FROM code""")
+DECISIONS = r"""measured AS (SELECT *, 1 + len(regexp_extract_all(t, '\b(?:if|for|while|switch|catch|case|do|else\s+if)\b')) + len(regexp_extract_all(t, '&&|\|\||\?')) AS complexity, len(regexp_extract_all(t, '(?m)^\s*import\s')) AS imports
+  FROM (SELECT *, regexp_replace(regexp_replace(content, '/\*.*?\*/', ' ', 'g'), '//[^\n]*', chr(10), 'g') AS t FROM code))"""
+
+
+def _measured(spark, d):
+    """Documents, measured as if they were Kotlin."""
+    files = A.document_files(spark, d).withColumn("m", code_metrics("content", F.lit("Kotlin")))
+    return files.select("*", *[f"m.{x}" for x in ("complexity", "imports", "exports", "func_count")]).drop("m")
+
+
+@query(f"""WITH {FILES}, {DECISIONS} SELECT sum(lines_total)::BIGINT AS lines_total, sum(lines_code)::BIGINT AS lines_code, sum(lines_blank)::BIGINT AS lines_blank, sum(size)::BIGINT AS size,
+max(lines_total) AS max_loc, sum(complexity)::BIGINT AS complexity, max(complexity)::BIGINT AS max_complexity, sum(imports)::BIGINT AS imports FROM measured""")
 def metrics_totals(spark, d):
-    files = A.document_files(spark, d).withColumn("complexity", F.regexp_count("content", F.lit(r"\?")).cast("long") + 1)
-    files = files.withColumns({x: F.lit(0).cast("long") for x in ("imports", "exports", "func_count")})
-    return catalog.metrics_totals(files).select("lines_total", "lines_code", "lines_blank", "size", "max_loc", "complexity")
+    return catalog.metrics_totals(_measured(spark, d)).select("lines_total", "lines_code", "lines_blank", "size", "max_loc", "complexity", "max_complexity", "imports")
 
 
 @query(f"""WITH {FILES} SELECT language, count(*) AS files, sum(lines_total)::BIGINT AS loc, sum(lines_code)::BIGINT AS code, sum(lines_comment)::BIGINT AS comments, sum(lines_blank)::BIGINT AS blank,
@@ -498,9 +506,9 @@ def export_commits(spark, d):
     return export.export_rows("commits", A.event_commits(spark, d))
 
 
-@query(f"WITH {FILES} SELECT file_id, 1 + len(regexp_extract_all(content, '(?:^|[^0-9A-Za-z_])(?:die|der|the)')) AS complexity FROM files")
+@query(f"WITH {FILES}, {DECISIONS} SELECT file_id, complexity::BIGINT AS complexity FROM measured")
 def complexity_text(spark, d):
-    return A.document_files(spark, d).select("file_id", (1 + F.regexp_count("content", F.lit(r"(?:^|[^0-9A-Za-z_])(?:die|der|the)"))).cast("long").alias("complexity"))
+    return _measured(spark, d).select("file_id", "complexity")
 
 
 @query(rf"""WITH texts AS (SELECT doc_id AS file_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
