@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.iterate import delete_path, partitions
+from quarrykit.iterate import delete_path, partitions, released, stored
 from quarrykit.operators.search import build_index, tokens_of
 
 _POSTINGS = "token string, file_id long, positions array<int>, segment int, range int"
@@ -36,8 +36,11 @@ def _write(postings: DataFrame, changed: DataFrame, path: str, segment: int, ran
     spark, at = postings.sparkSession, f"segment={segment}"
     for table in ("postings", "changes"):  # of a write that was lost
         delete_path(spark, f"{path}/{table}/{at}")
-    dealt = postings.repartitionByRange(ranges, "token", "file_id").sortWithinPartitions("token", "file_id").withColumn("range", F.spark_partition_id())
+    # dealing rows into ranges reads them twice
+    once = stored(postings, "postings")
+    dealt = once.repartitionByRange(ranges, "token", "file_id").sortWithinPartitions("token", "file_id").withColumn("range", F.spark_partition_id())
     dealt.write.option("compression", "zstd").partitionBy("range").parquet(f"{path}/postings/{at}")
+    released(once)
     changed.select("file_id").distinct().write.parquet(f"{path}/changes/{at}")
     written = spark.read.schema("token string, file_id long, range int").parquet(f"{path}/postings/{at}")
     ends = written.groupBy("range").agg(F.min("token").alias("first"), F.max("token").alias("last"), F.count("*").alias("n"))

@@ -20,10 +20,12 @@ LINES_PER_FILE, SNIPPET = 50, 240
 _TOKEN = r"[^\p{L}\p{N}]+"
 
 
+_MARKS = re.compile(r"[\u0300-\u036f]")
+
+
 def _fold(text: pd.Series) -> pd.Series:
     """Lower case without diacritics."""
-    plain = text.fillna("").str.normalize("NFD").str.replace(r"[̀-ͯ]", "", regex=True)
-    return plain.str.lower()
+    return pd.Series([(t if t.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", t))).lower() for t in text.fillna("")], dtype=object)
 
 
 def tokens(text_column: str, folded: bool = True) -> F.Column:
