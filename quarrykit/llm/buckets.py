@@ -141,7 +141,24 @@ def _forest_pairs(m: int, linked: Linked, sides: tuple[np.ndarray, np.ndarray] |
     return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
 
 
-def _compare(make: Callable[[list[bytes]], Linked], count: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def first_shared(linked: Linked, keys: np.ndarray, own: int) -> Linked:
+    """``linked`` without the pairs that share a smaller key than ``own``; ``keys`` has a row of keys for each row."""
+    early = keys < own
+
+    def first(left: np.ndarray, right: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        a, b = linked(left, right)
+        hit = np.ones(len(a), dtype=bool)
+        for lo in range(0, len(a), 2**14):
+            x, y = a[lo : lo + 2**14], b[lo : lo + 2**14]
+            hit[lo : lo + 2**14] = ~((keys[x] == keys[y]) & early[x]).any(axis=1)
+        return a[hit], b[hit]
+
+    return first
+
+
+def _compare(make: Callable[[list[bytes]], Linked], count: bool, keyed: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    names = ("node", "links", "to", "root") if keyed else ("node", "links", "to")
+
     def compare(cell: pd.DataFrame) -> pd.DataFrame:
         out = []
         cell = cell.sort_values(["root", "i", "j", "node"], kind="stable").drop_duplicates(["root", "i", "j", "node"])
@@ -154,6 +171,8 @@ def _compare(make: Callable[[list[bytes]], Linked], count: bool) -> Callable[[pd
             if hi - lo < 2 or sides is not None and not (len(sides[0]) and len(sides[1])):
                 continue
             linked = make(values[lo:hi])
+            if keyed:
+                linked = first_shared(linked, np.stack(cell["keys"].iloc[lo:hi].to_list()), roots[lo])
             if not count:
                 a, b = _forest_pairs(len(node), linked, sides)
             elif sides is None:
@@ -163,14 +182,19 @@ def _compare(make: Callable[[list[bytes]], Linked], count: bool) -> Callable[[pd
             if not len(a):
                 continue
             links = np.bincount(a, weight[b], len(node)) + np.bincount(b, weight[a], len(node))
-            root = node[find_roots(a, b, len(node))]  # nodes are in order
+            to = node[find_roots(a, b, len(node))]  # nodes are in order
             hit = links > 0
-            out.append((node[hit], links[hit].astype(np.int64), root[hit]))
-        return pd.DataFrame({x: np.concatenate([y[k] for y in out]) if out else np.zeros(0, np.int64) for k, x in enumerate(("node", "links", "to"))})
+            out.append((node[hit], links[hit].astype(np.int64), to[hit], np.full(hit.sum(), roots[lo])))
+        return pd.DataFrame({x: np.concatenate([y[k] for y in out]) if out else np.zeros(0, np.int64) for k, x in enumerate(names)})
 
     return compare
 
 
+def block_count(size: Column, n_bytes: Column, block: int | None = None) -> Column:
+    """The blocks that a group of so many rows and bytes is dealt to."""
+    return F.ceil(F.greatest(size / (block or BLOCK), n_bytes / BLOCK_BYTES)).cast("int")
+
+
 def compare_groups(rows: DataFrame, make: Callable[[list[bytes]], Linked], count: bool = True, block: int | None = None) -> DataFrame:
     """Compares the rows (``node``, ``root``, ``weight``, ``value`` binary) of each group ``root`` with each other.
 
@@ -180,19 +204,23 @@ def compare_groups(rows: DataFrame, make: Callable[[list[bytes]], Linked], count
     large group are dealt to blocks by a hash, and each block meets each other; small groups share a task's group. Blocks
     and cells are bounded by rows and by bytes, so what a task holds doesn't grow with the input. Without ``count`` not every pair
     is compared, as what is linked with a group's first row needn't be compared among itself.
+
+    Rows with a column ``keys`` (longs, as many for each row) may be in several groups, each known by a key that its rows share: a pair
+    counts only in the group of the smallest key it shares, and the result says by ``root`` which group a row is of.
     """
+    keyed = "keys" in rows.columns
     rows = stored(rows, "compared")
     size = F.length("value")
     sizes = rows.groupBy("root").agg(F.count("*").alias("size"), F.sum(size).alias("bytes"))
-    blocks = F.ceil(F.greatest(F.col("size") / (block or BLOCK), F.col("bytes") / BLOCK_BYTES)).cast("int")
+    blocks = block_count(F.col("size"), F.col("bytes"), block)
     sizes = stored(sizes.where("size > 1").select("root", blocks.alias("blocks")), "sizes")
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
     cells = max(1, -(-total["n"] // CELL), -(-total["bytes"] // CELL_BYTES))
     dealt = rows.join(at_most(sizes), "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("node", "root", "weight", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "value", "blocks")
+    met = met.select("node", "root", "weight", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "value", "blocks", *(["keys"] if keyed else []))
     cell: Column = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(cells))).otherwise(F.xxhash64("root", "i", "j"))
-    found = met.withColumn("cell", cell).groupBy(F.col("blocks") == 1, "cell").applyInPandas(_compare(make, count), "node long, links long, to long")
+    found = met.withColumn("cell", cell).groupBy(F.col("blocks") == 1, "cell").applyInPandas(_compare(make, count, keyed), "node long, links long, to long" + ", root long" * keyed)
     found = stored(found, "links")
     released(rows, sizes)
     return found

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrykit.llm.buckets import at_most, compare_groups, likely_links, set_links, shared_buckets
+from quarrykit.llm.buckets import at_most, block_count, compare_groups, likely_links, set_links, shared_buckets
 from quarrykit.llm.common import components, released, stored
 from quarrykit.llm.shingles import band_keys, mixed, multipliers, shingle_set, signature, slices_of, texts_of
 
@@ -59,6 +59,34 @@ def _fetch(width: int) -> object:
     return fetch
 
 
+def _loose(nodes: DataFrame, met: DataFrame) -> DataFrame | None:
+    """Stored ``root`` of the components too large for one block whose buckets hold fewer pairs than they do: chains, not thick groups."""
+    wide = nodes.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    wide = stored(wide.where(block_count(F.col("size"), 8 * F.col("shingles")) > 1).select("root", "size"), "wide")
+    if wide.isEmpty():
+        released(wide)
+        return None
+    places = met.join(nodes.select("node", "root").join(at_most(wide), "root"), "node").groupBy("root", "bucket").agg(F.count("*").alias("n"))
+    pairs = places.groupBy("root").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"))
+    found = stored(pairs.join(wide, "root").where(F.col("pairs") < F.col("size").cast("double") * F.col("size")).select("root"), "loose")
+    released(wide)
+    if found.isEmpty():
+        released(found)
+        return None
+    return found
+
+
+def _meetings(nodes: DataFrame, met: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """Stored places (``node``, ``bucket``, ``keys``) where ``nodes`` must be verified: each pair that values don't rule out has one, its first shared bucket."""
+    signed = met.join(nodes.select("node"), "node").join(reps.select("node", "sig", F.col("bands").alias("keys")), "node")
+    signed = signed.select("node", F.col("bucket").alias("root"), F.lit(1).cast("long").alias("weight"), F.col("sig").alias("value"), "keys")
+    tried = compare_groups(signed, likely_links(threshold, BANDS * ROWS), block=BLOCK)
+    places = tried.select("node", F.col("root").alias("bucket")).distinct().join(reps.select("node", F.col("bands").alias("keys")), "node")
+    found = stored(places, "places")
+    released(tried)
+    return found
+
+
 def jaccard_join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """Links documents whose sets of ``width``-word shingles have a Jaccard similarity of ``threshold`` or more.
 
@@ -71,7 +99,9 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHO
     share a bucket; there, values are compared step by step, and pairs go as soon as their posterior probability of reaching the
     threshold is below ``TOLERANCE``. A bucket hands on a forest of the pairs that are left. 3. In each component of
     these, pairs are pruned so again, and the rest are verified on whole sets, block by block. A block passes on
-    sums and a forest of links only, so a large group costs comparisons, never rows.
+    sums and a forest of links only, so a large group costs comparisons, never rows. A component of several blocks that hangs
+    together by few pairs, like a chain, isn't compared as a whole: each of its pairs is verified in its first shared bucket, and a set
+    goes only to buckets where it has such a pair.
 
     A word is a run of characters other than ASCII white space. A text of fewer words than ``width`` is one shingle. Null texts and texts without
     words are linked with nothing, and kept. Rows with the same or no id are documents of their own; ids only name them. Null ids come after
@@ -85,16 +115,33 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHO
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")  # nulls last
     # a class is known by its first row's number, which no other class has
     classes = stored(worded.groupBy(*same).agg(first, F.count("*").alias("weight")).withColumn("node", F.col("first.row")), "classes")
-    reps = stored(worded.join(classes.select("node", "weight"), F.col("row") == F.col("node")).select("node", "weight", "doc_id", "t1", "t2", "sig", "bands"), "reps")
+    reps = stored(worded.join(classes.select("node", "weight"), F.col("row") == F.col("node")).select("node", "weight", "doc_id", "t1", "t2", "n", "sig", "bands"), "reps")
     met = shared_buckets(reps.select("node", F.explode("bands").alias("key")))
     signed = met.join(reps.select("node", "sig"), "node").select("node", F.col("bucket").alias("root"), F.lit(1).cast("long").alias("weight"), F.col("sig").alias("value"))
     ties = compare_groups(signed, likely_links(threshold, BANDS * ROWS), count=False, block=BLOCK)
     groups = components(ties.select(F.col("node").alias("a"), F.col("to").alias("b")))
     nodes = stored(reps.drop("sig", "bands").join(groups, "node"), "nodes")
-    released(met, ties, reps)
-    wanted = at_most(nodes)
-    texts = rows.drop("row").join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["t1"] == wanted["t1"]) & (rows["t2"] == wanted["t2"])).select("node", "root", "weight", "text")
-    found = compare_groups(texts.mapInArrow(_fetch(width), "node long, root long, weight long, value binary"), set_links(threshold, multipliers(BANDS * ROWS)))
+    released(ties)
+    loose = _loose(nodes, met)
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        wanted = at_most(some)
+        texts = rows.drop("row").join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["t1"] == wanted["t1"]) & (rows["t2"] == wanted["t2"])).select("node", "root", "weight", "text")
+        return texts.mapInArrow(_fetch(width), "node long, root long, weight long, value binary")
+
+    exact = set_links(threshold, multipliers(BANDS * ROWS))
+    if loose is None:
+        found = compare_groups(sets_of(nodes), exact)
+        released(met, reps)
+    else:
+        thick, thin = stored(nodes.join(loose, "root", "left_anti"), "thick"), stored(nodes.join(loose, "root", "left_semi"), "thin")
+        places = _meetings(thin, met, reps, threshold)
+        released(met, reps, loose)
+        values = stored(sets_of(thin), "values")
+        here = values.drop("root").join(places.withColumnRenamed("bucket", "root"), "node")
+        whole, parts = compare_groups(sets_of(thick), exact), compare_groups(here, exact)
+        found = stored(whole.unionByName(parts.drop("root")), "found")
+        released(thick, thin, places, values, whole, parts)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("to").alias("b")))
     linked = stored(links.join(roots, "node"), "linked")

@@ -295,6 +295,46 @@ def test_large_groups_meet_block_by_block(make, monkeypatch):
     assert {r.doc_id: r.n_links for r in got} == want
 
 
+@pytest.mark.parametrize("n", [300, 1200])
+def test_chains_are_verified_where_their_pairs_meet(make, monkeypatch, n):
+    monkeypatch.setattr(buckets, "BLOCK", 64)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 64)
+    places, meetings = [], jaccard_join._meetings
+
+    def counted(nodes, *rest):
+        found = meetings(nodes, *rest)
+        places.append((nodes.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(jaccard_join, "_meetings", counted)
+    long, thick = prose(55, 5 * n + 60).split(), prose(56, 150).split()
+    rows = [(k, " ".join(long[5 * k : 5 * k + 60])) for k in range(n)]
+    rows += [(n + k, " ".join(thick[:k] + ["zz"] + thick[k + 1 :])) for k in range(0, 150, 2)] + [(2 * n, rows[7][1]), (2 * n, rows[7][1])]
+    got = {(r.doc_id, r.class_id): (r.n_links, r.component_id) for r in jaccard_join.jaccard_join(make(rows).repartition(5)).collect()}
+    sets = [_sets(t) for _, t in rows]
+    holders = collections.defaultdict(set)
+    for k, own in enumerate(sets):
+        for x in own:
+            holders[x].add(k)
+    for k, (i, _) in enumerate(rows):
+        near = {j for x in sets[k] for j in holders[x]} - {k}
+        links = sum(5 * len(sets[k] & sets[j]) >= 4 * len(sets[k] | sets[j]) for j in near)
+        assert got[i, 7 if i == 2 * n else i] == (links, 0 if i < n or i == 2 * n else n)
+    # the thick group goes the other way, and a document of the chain has a few places, however long the chain is
+    assert places[0][0] == n and places[0][1] < 12 * n
+
+
+def test_pairs_count_at_their_first_shared_key():
+    rng = np.random.default_rng(3)
+    keys = rng.integers(-2, 3, (40, 6)) * 10 + np.arange(6)
+    every = lambda left, right: tuple(left[x] for x in np.triu_indices(len(left), 1))
+    seen = collections.Counter()
+    for own in np.unique(keys):
+        at = np.flatnonzero((keys == own).any(axis=1))
+        seen.update(zip(*(x.tolist() for x in buckets.first_shared(every, keys, own)(at, None)), strict=True))
+    assert seen == {(a, b): 1 for a, b in itertools.combinations(range(40), 2) if (keys[a] == keys[b]).any()}
+
+
 def test_rows_with_one_or_no_id_are_documents_of_their_own(spark):
     a, b = prose(52, 100), prose(53, 100)
     near_a, near_b = a + " w1", b + " w2"
