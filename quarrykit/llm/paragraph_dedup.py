@@ -1,9 +1,9 @@
 """Removal of passages that repeat within or across documents, found by keys of paragraphs.
 
-A paragraph here is a line, short lines next to each other being one. Lines meet by bands of MinHash values, so near copies of a line
-are found. Lines are also cut into pieces where a word's hash is the smallest around. Where pieces end depends on the words beside that
-place alone, so a passage that was put in the middle of a line falls into the same pieces wherever it is, but for its ends; equal pieces
-meet, and the ends are found by comparing words with the kept copy.
+A paragraph here is a line. Lines meet by bands of MinHash values, so near copies of a line are found. What repeats word by word is found
+wherever lines break: of all runs of ``RUN`` words that start in a window, the one with the smallest hash is an anchor, and windows are as wide
+as makes every string of ``passage`` words hold one. Anchors meet together with the words up to the next anchor and its end, or alone, and the
+ends of a passage are found by comparing words with the kept copy.
 """
 
 from __future__ import annotations
@@ -25,10 +25,10 @@ from quarrykit.llm.common import components, released, stored
 from quarrykit.llm.shingles import band_keys_of, mixed, multipliers, run_hashes, shingle_set, slices_of, word_bounds, word_hashes
 
 WIDTH, THRESHOLD = 5, 0.8
-#: Fewest words of a paragraph that is compared, unless it is a whole text; shorter lines next to each other are one.
+#: Fewest words of a line that is compared as a line.
 LEAST = 5
-#: Words to each side among which the one that ends a piece has the smallest hash.
-AROUND = 5
+#: Words of the runs that anchors are. Each string of as many words as a passage has holds one.
+RUN = 8
 #: Words of neighbouring repeated paragraphs that make a passage. Documents that repeat as a whole are passages of any length.
 PASSAGE = 22
 #: Larger sets: at similarity 0.8, all bands differ with probability (1 - 0.8^2)^14, below 1e-6.
@@ -37,100 +37,105 @@ BANDS, ROWS = 14, 2
 SMALL = 14
 #: Lines that a task remembers; an equal one has no keys of its own.
 REMEMBERED = 2**20
-#: Neighbouring pieces among which the ends of a passage are looked for: two whole pieces beyond a repeated one would be found themselves.
-NEAR = 3
+#: Neighbouring anchors with one hash beyond which some are left out: text that repeats a few words over and over.
+TIED = 32
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
+#: Kinds of units: a run of words and those up to the end of the next one, a line, a text of fewer words than a passage.
+ANCHOR, LINE, WHOLE = 0, 1, 2
+
+
 @dataclass(frozen=True)
-class Paragraphs:
-    """Pieces of some texts, in order, and all words' hashes: each one's text, number in it, start and stop (bytes of the text), words, first word among all, and line (short lines next to each other are one)."""
+class Words:
+    """Words of some texts, one text after another: hashes, starts and ends (bytes of ``data``), and each text's offset in ``data``, first word and number of words."""
 
-    data: np.ndarray
     hashes: np.ndarray
-    text: np.ndarray
-    number: np.ndarray
-    start: np.ndarray
-    stop: np.ndarray
-    n_words: np.ndarray
-    first_word: np.ndarray
-    offset: np.ndarray  # of each text in data
-    line: np.ndarray
-    joined: np.ndarray  # whether the line is several short ones
-
-
-def _piece_ends(hashes: np.ndarray, place: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Words after which a line is cut: ``place`` words before it and ``left`` after it, both at least ``LEAST`` for a piece."""
-    pair = run_hashes(hashes, 2)
-    at = np.flatnonzero((place + 1 >= LEAST) & (left >= LEAST))
-    for k in range(1, AROUND + 1):
-        before = place[at] < k
-        before[~before] = pair[at[~before]] < pair[at[~before] - k]
-        at = at[before]
-        after = left[at] <= k
-        after[~after] = pair[at[~after]] <= pair[at[~after] + k]
-        at = at[after]
-    return at
+    starts: np.ndarray
+    ends: np.ndarray
+    offset: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+    leads: np.ndarray  # first word of each line that has words
 
 
-def paragraphs(texts: list[np.ndarray]) -> Paragraphs:
-    """Splits texts (UTF-8 bytes) into pieces; those of fewer than ``LEAST`` words are there too."""
+def words_of(texts: list[np.ndarray]) -> Words:
     line_break = np.array([10], dtype=np.uint8)
     data = np.concatenate([x for t in texts for x in (t, line_break)]) if texts else np.zeros(0, np.uint8)
     sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
     offset = np.cumsum(sizes) - sizes
     starts, ends = word_bounds(data)
-    none = np.zeros(0, dtype=np.int64)
-    if not len(starts):
-        return Paragraphs(data, np.zeros(0, np.uint64), none, none, none, none, none, none, offset, none, none.astype(bool))
-    hashes = word_hashes(data, (starts, ends))
-    owner = np.searchsorted(offset, starts, side="right") - 1
+    first = np.searchsorted(starts, offset)
+    count = np.diff(np.r_[first, len(starts)])
     lines = np.searchsorted(np.flatnonzero(data == 10), starts)
-    lead = np.flatnonzero(np.r_[True, lines[1:] != lines[:-1]])
-    long = np.diff(np.r_[lead, len(starts)]) >= LEAST
-    # a line break between two short lines isn't an end
-    ending = np.r_[True, long[1:] | long[:-1] | (owner[lead[1:]] != owner[lead[:-1]])]
-    lead, short = lead[ending], ~long[ending]
-    size = np.diff(np.r_[lead, len(starts)])
-    place = np.arange(len(starts)) - np.repeat(lead, size)
-    cut = _piece_ends(hashes, place, np.repeat(size, size) - 1 - place)
-    first = np.sort(np.r_[lead, cut + 1])
-    final = np.r_[first[1:] - 1, len(starts) - 1]
-    text = owner[first]
-    number = np.arange(len(text)) - np.searchsorted(text, text)
-    line = np.searchsorted(lead, first, side="right") - 1
-    return Paragraphs(data, hashes, text, number, starts[first] - offset[text], ends[final] - offset[text], final - first + 1, first, offset, line, short[line])
+    leads = np.flatnonzero(np.r_[True, lines[1:] != lines[:-1]]) if len(starts) else np.zeros(0, np.int64)
+    return Words(word_hashes(data, (starts, ends)), starts, ends, offset, first, count, leads)
+
+
+def _least(values: np.ndarray, window: int) -> np.ndarray:
+    """Place of the (first) smallest of the ``window`` values from each place on."""
+    at, size = np.arange(len(values)), 1
+    while size < window:
+        step = min(size, window - size)
+        left, right = at[:-step], at[step:]
+        at = np.where(values[right] < values[left], right, left)
+        size += step
+    return at
+
+
+def _untied(at: np.ndarray, values: np.ndarray, step: int) -> np.ndarray:
+    """``at`` without most of each long chain of places less than ``step`` apart that have one value: the first in each ``step`` places stays, and the last of all."""
+    if len(at) < TIED:
+        return at
+    tied = np.r_[False, (values[at[1:]] == values[at[:-1]]) & (at[1:] - at[:-1] < step)]
+    chain = np.cumsum(~tied) - 1
+    part = (at - at[~tied][chain]) // step
+    again = tied & np.r_[False, part[1:] == part[:-1]] & np.r_[chain[1:] == chain[:-1], False] & (np.bincount(chain)[chain] > TIED)
+    return at[~again]
+
+
+def anchors(runs: np.ndarray, first: np.ndarray, count: np.ndarray, window: int) -> np.ndarray:
+    """Places of anchors among ``runs``, of which each text has ``count`` from ``first`` on: the smallest of each ``window`` neighbours, or of all if there are fewer."""
+    n = np.maximum(count - window + 1, 0)
+    at = _least(runs, window)[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    few = np.flatnonzero((count > 0) & (count < window))
+    if len(few):
+        place = np.arange(window - 1)
+        inside = place < count[few, None]
+        found = np.where(inside, runs[np.where(inside, first[few, None] + place, first[few, None])], np.uint64(2**64 - 1))
+        at = np.r_[at, first[few] + found.argmin(axis=1)]
+    return _untied(np.unique(at), runs, max(1, (window + 1) // 2))
 
 
 @dataclass(frozen=True)
 class Units:
-    """What is compared: pieces (even numbers) and lines of several pieces (odd). First and last piece, first word and words; ``lines``: whole lines."""
+    """What is compared: text, kind, first word among all, words, and two hashes of them (an anchor's: of its run, and of all its words)."""
 
     text: np.ndarray
-    number: np.ndarray
-    piece: np.ndarray
-    last: np.ndarray
+    kind: np.ndarray
     first_word: np.ndarray
     n_words: np.ndarray
-    lines: np.ndarray
-
-
-def units(found: Paragraphs) -> Units:
-    none = np.zeros(0, np.int64)
-    if not len(found.line):
-        return Units(none, none, none, none, none, none, none.astype(bool))
-    lead = np.flatnonzero(np.r_[True, found.line[1:] != found.line[:-1]])
-    last = np.r_[lead[1:] - 1, len(found.line) - 1]
-    whole = np.zeros(len(found.line), dtype=bool)
-    whole[lead[(last == lead) & ~found.joined[lead]]] = True
-    several = (last > lead) & ~found.joined[lead]
-    lead, last = lead[several], last[several]
-    alone = np.bincount(found.text)[found.text] == 1  # the only piece of its text
-    big = np.flatnonzero((found.n_words >= LEAST) | alone)
-    piece, end = np.r_[big, lead], np.r_[big, last]
-    number = np.r_[2 * found.number[big], 2 * found.number[lead] + 1]
-    words = found.first_word[end] + found.n_words[end] - found.first_word[piece]
-    return Units(found.text[piece], number, piece, end, found.first_word[piece], words, np.r_[whole[big], np.ones(len(lead), bool)] & (words >= LEAST))
+    h1: np.ndarray
+    h2: np.ndarray
+
+
+def units(found: Words, shingles: np.ndarray, passage: int) -> Units:
+    run = min(RUN, passage)
+    runs = run_hashes(found.hashes, run)
+    at = anchors(runs, found.first, np.maximum(found.count - run + 1, 0), passage - run + 1)
+    owner = np.repeat(np.arange(len(found.count)), found.count)
+    after = np.r_[at[1:], at[-1:]]
+    reach = np.where(owner[after] == owner[at], after - at, 0) + run
+    width = min(WIDTH, run)
+    own = shingles if width == WIDTH else run_hashes(found.hashes, width)
+    sums = mixed(_over(mixed(own), at, reach - width + 1, np.add) + reach.astype(np.uint64)) if len(at) else np.zeros(0, np.uint64)
+    size = np.diff(np.r_[found.leads, len(found.hashes)])
+    lead, size = found.leads[size >= LEAST], size[size >= LEAST]
+    short = np.flatnonzero((found.count > 0) & (found.count < passage))
+    first, n_words = np.r_[lead, found.first[short]], np.r_[size, found.count[short]]
+    h1, h2 = _sums(found.hashes, shingles, first, n_words)
+    kind = np.repeat([ANCHOR, LINE, WHOLE], [len(at), len(lead), len(short)])
+    return Units(np.r_[owner[at], owner[first]], kind, np.r_[at, first], np.r_[reach, n_words], np.r_[runs[at], h1], np.r_[sums, h2])
 
 
 def _over(values: np.ndarray, first: np.ndarray, count: np.ndarray, ufunc: np.ufunc) -> np.ndarray:
@@ -139,15 +144,15 @@ def _over(values: np.ndarray, first: np.ndarray, count: np.ndarray, ufunc: np.uf
     return ufunc.reduceat(np.r_[values, values[-1:]], spans)[::2]
 
 
-def _sums(hashes: np.ndarray, runs: np.ndarray, own: Units) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each unit's shingles; a unit of fewer words than ``WIDTH`` is one shingle."""
-    sums = np.empty((2, len(own.text)), dtype=np.uint64)
-    long = np.flatnonzero(own.n_words >= WIDTH)
+def _sums(hashes: np.ndarray, runs: np.ndarray, first: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the shingles of ``n_words`` words from ``first`` on, for each; fewer words than ``WIDTH`` are one shingle."""
+    sums = np.empty((2, len(first)), dtype=np.uint64)
+    long = np.flatnonzero(n_words >= WIDTH)
     for k in (0, 1):
         if len(long):
-            sums[k, long] = _over(mixed(runs + np.uint64(k)), own.first_word[long], own.n_words[long] - WIDTH + 1, np.add)
-        for at in np.flatnonzero(own.n_words < WIDTH).tolist():
-            words = hashes[own.first_word[at] : own.first_word[at] + own.n_words[at]]
+            sums[k, long] = _over(mixed(runs + np.uint64(k)), first[long], n_words[long] - WIDTH + 1, np.add)
+        for at in np.flatnonzero(n_words < WIDTH).tolist():
+            words = hashes[first[at] : first[at] + n_words[at]]
             sums[k, at] = mixed(run_hashes(words, len(words)) + np.uint64(k))[0]
     return sums[0], sums[1]
 
@@ -198,16 +203,10 @@ def unit_keys(runs: np.ndarray, first: np.ndarray, count: np.ndarray, threshold:
     return (np.concatenate(who), np.concatenate(keys)) if who else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
-def _pieces(found: Paragraphs, head: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last piece of units by number, in texts whose first piece is ``head``."""
-    piece = head + number // 2
-    return piece, np.where(number % 2 == 1, np.searchsorted(found.line, found.line[piece], side="right") - 1, piece)
-
+_UNITS = "doc_id long, key long, kind int, word int, words int, h1 long, h2 long, start int, stop int, keys array<long>"
 
-_UNITS = "doc_id long, key long, number int, word int, words int, h1 long, h2 long, start int, stop int, keys array<long>"
 
-
-def _units(threshold: float) -> object:
+def _units(threshold: float, passage: int) -> object:
     names = [x.split()[0] for x in _UNITS.split(", ")]
     factors = multipliers(BANDS * ROWS, seed=9)
 
@@ -215,14 +214,14 @@ def _units(threshold: float) -> object:
         seen: set[int] = set()
         for batch in batches:
             for begin, texts in slices_of(batch["text"]):
-                found = paragraphs(texts)
-                own = units(found)
+                found = words_of(texts)
+                runs = run_hashes(found.hashes, WIDTH)
+                own = units(found, runs, passage)
                 if not len(own.text):
                     continue
-                runs = run_hashes(found.hashes, WIDTH)
-                h1, h2 = _sums(found.hashes, runs, own)
                 lined = []
-                for k, h in zip(np.flatnonzero(own.lines).tolist(), h1[own.lines].tolist(), strict=True):
+                is_line = own.kind == LINE
+                for k, h in zip(np.flatnonzero(is_line).tolist(), own.h1[is_line].tolist(), strict=True):
                     if h not in seen:
                         seen.add(h)
                         lined.append(k)
@@ -234,14 +233,13 @@ def _units(threshold: float) -> object:
                 who, key = lined[who[order]], key[order]
                 new = np.r_[True, (who[1:] != who[:-1]) | (key[1:] != key[:-1])] if len(who) else np.zeros(0, bool)
                 who, key = who[new], key[new]
-                order = np.argsort(who, kind="stable")
                 offsets = np.r_[0, np.cumsum(np.bincount(who, minlength=len(own.text)))]
-                first = found.first_word[np.searchsorted(found.text, own.text)]
                 taken = pa.array(begin + own.text)
+                start, stop = found.starts[own.first_word] - found.offset[own.text], found.ends[own.first_word + own.n_words - 1] - found.offset[own.text]
                 columns = [
-                    batch["doc_id"].take(taken), batch["key"].take(taken), pa.array(own.number, pa.int32()), pa.array(own.first_word - first, pa.int32()), pa.array(own.n_words, pa.int32()),
-                    pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(found.start[own.piece], pa.int32(), mask=~own.lines), pa.array(found.stop[own.last], pa.int32(), mask=~own.lines),
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(key[order].view(np.int64))),
+                    batch["doc_id"].take(taken), batch["key"].take(taken), pa.array(own.kind, pa.int32()), pa.array(own.first_word - found.first[own.text], pa.int32()), pa.array(own.n_words, pa.int32()),
+                    pa.array(own.h1.view(np.int64)), pa.array(own.h2.view(np.int64)), pa.array(start, pa.int32(), mask=~is_line), pa.array(stop, pa.int32(), mask=~is_line),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(key.view(np.int64))),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -262,27 +260,33 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], names=["node", "value"])
 
 
-_SIDES = "doc_id long, key long, number int, total long, start long, stop long, before binary, after binary"
+_SIDES = "doc_id long, key long, word int, until int, total long, start long, stop long, before binary, after binary"
 
 
-def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Place, and the bytes of ``NEAR`` pieces to each side, of the wanted units (``found``: numbers); and their texts' words."""
-    for batch in batches:
-        for begin, texts in slices_of(batch["text"]):
-            found = paragraphs(texts)
-            lists = batch["found"].slice(begin, len(texts))
-            row = np.repeat(np.arange(len(texts)), [len(x) for x in lists])
-            number = lists.flatten()
-            head, tail = np.searchsorted(found.text, row), np.searchsorted(found.text, row, side="right") - 1
-            piece, last = _pieces(found, head, number.to_numpy())
-            start, stop = found.start[piece], found.stop[last]
-            base = found.offset[row]
-            places = [base + x for x in (found.start[np.maximum(head, piece - NEAR)], start, stop, found.stop[np.minimum(tail, last + NEAR)])]
-            cut = [(found.data[a:b].tobytes(), found.data[c:d].tobytes()) for a, b, c, d in zip(*(x.tolist() for x in places), strict=True)]
-            total = np.bincount(found.text, found.n_words, len(texts)).astype(np.int64)
-            taken = pa.array(begin + row)
-            columns = [batch["doc_id"].take(taken), batch["key"].take(taken), number, pa.array(total[row]), pa.array(start), pa.array(stop), pa.array([x for x, _ in cut], pa.binary()), pa.array([x for _, x in cut], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _SIDES.split(", ")])
+def _sides(beside: int) -> object:
+    """Place, and the bytes of ``beside`` words to each side, of the wanted words (``found``: ``word`` up to ``until``); and their texts' words.
+
+    Had more words than a passage has been the same beyond an end, they would hold an anchor of their own.
+    """
+    names = [x.split()[0] for x in _SIDES.split(", ")]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, texts in slices_of(batch["text"]):
+                rows = []
+                for k, (text, spans) in enumerate(zip(texts, batch["found"].slice(begin, len(texts)).to_pylist(), strict=True), begin):
+                    starts, ends = (x.tolist() for x in word_bounds(text))
+                    for word, until in ((x["word"], x["until"]) for x in spans):
+                        start, stop = starts[word], ends[until - 1]
+                        left, right = starts[max(0, word - beside)], ends[min(len(ends), until + beside) - 1]
+                        rows.append((k, word, until, len(ends), start, stop, text[left:start].tobytes(), text[stop:right].tobytes()))
+                row, *values = zip(*rows, strict=True)
+                taken = pa.array(row, pa.int64())
+                types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                columns = [batch["doc_id"].take(taken), batch["key"].take(taken), *(pa.array(v, t) for v, t in zip(values, types, strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return find
 
 
 _GROWN = "doc_id long, key long, total long, word long, until long, start long, stop long, kept_doc_id long"
@@ -342,54 +346,75 @@ def _line_roots(rows: DataFrame, found: DataFrame, threshold: float) -> DataFram
     return named
 
 
+def _first(members: DataFrame, group: list[str]) -> DataFrame:
+    """The first member (nulls last) of each group, as ``kept_`` columns, and the group's size ``n``."""
+    spot = [*_DOC, "word", "until"]
+    first = F.struct(F.col("doc_id").isNull().alias("none"), *spot)  # the flag before the id
+    heads = members.groupBy(*group).agg(F.min(first).alias("head"), F.count("*").alias("n"))
+    return heads.select(*group, "n", *(F.col(f"head.{x}").alias(f"kept_{x}") for x in spot))
+
+
+def _itself() -> F.Column:
+    return F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("key") == F.col("kept_key")) & (F.col("word") == F.col("kept_word")) & (F.col("until") == F.col("kept_until"))
+
+
 def repeated_passages(docs: DataFrame, passage: int = PASSAGE, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Passages of documents that repeat earlier ones: one row for each that is to be removed.
 
-    Lines whose sets of 5-word shingles have a Jaccard similarity of ``threshold`` or more are linked, and so are equal lines and equal
-    pieces of lines (see ``paragraphs``). In each component of links the first (smallest document, then place) stays and the others go,
-    with the words beside them that are also beside the one that stays, if what touches has ``passage`` words together or is a whole document.
-    Returns ``key`` (a hash of a document's id and text), ``doc_id``, ``start``, ``stop`` (bytes of the UTF-8 text), ``n_words``,
-    ``n_paragraphs`` (lines and pieces in it) and ``kept_doc_ids`` (documents that keep what goes here, in order).
+    Lines whose sets of 5-word shingles have a Jaccard similarity of ``threshold`` or more are linked, and so are equal lines, equal texts of
+    fewer than ``passage`` words and equal anchors (see this module). In each component of links the first (smallest document, then place) stays
+    and the others go, with the words beside them that are also beside the one that stays, if what touches has ``passage`` words together or is
+    a whole document. Returns ``key`` (a hash of a document's id and text), ``doc_id``, ``start``, ``stop`` (bytes of the UTF-8 text),
+    ``n_words``, ``n_paragraphs`` (lines and anchors in it) and ``kept_doc_ids`` (documents that keep what goes here, in order).
 
     Keys only propose: lines that share one are compared as whole sets inside tasks, and a bucket hands on a forest of its links.
-    A passage that changes a fifth of the shingles of each line it is in is found by the pieces that are left.
+    A passage that changes a fifth of the shingles of each line it is in is found by the words that are left. A passage that holds one anchor
+    alone is compared with the first place of that anchor's run; it is missed if another document has the run earlier without the rest.
 
     Null texts and texts without words have no passages. Null ids come after all others. Rows with
     the same id and text are one document; rows with the same or no id and other texts are documents of their own.
     An empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", _document_key("doc_id", "text"))
-    found = stored(rows.select("doc_id", "key", "text").mapInArrow(_units(threshold), _UNITS), "units")
+    found = stored(rows.select("doc_id", "key", "text").mapInArrow(_units(threshold, passage), _UNITS), "units")
     roots = _line_roots(rows, found, threshold)
-    plain = found.select(*_DOC, "number", "word", "words", "h1", "h2")
+    plain = found.select(*_DOC, "kind", "word", "words", "h1", "h2")
     copies = plain.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1")
     wanted = stored(copies.unionByName(roots.select("h1")).distinct(), "wanted")
     members = stored(plain.join(wanted, "h1"), "members")
     released(found, wanted)
     # a group is a component of lines (its root), or a class of equal units (their hashes)
-    members = members.join(at_most(roots), ["h1", "h2"], "left").select(*_DOC, "number", "word", "words", F.col("root").isNotNull().alias("near"), F.coalesce("root", "h1").alias("g1"), F.when(F.col("root").isNull(), F.col("h2")).otherwise(0).alias("g2"))
-    # nulls last: a struct with the flag before the id
-    place = F.struct(F.col("doc_id").isNull().alias("none"), *_DOC, "number")
-    group = ["near", "g1", "g2"]
-    heads = members.groupBy(*group).agg(F.min(place).alias("head"), F.count("*").alias("n")).where("n > 1")
-    heads = stored(heads.select(*group, F.col("head.doc_id").alias("kept_doc_id"), F.col("head.key").alias("kept_key"), F.col("head.number").alias("kept_number")), "heads")
-    itself = F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("key") == F.col("kept_key")) & (F.col("number") == F.col("kept_number"))
-    gone = members.join(heads, group).where(~itself).withColumn("until", F.col("word") + F.col("words")).drop(*group, "words")
+    near = F.col("root").isNotNull()
+    members = members.join(at_most(roots), ["h1", "h2"], "left").select(
+        *_DOC, "word", (F.col("word") + F.col("words")).alias("until"), (F.col("kind") == ANCHOR).alias("anchor"), near.alias("near"),
+        F.coalesce("root", "h1").alias("g1"), F.when(near, 0).otherwise(F.col("h2")).alias("g2"),
+    )
+    group = ["anchor", "near", "g1", "g2"]
+    spot = [*_DOC, "word", "until"]
+    heads = stored(_first(members, group).where("n > 1 OR anchor"), "heads")
+    gone = members.join(heads.where("n > 1"), group).where(~_itself()).select(*spot, *(f"kept_{x}" for x in spot))
+    # anchors that go on in different ways: the first of each way has the first of all to compare with
+    run = min(RUN, passage)
+    ways = heads.where("anchor").select("g1", *(F.col(f"kept_{x}").alias(x) for x in _DOC), F.col("kept_word").alias("word"), (F.col("kept_word") + run).alias("until"))
+    firsts = stored(_first(ways, ["g1"]).where("n > 1"), "firsts")
+    others = ways.join(firsts, "g1").where(~_itself()).select(*spot, *(f"kept_{x}" for x in spot))
+    kept = F.struct(F.col("kept_doc_id").isNull().alias("none"), *(f"kept_{x}" for x in spot))
+    gone = gone.unionByName(others).groupBy(*spot).agg(F.min(kept).alias("kept")).select(*spot, *(f"kept.kept_{x}" for x in spot))
     # the ends of islands, and what is beside them and beside the kept copies
     own = Window.partitionBy(*_DOC, "island")
-    ends = _islands(gone.dropDuplicates([*_DOC, "number"]))
-    ends = ends.withColumn("left", F.row_number().over(own.orderBy("word", F.desc("until"), "number")) == 1).withColumn("right", F.row_number().over(own.orderBy(F.desc("until"), "word", "number")) == 1)
+    ends = _islands(gone)
+    ends = ends.withColumn("left", F.row_number().over(own.orderBy("word", F.desc("until"))) == 1).withColumn("right", F.row_number().over(own.orderBy(F.desc("until"), "word")) == 1)
     ends = stored(ends, "gone")
-    released(heads)
+    released(heads, firsts)
     outer = ends.where("left OR right")
-    beside = outer.select(*_DOC, "number").unionByName(outer.select(F.col("kept_doc_id").alias("doc_id"), F.col("kept_key").alias("key"), F.col("kept_number").alias("number")))
-    beside = stored(beside.groupBy(*_DOC).agg(F.collect_set("number").alias("found")), "beside")
+    beside = outer.select(*spot).unionByName(outer.select(*(F.col(f"kept_{x}").alias(x) for x in spot)))
+    beside = stored(beside.groupBy(*_DOC).agg(F.collect_set(F.struct("word", "until")).alias("found")), "beside")
     wanted = at_most(beside, of=F.size("found"))
-    sides = rows.join(wanted, _same_doc(rows, wanted)).select(rows["doc_id"], rows["key"], rows["text"], "found").mapInArrow(_sides, _SIDES)
+    sides = rows.join(wanted, _same_doc(rows, wanted)).select(rows["doc_id"], rows["key"], rows["text"], "found").mapInArrow(_sides(passage), _SIDES)
     sides = stored(sides, "sides")  # rows that are equal in id and text give equal rows here, and again below
-    kept = sides.select(*(F.col(x).alias(f"kept_{x}") for x in (*_DOC, "number", "before", "after"))).dropDuplicates(["kept_doc_id", "kept_key", "kept_number"])
-    near = outer.alias("e").join(sides.dropDuplicates([*_DOC, "number"]).alias("s"), F.expr("e.doc_id <=> s.doc_id AND e.key = s.key AND e.number = s.number")).select("e.*", "s.total", "s.start", "s.stop", "s.before", "s.after")
-    near = near.alias("e").join(kept.alias("k"), F.expr("e.kept_doc_id <=> k.kept_doc_id AND e.kept_key = k.kept_key AND e.kept_number = k.kept_number")).select("e.*", "k.kept_before", "k.kept_after")
+    kept = sides.select(*(F.col(x).alias(f"kept_{x}") for x in (*spot, "before", "after"))).dropDuplicates([f"kept_{x}" for x in spot])
+    near = outer.alias("e").join(sides.dropDuplicates(spot).alias("s"), F.expr("e.doc_id <=> s.doc_id AND e.key = s.key AND e.word = s.word AND e.until = s.until")).select("e.*", "s.total", "s.start", "s.stop", "s.before", "s.after")
+    near = near.alias("e").join(kept.alias("k"), F.expr("e.kept_doc_id <=> k.kept_doc_id AND e.kept_key = k.kept_key AND e.kept_word = k.kept_word AND e.kept_until = k.kept_until")).select("e.*", "k.kept_before", "k.kept_after")
     none = F.lit(None).cast("long")
     inner = ends.where("NOT left AND NOT right").select(*_DOC, none.alias("total"), "word", "until", none.alias("start"), none.alias("stop"), "kept_doc_id")
     found = _islands(near.mapInPandas(_grow, _GROWN).unionByName(inner)).groupBy(*_DOC, "island").agg(

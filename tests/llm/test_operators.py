@@ -593,8 +593,11 @@ def test_passages_are_found_in_lines_and_inside_them(spark, make):
     assert paragraph_dedup.repeated_passages(make(DOCS).limit(0)).count() == 0
 
 
-def test_paragraphs_cover_all_words():
+def test_units_of_texts():
     text = (prose(70, 200) + "\n\n a b\n" + prose(71, 30)).encode()
-    parts = paragraph_dedup.paragraphs([np.frombuffer(text, np.uint8), np.zeros(0, np.uint8), np.frombuffer(b"x y.", np.uint8)])
-    assert int(parts.n_words.sum()) == len(text.split()) + 2
-    assert parts.number[parts.text == 2].tolist() == [0] and parts.start[-1] == 0 and parts.stop[-1] == 4
+    found = paragraph_dedup.words_of([np.frombuffer(x, np.uint8) for x in (text, b"", b"x y.")])
+    own = paragraph_dedup.units(found, shingles.run_hashes(found.hashes, 5), 22)
+    assert found.count.tolist() == [len(text.split()), 0, 2]
+    assert [(t, n) for t, n, k in zip(own.text, own.n_words, own.kind, strict=True) if k == paragraph_dedup.WHOLE] == [(2, 2)]
+    assert int(own.n_words[own.kind == paragraph_dedup.LINE].sum()) == len(text.split()) - 2
+    assert own.n_words[own.kind == paragraph_dedup.ANCHOR].max() <= 8 + 15

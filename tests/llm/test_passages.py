@@ -5,7 +5,7 @@ import collections
 import numpy as np
 
 from quarrykit.llm import paragraph_dedup
-from quarrykit.llm.shingles import mixed, multipliers
+from quarrykit.llm.shingles import mixed, multipliers, run_hashes
 
 
 def words(seed, n):
@@ -141,3 +141,60 @@ def test_near_lines_equal_brute_force(spark, make):
     # whole lines go by their links alone; others may lose pieces
     found = {r.doc_id: r for r in paragraph_dedup.repeated_passages(make(rows)).where("n_paragraphs > 0").collect() if r.n_words == len(dict(rows)[r.doc_id].split())}
     assert gone <= set(found) and len(gone) > 60
+
+
+def test_each_string_of_a_passage_holds_an_anchor():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, k, n).astype(np.uint64) for k in (2, 3, 50, 10**6) for n in (0, 1, 7, 8, 9, 21, 22, 23, 400)]
+    texts += [np.tile(rng.integers(0, 99, p).astype(np.uint64), 300 // p) for p in (1, 2, 3, 7, 8, 11, 20)]
+    for passage in (3, 8, 9, 22, 60):
+        run = min(8, passage)
+        hashes = mixed(np.concatenate(texts))
+        first = np.cumsum([len(t) for t in texts]) - [len(t) for t in texts]
+        count = np.array([max(0, len(t) - run + 1) for t in texts])
+        runs = run_hashes(hashes, run)
+        got = set(paragraph_dedup.anchors(runs, first, count, passage - run + 1).tolist())
+        window = passage - run + 1
+        for lo, n in zip(first.tolist(), count.tolist(), strict=True):
+            for k in range(lo, lo + max(min(n, 1), n - window + 1)):
+                own = runs[k : min(k + window, lo + n)]
+                assert any(k + i in got for i in np.flatnonzero(own == own.min()))
+        assert all(any(lo <= x < lo + n for lo, n in zip(first.tolist(), count.tolist(), strict=True)) for x in got)
+    # a text of one word has few anchors, others about one in eight words
+    one = run_hashes(mixed(np.zeros(8000, np.uint64)), 8)
+    assert len(paragraph_dedup.anchors(one, np.array([0]), np.array([len(one)]), 15)) <= 1002
+
+
+def test_passages_of_22_words_and_more_anywhere_in_lines_equal_brute_force(spark, make):
+    rows, k = [], 0
+    for n in (22, 23, 26, 30, 36, 45):
+        for p in range(40):
+            own = words(10_000 * n + p, n)
+            for j in range(2):
+                around = words(777_777 + 1000 * n + 10 * p + j, 60)
+                broken = "\n".join(" ".join(own[i : i + 4 + j]) for i in range(0, n, 4 + j)) if p % 2 else " ".join(own)
+                rows.append((k, " ".join(around[:30]) + " " + broken + " " + " ".join(around[30:])))
+                k += 1
+    want = repeats(rows, 22)
+    assert len(want) == 240 and removed(spark, make, rows) == want
+
+
+def test_the_words_between_anchors_are_compared_too(spark, make):
+    own = words(31, 300)
+    rows = [(0, " ".join(own))]
+    for k in range(1, 40):
+        other = list(own)
+        for at in (60 + k, 140 + k, 220 + k):
+            other[at] = f"x{k}-{at}"
+        rows.append((k, "\n".join(" ".join(other[i : i + 100]) for i in (0, 100, 200)) if k % 2 else " ".join(other)))
+    got = removed(spark, make, [rows[0], *((k, t.replace("\n", " | | ")) for k, t in rows[1:])])
+    kept = {k: len(t.replace("\n", " | | ").split()) - sum(b - a for a, b in got[k]) for k, t in rows}
+    # a line that is near as a whole goes whole
+    assert all(n in (0, 3, 7) for k, n in kept.items() if k) and kept[0] == 300
+
+
+def test_words_over_and_over_leave_one_round(spark, make):
+    rows = [(0, " ".join(["a b c"] * 200)), (1, " ".join(["d"] * 500)), (2, lines(3, [30]) + " " + " ".join(["d"] * 500))]
+    got = removed(spark, make, rows)
+    assert sum(b - a for a, b in got[0]) >= 540 and sum(b - a for a, b in got[1]) >= 450 and got[2][-1][1] == 530
+    assert got[0][0][0] >= 3 and got[1][0][0] >= 1 and got[2][0][0] >= 30
