@@ -17,6 +17,7 @@ from itertools import combinations, takewhile
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,8 +49,9 @@ ANCHOR, LINE, WHOLE = 0, 1, 2
 
 @dataclass(frozen=True)
 class Words:
-    """Words of some texts, one text after another: hashes, starts and ends (bytes of ``data``), and each text's offset in ``data``, first word and number of words."""
+    """Words of some texts, one text after another: hashes (if asked for), starts and ends (bytes of ``data``), and each text's offset in ``data``, first word and number of words."""
 
+    data: np.ndarray
     hashes: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
@@ -59,7 +61,7 @@ class Words:
     leads: np.ndarray  # first word of each line that has words
 
 
-def words_of(texts: list[np.ndarray]) -> Words:
+def words_of(texts: list[np.ndarray], hashed: bool = True) -> Words:
     line_break = np.array([10], dtype=np.uint8)
     data = np.concatenate([x for t in texts for x in (t, line_break)]) if texts else np.zeros(0, np.uint8)
     sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
@@ -67,9 +69,12 @@ def words_of(texts: list[np.ndarray]) -> Words:
     starts, ends = word_bounds(data)
     first = np.searchsorted(starts, offset)
     count = np.diff(np.r_[first, len(starts)])
-    lines = np.searchsorted(np.flatnonzero(data == 10), starts)
-    leads = np.flatnonzero(np.r_[True, lines[1:] != lines[:-1]]) if len(starts) else np.zeros(0, np.int64)
-    return Words(word_hashes(data, (starts, ends)), starts, ends, offset, first, count, leads)
+    hashes, leads = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if hashed and len(starts):
+        lines = np.searchsorted(np.flatnonzero(data == 10), starts)
+        leads = np.flatnonzero(np.r_[True, lines[1:] != lines[:-1]])
+        hashes = word_hashes(data, (starts, ends))
+    return Words(data, hashes, starts, ends, offset, first, count, leads)
 
 
 def _least(values: np.ndarray, window: int) -> np.ndarray:
@@ -121,7 +126,8 @@ class Units:
 
 def units(found: Words, shingles: np.ndarray, passage: int) -> Units:
     run = min(RUN, passage)
-    runs = run_hashes(found.hashes, run)
+    # two shingles say all words of a run
+    runs = run_hashes(found.hashes, run) if run <= WIDTH else mixed(mixed(shingles[: WIDTH - run or None]) + shingles[run - WIDTH :])
     at = anchors(runs, found.first, np.maximum(found.count - run + 1, 0), passage - run + 1)
     owner = np.repeat(np.arange(len(found.count)), found.count)
     after = np.r_[at[1:], at[-1:]]
@@ -273,17 +279,18 @@ def _sides(beside: int) -> object:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, texts in slices_of(batch["text"]):
-                rows = []
-                for k, (text, spans) in enumerate(zip(texts, batch["found"].slice(begin, len(texts)).to_pylist(), strict=True), begin):
-                    starts, ends = (x.tolist() for x in word_bounds(text))
-                    for word, until in ((x["word"], x["until"]) for x in spans):
-                        start, stop = starts[word], ends[until - 1]
-                        left, right = starts[max(0, word - beside)], ends[min(len(ends), until + beside) - 1]
-                        rows.append((k, word, until, len(ends), start, stop, text[left:start].tobytes(), text[stop:right].tobytes()))
-                row, *values = zip(*rows, strict=True)
-                taken = pa.array(row, pa.int64())
-                types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                columns = [batch["doc_id"].take(taken), batch["key"].take(taken), *(pa.array(v, t) for v, t in zip(values, types, strict=True))]
+                lists = batch["found"].slice(begin, len(texts))
+                row = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                word, until = (pc.struct_field(lists.flatten(), x) for x in ("word", "until"))
+                found = words_of(texts, hashed=False)
+                first, total = found.first[row], found.count[row]
+                place, end = word.to_numpy(), until.to_numpy()
+                start, stop = found.starts[first + place], found.ends[first + end - 1]
+                left, right = found.starts[first + np.maximum(0, place - beside)], found.ends[first + np.minimum(total, end + beside) - 1]
+                cut = [(found.data[a:b].tobytes(), found.data[c:d].tobytes()) for a, b, c, d in zip(*(x.tolist() for x in (left, start, stop, right)), strict=True)]
+                taken = pa.array(begin + row)
+                own = (total, start - found.offset[row], stop - found.offset[row])
+                columns = [batch["doc_id"].take(taken), batch["key"].take(taken), word, until, *(pa.array(x, pa.int64()) for x in own), *(pa.array([x[k] for x in cut], pa.binary()) for k in (0, 1))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return find
