@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -21,43 +20,59 @@ _TOKEN = r"[^\p{L}\p{N}]+"
 
 
 _MARKS = re.compile(r"[\u0300-\u036f]")
+#: Bytes of text whose tokens are put together at once.
+_AT_ONCE = 2**20
 
 
-def _fold(text: pd.Series) -> pd.Series:
+def _fold(texts: pa.Array) -> pa.Array:
     """Lower case without diacritics."""
-    return pd.Series([(t if t.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", t))).lower() for t in text.fillna("")], dtype=object)
+    return pa.array([(t if t.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", t))).lower() for t in texts.to_pylist()], type=pa.string())
 
 
-def tokens(text_column: str, folded: bool = True) -> F.Column:
-    """Runs of letters and digits. ``folded`` drops diacritics; without it only case is folded, in expressions alone."""
-    text = F.pandas_udf(_fold, "string")(text_column) if folded else F.lower(F.coalesce(F.col(text_column), F.lit("")))
-    return F.filter(F.split(text, _TOKEN), lambda t: t != "")
+def _parts(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``_AT_ONCE`` bytes of text each, a row at least."""
+    ends = np.cumsum(pc.binary_length(batch[column]).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(ends // _AT_ONCE)) + 1).tolist(), len(ends)]
+    return (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False))
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row's distinct tokens with their positions: a stable sort by row and token of all tokens of a batch."""
-    for batch in batches:
-        words = batch["tokens"]
-        sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        position = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        coded = words.flatten().dictionary_encode()
-        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        order = np.lexsort((position, code, row))
-        row, code, position = row[order], code[order], position[order]
-        first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])))) if len(row) else np.zeros(0, dtype=np.int64)
-        places = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(position.astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[first])), batch["file_id"].take(pa.array(row[first])), places], names=["token", "file_id", "positions"])
+def _postings(file_id: pa.Array, text: pa.Array) -> pa.RecordBatch:
+    """Each row's distinct tokens (runs of letters and digits) with their positions: a stable sort by row and token of all tokens."""
+    split = pc.split_pattern_regex(text, _TOKEN)
+    row = np.repeat(np.arange(len(text)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    words = split.flatten()
+    solid = pc.not_equal(words, "")
+    row, words = row[solid.to_numpy(zero_copy_only=False)], words.filter(solid)
+    position = np.arange(len(row)) - np.searchsorted(row, row)
+    coded = words.dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.lexsort((position, code, row))
+    row, code, position = row[order], code[order], position[order]
+    first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])))) if len(row) else np.zeros(0, dtype=np.int64)
+    places = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(position.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[first])), file_id.take(pa.array(row[first])), places], names=["token", "file_id", "positions"])
+
+
+def _grouped(folded: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Postings of ``file_id`` and ``content``, part by part: a batch may hold many times the text that should be taken apart at once."""
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch, "content"):
+                yield _postings(part["file_id"], _fold(part["content"]) if folded else part["content"])
+
+    return grouped
 
 
 def build_index(files: DataFrame, folded: bool = True, only: str | None = None) -> DataFrame:
     """``token``, ``file_id`` and the token's ``positions`` in it, of ``files`` (``file_id``, ``content``), a row a file.
 
-    A file's tokens are put together where its row is, so nothing is shuffled. For a single query without a written index, ``only`` is its text: rows
+    A file's tokens are put together where its row is, so nothing is shuffled. ``folded`` drops diacritics; without it only case is folded, by Spark. For a single query without a written index, ``only`` is its text: rows
     of other tokens aren't made.
     """
-    found = files.select("file_id", tokens("content", folded).alias("tokens"))
-    index = found.mapInArrow(_grouped, f"token string, file_id {found.schema['file_id'].dataType.simpleString()}, positions array<int>")
+    text = F.coalesce("content", F.lit(""))
+    found = files.select("file_id", (text if folded else F.lower(text)).alias("content"))
+    index = found.mapInArrow(_grouped(folded), f"token string, file_id {found.schema['file_id'].dataType.simpleString()}, positions array<int>")
     return index if only is None else index.where(F.col("token").isin(tokens_of(only)))
 
 

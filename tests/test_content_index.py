@@ -2,11 +2,13 @@
 
 import os
 import re
+import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarrykit.iterate import new_path
-from quarrykit.operators import catalog, content_index, history
+from quarrykit.operators import catalog, content_index, history, search
 from quarrykit.operators.search import build_index, matching_files, tokens_of
 from quarrykit.ordering import ordered
 
@@ -102,3 +104,31 @@ def test_pages_of_a_written_order(spark):
     assert [(r.path, r.total) for r in deep] == [(p, 5000) for p, _ in want[4000:4005]]
     assert ordered(table.drop("row_number").limit(0), "path").rows(0, 10).count() == 0
     assert history.deep_feed(table.limit(0).select(F.col("path").alias("hash"), F.lit(1).alias("date"))).total == 0
+
+
+def _most_held(rows):
+    """Bytes of Python and numpy that putting a batch of ``rows`` texts into an index takes at most."""
+    batch = pa.RecordBatch.from_pydict({"file_id": list(range(rows)), "content": ["Été alpha beta gamma " * 100] * rows})
+    tracemalloc.start()
+    made = sum(part.num_rows for part in search._grouped(True)(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made == 4 * rows
+    return most
+
+
+def test_index_takes_a_batch_apart_in_parts():
+    _most_held(10)
+    small, large = _most_held(1000), _most_held(4000)
+    assert large < 1.2 * small and large < 40 * 2**20
+
+
+def test_index_parts_leave_rows_whole(spark, monkeypatch):
+    rows = [(k, " ".join(WORDS[(k * j) % 6] for j in range(k % 9))) for k in range(40)] + [(50, None), (51, ""), (52, "  ,. "), (53, "one " * 50), (-4, "É alpha\nalpha")]
+    whole = pa.RecordBatch.from_pydict({"file_id": [k for k, _ in rows], "content": [t or "" for _, t in rows]})
+    for most in (1, 20, 1000):
+        monkeypatch.setattr(search, "_AT_ONCE", most)
+        parts = list(search._grouped(True)(iter([whole, whole.slice(0, 0)])))
+        found = {(t, i): p for part in parts for t, i, p in zip(*(part[c].to_pylist() for c in ("token", "file_id", "positions")), strict=True)}
+        assert found == _plain(rows) and sum(part.num_rows for part in parts) == len(found)
+        assert most == 1000 or len(parts) > 5
