@@ -1,5 +1,7 @@
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +132,23 @@ def test_measures():
     assert code.indent_depth("  \t    x") == 2
 
 
+def test_measures_of_a_batch_hold_a_text_at_a_time(spark):
+    texts = [f"if a{k}:\n    b\n" * 2000 for k in range(200)] + [None, ""]
+    batch = pa.array(texts), pa.array(["Python"] * 201 + [None])
+    assert batch[0].nbytes > 5 * 2**20
+    tracemalloc.start()
+    found = code._measured(*batch).to_pylist()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2 * 2**20
+    assert [tuple(x.values()) for x in found] == [code.measure(t or "", x) for t, x in zip(texts, batch[1].to_pylist(), strict=True)]
+    # as Spark runs it
+    rows = [(k, t, x) for k, (t, x) in enumerate([(GO, "Go"), (None, "Go"), ("x", None), ("", "Python"), ("def f():\n    return 1\n", "Python")])]
+    made = spark.createDataFrame(rows, "k long, content string, language string").select("k", code.code_metrics("content", "language").alias("m"))
+    assert {r.k: tuple(r.m) for r in made.collect()} == {k: code.measure(t or "", x) for k, t, x in rows}
+    assert made.where("k < 0").count() == 0
+
+
 def test_import_specs():
     assert imports.import_specs("Go", 'import "a"\nimport (\n x "b/c"\n)\n') == ["a", "b/c"]
     assert imports.import_specs("TypeScript", "import x from './a'\nconst b = require('../b')\nimport('c')") == ["./a", "../b", "c"]
