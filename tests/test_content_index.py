@@ -106,11 +106,11 @@ def test_pages_of_a_written_order(spark):
     assert history.deep_feed(table.limit(0).select(F.col("path").alias("hash"), F.lit(1).alias("date"))).total == 0
 
 
-def _most_held(rows):
+def _most_held(rows, folded=True):
     """Bytes of Python and numpy that putting a batch of ``rows`` texts into an index takes at most."""
     batch = pa.RecordBatch.from_pydict({"file_id": list(range(rows)), "content": ["Été alpha beta gamma " * 100] * rows})
     tracemalloc.start()
-    made = sum(part.num_rows for part in search._grouped(True)(iter([batch])))
+    made = sum(part.num_rows for part in search._grouped(folded)(iter([batch])))
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert made == 4 * rows
@@ -132,3 +132,9 @@ def test_index_parts_leave_rows_whole(spark, monkeypatch):
         found = {(t, i): p for part in parts for t, i, p in zip(*(part[c].to_pylist() for c in ("token", "file_id", "positions")), strict=True)}
         assert found == _plain(rows) and sum(part.num_rows for part in parts) == len(found)
         assert most == 1000 or len(parts) > 5
+
+
+def test_letters_of_an_index_are_those_of_queries(spark):
+    # U+0870 is a letter since Unicode 14
+    index = build_index(_files(spark, [(1, "a\u0870b c"), (2, "a b")]))
+    assert {r.file_id for r in matching_files(index, "A\u0870B").collect()} == {1}
