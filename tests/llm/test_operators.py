@@ -225,6 +225,28 @@ def test_repeats_of_other_lengths(make):
             suffix_dedup.remove_repeats(make(rows), length)
 
 
+def _shuffled(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    gateway = spark.sparkContext._gateway
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_documents_are_shuffled_once_and_shared_texts_go_once(spark, make):
+    texts = [prose(400 + k, 1500) for k in range(25)]
+    rows = [(40 * v + k, f"version {v}\n{t}" if v % 3 else t) for v in range(12) for k, t in enumerate(texts)]
+    rows += [(1000 + k, t[500:1500] + prose(500 + k, 20) + t[3000:3600]) for k, t in enumerate(texts)]
+    docs = make(rows).repartition(3)
+    before = _shuffled(spark)
+    docs.write.format("noop").mode("overwrite").save()
+    dealt = _shuffled(spark) - before
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).drop("text", "spans").collect()}
+    shuffled = _shuffled(spark) - before - 2 * dealt
+    assert got == _without_repeats(rows)
+    assert shuffled < 1.3 * sum(len(t) for _, t in rows)
+
+
 def test_rows_with_one_id_do_not_remove_each_other(make):
     cleaned = suffix_dedup.remove_repeats(make([(1, prose(0)), (1, prose(0)), (2, prose(0))]))
     assert sorted((r.doc_id, r.n_removed > 0) for r in cleaned.collect()) == [(1, False), (1, False), (2, True)]
