@@ -344,7 +344,8 @@ def _classes(ids: np.ndarray, data: np.ndarray, bounds: np.ndarray, length: int,
     got = got or [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int16), np.zeros(0, np.int16))]
     code, at, count, off = (np.concatenate(x) for x in zip(*got, strict=True))
     del got
-    known = np.unique(code)
+    known = np.sort(code)
+    known = known[_starts(known)]
     cuts = _cuts(known, n)
     shared, crowd = np.zeros(len(known), dtype=bool), np.zeros(len(known), dtype=bool)
     for k, blob in replies.get(_SHARED, {}).items():
@@ -477,7 +478,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         if not got:
             return
         code, row = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((row, code))
+        order = np.argsort(code, kind="stable")  # rows are in order
         code, row = code[order], row[order]
         once = _starts(code, row)  # once a document
         begin = np.flatnonzero(_starts(code))
